@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_tiff, simhash
+from . import media_tiff, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -14,12 +14,28 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tiff.tiff_digests(media_tiff.tiff_media(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tiff": op3_tiff,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality": op6_quality,
+    "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
 
