@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_tiff, packing, quality, simhash, toxicity
+from . import media_tiff, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tiff": op3_tiff,
     "op4_toxicity": op4_toxicity,
     "op6_quality": op6_quality,
+    "op7_pii": op7_pii,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }

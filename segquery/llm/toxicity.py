@@ -186,7 +186,7 @@ class ToxicCNN:
         """For each language, slope and offset of the log odds; few rows borrow from all rows."""
         z = self.logits(docs)
         lang = np.array([language_of(d) for d in docs])
-        whole = _platt(z, y, weight, 1.0, 0.0, 0.0)
+        whole = _platt(z, y, weight, 1.0, 0.0, 1.0)
         for k in range(len(LANGUAGES)):
             on = lang == k
             enough = min(int((y[on] == 1).sum()), int((y[on] == 0).sum()))
@@ -200,12 +200,12 @@ class ToxicCNN:
 def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray, a0: float, b0: float, hold: float) -> tuple[float, float]:
     """Weighted logistic fit of y on z by Newton steps, drawn to (a0, b0) by ``hold`` rows; the slope stays positive."""
     a, b = a0, b0
-    for _ in range(50):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         r, v = weight * (p - y), weight * p * (1 - p) + 1e-9
         g = np.array([(r * z).sum() + (hold + 1e-3) * (a - a0), r.sum() + hold * 0.25 * (b - b0)])
         h = np.array([[(v * z * z).sum() + hold + 1e-3, (v * z).sum()], [(v * z).sum(), v.sum() + hold * 0.25 + 1e-6]])
-        step = np.linalg.solve(h, g)
+        step = np.clip(np.linalg.solve(h, g), (-0.2, -0.5), (0.2, 0.5))  # far from the optimum a full Newton step overshoots
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-7:
             break
