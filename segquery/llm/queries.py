@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_tiff, packing, pii, quality, simhash, toxicity
+from . import decontaminate, media_tiff, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tiff": op3_tiff,
     "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op9_packing": op9_packing,
