@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media_tiff, packing, pii, quality, simhash, toxicity
+from . import decontaminate, media_tiff, packing, pii, quality, simhash, toxicity, wrapper
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
+    "op8_wrapper": op8_wrapper,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
