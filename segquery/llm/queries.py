@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media_tiff, packing, pii, quality, simhash, toxicity, wrapper
+from . import decontaminate, katz, media_tiff, packing, pii, quality, simhash, toxicity, wrapper
 from .common import table
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tiff.tiff_digests(media_tiff.tiff_media(table(spark, sf_dir, "documents")))
 
@@ -44,6 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz": op1_katz,
     "op3_tiff": op3_tiff,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
