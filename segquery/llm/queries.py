@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, katz, media_tiff, packing, pii, quality, simhash, toxicity, wrapper
+from . import decontaminate, katz, media_tiff, packing, pii, quality, simhash, suffix_dedup, toxicity, wrapper
 from .common import table
 
 
@@ -14,6 +15,10 @@ def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tiff.tiff_digests(media_tiff.tiff_media(table(spark, sf_dir, "documents")))
 
@@ -49,6 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": op1_katz,
+    "op2_suffix": op2_suffix,
     "op3_tiff": op3_tiff,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wrapper": op8_wrapper,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}
