@@ -38,7 +38,7 @@ def stored(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     path = f"{shared_dir(spark)}/segquery/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def n_partitions(spark: SparkSession, least: int = 1) -> int:

@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored, text_or_empty
@@ -84,8 +84,8 @@ def ball_links(values: DataFrame, bits: int = 64, radius: int = 2, key: str = "f
     Values that meet in a point follow one another in order there, and neighbours are paired
     (each with the next ``ahead``); all of them lie within ``radius`` of each other.
     """
-    from pyspark.sql import Window
-
+    if radius % 2:
+        raise ValueError("the radius must be even: only then all values that meet are within it")
     masks = F.array(*[F.lit(m) for m in ball(bits, -(-radius // 2))])
     points = values.select(key).distinct().select(F.col(key).alias("a"), F.explode(masks).alias("m"))
     points = points.select("a", F.col("a").bitwiseXOR(F.col("m")).alias("point"))
@@ -150,37 +150,57 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
     seeds = -(-tables // per)
     mask = (1 << bits) - 1
 
+    tag_bits = min(32, 63 - bits - 6)  # of one more sketch, carried beside each value
+    p = expected_bits(min_similarity)
+    most = math.ceil(tag_bits * p + 3 * math.sqrt(tag_bits * p * (1 - p)))
+
     def sketch(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             base = shingle_hashes(words_of(text), words, 7)
             if not len(base):
                 continue
             got: list[int] = []
-            for k in range(seeds):  # a bijection of the shingle hash gives the next hash function
+            for k in range(seeds + 1):  # a bijection of the shingle hash gives the next hash function
                 x = base + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
                 x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 fp = fingerprint(x ^ (x >> np.uint64(31)))
-                got += [fp >> (bits * j) & mask for j in range(per)]
-            yield doc_id, got[:tables]
+                got += [fp >> (bits * j) & mask for j in range(per)] if k < seeds else [fp & ((1 << tag_bits) - 1)]
+            yield doc_id, got[:tables], got[-1]
 
     own = text_or_empty(docs).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sketches = stored(map_rows(own, sketch, "rep long, s array<long>", 1024).dropDuplicates(["rep"]))
-    # the table's number above the bits keeps the tables apart in one pass; equal values stand as one, for a representative that differs by table
-    flat = sketches.select("rep", F.posexplode("s").alias("t", "v")).select("rep", "t", (F.col("v") + F.col("t") * F.lit(1 << bits) if bits < 58 else F.col("v")).alias("v"))
-    heads = stored(flat.groupBy("v").agg(F.min_by("rep", F.xxhash64("rep", "t")).alias("head")))
-    same = flat.join(heads, "v").where("rep <> head").select(F.col("rep").alias("x"), F.col("head").alias("y"))
-    met = ball_links(heads, bits, 2, "v", 2)
-    met = met.join(heads.select(F.col("v").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("v").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    pairs = same.unionAll(met).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    # chance meetings differ in half of all bits: a loose bound on all sketches together drops them before sets are compared
-    far = expected_bits(min_similarity) * bits * tables * 1.6
+    sketches = stored(map_rows(own, sketch, "rep long, s array<long>, tag long", 1024).dropDuplicates(["rep"]))
+    # the table's number stands above the bits, so one pass searches all tables; equal values are one, under a representative that differs by table
+    flat = sketches.select("rep", "tag", F.posexplode("s").alias("t", "v")).select("rep", "tag", "t", (F.col("v") + F.col("t") * F.lit(1 << bits)).alias("v"))
+    heads = stored(flat.groupBy("v").agg(F.min_by("rep", F.xxhash64("rep", "t")).alias("head"), F.min_by("tag", F.xxhash64("rep", "t")).alias("tag")))
+    same = flat.join(heads.select("v", "head"), "v").where("rep <> head").select(F.col("rep").alias("x"), F.col("head").alias("y"))
+    pairs = same.unionAll(_met(heads, bits, tag_bits, most)).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # what is left of chance meetings: a loose bound on all sketches together, before sets are compared
+    far = p * bits * tables * 1.6
     sx, sy = sketches.select(F.col("rep").alias("x"), F.col("s").alias("sx")), sketches.select(F.col("rep").alias("y"), F.col("s").alias("sy"))
     differ = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
     pairs = stored(pairs.join(sx, "x").join(sy, "y").where(differ <= far).select("x", "y"))
     return _classes(docs, ids, reps, verified(docs, pairs, words, min_similarity))
 
 
+def _met(heads: DataFrame, bits: int, tag_bits: int, most: int) -> DataFrame:
+    """(x, y): heads whose values meet within radius 2 and whose tags differ in ``most`` bits or fewer.
+
+    Value and tag travel as one number, so chance meetings go before anything is joined.
+    """
+    masks = F.array(*[F.lit(m) for m in ball(bits, 1)])
+    points = heads.select((F.col("v") * F.lit(1 << tag_bits) + F.col("tag")).alias("a"), F.explode(masks).alias("m"))
+    points = points.select("a", F.shiftright("a", tag_bits).bitwiseXOR(F.col("m")).alias("point"))
+    w = Window.partitionBy("point").orderBy("a")
+    pairs = points.select("a", F.array(F.lead("a", 1).over(w), F.lead("a", 2).over(w)).alias("next")).where(F.col("next")[0].isNotNull())
+    pairs = pairs.select("a", F.explode("next").alias("b")).where("b is not null")
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    tags = F.bit_count(differ.bitwiseAND(F.lit((1 << tag_bits) - 1)))
+    near = pairs.where((F.bit_count(F.shiftright(differ, tag_bits)) <= 2) & (tags <= most)).distinct()
+    of = lambda c, n: heads.select((F.col("v") * F.lit(1 << tag_bits) + F.col("tag")).alias(c), F.col("head").alias(n))
+    return near.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, min_similarity: float) -> DataFrame:
     """The pairs (x, y) of ids whose sets of shingles have this Jaccard similarity at least."""
     named = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select("y")).distinct()
