@@ -134,18 +134,20 @@ def prf(gt: DataFrame, preds: DataFrame, matches: DataFrame) -> DataFrame:
 def average_precision(gt: DataFrame, preds: DataFrame, threshold: float) -> DataFrame:
     """One row ``ap``: interpolated; a prediction takes the unmatched event of highest tIoU of its item, in order of confidence."""
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for pid, part in df.sort_values(["conf", "pred_id"], ascending=[False, True]).groupby("pred_id", sort=False):
-            free = part[(part.tiou >= threshold) & ~part.gt_id.isin(taken)].sort_values(["tiou", "gt_id"], ascending=[False, True])
-            if len(free):
-                taken.add(free.gt_id.iloc[0])
-            out.append((pid, part.conf.iloc[0], int(len(free) > 0)))
-        return pd.DataFrame(out, columns=["pred_id", "conf", "tp"])
+        df = df.sort_values(["conf", "pred_id", "tiou", "gt_id"], ascending=[False, True, False, True])
+        taken, hit = set(), {}
+        for pid, gid in zip(df.pred_id, df.gt_id, strict=True):
+            if pid not in hit and gid not in taken:
+                taken.add(gid)
+                hit[pid] = 1
+        return pd.DataFrame({"pred_id": list(hit), "tp": 1})
 
     kind = dict(preds.dtypes)
-    got = pairs(gt, preds).select("video_id", "gt_id", "pred_id", "conf", "tiou")
-    flags = got.groupBy("video_id").applyInPandas(run, f"pred_id {kind['pred_id']}, conf double, tp long")
-    return ap_of(flags, gt)
+    # only pairs that overlap enough compete; all other predictions of items with events are false
+    close = pairs(gt, preds).where(F.col("tiou") >= threshold).select("video_id", "gt_id", "pred_id", "conf", "tiou")
+    hits = close.groupBy("video_id").applyInPandas(run, f"pred_id {kind['pred_id']}, tp long")
+    known = preds.join(gt.select("video_id").distinct(), "video_id", "left_semi").select("pred_id", "conf")
+    return ap_of(known.join(hits, "pred_id", "left").na.fill(0, ["tp"]), gt)
 
 
 def ap_of(flags: DataFrame, gt: DataFrame) -> DataFrame:
