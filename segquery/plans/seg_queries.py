@@ -642,3 +642,39 @@ def stream_sessions(spark, d):
 @query("select user_id, max(event_id) as event_id from events group by 1")
 def stream_latest(spark, d):
     return streams.finished(streams.latest(_stream(spark, d)), "stream_latest")
+
+
+# ---------------------------------------------------------------- positives, guards, decisions
+
+
+@query(SEG + BEST + "select gt.event_id as gt_id, case when tiou >= 0.3 then pred_id end as pred_id from gt left join bm on gt_id = event_id")
+def positives(spark, d):
+    """The prediction that stands for an event in training: the best one if it overlaps enough, else none."""
+    _, g, p, _ = parts(spark, d)
+    return I.best_match(g, p).select("gt_id", F.when(F.col("tiou") >= 0.3, F.col("pred_id")).alias("pred_id"))
+
+
+@query("with f as (select event_type as key, count(*)::double as found from events group by 1), e as (select key, found + case when key = 'error' then 5 else 0 end as expected from f union all select 'absent', 1.0::double) select key, expected, found, coalesce(abs(found - expected) <= 0.5, false) as ok from e left join f using (key)")
+def regression_guard(spark, d):
+    """Expected values against found ones; a missing key is not ok."""
+    found = D.table(spark, d, "events").groupBy(F.col("event_type").alias("key")).agg(F.count("*").cast("double").alias("v"))
+    wanted = found.withColumn("v", F.col("v") + F.when(F.col("key") == "error", 5.0).otherwise(0.0)).unionByName(spark.createDataFrame([("absent", 1.0)], "key string, v double"))
+    return A.require(found, wanted, "key", "v", 0.5)
+
+
+@query(SEG + "select (select count(*) from (select video_id, ts from gt except all select video_id, ts from pred)) as only_gt, (select count(*) from (select video_id, ts from pred except all select video_id, ts from gt)) as only_pred")
+def multiset_difference(spark, d):
+    _, g, p, _ = parts(spark, d)
+    a, b = g.select("video_id", "ts"), p.select("video_id", "ts")
+    return a.exceptAll(b).agg(F.count("*").alias("only_gt")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_pred")))
+
+
+@query(SEG + "select theta, round(mean_k, 6) as mean_k, coalesce(mean_k < lag(mean_k) over (order by theta), true) as order_kept from (select theta, count(*)::double / (select count(*) from vid) as mean_k from (select unnest([0.2::double, 0.4, 0.6, 0.8]) as theta) join pred on conf >= theta group by 1)")
+def decision_rules(spark, d):
+    """Predicates over a result table: does the order hold from level to level."""
+    _, _, p, v = parts(spark, d)
+    n = v.count()
+    t = F.broadcast(spark.createDataFrame([(x,) for x in (0.2, 0.4, 0.6, 0.8)], "theta double"))
+    k = p.join(t, p.conf >= t.theta).groupBy("theta").agg((F.count("*") / n).alias("mean_k"))
+    kept = F.coalesce(F.col("mean_k") < F.lag("mean_k").over(Window.orderBy("theta")), F.lit(True))
+    return rounded(k.withColumn("order_kept", kept))

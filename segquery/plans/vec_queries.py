@@ -558,3 +558,39 @@ def derangement(spark, d):
 @query()
 def one_per_video_batches(spark, d):
     return L.one_per_video_batches(D.gallery(spark, d).select(F.col("seg_row").alias("caption_id"), "video_id"), 8, "batch")
+
+
+# ---------------------------------------------------------------- cross-validated unions and pairs of weights
+
+
+GAMMAS = (-0.05, 0.0, 0.05)
+E3 = FOLD + """, gm as (select unnest([-0.05::double, 0.0, 0.05]) as candidate), a as (select query_id, video_id, max(score) as own from pr where seg_row % 3 <> 0 group by all), b as (select query_id, video_id, max(score) as other from pr where seg_row % 3 = 0 group by all),
+us as (select candidate, query_id, video_id, greatest(own, other + candidate) as score from (a full join b using (query_id, video_id)) cross join gm),
+ur as (select candidate, q.query_id, 1 + (select count(*) from us b2 where b2.candidate = gm.candidate and b2.query_id = q.query_id and b2.score > (select score from us c where c.candidate = gm.candidate and c.query_id = q.query_id and c.video_id = q.positive)) as rank from q, gm),
+ht as (select ur.query_id, fold, candidate, (rank <= 1)::int as hit from ur join fo using (query_id)), hs as (select fold, candidate, sum(hit)::bigint as hits from ht group by fold, candidate), pk as (select fold, candidate from (select *, row_number() over (partition by fold order by hits desc, candidate) as r from hs) where r = 1)"""
+
+
+@query(VEC + E3 + "select ht.query_id, ht.fold, ht.candidate, ht.hit::bigint as hit from ht join pk on pk.fold = 1 - ht.fold and pk.candidate = ht.candidate")
+def cv_e3(spark, d):
+    """The offset of the window source, chosen on the other fold; all candidates in one pass."""
+    p = pairs(spark, d)
+    main, win = V.max_scores(p.where("seg_row % 3 <> 0")), V.max_scores(p.where("seg_row % 3 = 0"))
+    s = reduce(DataFrame.unionByName, [V.score_union(main, win, g).withColumn("candidate", F.lit(g)) for g in GAMMAS])
+    r = s.withColumn("rank", F.rank().over(Window.partitionBy("candidate", "query_id").orderBy(F.desc("score"))))
+    own = r.join(D.vec_queries(spark, d).select("query_id", F.col("positive").alias("video_id")), ["query_id", "video_id"])
+    f = S.folds(D.vec_queries(spark, d), "query_id", "fold")
+    return S.out_of_fold(own.join(f, "query_id").select("query_id", "fold", "candidate", (F.col("rank") <= 1).cast("long").alias("hit")))
+
+
+@query(VEC + ", hf as (select q.query_id, q.positive, gal.video_id, list_dot_product(q_emb, emb) as s, list_dot_product(q_emb[1:32], emb[1:32]) as h, list_dot_product(q_emb[33:64], emb[33:64]) as k from q cross join gal), gr as (select a, b, (row_number() over (order by a + b, b))::bigint as candidate from (select unnest([0.0::double, 0.5]) as a) cross join (select unnest([0.0::double, 0.25]) as b)), sc as (select candidate, query_id, positive, video_id, max(s + a * h + b * k) as score from hf cross join gr group by all), rr as (select candidate, query_id, 1 + (select count(*) from sc y where y.candidate = x.candidate and y.query_id = x.query_id and y.score > x.score) as rank from sc x where positive = video_id) select candidate, sum((rank <= 1)::int)::bigint as hits from rr group by 1")
+def cv_beta_ab(spark, d):
+    """Hits at rank 1 on a grid of two weights, ordered by their sum, then by the second."""
+    q, g = D.vec_queries(spark, d), D.gallery(spark, d)
+    part = lambda lo: V.pair_scores(q.withColumn("q_emb", F.slice("q_emb", lo, 32)), g.withColumn("emb", F.slice("emb", lo, 32))).select("query_id", "seg_row", F.col("score").alias(f"p{lo}"))
+    rows = V.pair_scores(q, g).join(part(1), ["query_id", "seg_row"]).join(part(33), ["query_id", "seg_row"])
+    grid = sorted(((a, b) for a in (0.0, 0.5) for b in (0.0, 0.25)), key=lambda x: (x[0] + x[1], x[1]))
+    cand = F.broadcast(spark.createDataFrame([(k + 1, a, b) for k, (a, b) in enumerate(grid)], "candidate long, a double, b double"))
+    s = rows.crossJoin(cand).groupBy("candidate", "query_id", "video_id").agg(F.max(F.col("score") + F.col("a") * F.col("p1") + F.col("b") * F.col("p33")).alias("score"))
+    r = s.withColumn("rank", F.rank().over(Window.partitionBy("candidate", "query_id").orderBy(F.desc("score"))))
+    own = r.join(q.select("query_id", F.col("positive").alias("video_id")), ["query_id", "video_id"])
+    return own.groupBy("candidate").agg(F.sum((F.col("rank") <= 1).cast("long")).alias("hits"))
