@@ -168,8 +168,9 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
                 got += [fp >> (bits * j) & mask for j in range(per)] if k < seeds else [fp & ((1 << tag_bits) - 1)]
             yield doc_id, got[:tables], got[-1]
 
-    own = text_or_empty(docs).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sketches = stored(map_rows(own, sketch, "rep long, s array<long>, tag long", 1024).dropDuplicates(["rep"]))
+    # texts of copies are sketched too: that is less work than to shuffle all texts in order to leave them out
+    every = map_rows(text_or_empty(docs), sketch, "rep long, s array<long>, tag long", 1024)
+    sketches = stored(every.join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
     # the table's number stands above the bits, so one pass searches all tables; equal values are one, under a representative that differs by table
     flat = sketches.select("rep", "tag", F.posexplode("s").alias("t", "v")).select("rep", "tag", "t", (F.col("v") + F.col("t") * F.lit(1 << bits)).alias("v"))
     heads = stored(flat.groupBy("v").agg(F.min_by("rep", F.xxhash64("rep", "t")).alias("head"), F.min_by("tag", F.xxhash64("rep", "t")).alias("tag")))
