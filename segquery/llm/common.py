@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,12 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: the lineage ends here.
 
-    A lost executor costs a read of the table, not a new computation.
+    A lost executor costs a read of the table, not a new computation. The shuffle files that the
+    write needed are deleted when it has ended: nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/segquery/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
