@@ -15,10 +15,12 @@ rows are copies of each other. Other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,6 +116,20 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 # ---------------------------------------------------------------- links by similarity
 
 
+#: Points of a block, which one task sorts at a time; points that a task packs at a time.
+BLOCK_POINTS, TASK_POINTS = 1 << 18, 3 << 20
+_MIX = 0x9E3779B97F4A7C15
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' lowest bytes, then their next bytes and so on, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unplaned(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def expected_bits(similarity: float) -> float:
     """Share of SimHash bits that differ between two sets of this Jaccard similarity and equal size."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -150,7 +166,8 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
     seeds = -(-tables // per)
     mask = (1 << bits) - 1
 
-    tag_bits = min(32, 63 - bits - 6)  # of one more sketch, carried beside each value
+    width = bits + (tables - 1).bit_length()
+    tag_bits = min(32, 64 - width - bits.bit_length())  # of one more sketch, carried beside each value
     p = expected_bits(min_similarity)
     most = math.ceil(tag_bits * p + 3 * math.sqrt(tag_bits * p * (1 - p)))
 
@@ -175,7 +192,7 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
     flat = sketches.select("rep", "tag", F.posexplode("s").alias("t", "v")).select("rep", "tag", "t", (F.col("v") + F.col("t") * F.lit(1 << bits)).alias("v"))
     heads = stored(flat.groupBy("v").agg(F.min_by("rep", F.xxhash64("rep", "t")).alias("head"), F.min_by("tag", F.xxhash64("rep", "t")).alias("tag")))
     same = flat.join(heads.select("v", "head"), "v").where("rep <> head").select(F.col("rep").alias("x"), F.col("head").alias("y"))
-    pairs = same.unionAll(_met(heads, bits, tag_bits, most)).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = same.unionAll(_met(heads, width, bits, tag_bits, most)).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     # what is left of chance meetings: a loose bound on all sketches together, before sets are compared
     far = p * bits * tables * 1.6
     sx, sy = sketches.select(F.col("rep").alias("x"), F.col("s").alias("sx")), sketches.select(F.col("rep").alias("y"), F.col("s").alias("sy"))
@@ -184,21 +201,76 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
     return _classes(docs, ids, reps, verified(docs, pairs, words, min_similarity))
 
 
-def _met(heads: DataFrame, bits: int, tag_bits: int, most: int) -> DataFrame:
+def _met(heads: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> DataFrame:
     """(x, y): heads whose values meet within radius 2 and whose tags differ in ``most`` bits or fewer.
 
-    Value and tag travel as one number, so chance meetings go before anything is joined.
+    ``width``: bits of a value with its table's number. A point, the bit that was turned to reach it
+    and the tag are one number of 64 bits. A task sorts the points of its values, cuts them into
+    blocks of the range of (mixed) points and shuffles the differences, so a point costs some six
+    bytes instead of a row. A point has at most ``1 + bits`` members: no block is hot, and their
+    number follows from the number of points, so that each fits in ``BLOCK_POINTS``. Members of a
+    point are paired with the next two where the tags allow it.
     """
-    masks = F.array(*[F.lit(m) for m in ball(bits, 1)])
-    points = heads.select((F.col("v") * F.lit(1 << tag_bits) + F.col("tag")).alias("a"), F.explode(masks).alias("m"))
-    points = points.select("a", F.shiftright("a", tag_bits).bitwiseXOR(F.col("m")).alias("point"))
-    w = Window.partitionBy("point").orderBy("a")
-    pairs = points.select("a", F.array(F.lead("a", 1).over(w), F.lead("a", 2).over(w)).alias("next")).where(F.col("next")[0].isNotNull())
-    pairs = pairs.select("a", F.explode("next").alias("b")).where("b is not null")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    tags = F.bit_count(differ.bitwiseAND(F.lit((1 << tag_bits) - 1)))
-    near = pairs.where((F.bit_count(F.shiftright(differ, tag_bits)) <= 2) & (tags <= most)).distinct()
-    of = lambda c, n: heads.select((F.col("v") * F.lit(1 << tag_bits) + F.col("tag")).alias(c), F.col("head").alias(n))
+    total = heads.count() * (bits + 1)
+    block_bits = min(width, math.ceil(math.log2(max(total / BLOCK_POINTS, 4))))
+    shift, low = np.uint64(64 - width), np.uint64((1 << width) - 1)
+    masks = np.array([0, *(1 << k for k in range(bits))], np.uint64)
+    turned = np.arange(bits + 1, dtype=np.uint64) << np.uint64(tag_bits)
+    tag_mask = np.uint64((1 << tag_bits) - 1)
+    mix, unmix = np.uint64(_MIX), np.uint64(pow(_MIX, -1, 1 << 64))
+
+    def packed(values: list[np.ndarray], tags: list[np.ndarray]) -> pa.RecordBatch:
+        v, tag = np.concatenate(values)[:, None], np.concatenate(tags)[:, None]
+        x = ((((v ^ masks) * mix) & low) << shift | turned | tag).ravel()
+        x.sort()
+        block = (x >> np.uint64(64 - block_bits)).astype(np.int64)
+        first = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0]
+        diff = np.diff(x, prepend=np.uint64(0))
+        diff[first] = x[first]
+        blobs = [_planes(diff[s:e]) for s, e in zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(blobs, pa.binary())], ["block", "points"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, tags, n = [], [], 0
+        for batch in batches:
+            values.append(batch.column(0).to_numpy().view(np.uint64))
+            tags.append(batch.column(1).to_numpy().view(np.uint64))
+            n += batch.num_rows
+            if n * (bits + 1) >= TASK_POINTS:
+                yield packed(values, tags)
+                values, tags, n = [], [], 0
+        if n:
+            yield packed(values, tags)
+
+    def met(points: list[bytes]) -> pa.RecordBatch:
+        x = np.concatenate([np.cumsum(_unplaned(p), dtype=np.uint64) for p in points])
+        x.sort()
+        point, pairs = x >> shift, []
+        for k in (1, 2):
+            at = np.nonzero(point[k:] == point[:-k])[0]
+            at = at[np.bitwise_count((x[at] ^ x[at + k]) & tag_mask) <= most]
+            of = (point[at] * unmix) & low
+            ends = [of ^ masks[(x[i] >> np.uint64(tag_bits)) & np.uint64((1 << bits.bit_length()) - 1)] for i in (at, at + k)]
+            pairs.append(np.sort(np.stack(ends), 0).view(np.int64))
+        a, b = np.unique(np.concatenate(pairs, 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for block, points in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != last and held:
+                    yield met(held)
+                    held = []
+                last = block
+                held.append(points.as_py())
+        if held:
+            yield met(held)
+
+    blocks = heads.select("v", F.col("tag").cast("long")).mapInArrow(spread, "block long, points binary")
+    dealt = blocks.repartition((1 << block_bits) // 4, "block").sortWithinPartitions("block")
+    near = dealt.mapInArrow(meet, "a long, b long").distinct()
+    of = lambda c, n: heads.select(F.col("v").alias(c), F.col("head").alias(n))
     return near.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
 
 
