@@ -173,7 +173,7 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
 
     def sketch(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
-            base = shingle_hashes(words_of(text), words, 7)
+            base = np.unique(shingle_hashes(words_of(text), words, 7))  # as sets: so the similarity counts them
             if not len(base):
                 continue
             got: list[int] = []

@@ -105,6 +105,19 @@ def test_similar_components(spark):
     assert got[9001] == 0 and got[9002] == got[9003] == got[9004] == 9002
 
 
+def test_similar_whatever_the_repeats(spark):
+    """Near copies that differ in how often a line is repeated are found."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(30):
+        text, line = " ".join(word() for _ in range(200)), " ".join(word() for _ in range(6))
+        rows += [(2 * g, text), (2 * g + 1, f"{text} " + " ".join([line] * (20 + 4 * g)))]
+    assert all(jaccard(rows[i][1], rows[i + 1][1]) >= 0.9 for i in range(0, len(rows), 2))
+    got = {x.doc_id: x.component_id for x in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i // 2 * 2 for i in range(len(rows)))
+
+
 def test_empty(empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.similar_components(empty).count() == 0
 
