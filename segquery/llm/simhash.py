@@ -118,6 +118,8 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 
 #: Points of a block, which one task sorts at a time; points that a task packs at a time.
 BLOCK_POINTS, TASK_POINTS = 1 << 18, 3 << 20
+#: Members of a point this far apart are not compared by tag: the point is crowded.
+FAR_APART = 64
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -150,6 +152,7 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
     Several shorter, independent SimHashes are taken instead, each searched with balls of radius
     2; their number follows from the recall wanted at the threshold itself and their width from
     the number of distinct texts. Pairs that meet are verified on their whole shingle sets.
+    Where more texts meet than are paired, ``crowd_links`` searches all of these again, exactly.
     Copies (equal word sequences) are one vertex. Texts without words are copies of each other.
     """
     spark = docs.sparkSession
@@ -188,30 +191,39 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
     # texts of copies are sketched too: that is less work than to shuffle all texts in order to leave them out
     every = map_rows(text_or_empty(docs), sketch, "rep long, s array<long>, tag long", 1024)
     sketches = stored(every.join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
-    # the table's number stands above the bits, so one pass searches all tables; equal values are one, under a representative that differs by table
-    flat = sketches.select("rep", "tag", F.posexplode("s").alias("t", "v")).select("rep", "tag", "t", (F.col("v") + F.col("t") * F.lit(1 << bits)).alias("v"))
-    heads = stored(flat.groupBy("v").agg(F.min_by("rep", F.xxhash64("rep", "t")).alias("head"), F.min_by("tag", F.xxhash64("rep", "t")).alias("tag")))
-    same = flat.join(heads.select("v", "head"), "v").where("rep <> head").select(F.col("rep").alias("x"), F.col("head").alias("y"))
-    pairs = same.unionAll(_met(heads, width, bits, tag_bits, most)).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # the table's number stands above the bits, so one pass searches all tables; texts equal in value and tag are paired with one of them, which differs by table
+    flat = stored(sketches.select("rep", "tag", F.posexplode("s").alias("t", "v")).select("rep", "tag", "t", (F.col("v") + F.col("t") * F.lit(1 << bits)).alias("v")))
+    heads = stored(flat.groupBy("v", "tag").agg(F.min_by("rep", F.xxhash64("rep", "t")).alias("head")))
+    same = flat.join(heads, ["v", "tag"]).where("rep <> head").select(F.col("rep").alias("x"), F.col("head").alias("y"))
+    near = _met(flat, width, bits, tag_bits, most)
+    of = lambda v, t, n: heads.select(F.col("v").alias(v), F.col("tag").alias(t), F.col("head").alias(n))
+    met = near.where("b is not null").select("a", "ta", "b", "tb").distinct().join(of("a", "ta", "x"), ["a", "ta"]).join(of("b", "tb", "y"), ["b", "tb"]).select("x", "y")
+    pairs = same.unionAll(met).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     # what is left of chance meetings: a loose bound on all sketches together, before sets are compared
     far = p * bits * tables * 1.6
     sx, sy = sketches.select(F.col("rep").alias("x"), F.col("s").alias("sx")), sketches.select(F.col("rep").alias("y"), F.col("s").alias("sy"))
     differ = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
     pairs = stored(pairs.join(sx, "x").join(sy, "y").where(differ <= far).select("x", "y"))
-    return _classes(docs, ids, reps, verified(docs, pairs, words, min_similarity))
+    links = stored(verified(docs, pairs, words, min_similarity))
+    crowd = near.where("b is null").select(F.col("a").alias("v"), F.col("ta").alias("tag")).distinct()
+    crowd = stored(flat.join(crowd, ["v", "tag"], "left_semi").select(F.col("rep").alias("doc_id")).distinct())
+    if not crowd.isEmpty():
+        links = links.unionAll(crowd_links(docs, crowd, links, words, min_similarity))
+    return _classes(docs, ids, reps, links)
 
 
-def _met(heads: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> DataFrame:
-    """(x, y): heads whose values meet within radius 2 and whose tags differ in ``most`` bits or fewer.
+def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> DataFrame:
+    """(a, ta, b, tb): values and tags that meet within radius 2, the tags differing in ``most`` bits or fewer; with b and tb null, those of crowded points.
 
     ``width``: bits of a value with its table's number. A point, the bit that was turned to reach it
     and the tag are one number of 64 bits. A task sorts the points of its values, cuts them into
     blocks of the range of (mixed) points and shuffles the differences, so a point costs some six
-    bytes instead of a row. A point has at most ``1 + bits`` members: no block is hot, and their
-    number follows from the number of points, so that each fits in ``BLOCK_POINTS``. Members of a
-    point are paired with the next two where the tags allow it.
+    bytes instead of a row. The number of blocks follows from the number of points, so that each
+    fits in ``BLOCK_POINTS``, but for the texts of one value. Members of a point are paired with the
+    next two where the tags allow it. A point is crowded if this leaves out a pair: of members
+    further apart, or of texts that are equal in value and tag and so stand as one.
     """
-    total = heads.count() * (bits + 1)
+    total = flat.count() * (bits + 1)
     block_bits = min(width, math.ceil(math.log2(max(total / BLOCK_POINTS, 4))))
     shift, low = np.uint64(64 - width), np.uint64((1 << width) - 1)
     masks = np.array([0, *(1 << k for k in range(bits))], np.uint64)
@@ -246,14 +258,33 @@ def _met(heads: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> D
         x = np.concatenate([np.cumsum(_unplaned(p), dtype=np.uint64) for p in points])
         x.sort()
         point, pairs = x >> shift, []
-        for k in (1, 2):
+        run = np.cumsum(np.r_[0, point[1:] != point[:-1]])
+        size = np.bincount(run)
+        full = np.zeros(len(size), bool)
+
+        def ends(i: np.ndarray) -> list[np.ndarray]:
+            v = ((point[i] * unmix) & low) ^ masks[(x[i] >> np.uint64(tag_bits)) & np.uint64((1 << bits.bit_length()) - 1)]
+            return [v, x[i] & tag_mask]
+
+        for k in range(1, FAR_APART + 1):
             at = np.nonzero(point[k:] == point[:-k])[0]
+            if not len(at):
+                break
+            if k == FAR_APART:
+                full[run[at]] = True
+                break
             at = at[np.bitwise_count((x[at] ^ x[at + k]) & tag_mask) <= most]
-            of = (point[at] * unmix) & low
-            ends = [of ^ masks[(x[i] >> np.uint64(tag_bits)) & np.uint64((1 << bits.bit_length()) - 1)] for i in (at, at + k)]
-            pairs.append(np.sort(np.stack(ends), 0).view(np.int64))
-        a, b = np.unique(np.concatenate(pairs, 1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if k > 2:
+                full[run[at]] = True
+                continue
+            copies = at[x[at] == x[at + k]]
+            full[run[copies]] |= size[run[copies]] > 2
+            at = at[x[at] != x[at + k]]
+            pairs.append(np.stack(ends(at) + ends(at + k)))
+        found = np.unique(np.concatenate([np.zeros((4, 0), np.uint64), *pairs], 1), axis=1).view(np.int64)
+        crowd = np.unique(np.stack(ends(np.nonzero(full[run])[0])), axis=1).view(np.int64)
+        columns = [pa.concat_arrays([pa.array(f), pa.array(c) if c is not None else pa.nulls(crowd.shape[1], pa.int64())]) for f, c in zip(found, [*crowd, None, None], strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "ta", "b", "tb"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -267,11 +298,72 @@ def _met(heads: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> D
         if held:
             yield met(held)
 
-    blocks = heads.select("v", F.col("tag").cast("long")).mapInArrow(spread, "block long, points binary")
+    blocks = flat.select("v", F.col("tag").cast("long")).mapInArrow(spread, "block long, points binary")
     dealt = blocks.repartition((1 << block_bits) // 4, "block").sortWithinPartitions("block")
-    near = dealt.mapInArrow(meet, "a long, b long").distinct()
-    of = lambda c, n: heads.select(F.col("v").alias(c), F.col("head").alias(n))
-    return near.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    return stored(dealt.mapInArrow(meet, "a long, ta long, b long, tb long"))
+
+
+def crowd_links(docs: DataFrame, crowd: DataFrame, links: DataFrame, words: int, min_similarity: float) -> DataFrame:
+    """(x, y): all pairs of the texts of ``crowd`` with this similarity that ``links`` do not connect.
+
+    Exact: in any common order of shingles, two such sets share one of their first ``n - ceil(s n)
+    + 1``. Shingles within one component come first (they cannot join two), then rare ones before
+    common ones: what a large family shares stands at the end and makes no candidates, unless it
+    is nearly the whole text.
+    """
+    comp = components(links, "x", "y").select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
+    named = stored(crowd.join(comp, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp")))
+
+    def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text in rows:
+            h = np.unique(shingle_hashes(words_of(text), words, 7))
+            yield doc_id, len(h), h.view(np.int64).tolist()
+
+    of = map_rows(text_or_empty(docs).join(named, "doc_id", "left_semi"), sets, "doc_id long, n int, hs array<long>", 256).dropDuplicates(["doc_id"])
+    flat = stored(of.join(named, "doc_id").select("doc_id", "comp", "n", F.explode("hs").alias("h")))
+    between = flat.groupBy("h").agg(F.count("*").alias("texts"), F.min("comp").alias("least"), F.max("comp").alias("last")).where("least <> last").select("h", "texts")
+    of_doc = Window.partitionBy("doc_id")
+    ranked = flat.join(between, "h").select("doc_id", "comp", "n", "h", F.row_number().over(of_doc.orderBy("texts", "h")).alias("at"), F.count("*").over(of_doc).alias("left"))
+    prefix = ranked.where(F.col("n") - F.col("left") + F.col("at") <= F.col("n") - F.ceil(F.col("n") * min_similarity - 1e-9) + 1)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matched(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            doc, comp, n = np.concatenate(parts, 1)
+            order = np.argsort(n, kind="stable")
+            doc, comp, n = doc[order], comp[order], n[order]
+            xs, ys, held = [], [], 0
+            for i, end in enumerate(np.searchsorted(n, np.floor(n / min_similarity + 1e-9), "right").tolist()):
+                other = doc[i + 1 : end][comp[i + 1 : end] != comp[i]]
+                if len(other):
+                    xs.append(np.minimum(other, doc[i]))
+                    ys.append(np.maximum(other, doc[i]))
+                    held += len(other)
+                if held > BLOCK_POINTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
+                    xs, ys, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
+
+        last, held = None, []
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            rows = np.stack([batch.column(k).to_numpy() for k in (1, 2, 3)])
+            cuts = [0, *(np.nonzero(h[1:] != h[:-1])[0] + 1).tolist(), len(h)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if held and h[s] != last:
+                    yield from matched(held)
+                    held = []
+                last = h[s]
+                held.append(rows[:, s:e])
+        if held:
+            yield from matched(held)
+
+    postings = prefix.select("h", "doc_id", "comp", F.col("n").cast("long").alias("n"))
+    spread = postings.repartition("h").sortWithinPartitions("h")
+    pairs = stored(spread.mapInArrow(meet, "x long, y long").distinct())
+    return verified(docs, pairs, words, min_similarity)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, min_similarity: float) -> DataFrame:

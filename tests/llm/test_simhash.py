@@ -118,6 +118,25 @@ def test_similar_whatever_the_repeats(spark):
     assert all(got[i] == i // 2 * 2 for i in range(len(rows)))
 
 
+def test_similar_in_a_crowd(spark):
+    """In a large family with shared boilerplate all near copies are found, as by brute force."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(160)]
+    rows = []
+    for g in range(400):
+        own = [word() for _ in range(26)]
+        rows.append((2 * g, " ".join(shared + own)))
+        if g % 2:
+            own[r.randrange(2, 24)] = word()
+            rows.append((2 * g + 1, " ".join(shared[:-1] + [word()] + own)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = component_brute(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    groups = lambda of: {frozenset(k for k in of if of[k] == c) for c in set(of.values())}
+    got = {x.doc_id: x.component_id for x in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) == 400 and groups(got) == groups(want)
+
+
 def test_empty(empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.similar_components(empty).count() == 0
 
