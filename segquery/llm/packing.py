@@ -19,8 +19,6 @@ from .common import stored
 
 BUCKETS = 16
 BUDGET = 65_536
-#: Bins of the histogram that the driver sees; beyond, lengths are rounded up to a multiple.
-BINS = 65_536
 SHARD_ROWS = 50_000
 
 
@@ -82,14 +80,11 @@ def packed(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS
     """(doc_id, length, boundary, padding, batch_id, slot), one row for each row of ``docs``.
 
     Rows of a bucket are dealt by hash to shards of about ``SHARD_ROWS`` and batched there, so no
-    task holds a bucket; every shard's last batch may be part full. The driver sees at most
-    ``BINS`` bins of the histogram.
+    task holds a bucket; every shard's last batch may be part full. The driver sees the counts of
+    the distinct lengths, of which there are at most the root of twice the sum of all lengths.
     """
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), (length if length is not None else word_length()).alias("length")).withColumn("deal", F.xxhash64("doc_id", F.monotonically_increasing_id())))
-    top = rows.agg(F.max("length")).first()[0] or 1
-    step = -(-top // BINS)
-    binned = F.ceil(F.col("length") / F.lit(step)) * step if step > 1 else F.col("length")
-    hist = rows.groupBy(binned.alias("b")).agg(F.count("*").alias("n")).collect()
+    hist = rows.groupBy(F.col("length").alias("b")).agg(F.count("*").alias("n")).collect()
     bounds, _ = optimal_boundaries([r.b for r in hist], [r.n for r in hist], buckets)
     if not bounds:
         return rows.select("doc_id", "length", F.lit(0).cast("long").alias("boundary"), F.lit(0).cast("long").alias("padding"), F.lit("").alias("batch_id"), F.lit(0).alias("slot"))

@@ -36,6 +36,16 @@ def test_batches(odd, odd_rows, budget):
         assert len(b) == 1 or len(b) * b[0].boundary <= budget
 
 
+def test_one_very_long_row_changes_no_boundary(spark):
+    """Lengths far apart: padding stays minimal for all rows."""
+    lengths = [x for x in range(2, 90) for _ in range(1 + x % 7)] + [6_500_000]
+    d = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    rows = packing.packed(d, F.col("n"), buckets=6).collect()
+    hist = {x: lengths.count(x) for x in lengths}
+    bounds, least = packing.optimal_boundaries(list(hist), list(hist.values()), 6)
+    assert sum(r.padding for r in rows) == least and {r.boundary for r in rows} == set(bounds) and max(bounds) == 6_500_000
+
+
 def test_shards_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 50)
     d = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
