@@ -16,9 +16,11 @@ markup is read as a browser does (unclosed elements end with their parent, text
 from __future__ import annotations
 
 import html as htmllib
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from .common import map_rows, stored
 
 #: A node is template if its text is the same in this share of at least MIN_PAGES distinct articles.
 SHARE, MIN_PAGES = 0.8, 5
-#: Cells of the table of two sibling lists, beyond which equal siblings are paired in order.
+#: Cells of the table of two sibling lists, beyond which not all of its rows are held at once.
 MAX_CELLS = 250_000
 
 #: Fixed values of HTML.
@@ -160,17 +162,7 @@ class Matcher:
         if not m or not n:
             return 0, []
         if m * n > MAX_CELLS:
-            pairs, j = [], 0
-            at: dict[tuple, list[int]] = {}
-            for k, y in enumerate(ys):
-                at.setdefault(y.key, []).append(k)
-            for x in xs:
-                later = next((k for k in at.get(x.key, ())[: 64] if k >= j), None)
-                if later is not None:
-                    pairs.append((x, ys[later]))
-                    at[x.key] = [k for k in at[x.key][:64] if k > later] + at[x.key][64:]
-                    j = later + 1
-            return sum(self.score(x, y) for x, y in pairs), pairs
+            return self._long_lists(xs, ys, trace)
         rows = [[0] * (n + 1)]
         for x in xs:
             prev, row = rows[-1], [0]
@@ -191,6 +183,48 @@ class Matcher:
                 j -= 1
         return rows[m][n], pairs[::-1]
 
+    def _long_lists(self, xs: list[Node], ys: list[Node], trace: bool) -> tuple[int, list[tuple[Node, Node]]]:
+        """The same programme row by row: only every root-of-m-th row is held, and the rows between are made again for the trace."""
+        m, n = len(xs), len(ys)
+        places: dict[tuple, dict[object, list[int]]] = {}
+        for j, y in enumerate(ys):
+            places.setdefault(y.key, {}).setdefault(y.sig, []).append(j)
+
+        def scores(x: Node) -> np.ndarray:
+            s = np.zeros(n, np.int64)
+            for at in places.get(x.key, {}).values():
+                s[at] = self.score(x, ys[at[0]])
+            return s
+
+        def after(prev: np.ndarray, s: np.ndarray) -> np.ndarray:
+            row = np.zeros(n + 1, np.int64)
+            row[1:] = np.maximum.accumulate(np.maximum(prev[1:], np.where(s > 0, prev[:-1] + s, 0)))
+            return row
+
+        step = math.isqrt(m) + 1
+        row, held = np.zeros(n + 1, np.int64), []
+        for i, x in enumerate(xs):
+            if i % step == 0:
+                held.append(row)
+            row = after(row, scores(x))
+        pairs, j = [], n
+        for b in range(len(held) - 1, -1, -1) if trace else ():
+            part = xs[b * step : (b + 1) * step]
+            of, rows = [scores(x) for x in part], [held[b]]
+            for s in of:
+                rows.append(after(rows[-1], s))
+            i = len(part)
+            while i and j:
+                s = of[i - 1][j - 1]
+                if s and rows[i][j] == rows[i - 1][j - 1] + s:
+                    pairs.append((part[i - 1], ys[j - 1]))
+                    i, j = i - 1, j - 1
+                elif rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return int(row[n]), pairs[::-1]
+
     def align(self, ref: Node, page: Node) -> Iterator[tuple[Node, Node]]:
         todo = [(ref, page)]
         while todo:
@@ -302,59 +336,86 @@ def host_of(url: str = "url") -> Column:
 
 
 class _Reference:
-    """The last reference page parsed; pages of a host come together, so it is parsed once for many."""
+    """The last reference pages parsed; pages of a host come together, so they are parsed once for many."""
 
     def __init__(self) -> None:
-        self.source, self.tree = None, None
+        self.trees: dict[str, tuple[Node, dict[int, int]]] = {}
 
     def of(self, source: str) -> tuple[Node, dict[int, int]]:
-        if self.source != source:
+        if source not in self.trees:
+            if len(self.trees) > 8:
+                self.trees.clear()
             root = parse(source)
-            self.tree = (root, {id(x): k for k, x in enumerate(finish(root))})
-            self.source = source
-        return self.tree
+            self.trees[source] = (root, {id(x): k for k, x in enumerate(finish(root))})
+        return self.trees[source]
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars), one row for each row of ``pages``."""
+    """(page_id, url, text, n_chars), one row for each row of ``pages``.
+
+    A host's first reference is one of its pages with html. Texts that stand on enough pages in
+    nodes without a counterpart there are looked for again with the page that holds most of them
+    as a further reference, until none is left.
+    """
     given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
+    filled = given.where("html <> ''").withColumn("page", F.xxhash64("html"))
     # hosts of too few pages cannot have a template
-    first = given.groupBy("host").agg(F.min_by("page_id", F.xxhash64("page_id")).alias("page_id"), F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).drop("n")
-    refs = stored(given.join(first, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("ref")))
-    # skewed hosts are split by the adaptive join: the reference side has one row for each host
-    joined = given.join(refs, "host")
+    chosen = filled.groupBy("host").agg(F.min_by("page", F.xxhash64("page_id")).alias("page"), F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).drop("n")
 
     def observe(rows: Iterator[tuple]) -> Iterator[tuple]:
         matcher, held = Matcher(), _Reference()
-        for host, source, ref in rows:
-            if not source:
-                continue
+        for host, source, ref, page in rows:
             root = parse(source)
-            main, never = marked(finish(root))
+            order = finish(root)
+            main, never = marked(order)
             article = xxhash.xxh64_intdigest("\n".join(blocks(root, main, never)).encode("utf-8", "surrogatepass")) >> 1
-            for k, t, _ in _aligned(matcher, held.of(ref), root, never, main):
-                yield host, k, t, article
-
-    seen = map_rows(joined.select("host", "html", "ref"), observe, "host string, node int, t long, article long", 4096)
-    texts = seen.distinct().groupBy("host", "node", "t").agg(F.count("*").alias("n"))
-    nodes = texts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.max("n").alias("same"), F.max_by("t", "n").alias("t"))
-    fixed = nodes.where((F.col("pages") >= MIN_PAGES) & (F.col("same") >= SHARE * F.col("pages"))).groupBy("host").agg(F.collect_list(F.struct("node", "t")).alias("fixed"))  # at most the nodes of one page
-    wrappers = stored(refs.join(fixed, "host", "left").select("host", "ref", F.coalesce(F.col("fixed.node"), F.array().cast("array<int>")).alias("node"), F.coalesce(F.col("fixed.t"), F.array().cast("array<long>")).alias("t")))
+            found = set()
+            for k, t, b in _aligned(matcher, held.of(ref), root, never, main):
+                found.add(id(b))
+                yield host, k, t, article, 0
+            for t in {xxhash.xxh64_intdigest(_text(x).encode("utf-8", "surrogatepass")) >> 1 for x in order if id(x) not in found and id(x) not in never and id(x) not in main and x.tag not in ("#root", "html", "body") and _text(x)}:
+                yield host, -1, t, article, page
+
+    wrappers, todo = [], None
+    while True:
+        refs = stored(filled.join(chosen, ["host", "page"]).groupBy("host").agg(F.min("html").alias("ref")))
+        # skewed hosts are split by the adaptive join: the reference side has one row for each host
+        joined = filled.join(refs, "host").select("host", "html", "ref", "page")
+        seen = stored(map_rows(joined, observe, "host string, node int, t long, article long, page long", 4096).distinct())
+        texts = seen.where("node >= 0").groupBy("host", "node", "t").agg(F.count("*").alias("n"))
+        nodes = texts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.max("n").alias("same"), F.max_by("t", "n").alias("t"))
+        fixed = nodes.where((F.col("pages") >= MIN_PAGES) & (F.col("same") >= SHARE * F.col("pages"))).groupBy("host").agg(F.collect_list("node").alias("node"), F.collect_list("t").alias("t"))  # at most the nodes of one page
+        wrappers.append(refs.join(fixed, "host").select("host", F.struct("ref", "node", "t").alias("w")))
+        left = seen.where("node < 0").select("host", "t", "article", "page")
+        if todo is None:
+            often = left.groupBy("host", "t").agg(F.countDistinct("article").alias("n")).where(F.col("n") >= SHARE * MIN_PAGES)
+            todo = stored(left.join(often, ["host", "t"], "left_semi"))
+        else:
+            handled = todo.join(chosen, ["host", "page"], "left_semi").select("host", "t").distinct()
+            todo = stored(todo.join(left, ["host", "t", "page"], "left_semi").join(handled, ["host", "t"], "left_anti"))
+        if todo.isEmpty():
+            break
+        most = todo.groupBy("host", "page").agg(F.countDistinct("t").alias("n"))
+        chosen = stored(most.groupBy("host").agg(F.max_by("page", F.struct("n", "page")).alias("page")))
+    every = wrappers[0]
+    for w in wrappers[1:]:
+        every = every.unionAll(w)
+    wrapped = stored(every.groupBy("host").agg(F.collect_list("w").alias("ws")).select("host", F.col("ws.ref").alias("ref"), F.col("ws.node").alias("node"), F.col("ws.t").alias("t")))
 
     def extract(rows: Iterator[tuple]) -> Iterator[tuple]:
         matcher, held = Matcher(), _Reference()
-        for page_id, url, source, ref, nodes, ts in rows:
+        for page_id, url, source, refs, nodes, ts in rows:
             text = ""
             if source:
                 root = parse(source)
                 main, never = marked(finish(root))
-                drop = never
-                if nodes:
-                    template = dict(zip(nodes, ts, strict=True))
-                    drop = never | {id(b) for k, t, b in _aligned(matcher, held.of(ref), root, never, main) if template.get(k) == t}
+                drop = set(never)
+                for ref, node, t in zip(refs or (), nodes or (), ts or (), strict=True):
+                    template = dict(zip(node, t, strict=True))
+                    drop |= {id(b) for k, h, b in _aligned(matcher, held.of(ref), root, never, main) if template.get(k) == h}
                 text = "\n".join(blocks(root, main, drop))
             yield page_id, url, text, len(text)
 
-    wide = given.join(wrappers, "host", "left").select("page_id", "url", "html", "ref", "node", "t")
+    wide = given.join(wrapped, "host", "left").select("page_id", "url", "html", "ref", "node", "t")
     kind = dict(pages.dtypes)["page_id"]
     return map_rows(wide, extract, f"page_id {kind}, url string, text string, n_chars long", 512)

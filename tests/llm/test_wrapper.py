@@ -77,6 +77,36 @@ def test_template_is_what_stays(spark):
     assert got[100] == "Welcome to our place\ntale 0 first\ntale 0 second\nAll rights"
 
 
+def test_every_layout_has_a_template(spark):
+    """Two layouts, pages without html and without an id: boilerplate goes from all pages."""
+    one = "<body><div><p>Welcome to our place</p></div><div><p>{0} first</p><p>{0} second</p></div></body>"
+    two = "<body><section><p>Read this next</p></section><section><p>{0} first</p><p>{0} second</p></section><ul><li>Legal notice</li></ul></body>"
+    rows = [(k if k % 5 else None, f"http://h.example/{k}", (one if k % 2 else two).format(f"story {k}")) for k in range(24)]
+    rows += [(100 + k, f"http://h.example/e{k}", "" if k % 2 else None) for k in range(40)]
+    got = [r.text for r in W.main_texts(pages(spark, rows)).collect()]
+    assert sorted(got) == sorted([f"story {k} first\nstory {k} second" for k in range(24)] + [""] * 40)
+
+
+def test_long_lists_are_matched_exactly(monkeypatch):
+    r = random.Random(5)
+
+    def page(n):
+        top = W.Node("div", {})
+        for _ in range(n):
+            x = W.Node(r.choice(["p", "ul"]), {})
+            x.kids = [W.Node(r.choice(["b", "i"]), {}) for _ in range(r.randrange(3))]
+            top.kids.append(x)
+        W.finish(top)
+        return top
+
+    for _ in range(30):
+        a, b = page(r.randrange(20, 60)), page(r.randrange(20, 60))
+        want = W.Matcher().score(a, b)
+        monkeypatch.setattr(W, "MAX_CELLS", 10)
+        assert W.Matcher().score(a, b) == len(list(W.Matcher().align(a, b))) == want
+        monkeypatch.undo()
+
+
 def test_copies_are_no_template(spark):
     html = "<article><h1>Same</h1><p>Same text</p></article>"
     rows = [(k, "http://h.example/a", html) for k in range(9)]
