@@ -303,7 +303,7 @@ def partition_shape(spark, d):
 
 @query()
 def kmedoids(spark, d):
-    e = D.table(spark, d, "embeddings").where("vec_id % 4 = 0").select(F.col("label").alias("video_id"), F.col("vec_id").alias("step"), F.col("embedding").alias("emb"))
+    e = D.table(spark, d, "embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").alias("step"), F.col("embedding").alias("emb"))
     return L.kmedoid_steps(e, 4)
 
 

@@ -199,6 +199,17 @@ def test_kmedoids():
     assert len(L.kmedoids(np.ones((4, 3)), 3)[0]) == 3
 
 
+def test_kmedoids_query_takes_whole_series(spark):
+    from segquery.plans import seg_queries
+
+    d = "/root/testdata/sf0.001"
+    series = {}
+    for r in sorted(spark.read.parquet(f"{d}/embeddings.parquet").collect(), key=lambda r: r.vec_id):
+        series.setdefault(r.label, []).append(r)
+    want = {(v, rows[k].vec_id) for v, rows in series.items() for k in L.kmedoids(np.array([r.embedding for r in rows], float), 4)[0]}
+    assert {(r.video_id, r.step) for r in seg_queries.kmedoids(spark, d).collect()} == want
+
+
 def test_bootstrap(spark):
     u = spark.createDataFrame([(k, 1, 1, 2) for k in range(5)], "unit long, x long, y long, n long")
     r = S.bootstrap(u, 50).first()
