@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored, text_or_empty
@@ -139,10 +139,10 @@ def expected_bits(similarity: float) -> float:
 
 def tables_for(n: int, similarity: float, radius: int = 2, recall: float = 0.97) -> tuple[int, int]:
     """(bits, tables): bits so that chance meetings stay below one per value, tables for the recall."""
-    bits = min(60, max(20, math.ceil(math.log2(max(n, 2))) + 6))
+    bits = min(48, max(20, math.ceil(math.log2(max(n, 2))) + 6))
     p = expected_bits(similarity)
     hit = sum(math.comb(bits, r) * p**r * (1 - p) ** (bits - r) for r in range(radius + 1))
-    return bits, min(64, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit))))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
 
 
 def similar_components(docs: DataFrame, words: int = 5, min_similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
@@ -152,18 +152,25 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
     Several shorter, independent SimHashes are taken instead, each searched with balls of radius
     2; their number follows from the recall wanted at the threshold itself and their width from
     the number of distinct texts. Pairs that meet are verified on their whole shingle sets.
-    Where more texts meet than are paired, ``crowd_links`` searches all of these again, exactly.
-    Copies (equal word sequences) are one vertex. Texts without words are copies of each other.
+
+    The first table alone is searched and verified first. It connects most of a large family of
+    near copies, and from then on only texts of different components are paired: a family costs
+    about its size once, not once for each table. Where more texts of different components meet
+    than are paired, ``crowd_links`` searches all of these again, exactly.
+
+    Copies (equal word sequences) are one vertex, named by their least doc_id; texts without words
+    are copies of each other. Where rows of one id differ in text, the texts are copies of each
+    other too and the one of least digest is compared with the rest. A row without an id has a
+    component only as a copy of one with an id.
     """
     spark = docs.sparkSession
 
     def keyed(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
-            joined = b" ".join(words_of(text))
-            yield doc_id, xxhash.xxh128_digest(joined)
+            yield doc_id, xxhash.xxh128_digest(b" ".join(words_of(text)))
 
     ids = stored(map_rows(text_or_empty(docs), keyed, "doc_id long, copy binary", 2048))
-    reps = stored(ids.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    reps = stored(ids.groupBy("copy").agg(F.min("doc_id").alias("rep")))
     bits, tables = tables_for(reps.count(), min_similarity, 2, recall)
     per = 64 // bits  # sketches from one 64-bit fingerprint
     seeds = -(-tables // per)
@@ -176,7 +183,8 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
 
     def sketch(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
-            base = np.unique(shingle_hashes(words_of(text), words, 7))  # as sets: so the similarity counts them
+            ws = words_of(text)
+            base = np.unique(shingle_hashes(ws, words, 7))  # as sets: so the similarity counts them
             if not len(base):
                 continue
             got: list[int] = []
@@ -186,42 +194,69 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
                 x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 fp = fingerprint(x ^ (x >> np.uint64(31)))
                 got += [fp >> (bits * j) & mask for j in range(per)] if k < seeds else [fp & ((1 << tag_bits) - 1)]
-            yield doc_id, got[:tables], got[-1]
+            yield doc_id, xxhash.xxh128_digest(b" ".join(ws)), got[:tables], got[-1]
 
     # texts of copies are sketched too: that is less work than to shuffle all texts in order to leave them out
-    every = map_rows(text_or_empty(docs), sketch, "rep long, s array<long>, tag long", 1024)
-    sketches = stored(every.join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
-    # the table's number stands above the bits, so one pass searches all tables; texts equal in value and tag are paired with one of them, which differs by table
-    flat = stored(sketches.select("rep", "tag", F.posexplode("s").alias("t", "v")).select("rep", "tag", "t", (F.col("v") + F.col("t") * F.lit(1 << bits)).alias("v")))
-    heads = stored(flat.groupBy("v", "tag").agg(F.min_by("rep", F.xxhash64("rep", "t")).alias("head")))
-    same = flat.join(heads, ["v", "tag"]).where("rep <> head").select(F.col("rep").alias("x"), F.col("head").alias("y"))
-    near = _met(flat, width, bits, tag_bits, most)
-    of = lambda v, t, n: heads.select(F.col("v").alias(v), F.col("tag").alias(t), F.col("head").alias(n))
-    met = near.where("b is not null").select("a", "ta", "b", "tb").distinct().join(of("a", "ta", "x"), ["a", "ta"]).join(of("b", "tb", "y"), ["b", "tb"]).select("x", "y")
-    pairs = same.unionAll(met).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    # what is left of chance meetings: a loose bound on all sketches together, before sets are compared
-    far = p * bits * tables * 1.6
+    every = map_rows(text_or_empty(docs), sketch, "rep long, copy binary, s array<long>, tag long", 1024)
+    named = every.join(reps, ["rep", "copy"], "left_semi").groupBy("rep").agg(F.min_by(F.struct("s", "tag"), "copy").alias("of"))
+    sketches = stored(named.select("rep", "of.s", "of.tag"))
+
+    # the table's number stands above the bits, so one pass searches all tables
+    def flat(t: Column, v: Column, comp: Column) -> list[Column]:
+        return [F.col("rep"), F.col("tag"), comp.alias("c"), t.alias("t"), (v + t * F.lit(1 << bits)).alias("v")]
+
+    # what is left of chance meetings: a loose bound (four sigma) on all sketches together, before sets are compared
+    far = p * bits * tables + 4 * math.sqrt(bits * tables * p * (1 - p)) * 1.5
     sx, sy = sketches.select(F.col("rep").alias("x"), F.col("s").alias("sx")), sketches.select(F.col("rep").alias("y"), F.col("s").alias("sy"))
     differ = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
-    pairs = stored(pairs.join(sx, "x").join(sy, "y").where(differ <= far).select("x", "y"))
-    links = stored(verified(docs, pairs, words, min_similarity))
-    crowd = near.where("b is null").select(F.col("a").alias("v"), F.col("ta").alias("tag")).distinct()
-    crowd = stored(flat.join(crowd, ["v", "tag"], "left_semi").select(F.col("rep").alias("doc_id")).distinct())
+
+    def linked(values: DataFrame, near: DataFrame) -> DataFrame:
+        met = _pairs(values, near)
+        return stored(verified(docs, stored(met.join(sx, "x").join(sy, "y").where(differ <= far).select("x", "y")), words, min_similarity))
+
+    one = stored(sketches.select(*flat(F.lit(0), F.col("s")[0], F.lit(0).cast("long"))))
+    links = linked(one, _met(one, width, bits, tag_bits, most))
+    comp = components(links, "x", "y").select(F.col("node").alias("rep"), F.col("root"))
+    ranked = sketches.join(comp, "rep", "left").select("rep", "tag", "root", F.posexplode("s").alias("t", "s1"))
+    # the code of a component: 0 for a text that has no link yet
+    every = stored(ranked.select(*flat(F.col("t"), F.col("s1"), F.when(F.col("root").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("root").bitwiseOR(F.lit(1))))))
+    near = _met(every, width, bits, tag_bits, most)
+    links = stored(links.unionAll(linked(every, near)))
+
+    comp = components(links, "x", "y").select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
+    crowd = near.where("point is not null").select(F.col("a").alias("v"), F.col("ta").alias("tag"), F.col("ca").alias("c"), "point").distinct()
     if not crowd.isEmpty():
-        links = links.unionAll(crowd_links(docs, crowd, links, words, min_similarity))
+        members = stored(every.join(crowd.select("v", "tag", "c").distinct(), ["v", "tag", "c"], "left_semi").select("v", "tag", "c", F.col("rep").alias("doc_id")).join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
+        spans = members.groupBy("v", "tag", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        mixed = crowd.join(spans, ["v", "tag", "c"]).groupBy("point").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("point")
+        values = crowd.join(mixed, "point", "left_semi").select("v", "tag", "c").distinct()
+        of = stored(members.join(values, ["v", "tag", "c"], "left_semi").select("doc_id", "comp").distinct())
+        if not of.isEmpty():
+            links = links.unionAll(crowd_links(docs, of, words, min_similarity))
     return _classes(docs, ids, reps, links)
 
 
+def _pairs(flat: DataFrame, near: DataFrame) -> DataFrame:
+    """(x, y): texts of equal value and tag with one of them, and one text for each value, tag and component that meet."""
+    heads = stored(flat.groupBy("v", "tag", "c").agg(F.min_by("rep", F.xxhash64("rep", "t")).alias("head"), F.count("*").alias("n")))
+    top = heads.groupBy("v", "tag").agg(F.min_by(F.struct("head", "c"), F.xxhash64("head")).alias("top"), F.sum("n").alias("n")).where("n > 1").select("v", "tag", F.col("top.head").alias("head"), F.col("top.c").alias("hc"))
+    same = flat.join(top, ["v", "tag"]).where("rep <> head and (c = 0 or c <> hc)").select(F.col("rep").alias("x"), F.col("head").alias("y"))
+    of = lambda p, n: heads.select(F.col("v").alias(p), F.col("tag").alias(f"t{p}"), F.col("c").alias(f"c{p}"), F.col("head").alias(n))
+    met = near.where("b is not null").select("a", "ta", "ca", "b", "tb", "cb").distinct()
+    met = met.join(of("a", "x"), ["a", "ta", "ca"]).join(of("b", "y"), ["b", "tb", "cb"]).select("x", "y")
+    return same.unionAll(met).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> DataFrame:
-    """(a, ta, b, tb): values and tags that meet within radius 2, the tags differing in ``most`` bits or fewer; with b and tb null, those of crowded points.
+    """(a, ta, ca, b, tb, cb, point): values, tags and components that meet within radius 2, the tags differing in ``most`` bits or fewer and the components not the same; with b null, those of a crowded point.
 
     ``width``: bits of a value with its table's number. A point, the bit that was turned to reach it
     and the tag are one number of 64 bits. A task sorts the points of its values, cuts them into
     blocks of the range of (mixed) points and shuffles the differences, so a point costs some six
     bytes instead of a row. The number of blocks follows from the number of points, so that each
     fits in ``BLOCK_POINTS``, but for the texts of one value. Members of a point are paired with the
-    next two where the tags allow it. A point is crowded if this leaves out a pair: of members
-    further apart, or of texts that are equal in value and tag and so stand as one.
+    next two where tags and components allow it. A point is crowded if this leaves out a pair: of
+    members further apart, or of texts that are equal in value and tag and so stand as one.
     """
     total = flat.count() * (bits + 1)
     block_bits = min(width, math.ceil(math.log2(max(total / BLOCK_POINTS, 4))))
@@ -231,49 +266,57 @@ def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> Da
     tag_mask = np.uint64((1 << tag_bits) - 1)
     mix, unmix = np.uint64(_MIX), np.uint64(pow(_MIX, -1, 1 << 64))
 
-    def packed(values: list[np.ndarray], tags: list[np.ndarray]) -> pa.RecordBatch:
-        v, tag = np.concatenate(values)[:, None], np.concatenate(tags)[:, None]
+    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        v, tag, c = np.concatenate(parts, 1)[:, :, None]
         x = ((((v ^ masks) * mix) & low) << shift | turned | tag).ravel()
-        x.sort()
+        order = np.argsort(x)
+        x, c = x[order], np.broadcast_to(c, (len(v), bits + 1)).ravel()[order]
         block = (x >> np.uint64(64 - block_bits)).astype(np.int64)
         first = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0]
         diff = np.diff(x, prepend=np.uint64(0))
         diff[first] = x[first]
-        blobs = [_planes(diff[s:e]) for s, e in zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(blobs, pa.binary())], ["block", "points"])
+        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=True))
+        columns = [pa.array(block[first]), *(pa.array([_planes(y[s:e]) for s, e in cuts], pa.binary()) for y in (diff, c))]
+        return pa.RecordBatch.from_arrays(columns, ["block", "points", "comps"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, tags, n = [], [], 0
+        parts, n = [], 0
         for batch in batches:
-            values.append(batch.column(0).to_numpy().view(np.uint64))
-            tags.append(batch.column(1).to_numpy().view(np.uint64))
+            parts.append(np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(3)]))
             n += batch.num_rows
             if n * (bits + 1) >= TASK_POINTS:
-                yield packed(values, tags)
-                values, tags, n = [], [], 0
+                yield packed(parts)
+                parts, n = [], 0
         if n:
-            yield packed(values, tags)
+            yield packed(parts)
 
-    def met(points: list[bytes]) -> pa.RecordBatch:
+    def met(points: list[bytes], comps: list[bytes]) -> pa.RecordBatch:
         x = np.concatenate([np.cumsum(_unplaned(p), dtype=np.uint64) for p in points])
-        x.sort()
-        point, pairs = x >> shift, []
-        run = np.cumsum(np.r_[0, point[1:] != point[:-1]])
+        c = np.concatenate([_unplaned(p) for p in comps])
+        order = np.lexsort((c, x))
+        x, c = x[order], c[order]
+        alone = np.r_[False, (x[1:] == x[:-1]) & (c[1:] == c[:-1]) & (c[1:] != 0)]  # texts of one component, value and tag stand as one
+        x, c = x[~alone], c[~alone]
+        run = np.cumsum(np.r_[0, (x[1:] ^ x[:-1]) >> shift != 0]) if len(x) else np.zeros(0, np.int64)
+        other = np.r_[False, (run[1:] == run[:-1]) & ((c[1:] != c[:-1]) | (c[1:] == 0))] if len(x) else np.zeros(0, bool)
+        mixed = np.bincount(run, other) > 0  # points with texts of more than one component
+        x, c, run = (y[mixed[run]] for y in (x, c, run))
         size = np.bincount(run)
         full = np.zeros(len(size), bool)
 
         def ends(i: np.ndarray) -> list[np.ndarray]:
-            v = ((point[i] * unmix) & low) ^ masks[(x[i] >> np.uint64(tag_bits)) & np.uint64((1 << bits.bit_length()) - 1)]
-            return [v, x[i] & tag_mask]
+            v = (((x[i] >> shift) * unmix) & low) ^ masks[(x[i] >> np.uint64(tag_bits)) & np.uint64((1 << bits.bit_length()) - 1)]
+            return [v, x[i] & tag_mask, c[i]]
 
+        pairs = [np.zeros((6, 0), np.uint64)]
         for k in range(1, FAR_APART + 1):
-            at = np.nonzero(point[k:] == point[:-k])[0]
+            at = np.nonzero(run[k:] == run[:-k])[0]
             if not len(at):
                 break
             if k == FAR_APART:
                 full[run[at]] = True
                 break
-            at = at[np.bitwise_count((x[at] ^ x[at + k]) & tag_mask) <= most]
+            at = at[(np.bitwise_count((x[at] ^ x[at + k]) & tag_mask) <= most) & ((c[at] != c[at + k]) | (c[at] == 0))]
             if k > 2:
                 full[run[at]] = True
                 continue
@@ -281,73 +324,82 @@ def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> Da
             full[run[copies]] |= size[run[copies]] > 2
             at = at[x[at] != x[at + k]]
             pairs.append(np.stack(ends(at) + ends(at + k)))
-        found = np.unique(np.concatenate([np.zeros((4, 0), np.uint64), *pairs], 1), axis=1).view(np.int64)
-        crowd = np.unique(np.stack(ends(np.nonzero(full[run])[0])), axis=1).view(np.int64)
-        columns = [pa.concat_arrays([pa.array(f), pa.array(c) if c is not None else pa.nulls(crowd.shape[1], pa.int64())]) for f, c in zip(found, [*crowd, None, None], strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["a", "ta", "b", "tb"])
+        found = np.unique(np.concatenate(pairs, 1), axis=1).view(np.int64)
+        i = np.nonzero(full[run])[0]
+        crowd = np.unique(np.stack([*ends(i), x[i] >> shift]), axis=1).view(np.int64)
+        none = lambda n: pa.nulls(n, pa.int64())
+        columns = [pa.concat_arrays([pa.array(f), pa.array(g)]) for f, g in zip(found[:3], crowd[:3], strict=True)]
+        columns += [pa.concat_arrays([pa.array(f), none(crowd.shape[1])]) for f in found[3:]]
+        columns.append(pa.concat_arrays([none(found.shape[1]), pa.array(crowd[3])]))
+        return pa.RecordBatch.from_arrays(columns, ["a", "ta", "ca", "b", "tb", "cb", "point"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for batch in batches:
-            for block, points in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for block, *blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if block != last and held:
-                    yield met(held)
+                    yield met(*zip(*held, strict=True))
                     held = []
                 last = block
-                held.append(points.as_py())
+                held.append([b.as_py() for b in blobs])
         if held:
-            yield met(held)
+            yield met(*zip(*held, strict=True))
 
-    blocks = flat.select("v", F.col("tag").cast("long")).mapInArrow(spread, "block long, points binary")
-    dealt = blocks.repartition((1 << block_bits) // 4, "block").sortWithinPartitions("block")
-    return stored(dealt.mapInArrow(meet, "a long, ta long, b long, tb long"))
+    blocks = flat.select("v", F.col("tag").cast("long"), F.col("c").cast("long")).mapInArrow(spread, "block long, points binary, comps binary")
+    dealt = blocks.repartition(max(1, (1 << block_bits) // 4), "block").sortWithinPartitions("block")
+    return stored(dealt.mapInArrow(meet, "a long, ta long, ca long, b long, tb long, cb long, point long"))
 
 
-def crowd_links(docs: DataFrame, crowd: DataFrame, links: DataFrame, words: int, min_similarity: float) -> DataFrame:
-    """(x, y): all pairs of the texts of ``crowd`` with this similarity that ``links`` do not connect.
+def crowd_links(docs: DataFrame, crowd: DataFrame, words: int, min_similarity: float) -> DataFrame:
+    """(x, y): all pairs of the texts of ``crowd`` (doc_id, comp) with this similarity that are of different components.
 
     Exact: in any common order of shingles, two such sets share one of their first ``n - ceil(s n)
-    + 1``. Shingles within one component come first (they cannot join two), then rare ones before
-    common ones: what a large family shares stands at the end and makes no candidates, unless it
-    is nearly the whole text.
+    + 1``, and the places of the first shingle that they share bound what they can share at all.
+    Shingles within one component come first (they cannot join two), then rare ones before common
+    ones. So what a large family shares stands at the end and makes no candidates, and a text with
+    too much of its own meets nobody.
     """
-    comp = components(links, "x", "y").select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
-    named = stored(crowd.join(comp, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp")))
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             h = np.unique(shingle_hashes(words_of(text), words, 7))
             yield doc_id, len(h), h.view(np.int64).tolist()
 
-    of = map_rows(text_or_empty(docs).join(named, "doc_id", "left_semi"), sets, "doc_id long, n int, hs array<long>", 256).dropDuplicates(["doc_id"])
-    flat = stored(of.join(named, "doc_id").select("doc_id", "comp", "n", F.explode("hs").alias("h")))
+    of = map_rows(text_or_empty(docs).join(crowd, "doc_id", "left_semi"), sets, "doc_id long, n int, hs array<long>", 256).groupBy("doc_id").agg(F.min(F.struct("n", "hs")).alias("of"))
+    flat = stored(of.join(crowd, "doc_id").select("doc_id", "comp", "of.n", F.explode("of.hs").alias("h")))
     between = flat.groupBy("h").agg(F.count("*").alias("texts"), F.min("comp").alias("least"), F.max("comp").alias("last")).where("least <> last").select("h", "texts")
     of_doc = Window.partitionBy("doc_id")
     ranked = flat.join(between, "h").select("doc_id", "comp", "n", "h", F.row_number().over(of_doc.orderBy("texts", "h")).alias("at"), F.count("*").over(of_doc).alias("left"))
-    prefix = ranked.where(F.col("n") - F.col("left") + F.col("at") <= F.col("n") - F.ceil(F.col("n") * min_similarity - 1e-9) + 1)
+    prefix = ranked.withColumn("at", F.col("n") - F.col("left") + F.col("at")).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * min_similarity - 1e-9) + 1)
+    share = min_similarity / (1 + min_similarity)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(xs: list[np.ndarray], ys: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
+
         def matched(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            doc, comp, n = np.concatenate(parts, 1)
+            doc, comp, n, at = np.concatenate(parts, 1)
             order = np.argsort(n, kind="stable")
-            doc, comp, n = doc[order], comp[order], n[order]
+            doc, comp, n, rest = doc[order], comp[order], n[order], (n - at + 1)[order]
             xs, ys, held = [], [], 0
             for i, end in enumerate(np.searchsorted(n, np.floor(n / min_similarity + 1e-9), "right").tolist()):
-                other = doc[i + 1 : end][comp[i + 1 : end] != comp[i]]
+                j = slice(i + 1, end)
+                can = (comp[j] != comp[i]) & (np.minimum(rest[j], rest[i]) >= share * (n[j] + n[i]) - 1e-9)
+                other = doc[j][can]
                 if len(other):
                     xs.append(np.minimum(other, doc[i]))
                     ys.append(np.maximum(other, doc[i]))
                     held += len(other)
                 if held > BLOCK_POINTS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
+                    yield batch_of(xs, ys)
                     xs, ys, held = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
+                yield batch_of(xs, ys)
 
         last, held = None, []
         for batch in batches:
             h = batch.column(0).to_numpy()
-            rows = np.stack([batch.column(k).to_numpy() for k in (1, 2, 3)])
+            rows = np.stack([batch.column(k).to_numpy() for k in (1, 2, 3, 4)])
             cuts = [0, *(np.nonzero(h[1:] != h[:-1])[0] + 1).tolist(), len(h)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if s == e:
@@ -360,7 +412,7 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, links: DataFrame, words: int,
         if held:
             yield from matched(held)
 
-    postings = prefix.select("h", "doc_id", "comp", F.col("n").cast("long").alias("n"))
+    postings = prefix.select("h", "doc_id", "comp", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
     spread = postings.repartition("h").sortWithinPartitions("h")
     pairs = stored(spread.mapInArrow(meet, "x long, y long").distinct())
     return verified(docs, pairs, words, min_similarity)
