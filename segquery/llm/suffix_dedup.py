@@ -11,8 +11,12 @@ are put in buckets and buckets are refined, as a suffix sorter of this kind does
    2q bytes is the pair of its q-bucket and the q-bucket q bytes further on, and the pair of
    2q-buckets, so made, gives the bucket of 4q bytes. Members of buckets of one drop out at each
    depth. Groups of one final bucket with two starts are repeated strings.
-3. Starts of buckets with over ``HOT`` members (a passage that very many texts share) are dealt
-   out by their whole string instead and only counted, so no task holds such a bucket.
+3. Buckets with over ``HOT`` members (a passage that very many texts share) are refined as
+   tables, so no task holds such a bucket. The members' starts are taken in ranges at equal
+   distances from the q-gram. Members are bucketed by the bytes that all strings of a range hold
+   (alone there: none of them is repeated) and by the bytes that any of them holds (not alone:
+   all of them are repeated); what neither decides is bucketed again with ranges a quarter as
+   wide. A passage costs its members a few rows at its two ends, whatever its length.
 
 Texts that are equal as a whole are one text with a number of copies. Strings are compared by
 64-bit hashes of q bytes and, in step 3, by 128-bit hashes.
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, stored, text_or_empty
 
 LENGTH = 400
-#: Members of an initial bucket from which its starts are dealt out singly.
+#: Members of an initial bucket beyond which it is refined as a table.
 HOT = 4_000
 #: Bytes of context that are refined at a time; a bucket is never split.
 CHUNK = 3_000_000
@@ -132,7 +136,67 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.nonzero(edge == 1)[0].tolist(), (np.nonzero(edge == -1)[0] - 1).tolist(), strict=True))
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def crowded_runs(texts: DataFrame, length: int, q: int, hot: int) -> DataFrame:
+    """(uid, s, e): runs of repeated starts in the buckets of over ``hot`` members of ``texts`` (uid, text, a)."""
+    far = length - q  # of a start from its q-gram
+    widths = [1, *(2 * 4**k for k in range(32) if 2 * 4**k <= length // 3)][::-1]
+
+    def around(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for uid, text, a in rows:
+            raw = text.encode("utf-8", "surrogatepass")
+            for x in a:
+                if x["members"] > hot:
+                    p = x["place"]
+                    least, most = p - x["hi"], p - x["lo"]
+                    yield uid, p, least, most, min(p, far), raw[max(0, p - far) : p + length], list(range(least - least % widths[0], most + 1, widths[0]))
+
+    held = stored(map_rows(texts.select("uid", "text", "a"), around, "uid binary, place int, least int, most int, before int, context binary, todo array<int>", 256))
+    out: list[DataFrame] = []
+    todo = held
+    for depth, width in enumerate(widths):
+
+        def keys(rows: Iterator[tuple], width: int = width) -> Iterator[tuple]:
+            def key(data: bytes, seed: int) -> tuple[int, int]:
+                k = xxhash.xxh128_intdigest(data, seed)
+                return (k & (2**64 - 1)) - 2**63, (k >> 64) - 2**63
+
+            for uid, place, before, context, todo in rows:
+                for d in todo:
+                    last = min(d + width - 1, far)
+                    all_hold = key(context[before - d : before - last + length], 2 * d)
+                    whole = before >= last and before - d + length <= len(context)
+                    any_holds = all_hold if width == 1 else key(context[before - last : before - d + length], 2 * d + 1) if whole else (None, None)
+                    yield uid, place, d, *all_hold, *any_holds
+
+        leaves = stored(map_rows(todo.select("uid", "place", "before", "context", "todo"), keys, "uid binary, place int, d int, i1 long, i2 long, o1 long, o2 long", 2048))
+        # written first, so that the joins have plain exchanges on both sides and hot keys are split
+        common = lambda a, b, leaves=leaves: stored(leaves.where(F.col(a).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(a, b))
+        open_ = stored(leaves.join(common("i1", "i2"), ["i1", "i2"]).select("uid", "place", "d", "o1", "o2"))
+        if width == 1:
+            out.append(open_.select("uid", (F.col("place") - F.col("d")).alias("s"), (F.col("place") - F.col("d")).alias("e")))
+            break
+        again = common("o1", "o2").withColumn("both", F.lit(True))
+        judged = stored(open_.join(again, ["o1", "o2"], "left").select("uid", "place", "d", "o1", "o2", F.col("both").isNotNull().alias("repeated")))
+        reach = held.select("uid", "place", "least", "most")
+        whole = judged.where("repeated").join(reach, ["uid", "place"])
+        out.append(whole.select("uid", (F.col("place") - F.least(F.lit(width - 1) + F.col("d"), "most")).alias("s"), (F.col("place") - F.greatest("d", "least")).alias("e")))
+        step = widths[depth + 1]
+        # one of the members with the same bytes stays, for those that share only a part with it
+        stays = judged.where("repeated").groupBy("o1", "o2").agg(F.min(F.struct("uid", "place", "d")).alias("x")).select("x.*")
+        parts = judged.where("not repeated").select("uid", "place", "d").unionByName(stays)
+        parts = parts.select("uid", "place", F.explode(F.sequence("d", F.col("d") + width - step, F.lit(step))).alias("d"))
+        parts = parts.join(reach, ["uid", "place"]).where((F.col("d") <= F.col("most")) & (F.col("d") + step > F.col("least")))
+        parts = parts.groupBy("uid", "place").agg(F.collect_list("d").alias("todo"))  # at most a member's own ranges
+        todo = stored(held.drop("todo").join(parts, ["uid", "place"]))
+        if todo.isEmpty():
+            break
+    runs = out[0]
+    for more in out[1:]:
+        runs = runs.unionByName(more)
+    return runs
+
+
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of ``docs``."""
     q = length // 4
     if q * 4 != length:
@@ -178,7 +242,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
                     yield uid, lo + s, lo + e
 
         for row in rows:
-            if size >= CHUNK and row[0] != last:
+            if size >= chunk and row[0] != last:
                 yield from flush()
                 held.clear()
                 size = 0
@@ -191,21 +255,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
     parts = map_rows(found, contexts, "h long, uid binary, lo int, context binary", 512)
     runs = map_rows(parts.repartition("h").sortWithinPartitions("h"), refine, "uid binary, s int, e int", 2048)
 
-    def singly(rows: Iterator[tuple]) -> Iterator[tuple]:
-        digest = xxhash.xxh128_intdigest
-        for uid, text, a in rows:
-            raw = text.encode("utf-8", "surrogatepass")
-            for x in a:
-                if x["members"] > hot:
-                    for s in range(x["lo"], x["hi"] + 1):
-                        d = digest(raw[s : s + length])
-                        yield uid, s, (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63
-
     crowded = found.where(F.exists("a", lambda x: x["members"] > hot))
     if not crowded.isEmpty():
-        leaves = stored(map_rows(crowded, singly, "uid binary, s int, k1 long, k2 long", 4096))
-        again = leaves.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        runs = runs.unionByName(leaves.join(again, ["k1", "k2"]).select("uid", "s", F.col("s").alias("e")))
+        runs = runs.unionByName(crowded_runs(crowded, length, q, hot))
     spans = runs.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))  # at most a text's own starts
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:

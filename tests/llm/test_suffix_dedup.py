@@ -26,8 +26,8 @@ def got(df, **kw):
 
 
 def test_odd_rows(odd, odd_rows):
-    rows = [r[:2] for r in odd_rows if r[0] != 8]
-    assert got(odd.where("doc_id is null or doc_id <> 8")) == brute(rows, 400)
+    rows = [r[:2] for r in odd_rows]
+    assert got(odd) == got(odd, hot=1) == brute(rows, 400)
 
 
 @pytest.mark.parametrize("hot", [1, 3, 4000])
@@ -39,11 +39,26 @@ def test_random(spark, hot):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length=40, hot=hot) == brute(rows, 40)
 
 
-def test_chunks_do_not_matter(spark, monkeypatch):
+def passages(spark):
+    """One passage in every text, cut at various places, and runs of one letter."""
     r = random.Random(1)
     shared = "".join(r.choice("abcdefgh") for _ in range(300))
     rows = [(i, "".join(r.choice("abcdefgh") for _ in range(50)) + shared[k : k + 150] + str(i)) for i, k in enumerate([0, 20, 60, 100, 150] * 6)]
-    assert got(spark.createDataFrame(rows, "doc_id long, text string"), length=40) == brute(rows, 40)
+    rows += [(100 + k, "q" * (39 + k) + shared[k : k + 45]) for k in range(9)] + [(200, shared), (201, shared[:41]), (202, shared[-41:]), (203, None)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+@pytest.mark.parametrize("hot", [1, 5, 20])
+def test_one_passage_in_many_texts(spark, hot):
+    rows, df = passages(spark)
+    assert got(df, length=40, hot=hot) == brute(rows, 40)
+
+
+def test_chunks_do_not_matter(spark):
+    """Buckets that are refined one at a time give what buckets refined together do."""
+    rows, df = passages(spark)
+    for size in (1, 100, 10**9):
+        assert got(df, length=40, chunk=size) == brute(rows, 40)
 
 
 def test_empty(empty):
