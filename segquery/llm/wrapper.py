@@ -1,16 +1,23 @@
 """HTML main text by wrapper induction.
 
 Each host has one reference page. Every page of the host is aligned with it by simple tree
-matching (the largest common top-down tree that keeps the order of siblings). Nodes that keep
-their text over nearly all distinct articles of the host are template; slots that vary are
-content. Elements whose tag, role or class says menu, header, footer, sidebar, notice, advert,
-form or reader comment are never content. All pages of a host count; a reference page is only
-the frame in which nodes are named.
-
-Defined results: null or empty html gives an empty text; a null url is the host ``''``; hosts
-with under ``MIN_PAGES`` distinct articles have no template; repeated pages count once; broken
-markup is read as a browser does (unclosed elements end with their parent, text after a lone
-``<`` stays text). Other columns are ignored.
+matching (the largest common top-down tree that keeps the order of siblings), which names the
+slots of the page: an aligned node has its counterpart's name, any other one a name made of its
+parent's and its own tag, class and id. So blocks that the reference lacks have names as well.
+A block of text is template where its slot holds the same text on nearly all distinct articles
+of the host that have the slot; other blocks vary. The main text of a page is what lies in the
+smallest element that holds most of what varies (and its varying headline), by the host's mean
+lengths of the slots; a branch within it that is template as a whole goes, a constant paragraph
+between varying ones stays.
+
+Tags only settle what the wrapper cannot: an element that says it is the article or main part
+is taken as that element; elements whose tag, role or class says menu, header, footer, sidebar,
+notice, advert, form or reader comment are never content; hosts with under ``MIN_PAGES`` distinct
+articles have no wrapper and keep all else.
+
+Defined results: null or empty html gives an empty text; a null url is the host ``''``; repeated
+pages count once; broken markup is read as a browser does (unclosed elements end with their
+parent, text after a lone ``<`` stays text). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +38,14 @@ from .common import map_rows, stored
 SHARE, MIN_PAGES = 0.8, 5
 #: Cells of the table of two sibling lists, beyond which not all of its rows are held at once.
 MAX_CELLS = 250_000
+#: One row a host is sent to all tasks up to this size in bytes, as measured; beyond it is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split())
+CONTAINERS = frozenset("address article blockquote center dd details div dl fieldset figure header hgroup main ol section table tbody td th tr ul".split())
 ENDS_P = BLOCK - {"option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 NEVER = frozenset("script style noscript template iframe nav footer aside form button select textarea input svg canvas object embed head title menu dialog noembed noframes xmp".split())
@@ -278,57 +288,94 @@ def marked(order: list[Node]) -> tuple[set[int], set[int]]:
     return kept_main, never
 
 
-def blocks(root: Node, main: set[int], drop: set[int]) -> list[str]:
-    """Texts of the blocks in page order: inside the main containers, or of the whole page without any."""
-    out: list[str] = []
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def named(ref: tuple[Node, dict[int, int]] | None, root: Node, matcher: Matcher) -> dict[int, int]:
+    """The slot of each element: its counterpart's number in the reference, else a (negative) hash of the parent's slot and its own key."""
+    slots = {id(b): ref[1][id(a)] for a, b in matcher.align(ref[0], root)} if ref else {}
+    todo = [(root, slots.setdefault(id(root), 0))]
+    while todo:
+        x, slot = todo.pop()
+        for k in x.elements():
+            if id(k) not in slots:
+                slots[id(k)] = -1 - _digest(f"{slot} {k.key}")
+            todo.append((k, slots[id(k)]))
+    return slots
+
+
+class Block:
+    """Text of one block; ``owner`` its innermost block element, ``chain`` the containers around it, outermost first, ``main`` how many of them lie outside the main part (-1: not in a main part)."""
+
+    __slots__ = ("chain", "head", "main", "owner", "text")
+
+    def __init__(self, text: str, owner: Node, chain: tuple[Node, ...], main: int, head: bool):
+        self.text, self.owner, self.chain, self.main, self.head = text, owner, chain, main, head
+
+
+def page_blocks(root: Node, main: set[int], drop: set[int]) -> list[Block]:
+    """The blocks of a page in order, without those in ``drop``."""
+    out: list[Block] = []
     buf: list[str] = []
 
-    def flush() -> None:
+    def flush(owner: Node, chain: tuple[Node, ...], at: int, head: bool) -> None:
         text = " ".join(htmllib.unescape("".join(buf)).split())
         buf.clear()
         if text:
-            out.append(text)
+            out.append(Block(text, owner, chain, at, head))
 
-    todo: list[tuple[object, bool]] = [(root, not main)]
+    todo: list[tuple] = [(root, root, (), -1, False)]
     while todo:
-        x, inside = todo.pop()
+        x, owner, chain, at, head = todo.pop()
         if x is None:
-            flush()
+            flush(owner, chain, at, head)
         elif isinstance(x, str):
-            if inside:
-                buf.append(x)
+            buf.append(x)
         elif id(x) not in drop:
-            inside = inside or id(x) in main
             if x.tag == "br":
                 buf.append(" ")
             elif x.tag in BLOCK or x.tag == "#root":
-                flush()
-                todo.append((None, inside))
-            todo.extend((k, inside) for k in reversed(x.kids))
-    flush()
+                flush(owner, chain, at, head)
+                if id(x) in main and at < 0:
+                    at = len(chain)
+                owner, head = x, head or x.tag == "h1"
+                if x.tag in CONTAINERS:
+                    chain = (*chain, x)
+                todo.append((None, owner, chain, at, head))
+            elif id(x) in main and at < 0:
+                at = len(chain)
+            todo.extend((k, owner, chain, at, head) for k in reversed(x.kids))
     return out
 
 
-def _text(node: Node) -> str:
-    parts, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        else:
-            if x.tag in BLOCK:
-                parts.append(" ")
-            todo.extend(reversed(x.kids))
-    return " ".join(htmllib.unescape("".join(parts)).split())
-
-
-def _aligned(matcher: Matcher, ref: tuple[Node, dict[int, int]], root: Node, never: set[int], main: set[int]) -> Iterator[tuple[int, int, Node]]:
-    """(index of the reference node, hash of the text, node) for aligned nodes that may be content."""
-    for a, b in matcher.align(ref[0], root):
-        if id(b) not in never and id(b) not in main and b.tag not in ("#root", "html", "body"):
-            t = _text(b)
-            if t:
-                yield ref[1][id(a)], xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1, b
+def content(blocks: list[tuple[str, int, int, list[int], int, bool]], mean: dict[int, float] | None, template: set[tuple[int, int]]) -> list[str]:
+    """Texts of the content among the blocks (text, slot, digest, chain, main, head); ``mean``: varying characters of a block by slot, None without a wrapper."""
+    if any(b[4] >= 0 for b in blocks):
+        blocks = [b for b in blocks if b[4] >= 0]
+    elif mean is None:
+        return [b[0] for b in blocks]
+    varies = [0.0 if (slot, t) in template else (mean or {}).get(slot) or float(len(text)) for text, slot, t, *_ in blocks]
+    weight: dict[int, float] = {}
+    for (_, _, _, chain, _, _), w in zip(blocks, varies, strict=True):
+        for x in chain:
+            weight[x] = weight.get(x, 0.0) + w
+    outside = None  # how many containers of the main text's chain lie outside it; the page itself if None
+    within = 0
+    if blocks and blocks[0][4] < 0:
+        heads = [b[3] for b, w in zip(blocks, varies, strict=True) if b[5] and w]
+        for _, _, _, chain, _, _ in blocks:
+            for depth, x in enumerate(chain):
+                if 2 * weight[x] > sum(varies) and depth >= within and all(x in h for h in heads):
+                    outside, within = x, depth
+    kept = []
+    for (text, _, _, chain, main, _), w in zip(blocks, varies, strict=True):
+        if outside is not None and outside not in chain:
+            continue
+        inner = chain[main + 1 :] if main >= 0 else chain[within + 1 :] if outside is not None else chain
+        if w or (main >= 0 or outside is not None) and all(weight[x] for x in inner):
+            kept.append(text)
+    return kept
 
 
 def host_of(url: str = "url") -> Column:
@@ -343,79 +390,69 @@ class _Reference:
 
     def of(self, source: str) -> tuple[Node, dict[int, int]]:
         if source not in self.trees:
-            if len(self.trees) > 8:
+            if len(self.trees) > 64:
                 self.trees.clear()
             root = parse(source)
             self.trees[source] = (root, {id(x): k for k, x in enumerate(finish(root))})
         return self.trees[source]
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars), one row for each row of ``pages``.
+def _beside(wide: DataFrame, side: DataFrame, size: Column, how: str = "left") -> DataFrame:
+    """``wide`` joined with one row a host: sent to all tasks if it is small, by measure; else shuffled, where the adaptive join splits a hot host."""
+    total = side.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    return wide.join(F.broadcast(side) if total <= BROADCAST_BYTES else side, "host", how)
 
-    A host's first reference is one of its pages with html. Texts that stand on enough pages in
-    nodes without a counterpart there are looked for again with the page that holds most of them
-    as a further reference, until none is left.
-    """
+
+def main_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars), one row for each row of ``pages``."""
     given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
     filled = given.where("html <> ''").withColumn("page", F.xxhash64("html"))
     # hosts of too few pages cannot have a template
-    chosen = filled.groupBy("host").agg(F.min_by("page", F.xxhash64("page_id")).alias("page"), F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).drop("n")
+    chosen = filled.groupBy("host").agg(F.min("page").alias("page"), F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).select("host", "page")
+    refs = stored(_beside(filled, stored(chosen.withColumnRenamed("page", "ref")), F.length("host") + 8, "inner").where("page = ref").groupBy("host").agg(F.min("html").alias("ref")))
+    kind = dict(pages.dtypes)["page_id"]
 
     def observe(rows: Iterator[tuple]) -> Iterator[tuple]:
         matcher, held = Matcher(), _Reference()
-        for host, source, ref, page in rows:
+        for page_id, url, host, source, ref in rows:
             root = parse(source)
-            order = finish(root)
-            main, never = marked(order)
-            article = xxhash.xxh64_intdigest("\n".join(blocks(root, main, never)).encode("utf-8", "surrogatepass")) >> 1
-            found = set()
-            for k, t, b in _aligned(matcher, held.of(ref), root, never, main):
-                found.add(id(b))
-                yield host, k, t, article, 0
-            for t in {xxhash.xxh64_intdigest(_text(x).encode("utf-8", "surrogatepass")) >> 1 for x in order if id(x) not in found and id(x) not in never and id(x) not in main and x.tag not in ("#root", "html", "body") and _text(x)}:
-                yield host, -1, t, article, page
-
-    wrappers, todo = [], None
-    while True:
-        refs = stored(filled.join(chosen, ["host", "page"]).groupBy("host").agg(F.min("html").alias("ref")))
-        # skewed hosts are split by the adaptive join: the reference side has one row for each host
-        joined = filled.join(refs, "host").select("host", "html", "ref", "page")
-        seen = stored(map_rows(joined, observe, "host string, node int, t long, article long, page long", 4096).distinct())
-        texts = seen.where("node >= 0").groupBy("host", "node", "t").agg(F.count("*").alias("n"))
-        nodes = texts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.max("n").alias("same"), F.max_by("t", "n").alias("t"))
-        fixed = nodes.where((F.col("pages") >= MIN_PAGES) & (F.col("same") >= SHARE * F.col("pages"))).groupBy("host").agg(F.collect_list("node").alias("node"), F.collect_list("t").alias("t"))  # at most the nodes of one page
-        wrappers.append(refs.join(fixed, "host").select("host", F.struct("ref", "node", "t").alias("w")))
-        left = seen.where("node < 0").select("host", "t", "article", "page")
-        if todo is None:
-            often = left.groupBy("host", "t").agg(F.countDistinct("article").alias("n")).where(F.col("n") >= SHARE * MIN_PAGES)
-            todo = stored(left.join(often, ["host", "t"], "left_semi"))
-        else:
-            handled = todo.join(chosen, ["host", "page"], "left_semi").select("host", "t").distinct()
-            todo = stored(todo.join(left, ["host", "t", "page"], "left_semi").join(handled, ["host", "t"], "left_anti"))
-        if todo.isEmpty():
-            break
-        most = todo.groupBy("host", "page").agg(F.countDistinct("t").alias("n"))
-        chosen = stored(most.groupBy("host").agg(F.max_by("page", F.struct("n", "page")).alias("page")))
-    every = wrappers[0]
-    for w in wrappers[1:]:
-        every = every.unionAll(w)
-    wrapped = stored(every.groupBy("host").agg(F.collect_list("w").alias("ws")).select("host", F.col("ws.ref").alias("ref"), F.col("ws.node").alias("node"), F.col("ws.t").alias("t")))
+            main, never = marked(finish(root))
+            found = page_blocks(root, main, never)
+            slots = named(held.of(ref) if ref else None, root, matcher)
+            number: dict[int, int] = {}
+            chains = [[number.setdefault(id(x), len(number)) for x in b.chain] for b in found]
+            texts, of = [b.text for b in found], [slots[id(b.owner)] for b in found]
+            digests = [_digest(t) for t in texts]
+            seen: set[int] = set()
+            first = [not (s in seen or seen.add(s)) for s in of]
+            yield page_id, url, host, _digest("\n".join(texts)), ref is not None, texts, of, digests, first, chains, [b.main for b in found], [b.head for b in found]
+
+    types = f"page_id {kind}, url string, host string, article long, wrapped boolean, text array<string>, slot array<long>, t array<long>, first array<boolean>, chain array<array<int>>, main array<int>, head array<boolean>"
+    seen = stored(map_rows(_beside(given, refs, F.length("ref")).select("page_id", "url", "host", "html", "ref"), observe, types, 256))
+
+    one = seen.where("wrapped").select(F.xxhash64("host").alias("host"), "article", F.explode(F.arrays_zip("slot", "t", "first", F.transform("text", F.length).alias("n"))).alias("b"))
+    one = one.select("host", "article", "b.slot", "b.t", F.col("b.first").cast("int").alias("first"), F.col("b.n").alias("chars")).groupBy("host", "slot", "t", "article").agg(F.max("first").alias("first"), F.max("chars").alias("chars"))
+    texts = stored(one.groupBy("host", "slot", "t").agg(F.count("*").alias("n"), F.sum("first").alias("pages"), F.max("chars").alias("chars")))
+    slots = stored(texts.groupBy("host", "slot").agg(F.sum("n").alias("texts"), F.sum("pages").alias("pages"), F.sum(F.col("n") * F.col("chars")).alias("chars")).where(F.col("pages") >= MIN_PAGES))
+    often = texts.where(F.col("n") >= SHARE * MIN_PAGES).select("host", "slot", "t", F.col("n").alias("same"), F.col("chars").alias("long"))
+    fixed = stored(slots.join(often, ["host", "slot"]).where(F.col("same") >= SHARE * F.col("pages")).select("host", "slot", "t", "same", "long"))
+    less = fixed.groupBy("host", "slot").agg(F.sum("same").alias("same"), F.sum(F.col("same") * F.col("long")).alias("long"), F.collect_list("t").alias("ts"))  # one or two texts: each is on most pages of the slot
+    rest = F.col("texts") - F.coalesce("same", F.lit(0))
+    mean = F.when(rest > 0, (F.col("chars") - F.coalesce("long", F.lit(0))) / rest).otherwise(0.0)
+    wrapper = slots.join(less, ["host", "slot"], "left").groupBy("host").agg(F.collect_list(F.struct("slot", mean.alias("mean"), F.coalesce("ts", F.array().cast("array<long>")).alias("ts"))).alias("w"))
+    wrapper = stored(wrapper.select("host", F.col("w.slot").alias("of"), F.col("w.mean").alias("mean"), F.col("w.ts").alias("ts")))
 
     def extract(rows: Iterator[tuple]) -> Iterator[tuple]:
-        matcher, held = Matcher(), _Reference()
-        for page_id, url, source, refs, nodes, ts in rows:
-            text = ""
-            if source:
-                root = parse(source)
-                main, never = marked(finish(root))
-                drop = set(never)
-                for ref, node, t in zip(refs or (), nodes or (), ts or (), strict=True):
-                    template = dict(zip(node, t, strict=True))
-                    drop |= {id(b) for k, h, b in _aligned(matcher, held.of(ref), root, never, main) if template.get(k) == h}
-                text = "\n".join(blocks(root, main, drop))
-            yield page_id, url, text, len(text)
-
-    wide = given.join(wrapped, "host", "left").select("page_id", "url", "html", "ref", "node", "t")
-    kind = dict(pages.dtypes)["page_id"]
+        held: dict[int, tuple[dict[int, float], set[tuple[int, int]]]] = {}
+        for page_id, url, host, text, slot, t, chain, main, head, of, mean, ts in rows:
+            if of is not None and host not in held:
+                if len(held) > 64:
+                    held.clear()
+                held[host] = dict(zip(of, mean, strict=True)), {(s, x) for s, xs in zip(of, ts, strict=True) for x in xs}
+            weights, template = held[host] if of is not None else (None, set())
+            out = "\n".join(content(list(zip(text, slot, t, chain, main, head, strict=True)), weights, template))
+            yield page_id, url, out, len(out)
+
+    laid = seen.select("page_id", "url", F.xxhash64("host").alias("host"), "text", "slot", "t", "chain", "main", "head")
+    wide = _beside(laid, wrapper, 32 * F.size("of")).select("page_id", "url", "host", "text", "slot", "t", "chain", "main", "head", "of", "mean", "ts")
     return map_rows(wide, extract, f"page_id {kind}, url string, text string, n_chars long", 512)

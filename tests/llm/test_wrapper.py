@@ -9,7 +9,8 @@ from segquery.llm import wrapper as W
 def text_of(source):
     root = W.parse(source)
     main, never = W.marked(W.finish(root))
-    return "\n".join(W.blocks(root, main, never))
+    found = W.page_blocks(root, main, never)
+    return "\n".join(W.content([(b.text, 0, 0, [], b.main, b.head) for b in found], None, set()))
 
 
 @pytest.mark.parametrize(
@@ -107,6 +108,15 @@ def test_long_lists_are_matched_exactly(monkeypatch):
         monkeypatch.undo()
 
 
+def test_constant_paragraphs_of_the_article_stay(spark):
+    """What is constant between varying paragraphs is text; a branch that is constant as a whole is template."""
+    html = "<body><div class=x><h1>Tale {0}</h1><p>It was {0} then.</p><div><p>Read more here</p></div><p>Reporting by staff.</p></div><div>Place {0}</div></body>"
+    rows = [(k, f"http://h.example/{k}", html.format(f"number {k}")) for k in range(8)]
+    rows += [(100 + k, f"http://a.example/{k}", html.replace("div class=x", "article").replace("staff.</p></div>", "staff.</p></article>").format(f"number {k}")) for k in range(8)]
+    got = {r.page_id: r.text for r in W.main_texts(pages(spark, rows)).collect()}
+    assert all(got[k + add] == f"Tale number {k}\nIt was number {k} then.\nReporting by staff." for k in range(8) for add in (0, 100))
+
+
 def test_copies_are_no_template(spark):
     html = "<article><h1>Same</h1><p>Same text</p></article>"
     rows = [(k, "http://h.example/a", html) for k in range(9)]
@@ -130,3 +140,25 @@ def test_corpus_pages(spark, sf):
         a = r.html[r.html.find("<article>") + 9 :].split("</article>")[0]
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", a.replace("<br>", " "))]
         assert got[r.page_id] == "\n".join(x for x in parts if x)
+
+
+def test_wrapper_alone(spark):
+    """Without any telling tag, class or id, hosts with enough pages still give the article."""
+    import html
+    import re
+
+    def blank(x):
+        x = re.sub(r"<(/?)(?:article|nav|footer|aside|header|main|form)\b", r"<\1div", x or "")
+        return re.sub(r" (?:class|id|role)=(?:\"[^\"]*\"|[^\s>]+)", "", x)
+
+    src = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: r.text for r in W.main_texts(pages(spark, [(r.page_id, r.url, blank(r.html)) for r in src])).collect()}
+    hosts = [r.url.split("/")[2] for r in src]
+    same = []
+    for r, host in zip(src, hosts, strict=True):
+        if hosts.count(host) < 12:
+            continue
+        a = r.html[r.html.find("<article>") + 9 :].split("</article>")[0]
+        parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", a.replace("<br>", " "))]
+        same.append(got[r.page_id] == "\n".join(x for x in parts if x))
+    assert len(same) >= 20 and sum(same) >= 0.95 * len(same)
