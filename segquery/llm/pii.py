@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -82,15 +84,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---------------------------------------------------------------- regions and candidates
 
 _TOKEN = re.compile(r"[0-9]+|[A-Za-zÀ-￿]+|[ \t]|[^\s]|\s")
-_QUICK = re.compile(r"[0-9@]|[\[(][aA][tT][\])]")
+_QUICK = re.compile(r"[0-9@]|[\[(][aA][tT][\])]| (?:at|AT) (?=[A-Za-z0-9-]+ (?:dot|DOT) )")
 _PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+()@[]-")
 #: A region goes on over one blank before a number or a spelt-out sign.
 _REST = re.compile(r"[A-Za-z0-9._%+()@\[\]-]*(?: (?=[0-9@(+\[.-])[A-Za-z0-9._%+()@\[\]-]+| (?:at|dot|AT|DOT) [A-Za-z0-9._%+()@\[\]-]+|(?<=[\])]) [A-Za-z0-9._%+-]+)*")
 _WORD_AT = re.compile(r"^(at|dot)$", re.I)
 
-F_NAMES: dict[str, int] = {}
-
-
 @cache
 def _shape_class(s: str) -> str:
     s = re.sub(r"[0-9]+", lambda m: "9" if len(m[0]) > 4 else "9" * len(m[0]), s)
@@ -167,8 +166,9 @@ def regions(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
         s = hit.start()
         while s > done and text[s - 1] in _PART:
             s -= 1
-        if text[s] in "[(" and s > done and text[s - 1] == " ":  # "name [at] host"
-            s -= 1
+        spelt = text[s] == " "  # "name at host dot com"
+        if spelt or text[s] in "[(" and s > done and text[s - 1] == " ":  # "name [at] host"
+            s -= not spelt
             while s > done and text[s - 1] in _PART:
                 s -= 1
         done = max(_REST.match(text, s).end(), hit.end())
@@ -293,11 +293,19 @@ def all_spans(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, int
     """Base spans, and base with added ones, each by kind and start."""
     base = base_spans(text)
     added = []
+    # spans of one kind neither overlap nor change order, so two searches find those of a region
+    of_kind = [([s for k, s, _ in base if k == kind], [e for k, _, e in base if k == kind]) for kind in range(4)]
     for spans, toks in regions(text):
         lo, hi = spans[0][0], spans[-1][1]
-        taken = [(s, e) for _, s, e in base if s < hi and e > lo]
+        begins = [s for s, _ in spans]
+        taken = [0] * (len(spans) + 1)  # how many base spans cover the token; then, up to the token
+        for starts, ends in of_kind:
+            for k in range(bisect_right(ends, lo), bisect_left(starts, hi)):
+                taken[max(0, bisect_right(begins, starts[k]) - 1)] += 1
+                taken[bisect_left(begins, ends[k])] -= 1
+        taken = [0, *accumulate(c > 0 for c in accumulate(taken[:-1]))]
         # an entity that meets a base span cannot be added, so it is no candidate
-        cand = [c for c in candidates(text, spans, toks) if not any(s < spans[c[1] - 1][1] and e > spans[c[0]][0] for s, e in taken)]
+        cand = [c for c in candidates(text, spans, toks) if taken[c[1]] == taken[c[0]]]
         if cand:
             scored = [(i, j, k, sum(weights.get(f, 0.0) for f in fs)) for i, j, k, fs in cand]
             added += [(k, spans[i][0], spans[j - 1][1]) for i, j, k in best_segments(len(toks), scored)]
