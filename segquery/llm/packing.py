@@ -83,7 +83,14 @@ def packed(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS
     task holds a bucket; every shard's last batch may be part full. The driver sees the counts of
     the distinct lengths, of which there are at most the root of twice the sum of all lengths.
     """
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), (length if length is not None else word_length()).alias("length")).withColumn("deal", F.xxhash64("doc_id", F.monotonically_increasing_id())))
+    given = docs.select(F.col(id_col).alias("doc_id"), (length if length is not None else word_length()).alias("length"))
+    # equal rows are numbered, so the batches do not depend on how the rows lie in partitions
+    alike = given.groupBy("doc_id", "length").agg(F.count("*").alias("n"))
+    most = 1 << 16
+    alike = alike.select("doc_id", "length", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))).alias("part"))
+    last = F.least(F.lit(most - 1).cast("long"), F.col("n") - 1 - F.col("part") * most)
+    alike = alike.select("doc_id", "length", "part", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("copy"))
+    rows = stored(alike.select("doc_id", "length", F.xxhash64("doc_id", "part", "copy").alias("deal")))
     hist = rows.groupBy(F.col("length").alias("b")).agg(F.count("*").alias("n")).collect()
     bounds, _ = optimal_boundaries([r.b for r in hist], [r.n for r in hist], buckets)
     if not bounds:

@@ -53,5 +53,16 @@ def test_shards_are_bounded(spark, monkeypatch):
     assert len(rows) == 1000 and len({r.batch_id.split("-")[1] for r in rows}) == 20 and len({(r.batch_id, r.slot) for r in rows}) == 1000
 
 
+def test_partitions_do_not_matter(odd):
+    of = lambda d: sorted(map(str, packing.packed(d, budget=500).collect()))
+    assert of(odd.repartition(1)) == of(odd.repartition(7)) == of(odd.unionAll(odd.limit(0)))
+
+
+def test_very_many_equal_rows(spark):
+    d = spark.range(150_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    rows = packing.packed(d, budget=30)
+    assert rows.count() == 150_000 == rows.select("batch_id", "slot").distinct().count()
+
+
 def test_empty(empty):
     assert packing.packed(empty).count() == 0
