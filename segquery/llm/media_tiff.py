@@ -2,11 +2,14 @@
 
 Writer and reader of baseline TIFF in plain Python and numpy. The reader walks the chain of
 image directories and decodes strips or tiles that are stored raw, with PackBits, LZW or
-deflate, undoes horizontal differencing and yields one image per directory.
+deflate, undoes horizontal and floating-point differencing and yields one image per directory:
+integers of 8 or 16 bits or floats of 32, samples beside one another or in planes.
 
 Defined results: null media gives no page; bytes that are no TIFF, or a directory that is
-damaged, give one row with ``error`` set and null pixels; an image without rows or columns is a
-damaged one. Equal input bytes give equal stored bytes. Any further columns of the input are
+damaged, give one row with ``error`` set and null pixels. Damaged are: images without rows or
+columns, strips or tiles that are missing, too short or without rows or columns, sizes beyond
+what the data can hold, tags outside the data; depths and layouts other than those above are
+errors of the same form. Equal input bytes give equal stored bytes. Any further columns of the input are
 ignored, so their names cannot clash.
 """
 
@@ -30,6 +33,9 @@ TAG = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometri
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 TYPE_CODE = {1: "B", 3: "H", 4: "I"}
 
+#: No codec of the format makes more than so many bytes of one.
+MOST_EXPANSION = 1400
+
 WIDTH = 576
 ROWS_PER_PAGE = 4096
 ROWS_PER_STRIP = 512
@@ -265,7 +271,9 @@ def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]],
         tag, kind, count = struct.unpack_from(order + "HHI", data, where)
         size = TYPE_SIZE.get(kind, 1) * count
         src = where + 8 if size <= 4 else struct.unpack_from(order + "I", data, where + 8)[0]
-        if kind in TYPE_CODE:
+        if src + size > len(data):
+            raise ValueError(f"tag {tag} lies outside the data")
+        if kind in TYPE_CODE and count:
             tags[tag] = list(struct.unpack_from(f"{order}{count}{TYPE_CODE[kind]}", data, src))
     (nxt,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
     return tags, nxt
@@ -274,34 +282,41 @@ def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]],
 def _image(data: bytes, order: str, tags: dict[int, list[int]], index: int) -> Page:
     one = lambda name, default=None: tags.get(TAG[name], [default])[0]
     width, height, samples, bits = one("width"), one("height"), one("samples", 1), one("bits", 1)
-    how, predictor = one("compression", RAW), one("predictor", 1)
-    if not width or not height:
-        raise ValueError("image without rows or columns")
-    if bits not in (8, 16) or one("planar", 1) != 1 or predictor not in (1, 2):
-        raise ValueError(f"{bits} bits, planar {one('planar', 1)}, predictor {predictor}")
-    kind = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
-
-    def block(off: int, count: int, rows: int, cols: int) -> np.ndarray:
-        size = rows * cols * samples * kind.itemsize
+    how, predictor, planar, form = one("compression", RAW), one("predictor", 1), one("planar", 1), one("format", 1)
+    if not width or not height or not samples:
+        raise ValueError("image without rows, columns or samples")
+    kind = np.dtype(order + {(8, 1): "u1", (16, 1): "u2", (32, 3): "f4"}.get((bits, form), "V"))
+    if kind.kind == "V" or len(set(tags.get(TAG["bits"], [bits]))) > 1 or planar not in (1, 2) or predictor not in ((1, 3) if form == 3 else (1, 2)):
+        raise ValueError(f"{bits} bits, format {form}, planar {planar}, predictor {predictor}")
+    tiled = TAG["tile_offsets"] in tags
+    offsets, counts = (tags[TAG[f"{'tile' if tiled else 'strip'}_{x}"]] for x in ("offsets", "counts"))
+    # blocks of rows x columns, over the image; each sample has blocks of its own where they are planar
+    th, tw = (one("tile_height", 0), one("tile_width", 0)) if tiled else (min(one("rows_per_strip", height), height), width)
+    if not th or not tw:
+        raise ValueError("strips or tiles without rows or columns")
+    down, across, planes, deep = -(-height // th), -(-width // tw), samples if planar == 2 else 1, 1 if planar == 2 else samples
+    if len(offsets) != down * across * planes or len(counts) != len(offsets):
+        raise ValueError(f"{len(offsets)} strips or tiles of {down * across * planes}")
+    if th * tw * deep * kind.itemsize * down * across * planes > MOST_EXPANSION * len(data):
+        raise ValueError("more samples than the data can hold")
+
+    def block(off: int, count: int, rows: int) -> np.ndarray:
+        size = rows * tw * deep * kind.itemsize
         raw = _unpack(data[off : off + count], how, size)
         if len(raw) < size:
             raise ValueError("too few bytes in a strip or tile")
-        a = np.frombuffer(raw[:size], kind).reshape(rows, cols, samples)
+        if predictor == 3:  # differences of bytes, of which the highest of a row come first
+            flat = np.cumsum(np.frombuffer(raw[:size], np.uint8).reshape(rows, -1, deep), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, tw * deep)
+            return np.ascontiguousarray(flat.transpose(0, 2, 1)).view(">f4").reshape(rows, tw, deep)
+        a = np.frombuffer(raw[:size], kind).reshape(rows, tw, deep)
         return np.cumsum(a, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else a
 
-    pixels = np.empty((height, width, samples), kind.newbyteorder("="))
-    if TAG["tile_offsets"] in tags:
-        tw, th = one("tile_width"), one("tile_height")
-        across = -(-width // tw)
-        for k, (off, count) in enumerate(zip(tags[TAG["tile_offsets"]], tags[TAG["tile_counts"]], strict=True)):
-            r, c = k // across * th, k % across * tw
-            part = block(off, count, th, tw)
-            pixels[r : r + th, c : c + tw] = part[: height - r, : width - c]
-    else:
-        step = min(one("rows_per_strip", height), height)
-        for k, (off, count) in enumerate(zip(tags[TAG["strip_offsets"]], tags[TAG["strip_counts"]], strict=True)):
-            rows = min(step, height - k * step)
-            pixels[k * step : k * step + rows] = block(off, count, rows, width)
+    pixels = np.zeros((height, width, samples), kind.newbyteorder("="))
+    for k, (off, count) in enumerate(zip(offsets, counts, strict=True)):
+        plane, at = divmod(k, down * across)
+        r, c = at // across * th, at % across * tw
+        part = block(off, count, th if tiled else min(th, height - r))
+        pixels[r : r + th, c : c + tw, plane : plane + deep] = part[: height - r, : width - c]
     return Page(index, width, height, samples, bits, how, predictor, pixels, None)
 
 
@@ -317,12 +332,12 @@ def read_pages(data: bytes) -> Iterator[Page]:
         seen.add(at)
         try:
             tags, nxt = _directory(data, order, at)
-        except struct.error as e:
+        except (ValueError, struct.error) as e:
             yield failed(k, e)
             return
         try:
             yield _image(data, order, tags, k)
-        except (ValueError, KeyError, TypeError, struct.error, zlib.error) as e:
+        except (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError, struct.error, zlib.error) as e:
             yield failed(k, e)
         at, k = nxt, k + 1
 

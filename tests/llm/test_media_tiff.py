@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -44,6 +45,68 @@ def test_damaged(spark):
     assert {r.doc_id: r.error is None for r in got} == {0: False, 1: False, 2: False, 3: True, 5: False}
 
 
+def hand_made(tags, strips, order="<"):
+    """A file with one directory: tags as {number: (type, values)}, strips appended."""
+    kinds = {3: "H", 4: "I"}
+    at = 8 + 2 + 12 * (len(tags) + 2) + 4
+    extra, rows = b"", []
+    offsets, pos = [], None
+    body = lambda t: {**t, 273: (4, [0] * len(strips)), 279: (4, [len(s) for s in strips])}
+    size = sum(struct.calcsize(kinds[k]) * len(v) for k, v in body(tags).values() if struct.calcsize(kinds[k]) * len(v) > 4)
+    pos = at + size
+    for s in strips:
+        offsets.append(pos)
+        pos += len(s)
+    for tag, (kind, values) in sorted({**body(tags), 273: (4, offsets)}.items()):
+        raw = struct.pack(f"{order}{len(values)}{kinds[kind]}", *values)
+        if len(raw) > 4:
+            rows.append(struct.pack(order + "HHII", tag, kind, len(values), at + len(extra)))
+            extra += raw
+        else:
+            rows.append(struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0"))
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8) + struct.pack(order + "H", len(rows)) + b"".join(rows) + bytes(4) + extra + b"".join(strips)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_planes_and_floats(order):
+    rng = np.random.default_rng(1)
+    rgb = rng.integers(0, 256, (6, 5, 3), dtype=np.uint8)
+    planes = [np.ascontiguousarray(rgb[r : r + 4, :, c]).tobytes() for c in range(3) for r in (0, 4)]
+    tags = {256: (3, [5]), 257: (3, [6]), 258: (3, [8, 8, 8]), 259: (3, [1]), 277: (3, [3]), 278: (3, [4]), 284: (3, [2])}
+    (p,) = M.read_pages(hand_made(tags, planes, order))
+    assert p.error is None and (p.pixels == rgb).all()
+    x = rng.standard_normal((6, 5)).astype(np.float32)
+    high_first = np.ascontiguousarray(x.astype(">f4").view(np.uint8).reshape(6, 5, 4).transpose(0, 2, 1)).reshape(6, 20)
+    coded = np.diff(high_first, axis=1, prepend=np.uint8(0)).astype(np.uint8)
+    tags = {256: (3, [5]), 257: (3, [6]), 258: (3, [32]), 259: (3, [8]), 317: (3, [3]), 339: (3, [3])}
+    (p,) = M.read_pages(hand_made(tags, [zlib.compress(coded.tobytes())], order))
+    assert p.error is None and (p.pixels[:, :, 0] == x).all()
+
+
+def test_no_damage_escapes():
+    """Every byte of header and directories set to other values: no exception, and equal bytes give equal samples."""
+    good = M.encode([np.arange(48, dtype=np.uint8).reshape(6, 8), np.zeros((5, 4, 3), np.uint8)], M.DEFLATE, 2, 2)
+    tiled = M.encode([np.arange(64, dtype=np.uint8).reshape(8, 8)], M.RAW, 1, 7, (16, 16))
+    n_errors = 0
+    for data in (good, tiled):
+        for at in range(len(data)):
+            for value in (0, 1, 0x7F, 0xFF, data[at] ^ 0x10):
+                hurt = data[:at] + bytes([value]) + data[at + 1 :]
+                a, b = list(M.read_pages(hurt)), list(M.read_pages(hurt))
+                n_errors += any(p.error for p in a)
+                assert [(p.error, None if p.pixels is None else p.pixels.tobytes()) for p in a] == [(p.error, None if p.pixels is None else p.pixels.tobytes()) for p in b]
+    assert n_errors > 200
+
+
+@pytest.mark.parametrize("tags", [{322: (3, [0])}, {256: (4, [])}, {257: (4, [4 * 10**9])}, {278: (3, [2])}, {277: (3, [0])}, {278: (3, [0])}])
+def test_sizes_that_cannot_be(tags):
+    fine = {256: (3, [4]), 257: (3, [4]), 258: (3, [8]), 259: (3, [1]), 277: (3, [1]), 278: (3, [4])}
+    (p,) = M.read_pages(hand_made(fine, [bytes(16)]))
+    assert p.error is None
+    (p,) = M.read_pages(hand_made(fine | tags, [bytes(16)])) if 322 not in tags else M.read_pages(hand_made(fine | tags | {323: (3, [4]), 324: (4, [8]), 325: (4, [16])}, [bytes(16)]))
+    assert p.error and p.pixels is None
+
+
 def test_query_values(odd, odd_rows):
     got = sorted(M.tiff_digests(M.tiff_media(odd)).collect(), key=str)
     want = []
