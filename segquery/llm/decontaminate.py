@@ -59,9 +59,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     hits = _seeds(_hashed(named, "doc_id", "text"), "doc_id", masks).join(held, "seed")
     hits = stored(hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     whole = _hashed(named.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text")
-    pair = hits.join(items.withColumnRenamed("h", "g"), "item_id").join(whole, "doc_id")
-    lo, hi = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("g"), F.size("h") - F.col("shift"))
-    gains = F.transform(F.sequence(lo, hi - 1), lambda j: F.when(F.get("g", j) == F.get("h", j + F.col("shift")), 1).otherwise(-1))
+    # a document's hashes are cut to the stretch beside the item before they are paired: no pair holds a whole document
+    sized = hits.join(items.select("item_id", F.size("h").alias("n")), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "n")).alias("hits"))  # at most a document's own hits
+    beside = whole.join(sized, "doc_id")
+    lo, hi = lambda x: F.greatest(F.lit(0), -x["shift"]), lambda x: F.least(x["n"], F.size("h") - x["shift"])
+    cut = F.transform(F.filter("hits", lambda x: hi(x) > lo(x)), lambda x: F.struct(x["item_id"].alias("item_id"), lo(x).alias("lo"), F.slice("h", lo(x) + x["shift"] + 1, hi(x) - lo(x)).alias("part")))
+    pair = beside.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*").join(items.withColumnRenamed("h", "g"), "item_id")
+    gains = F.transform(F.sequence(F.lit(0), F.size("part") - 1), lambda j: F.when(F.get("g", j + F.col("lo")) == F.get("part", j), 1).otherwise(-1))
     # best stretch: running sum that starts anew where it falls below zero
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
     step = lambda a, g: F.struct(F.greatest(F.lit(0), a["now"] + g).alias("now"), F.greatest(a["best"], a["now"] + g).alias("best"))
