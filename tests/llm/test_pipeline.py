@@ -1,6 +1,6 @@
 import corpus_pipeline as P
 from segquery.llm import decontaminate, pii, quality
-from segquery.llm.common import stored
+from segquery.llm.common import shared_dir, stored
 
 
 def test_stages(spark, sf):
@@ -42,8 +42,20 @@ def test_stages(spark, sf):
     assert sorted(r.doc_id for r in a.collect()) == sorted(r.doc_id for r in b.collect())
 
 
+def tables(spark):
+    import os
+
+    return os.listdir(shared_dir(spark).removeprefix("file:") + "/segquery")
+
+
 def test_run(spark, sf):
-    assert P.run(spark, sf).count() > 0
+    """The rows of the last stage, and nothing stored on the way but the stages' results and its own."""
+    at, before = spark.read.parquet(f"{sf}/documents.parquet"), tables(spark)
+    for name, stage in P.STAGES:
+        at = stored(stage(spark, at, sf))
+    want, between = sorted(map(str, at.collect())), tables(spark)
+    assert sorted(map(str, P.run(spark, sf).collect())) == want
+    assert len(between) - len(before) > 30 > 12 > len(tables(spark)) - len(between)
 
 
 def test_odd_rows(odd, empty, spark, sf):
