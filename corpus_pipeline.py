@@ -1,8 +1,12 @@
 """Corpus pipeline: quality, near-duplicates, benchmark leaks, personal data, packing.
 
 Each stage takes all that the stage before it kept; between stages the documents are a written
-table. Filtering stages drop rows by id and leave the rest untouched; a row without an id is
-kept by them. No stage has an equivalent in SQL (a fitted classifier, component labelling over
+table. Filtering stages drop rows by id and leave the rest untouched. Defined results, stage by
+stage: a row without an id is never dropped; a null or empty text is a text without words (in
+quality it has a score like any other, in near_duplicates all such texts are copies, in
+decontamination and pii they are clean, in packing they have length 1); of ties the document of
+least id stays; repeated rows (one id) share the verdict on that id, so all of them stay or all
+go; extra columns pass through, whatever their names. No stage has an equivalent in SQL (a fitted classifier, component labelling over
 SimHash candidates and a random field are among them), so ``ORACLE_SQL`` is None and the stages
 are tested against plain versions.
 """
@@ -12,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from segquery.llm import decontaminate, packing, pii, quality, simhash
-from segquery.llm.common import stored, table
+from segquery.llm.common import passing, stored, table
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -60,7 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
+        if name == STAGES[-1][0]:
+            return stage(spark, docs, sf_dir)
+        with passing(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir))
+            made.pop()  # the stage's result stays, what it needed on the way goes
     return docs
