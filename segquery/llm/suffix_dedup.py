@@ -137,22 +137,34 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def crowded_runs(texts: DataFrame, length: int, q: int, hot: int) -> DataFrame:
-    """(uid, s, e): runs of repeated starts in the buckets of over ``hot`` members of ``texts`` (uid, text, a)."""
+    """(uid, runs): runs (s, e) of repeated starts in the buckets of over ``hot`` members of ``texts`` (uid, text, a).
+
+    Members with the same bytes around them are one context with a number of places, which is
+    judged once; a line that a text repeats without end has few of them.
+    """
     far = length - q  # of a start from its q-gram
     widths = [1, *(2 * 4**k for k in range(32) if 2 * 4**k <= length // 3)][::-1]
 
     def around(rows: Iterator[tuple]) -> Iterator[tuple]:
         for uid, text, a in rows:
             raw = text.encode("utf-8", "surrogatepass")
+            found: dict[bytes, tuple[int, int, int, bytes, list[int]]] = {}
             for x in a:
                 if x["members"] > hot:
                     p = x["place"]
-                    least, most = p - x["hi"], p - x["lo"]
-                    yield uid, p, least, most, min(p, far), raw[max(0, p - far) : p + length], list(range(least - least % widths[0], most + 1, widths[0]))
-
-    held = stored(map_rows(texts.select("uid", "text", "a"), around, "uid binary, place int, least int, most int, before int, context binary, todo array<int>", 256))
+                    shape = min(p, far), p - x["hi"], p - x["lo"]
+                    context = raw[max(0, p - far) : p + length]
+                    found.setdefault(xxhash.xxh128_digest(f"{shape}".encode() + context), (*shape, context, []))[4].append(p)
+            for cid, (before, least, most, context, places) in found.items():
+                yield uid, cid, before, least, most, context, places
+
+    laid = stored(map_rows(texts.select("uid", "text", "a"), around, "uid binary, cid binary, before int, least int, most int, context binary, places array<int>", 256))
+    one = [F.first(c).alias(c) for c in ("before", "least", "most", "context")]  # equal for one cid
+    held = stored(laid.groupBy("cid").agg(F.sum(F.size("places")).alias("n"), *one))
+    reach = held.select("cid", "least", "most")
+    first = F.col("least") - F.col("least") % widths[0]
+    todo = held.withColumn("todo", F.sequence(first, F.col("most"), F.lit(widths[0])))
     out: list[DataFrame] = []
-    todo = held
     for depth, width in enumerate(widths):
 
         def keys(rows: Iterator[tuple], width: int = width) -> Iterator[tuple]:
@@ -160,40 +172,41 @@ def crowded_runs(texts: DataFrame, length: int, q: int, hot: int) -> DataFrame:
                 k = xxhash.xxh128_intdigest(data, seed)
                 return (k & (2**64 - 1)) - 2**63, (k >> 64) - 2**63
 
-            for uid, place, before, context, todo in rows:
+            for cid, n, before, context, todo in rows:
                 for d in todo:
                     last = min(d + width - 1, far)
                     all_hold = key(context[before - d : before - last + length], 2 * d)
                     whole = before >= last and before - d + length <= len(context)
                     any_holds = all_hold if width == 1 else key(context[before - last : before - d + length], 2 * d + 1) if whole else (None, None)
-                    yield uid, place, d, *all_hold, *any_holds
-
-        leaves = stored(map_rows(todo.select("uid", "place", "before", "context", "todo"), keys, "uid binary, place int, d int, i1 long, i2 long, o1 long, o2 long", 2048))
-        # written first, so that the joins have plain exchanges on both sides and hot keys are split
-        common = lambda a, b, leaves=leaves: stored(leaves.where(F.col(a).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(a, b))
-        open_ = stored(leaves.join(common("i1", "i2"), ["i1", "i2"]).select("uid", "place", "d", "o1", "o2"))
+                    yield cid, n, d, *all_hold, *any_holds
+
+        leaves = stored(map_rows(todo.select("cid", "n", "before", "context", "todo"), keys, "cid binary, n long, d int, i1 long, i2 long, o1 long, o2 long", 2048))
+        # equal bytes are judged once: a group of two places or more is repeated, whatever its size
+        groups = stored(leaves.where("o1 is not null").groupBy("o1", "o2", "i1", "i2").agg(F.sum("n").alias("n"), F.min(F.struct("cid", "d")).alias("x")))
+        # tables of their own, so that the joins have plain exchanges on both sides and hot keys are split
+        again = stored(groups.where("n > 1").select("o1", "o2", "x"))
+        whole = leaves.join(again.select("o1", "o2"), ["o1", "o2"]).join(reach, "cid")
+        out.append(whole.select("cid", (-F.least(F.lit(width - 1) + F.col("d"), "most")).alias("s"), (-F.greatest("d", "least")).alias("e")))
         if width == 1:
-            out.append(open_.select("uid", (F.col("place") - F.col("d")).alias("s"), (F.col("place") - F.col("d")).alias("e")))
             break
-        again = common("o1", "o2").withColumn("both", F.lit(True))
-        judged = stored(open_.join(again, ["o1", "o2"], "left").select("uid", "place", "d", "o1", "o2", F.col("both").isNotNull().alias("repeated")))
-        reach = held.select("uid", "place", "least", "most")
-        whole = judged.where("repeated").join(reach, ["uid", "place"])
-        out.append(whole.select("uid", (F.col("place") - F.least(F.lit(width - 1) + F.col("d"), "most")).alias("s"), (F.col("place") - F.greatest("d", "least")).alias("e")))
+        cut_off = leaves.where("o1 is null").select("cid", "n", "d", "i1", "i2")  # by the text's ends
+        shared = stored(groups.select("i1", "i2", "n").unionByName(cut_off.select("i1", "i2", "n")).groupBy("i1", "i2").agg(F.sum("n").alias("n")).where("n > 1").select("i1", "i2"))
+        alone = groups.where("n = 1").select("x.*", "i1", "i2").unionByName(cut_off.drop("n")).join(shared, ["i1", "i2"]).select("cid", "d")
         step = widths[depth + 1]
-        # one of the members with the same bytes stays, for those that share only a part with it
-        stays = judged.where("repeated").groupBy("o1", "o2").agg(F.min(F.struct("uid", "place", "d")).alias("x")).select("x.*")
-        parts = judged.where("not repeated").select("uid", "place", "d").unionByName(stays)
-        parts = parts.select("uid", "place", F.explode(F.sequence("d", F.col("d") + width - step, F.lit(step))).alias("d"))
-        parts = parts.join(reach, ["uid", "place"]).where((F.col("d") <= F.col("most")) & (F.col("d") + step > F.col("least")))
-        parts = parts.groupBy("uid", "place").agg(F.collect_list("d").alias("todo"))  # at most a member's own ranges
-        todo = stored(held.drop("todo").join(parts, ["uid", "place"]))
+        # one of the contexts with the same bytes stays, for those that share only a part with it
+        parts = alone.unionByName(again.select("x.*"))
+        parts = parts.select("cid", F.explode(F.sequence("d", F.col("d") + width - step, F.lit(step))).alias("d"))
+        parts = parts.join(reach, "cid").where((F.col("d") <= F.col("most")) & (F.col("d") + step > F.col("least")))
+        parts = parts.groupBy("cid").agg(F.collect_list("d").alias("todo"))  # at most a context's own ranges
+        todo = stored(held.join(parts, "cid"))
         if todo.isEmpty():
             break
     runs = out[0]
     for more in out[1:]:
         runs = runs.unionByName(more)
-    return runs
+    ranges = stored(runs.groupBy("cid").agg(F.collect_list(F.struct("s", "e")).alias("ranges")))  # at most a context's own starts
+    at = F.flatten(F.transform("places", lambda p: F.transform("ranges", lambda r: F.struct((p + r["s"]).alias("s"), (p + r["e"]).alias("e")))))
+    return laid.select("uid", "cid", "places").join(ranges, "cid").select("uid", at.alias("runs"))
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
@@ -213,7 +226,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, chun
     # anchors of one row for each distinct text
     one = seen.where(F.size("h") > 0).dropDuplicates(["uid"])
     flat = stored(one.select("uid", F.explode(F.arrays_zip("h", "place", "lo", "hi")).alias("a")).select("uid", "a.*"))
-    shared = flat.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
+    # a table of its own, so that the join has plain exchanges on both sides and hot q-grams are split
+    shared = stored(flat.groupBy("h").agg(F.count("*").alias("members")).where("members > 1"))
     live = flat.join(shared, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "members", "place", "lo", "hi")).alias("a"))  # at most a text's own anchors
 
     def keyed(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -255,10 +269,11 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, chun
     parts = map_rows(found, contexts, "h long, uid binary, lo int, context binary", 512)
     runs = map_rows(parts.repartition("h").sortWithinPartitions("h"), refine, "uid binary, s int, e int", 2048)
 
+    spans = runs.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     crowded = found.where(F.exists("a", lambda x: x["members"] > hot))
     if not crowded.isEmpty():
-        runs = runs.unionByName(crowded_runs(crowded, length, q, hot))
-    spans = runs.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))  # at most a text's own starts
+        spans = spans.unionByName(crowded_runs(crowded, length, q, hot))
+    spans = spans.groupBy("uid").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"))  # at most a text's own starts
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
         for uid, text, runs in rows:
