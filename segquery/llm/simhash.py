@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, text_or_empty
+from .common import map_rows, passing, stored, text_or_empty
 from .graph import components
 
 SEED = 42
@@ -117,7 +117,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 
 
 #: Points of a block, which one task sorts at a time; points that a task packs at a time.
-BLOCK_POINTS, TASK_POINTS = 1 << 18, 3 << 20
+BLOCK_POINTS, TASK_POINTS = 1 << 18, 1 << 20
 #: Members of a point this far apart are not compared by tag: the point is crowded.
 FAR_APART = 64
 _MIX = 0x9E3779B97F4A7C15
@@ -163,8 +163,13 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
     other too and the one of least digest is compared with the rest. A row without an id has a
     component only as a copy of one with an id.
     """
-    spark = docs.sparkSession
+    with passing(docs.sparkSession) as made:
+        out = stored(_similar(text_or_empty(docs), words, min_similarity, recall))
+        made.pop()  # the result stays, all that it was made from goes
+    return out
 
+
+def _similar(docs: DataFrame, words: int, min_similarity: float, recall: float) -> DataFrame:
     def keyed(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             yield doc_id, xxhash.xxh128_digest(b" ".join(words_of(text)))
@@ -233,7 +238,7 @@ def similar_components(docs: DataFrame, words: int = 5, min_similarity: float =
         of = stored(members.join(values, ["v", "tag", "c"], "left_semi").select("doc_id", "comp").distinct())
         if not of.isEmpty():
             links = links.unionAll(crowd_links(docs, of, words, min_similarity))
-    return _classes(docs, ids, reps, links)
+    return _classes(ids, reps, links)
 
 
 def _pairs(flat: DataFrame, near: DataFrame) -> DataFrame:
@@ -360,13 +365,16 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, words: int, min_similarity: f
     too much of its own meets nobody.
     """
 
-    def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text in rows:
-            h = np.unique(shingle_hashes(words_of(text), words, 7))
-            yield doc_id, len(h), h.view(np.int64).tolist()
-
-    of = map_rows(text_or_empty(docs).join(crowd, "doc_id", "left_semi"), sets, "doc_id long, n int, hs array<long>", 256).groupBy("doc_id").agg(F.min(F.struct("n", "hs")).alias("of"))
-    flat = stored(of.join(crowd, "doc_id").select("doc_id", "comp", "of.n", F.explode("of.hs").alias("h")))
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, comp, text in zip(*batch.columns, strict=True):
+                h = np.unique(shingle_hashes(words_of(text.as_py()), words, 7)).view(np.int64)
+                same = [pa.array(np.full(len(h), x)) for x in (doc_id.as_py(), comp.as_py(), len(h))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(h)], ["doc_id", "comp", "n", "h"])
+
+    # the n of least set stands for an id whose rows differ in text
+    of = text_or_empty(docs).join(crowd, "doc_id").select("doc_id", "comp", "text").mapInArrow(sets, "doc_id long, comp long, n long, h long")
+    flat = stored(of.groupBy("doc_id", "comp", "h").agg(F.min("n").alias("n")))
     between = flat.groupBy("h").agg(F.count("*").alias("texts"), F.min("comp").alias("least"), F.max("comp").alias("last")).where("least <> last").select("h", "texts")
     of_doc = Window.partitionBy("doc_id")
     ranked = flat.join(between, "h").select("doc_id", "comp", "n", "h", F.row_number().over(of_doc.orderBy("texts", "h")).alias("at"), F.count("*").over(of_doc).alias("left"))
@@ -412,7 +420,7 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, words: int, min_similarity: f
         if held:
             yield from matched(held)
 
-    postings = prefix.select("h", "doc_id", "comp", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
+    postings = prefix.select("h", "doc_id", "comp", "n", F.col("at").cast("long").alias("at"))
     spread = postings.repartition("h").sortWithinPartitions("h")
     pairs = stored(spread.mapInArrow(meet, "x long, y long").distinct())
     return verified(docs, pairs, words, min_similarity)
@@ -424,9 +432,10 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, min_similarity: floa
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
-            yield doc_id, np.unique(shingle_hashes(words_of(text), words, 7)).tobytes()
+            ws = words_of(text)
+            yield doc_id, xxhash.xxh128_digest(b" ".join(ws)), np.unique(shingle_hashes(ws, words, 7)).tobytes()
 
-    of = stored(map_rows(text_or_empty(docs).join(named, "doc_id", "left_semi"), sets, "doc_id long, h binary", 256).dropDuplicates(["doc_id"]))
+    of = stored(map_rows(text_or_empty(docs).join(named, "doc_id", "left_semi"), sets, "doc_id long, copy binary, h binary", 64).groupBy("doc_id").agg(F.min_by("h", "copy").alias("h")))
 
     def check(rows: Iterator[tuple]) -> Iterator[tuple]:
         for x, y, p, q in rows:
@@ -436,10 +445,10 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, min_similarity: floa
                 yield x, y
 
     wide = pairs.join(of.select(F.col("doc_id").alias("x"), F.col("h").alias("p")), "x").join(of.select(F.col("doc_id").alias("y"), F.col("h").alias("q")), "y")
-    return map_rows(wide.select("x", "y", "p", "q"), check, "x long, y long", 256)
+    return map_rows(wide.select("x", "y", "p", "q"), check, "x long, y long", 64)
 
 
-def _classes(docs: DataFrame, ids: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
+def _classes(ids: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
     comp = components(links, "x", "y")
     least = comp.groupBy("root").agg(F.min("node").alias("component_id"))
     of_rep = comp.join(least, "root").select(F.col("node").alias("rep"), "component_id")
