@@ -43,7 +43,11 @@ def word_count(text: Column | str) -> Column:
     return F.size(F.filter(F.split(col(text), r"\s+"), lambda w: w != "")).cast("long")
 
 
-def token_set(text: Column | str, stop: tuple[str, ...] = (), least: int = 3) -> Column:
+#: Words that no token set holds.
+STOP = ("the", "and", "with", "into", "onto", "some", "then", "for", "from", "until", "that", "this", "them", "over")
+
+
+def token_set(text: Column | str, stop: tuple[str, ...] = STOP, least: int = 3) -> Column:
     """Distinct lower-case runs of letters and digits with ``least`` characters and no stop word."""
     words = F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+")
     keep = lambda w: (F.length(w) >= least) & ~w.isin(*stop) if stop else F.length(w) >= least
@@ -76,21 +80,41 @@ def tiou_union(a0: Column | str, a1: Column | str, b0: Column | str, b1: Column
     return F.when(union <= 0, 0.0).otherwise(inter.cast("double") / F.when(union > 0, union))
 
 
-def grid_to_sec(i: Column | str, n: Column | str, dur: Column | str, stride: float = 0.5, steps: int = 256) -> Column:
-    """Grid position to seconds, clipped to [0, duration]."""
-    return F.greatest(F.lit(0.0), F.least(col(i) * (F.lit(stride) * col(n) / steps), col(dur).cast("double")))
+def grid_step(n: Column | str, fps: int = 16, stride: int = 16, window: int = 16, steps: int = 256) -> Column:
+    """Seconds of one grid step when the span of ``n`` rows is resampled to ``steps``."""
+    return ((col(n) - 1) * F.lit(float(stride)) + F.lit(float(window))) / F.lit(float(steps)) / F.lit(float(fps))
+
+
+def grid_to_sec(g: Column | str, n: Column | str, dur: Column | str | None = None, **grid: int) -> Column:
+    """Grid coordinate to seconds: the middle of its step; clipped to [0, duration] where one is given."""
+    t = (col(g) + F.lit(0.5)) * grid_step(n, **grid)
+    return t if dur is None else F.greatest(F.lit(0.0), F.least(t, col(dur).cast("double")))
+
+
+def sec_to_grid(t: Column | str, n: Column | str, **grid: int) -> Column:
+    """The inverse without the clipping; null where a step has no length."""
+    step = grid_step(n, **grid)
+    return col(t) / F.when(step > 0, step) - F.lit(0.5)
+
+
+def level_times(n: Column | str, level: int = 0, steps: int = 256, **grid: int) -> Column:
+    """Array of the middles of the steps of a pyramid level: every ``2 ** level``-th grid coordinate."""
+    return F.transform(F.sequence(F.lit(0), F.lit(steps - 2**level), F.lit(2**level)), lambda g: grid_to_sec(g, n, steps=steps, **grid))
 
 
-def sec_to_grid(t: Column | str, n: Column | str, stride: float = 0.5, steps: int = 256) -> Column:
-    step = F.lit(stride) * col(n) / steps
-    return F.when(step > 0, col(t) / F.when(step > 0, step)).otherwise(0.0)
+def round_capped(ts: Column | str, te: Column | str, dur: Column | str, digits: int = 2) -> tuple[Column, Column]:
+    """Start and end rounded; the end never behind the duration."""
+    return F.round(col(ts).cast("double"), digits), F.least(F.round(col(te).cast("double"), digits), col(dur).cast("double"))
 
 
-def frame_index(first: Column | str, last: Column | str, n: Column | str, k: int = 8) -> Column:
-    """``k`` equally spaced frame numbers, the last clipped to n - 1; a start behind the end raises."""
-    end = F.least(col(last), col(n) - 1)
-    at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(col(first) + i * (end - col(first)) / (k - 1)).cast("long"))
-    return F.when(col(first) > end, F.raise_error(F.lit("the segment starts behind the last frame"))).otherwise(at)
+def frame_index(ts: Column | str, te: Column | str, fps: Column | float, n: Column | str, k: int = 8) -> Column:
+    """``k`` equally spaced frame numbers between the frames nearest to start and end, the last clipped to n - 1; a start behind it raises."""
+    fps = fps if isinstance(fps, Column) else F.lit(fps)
+    first = F.rint(col(ts) * fps)
+    end = F.least(F.rint(col(te) * fps), (col(n) - 1).cast("double"))
+    step = (end - first) / F.lit(max(k - 1, 1))
+    at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when((i == k - 1) & F.lit(k > 1), end).otherwise(first + i * step).cast("long"))
+    return F.when(first > end, F.raise_error(F.lit("the segment starts behind the last frame"))).otherwise(at)
 
 
 # ---------------------------------------------------------------- vectors
@@ -111,9 +135,9 @@ def unit(a: Column | str) -> Column:
 
 
 def quantised(a: Column | str) -> tuple[Column, Column]:
-    """(codes, scale): symmetric 8-bit codes, scale = largest magnitude / 127 (1/127 for a zero vector)."""
+    """(codes, scale): symmetric 8-bit codes, scale = largest magnitude / 127 (1 for a zero vector)."""
     top = F.array_max(F.transform(col(a), lambda x: F.abs(x.cast("double"))))
-    scale = F.when(top > 0, top).otherwise(1.0) / 127
+    scale = F.when(top > 0, top / 127).otherwise(1.0)
     return F.transform(col(a), lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x.cast("double") / scale))).cast("tinyint")), scale
 
 

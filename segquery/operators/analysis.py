@@ -126,3 +126,24 @@ def require(found: DataFrame, expected: DataFrame, key: str, value: str, tol: fl
     """(key, expected, found, ok) for every expected key; a missing one is not ok."""
     e = expected.select(key, F.col(value).alias("expected"))
     return e.join(found.select(key, F.col(value).alias("found")), key, "left").withColumn("ok", F.coalesce(F.abs(F.col("found") - F.col("expected")) <= tol, F.lit(False)))
+
+
+def jaccard_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, words: str, least: float) -> DataFrame:
+    """(a_id, b_id, jaccard): all pairs of sets (arrays ``words``) with this similarity at least, which is above 0.
+
+    Exact without all pairs: in a common order of words, rare ones first, two such sets share one
+    of their first ``n - ceil(least n) + 1``. Sets are joined to the pairs that meet there.
+    """
+    sized = [t.select(F.col(i).alias("id"), F.col(words).alias("w"), F.size(words).alias("n")).where("n > 0") for t, i in ((a, a_id), (b, b_id))]
+    flat = [t.select("id", "n", F.explode("w").alias("x")) for t in sized]
+    often = flat[0].select("x").unionAll(flat[1].select("x")).groupBy("x").agg(F.count("*").alias("f"))
+    first = []
+    for t in flat:
+        place = F.row_number().over(Window.partitionBy("id").orderBy("f", "x"))
+        first.append(t.join(often, "x").withColumn("r", place).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("id", "n", "x"))
+    x, y = first[0], first[1].select(F.col("id").alias("id2"), F.col("n").alias("n2"), "x")
+    fits = (F.col("n2") >= least * F.col("n") - 1e-9) & (F.col("n") >= least * F.col("n2") - 1e-9)
+    met = x.join(y, "x").where(fits).select("id", "id2").distinct()
+    wide = met.join(sized[0], "id").join(sized[1].select(F.col("id").alias("id2"), F.col("w").alias("w2")), "id2")
+    out = wide.select(F.col("id").alias(a_id), F.col("id2").alias(b_id), X.jaccard("w", "w2").alias("jaccard"))
+    return out.where(F.col("jaccard") >= least - 1e-12)

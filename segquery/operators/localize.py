@@ -6,6 +6,8 @@ an item's proposals are few whatever the corpus size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,7 +33,7 @@ def _tiou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def merged_rows(segs: list[dict], threshold: float) -> list[dict]:
-    """The pair of highest tIoU above the threshold merges, again and again; first pair on ties."""
+    """The pair of highest tIoU above the threshold merges, again and again; first pair on ties; what is merged goes to the end."""
     segs = [dict(s) for s in segs]
     while len(segs) > 1:
         box = np.array([[s["ts"], s["te"]] for s in segs], float)
@@ -42,8 +44,7 @@ def merged_rows(segs: list[dict], threshold: float) -> list[dict]:
         a, b = segs[i], segs[j]
         base = a if a["conf"] >= b["conf"] else b
         new = base | {"ts": min(a["ts"], b["ts"]), "te": max(a["te"], b["te"]), "conf": max(a["conf"], b["conf"]), "merged": a["merged"] + b["merged"]}
-        segs = [s for k, s in enumerate(segs) if k not in (i, j)]
-        segs.insert(i, new)
+        segs = [*(s for k, s in enumerate(segs) if k not in (i, j)), new]
     return segs
 
 
@@ -131,32 +132,57 @@ def prf(gt: DataFrame, preds: DataFrame, matches: DataFrame) -> DataFrame:
     return one.select("*", ratio(m, F.col("n_pred")).alias("precision"), ratio(m, F.col("n_gt")).alias("recall"), ratio(2 * m, F.col("n_gt") + F.col("n_pred")).alias("f1"))
 
 
-def average_precision(gt: DataFrame, preds: DataFrame, threshold: float) -> DataFrame:
-    """One row ``ap``: interpolated; a prediction takes the unmatched event of highest tIoU of its item, in order of confidence."""
+def greedy_match(gt: DataFrame, preds: DataFrame, threshold: float) -> DataFrame:
+    """(video_id, gt_id, pred_id, tiou): in order of confidence, a prediction takes the free event of highest tIoU >= threshold of its item."""
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["conf", "pred_id", "tiou", "gt_id"], ascending=[False, True, False, True])
-        taken, hit = set(), {}
+        taken, served, keep = set(), set(), []
         for pid, gid in zip(df.pred_id, df.gt_id, strict=True):
-            if pid not in hit and gid not in taken:
+            keep.append(pid not in served and gid not in taken)
+            if keep[-1]:
                 taken.add(gid)
-                hit[pid] = 1
-        return pd.DataFrame({"pred_id": list(hit), "tp": 1})
+                served.add(pid)
+        return df.loc[keep, ["video_id", "gt_id", "pred_id", "tiou"]]
 
-    kind = dict(preds.dtypes)
-    # only pairs that overlap enough compete; all other predictions of items with events are false
+    # only pairs that overlap enough compete
     close = pairs(gt, preds).where(F.col("tiou") >= threshold).select("video_id", "gt_id", "pred_id", "conf", "tiou")
-    hits = close.groupBy("video_id").applyInPandas(run, f"pred_id {kind['pred_id']}, tp long")
+    return close.groupBy("video_id").applyInPandas(run, close.drop("conf").schema)
+
+
+def prf_at(gt: DataFrame, preds: DataFrame, threshold: float, match: Callable[[DataFrame, DataFrame, float], DataFrame] = hungarian) -> DataFrame:
+    """``prf`` after matching with any matcher of (gt, preds, threshold); predictions of items without events do not count."""
+    known = preds.join(gt.select("video_id").distinct(), "video_id", "left_semi")
+    return prf(gt, known, match(gt, known, threshold))
+
+
+def average_precision(gt: DataFrame, preds: DataFrame, threshold: float) -> DataFrame:
+    """One row ``ap``: interpolated; a prediction takes the unmatched event of highest tIoU of its item, in order of confidence."""
+    # all other predictions of items with events are false
+    hits = greedy_match(gt, preds, threshold).select("pred_id", F.lit(1).cast("long").alias("tp"))
     known = preds.join(gt.select("video_id").distinct(), "video_id", "left_semi").select("pred_id", "conf")
     return ap_of(known.join(hits, "pred_id", "left").na.fill(0, ["tp"]), gt)
 
 
-def ap_of(flags: DataFrame, gt: DataFrame) -> DataFrame:
-    """Interpolated AP of (pred_id, conf, tp): suffix maxima of precision times steps of recall."""
-    w = Window.orderBy(F.desc("conf"), "pred_id")
-    n_gt = gt.agg(F.count("*").alias("n_gt"))
-    ranked = flags.withColumn("rank", F.row_number().over(w)).withColumn("cum", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("best", F.max(F.col("cum") / F.col("rank")).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    total = ranked.agg(F.coalesce(F.sum(F.col("tp") * F.col("best")), F.lit(0.0)).alias("s")).crossJoin(n_gt)
+def ap_of(flags: DataFrame, gt: DataFrame, ranges: int = 64) -> DataFrame:
+    """Interpolated AP of (pred_id, conf, tp): suffix maxima of precision times steps of recall.
+
+    Predictions are cut in ranges of confidence; places and sums within a range and those of the
+    ranges above give the whole, so no task holds all predictions. Suffix maxima are running ones
+    from the end, and stand at true predictions only.
+    """
+    cuts = flags.agg(F.percentile_approx("conf", [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"))
+    part = flags.crossJoin(F.broadcast(cuts)).withColumn("_p", F.aggregate(F.coalesce("_cuts", F.array().cast("array<double>")), F.lit(0), lambda n, c: n + F.when(F.col("conf") <= c, 1).otherwise(0))).drop("_cuts")  # one row of cuts
+    below = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    above = part.groupBy("_p").agg(F.count("*").alias("_n"), F.sum("tp").alias("_t"))
+    above = above.select("_p", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_t").over(below), F.lit(0)).alias("_t0"))
+    w = Window.partitionBy("_p").orderBy(F.desc("conf"), "pred_id")
+    placed = part.withColumn("_r", F.row_number().over(w)).withColumn("_c", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("tp > 0")
+    true = placed.join(F.broadcast(above), "_p").withColumn("_prec", (F.col("_t0") + F.col("_c")) / (F.col("_n0") + F.col("_r")))
+    back = Window.partitionBy("_p").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    best = true.withColumn("_best", F.max("_prec").over(back))
+    after = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    later = true.groupBy("_p").agg(F.max("_prec").alias("_m")).select("_p", F.coalesce(F.max("_m").over(after), F.lit(0.0)).alias("_later"))
+    total = best.join(F.broadcast(later), "_p").agg(F.coalesce(F.sum(F.greatest("_best", "_later")), F.lit(0.0)).alias("s")).crossJoin(gt.agg(F.count("*").alias("n_gt")))
     return total.select(F.when(F.col("n_gt") > 0, F.col("s") / F.when(F.col("n_gt") > 0, F.col("n_gt"))).otherwise(0.0).alias("ap"))
 
 

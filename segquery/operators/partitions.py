@@ -90,12 +90,13 @@ def multi_level(videos: DataFrame, lengths: tuple[float, ...]) -> DataFrame:
     return reduce(DataFrame.unionByName, [dense(videos, w).withColumn("level", F.lit(float(w))) for w in lengths])
 
 
-def perturbed(segs: DataFrame, sigma: float, least: float, seed: object = 0, digits: int = 2) -> DataFrame:
+def perturbed(segs: DataFrame, sigma: float, least: float, seed: object = 0, digits: int = 2, key: Column | None = None) -> DataFrame:
     """Boundary noise: middle + sigma * length * u, length * exp(sigma * v), clipped; u, v are hashed normals of the segment.
 
-    What becomes shorter than ``least`` is a window of ``least`` around the clipped middle.
+    What becomes shorter than ``least`` is a window of ``least`` around the clipped middle. Rounded, the end stays
+    within the duration.
     """
-    key = F.concat_ws("#", "video_id", "k")
+    key = F.concat_ws("#", "video_id", "k") if key is None else key
     length, mid = F.col("te") - F.col("ts"), (F.col("ts") + F.col("te")) / 2
     c = mid + sigma * length * X.hash_normal(seed, key, 0)
     half = length * F.exp(sigma * X.hash_normal(seed, key, 1)) / 2
@@ -104,15 +105,16 @@ def perturbed(segs: DataFrame, sigma: float, least: float, seed: object = 0, dig
     start = F.greatest(F.lit(0.0), F.least(at - least / 2, F.col("dur") - least))
     small = hi - lo < least
     ts, te = F.when(small, start).otherwise(lo), F.when(small, F.least(start + least, F.col("dur").cast("double"))).otherwise(hi)
-    return segs.select("video_id", "k", F.round(ts, digits).alias("ts"), F.round(te, digits).alias("te"), "dur")
+    ts, te = X.round_capped(ts, te, "dur", digits)
+    return segs.select("video_id", "k", ts.alias("ts"), te.alias("te"), "dur")
 
 
 def calibrated_sigma(segs: DataFrame, target: float, least: float, seed: object = 0, top: float = 4.0, tol: float = 0.005, rounds: int = 40) -> float:
     """Noise level at which the mean tIoU of segments and their noisy selves is ``target``, by bisection."""
 
     def mean(sigma: float) -> float:
-        noisy = perturbed(segs, sigma, least, seed).select("video_id", "k", F.col("ts").alias("n0"), F.col("te").alias("n1"))
-        return segs.join(noisy, ["video_id", "k"]).agg(F.avg(X.tiou_union("ts", "te", "n0", "n1"))).first()[0]
+        noisy = perturbed(segs.withColumn("k", F.struct("k", "ts", "te")).withColumns({"ts": F.col("k.ts"), "te": F.col("k.te")}), sigma, least, seed, key=F.concat_ws("#", "video_id", "k.k"))
+        return noisy.agg(F.avg(X.tiou_union("k.ts", "k.te", "ts", "te"))).first()[0]
 
     if mean(top) > target:
         raise ValueError("the target needs more noise than allowed")

@@ -29,16 +29,41 @@ def bootstrap(units: DataFrame, n_boot: int = 200, seed: object = 0, unit: str =
 
 def weighted_line(rows: DataFrame, x: str, y: str, w: str) -> DataFrame:
     """One row (a, b, n): weighted least squares y = a + b x; the least-norm solution where all x are equal."""
+    return _lines(rows, x, y, w)
+
+
+def _lines(rows: DataFrame, x: str, y: str, w: str, *by: str) -> DataFrame:
     sx = lambda c: F.sum(F.col(w) * c)
     x_, y_ = F.col(x), F.col(y)
-    s = rows.agg(F.count("*").alias("n"), F.sum(F.col(w).cast("double")).alias("s"), sx(x_).alias("sx"), sx(y_).alias("sy"), sx(x_ * x_).alias("sxx"), sx(x_ * y_).alias("sxy"))
+    s = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(w).cast("double")).alias("s"), sx(x_).alias("sx"), sx(y_).alias("sy"), sx(x_ * x_).alias("sxx"), sx(x_ * y_).alias("sxy"))
     det = F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx")
     flat = F.abs(det) < 1e-12 * F.greatest(F.lit(1.0), F.col("s") * F.col("sxx"))
     safe = F.when(~flat, det)
     mx, my = F.col("sx") / F.col("s"), F.col("sy") / F.col("s")
     b = F.when(flat, mx * my / (1 + mx * mx)).otherwise((F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / safe)
     a = F.when(flat, my / (1 + mx * mx)).otherwise((F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy")) / safe)
-    return s.select(a.alias("a"), b.alias("b"), "n")
+    return s.select(*by, a.alias("a"), b.alias("b"), "n")
+
+
+def line_bootstrap(rows: DataFrame, x: str, y: str, w: str, unit: str, n_boot: int = 200, seed: object = 0) -> DataFrame:
+    """One row (a, b, n, a_low, a_high, b_low, b_high): the weighted line with 95 % percentile intervals over resampled units.
+
+    ``rows`` has one row a unit. A resample gives each unit a hashed Poisson(1) number of copies,
+    which a resample with replacement approaches as units grow: no draw is joined to a place, and
+    all resamples are sums of one pass.
+    """
+    u = X.hash_uniform(seed, F.col(unit), F.col("_boot"))
+    cut, total, term = [], 0.0, 0.36787944117144233  # 1 / e
+    for k in range(1, 13):
+        total += term
+        cut.append(total)
+        term /= k
+    copies = sum((F.when(u >= c, 1).otherwise(0) for c in cut), F.lit(0))
+    drawn = rows.select(unit, x, y, w, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_boot")).withColumn("_c", copies).where("_c > 0").withColumn("_w", F.col(w) * F.col("_c"))
+    per = _lines(drawn, x, y, "_w", "_boot")
+    ends = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
+    ci = per.agg(ends("a").alias("a"), ends("b").alias("b")).select(F.col("a")[0].alias("a_low"), F.col("a")[1].alias("a_high"), F.col("b")[0].alias("b_low"), F.col("b")[1].alias("b_high"))
+    return weighted_line(rows, x, y, w).crossJoin(ci)  # one row each
 
 
 def folds(items: DataFrame, key: str, seed: object = 0, n: int = 2) -> DataFrame:
@@ -70,9 +95,9 @@ def pick_best(rows: DataFrame, metric: str, *ties: Column) -> DataFrame:
 
 
 def pick_fill(rows: DataFrame, within: float = 0.3) -> DataFrame:
-    """Among rows (r1, vectors, ...) within ``within`` of the best r1: the fewest vectors, then the best r1."""
+    """Among rows (r1, vectors, ...) less than ``within`` below the best r1: the fewest vectors, then the best r1."""
     best = rows.agg(F.max("r1").alias("_best"))
-    return rows.crossJoin(best).where(F.col("r1") >= F.col("_best") - within).drop("_best").orderBy("vectors", F.desc("r1"), "name").limit(1)
+    return rows.crossJoin(best).where(F.col("r1") > F.col("_best") - within).drop("_best").orderBy("vectors", F.desc("r1"), "name").limit(1)
 
 
 def pick_level(thetas: DataFrame, topks: DataFrame, target: float, miss: float = 0.5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segquery.functions import exprs as X
 from segquery.operators import analysis as A
+from segquery.operators import evaluation as E
 from segquery.operators import intervals as I
 from segquery.operators import localize as L
 from segquery.operators import partitions as P
@@ -155,27 +156,28 @@ def medoid_window(spark, d):
     return rounded(parts(spark, d)[0].select("event_id", a.alias("ts"), b.alias("te")))
 
 
-@query(SEG + "select event_id, round(greatest(0, least((event_id % 256) * (0.5 * (dur / 100.0::double) / 256), dur / 200.0::double)), 6) as sec from seg")
+# n rows of a series are resampled to 256 steps; a coordinate stands for the middle of its step
+@query(SEG + "select event_id, round(greatest(0, least(((event_id % 256) + 0.5::double) * ceil(dur / 100.0::double) / 256, dur / 200.0::double)), 6) as sec from seg")
 def grid_to_sec(spark, d):
     s = parts(spark, d)[0]
-    return s.select("event_id", r6(X.grid_to_sec(F.col("event_id") % 256, F.col("dur") / 100.0, F.col("dur") / 200.0), "sec"))
+    return s.select("event_id", r6(X.grid_to_sec(F.col("event_id") % 256, F.ceil(F.col("dur") / 100.0), F.col("dur") / 200.0), "sec"))
 
 
-@query(SEG + "select event_id, round((ts / 100.0::double) / (0.5 * (dur / 100.0::double) / 256), 6) as grid from seg")
+@query(SEG + "select event_id, round((ts / 100.0::double) * 256 / ceil(dur / 100.0::double) - 0.5, 6) as grid from seg")
 def sec_to_grid(spark, d):
-    return parts(spark, d)[0].select("event_id", r6(X.sec_to_grid(F.col("ts") / 100.0, F.col("dur") / 100.0), "grid"))
+    return parts(spark, d)[0].select("event_id", r6(X.sec_to_grid(F.col("ts") / 100.0, F.ceil(F.col("dur") / 100.0)), "grid"))
 
 
-@query(SEG + "select video_id, step::int as step, round((step + 0.5) * dur / 32.0::double, 6) as t from (select video_id, dur, unnest(range(32)) as step from vid)")
+@query(SEG + "select video_id, j::int as step, round((j * 8 + 0.5::double) * ceil(dur / 100.0::double) / 256, 6) as t from (select video_id, dur, unnest(range(32)) as j from vid)")
 def level_times(spark, d):
-    v = parts(spark, d)[3].select("video_id", "dur", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("step"))
-    return v.select("video_id", "step", r6((F.col("step") + 0.5) * F.col("dur") / 32.0, "t"))
+    v = parts(spark, d)[3]
+    return v.select("video_id", F.posexplode(X.level_times(F.ceil(F.col("dur") / 100.0), 3)).alias("step", "t")).select("video_id", "step", r6("t"))
 
 
-@query(SEG + "select event_id, i::int as i, floor(ts + i * (least(te, dur - 1) - ts) / 7.0::double)::bigint as frame from (select *, unnest(range(8)) as i from seg where ts <= dur - 1)")
+@query(SEG + "select event_id, i::int as i, trunc(f + i * (e - f) / 7.0::double)::bigint as frame from (select *, unnest(range(8)) as i from (select *, round_even(ts * 0.3::double, 0) as f, least(round_even(te * 0.3::double, 0), floor(dur * 0.3::double) - 1) as e from seg) where f <= e)")
 def frame_index(spark, d):
-    s = parts(spark, d)[0].where("ts <= dur - 1")
-    return s.select("event_id", F.posexplode(X.frame_index("ts", "te", "dur")).alias("i", "frame"))
+    s = parts(spark, d)[0].withColumn("n", F.floor(F.col("dur") * 0.3)).where(F.rint(F.col("ts") * 0.3) <= F.col("n") - 1)
+    return s.select("event_id", F.posexplode(X.frame_index("ts", "te", 0.3, "n")).alias("i", "frame"))
 
 
 @query(SEG + """, st as (select video_id, step, (step + 0.5) * dur / 32.0::double as t from (select video_id, dur, unnest(range(32)) as step from vid)),
@@ -280,7 +282,7 @@ KEY = "video_id::varchar || chr(35) || k::varchar"
 
 @query(SEG + GTK + f""", nz as (select *, (ts + te) / 2.0::double + 0.3::double * (te - ts) * {normal_sql('noise', KEY, 0)} as c, (te - ts) * exp(0.3::double * {normal_sql('noise', KEY, 1)}) / 2 as h from gk),
 n2 as (select *, greatest(0, c - h) as lo, least(dur, c + h) as hi, greatest(0, least(c, dur)) as mid from nz)
-select video_id, k::int as k, round(case when hi - lo < 200 then greatest(0, least(mid - 100, dur - 200)) else lo end, 2) as ts, round(case when hi - lo < 200 then least(greatest(0, least(mid - 100, dur - 200)) + 200, dur) else hi end, 2) as te from n2""")
+select video_id, k::int as k, round(case when hi - lo < 200 then greatest(0, least(mid - 100, dur - 200)) else lo end, 2) as ts, least(round(case when hi - lo < 200 then least(greatest(0, least(mid - 100, dur - 200)) + 200, dur) else hi end, 2), dur::double) as te from n2""")
 def boundary_noise(spark, d):
     return P.perturbed(gt_k(spark, d), 0.3, 200.0, "noise").select("video_id", "k", "ts", "te")
 
@@ -595,20 +597,20 @@ def word_count(spark, d):
     return D.table(spark, d, "documents").select("doc_id", X.word_count("text").alias("words"))
 
 
-STOP = ("the", "and", "with", "that")
-TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3 and x not in ('the', 'and', 'with', 'that')))"
+TOKENS = f"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3 and x not in {X.STOP}))"
 
 
 @query(f"select doc_id, len({TOKENS})::int as n from documents")
 def token_set(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", F.size(X.token_set("text", STOP)).alias("n"))
+    return D.table(spark, d, "documents").select("doc_id", F.size(X.token_set("text")).alias("n"))
 
 
-@query(f"with b as (select item_id, {TOKENS} as w, item_id % 20 as bucket from benchmark), c as (select doc_id, {TOKENS} as w, doc_id % 20 as bucket from documents) select doc_id, item_id, round(len(list_intersect(b.w, c.w))::double / greatest(1, len(list_distinct(list_concat(b.w, c.w)))), 6) as jaccard from b join c using (bucket)")
+@query(f"with b as (select item_id, {TOKENS} as w from benchmark), c as (select doc_id, {TOKENS} as w from documents), p as (select doc_id, item_id, len(list_intersect(b.w, c.w)) as i, len(b.w) + len(c.w) as n from b cross join c) select doc_id, item_id, round(i::double / (n - i), 6) as jaccard from p where i > 0 and i >= 0.15 * (n - i)")
 def jaccard_pairs(spark, d):
-    b = D.table(spark, d, "benchmark").select("item_id", X.token_set("text", STOP).alias("wb"), (F.col("item_id") % 20).alias("bucket"))
-    c = D.table(spark, d, "documents").select("doc_id", X.token_set("text", STOP).alias("wc"), (F.col("doc_id") % 20).alias("bucket"))
-    return c.join(b, "bucket").select("doc_id", "item_id", r6(X.jaccard("wb", "wc"), "jaccard"))
+    """All pairs of a document and an item with similar sets of words."""
+    b = D.table(spark, d, "benchmark").select("item_id", X.token_set("text").alias("w"))
+    c = D.table(spark, d, "documents").select("doc_id", X.token_set("text").alias("w"))
+    return A.jaccard_join(c, b, "doc_id", "item_id", "w", 0.15).select("doc_id", "item_id", r6("jaccard"))
 
 
 @query("select md5(c) as key, count(*) as n from (select trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as c from documents) group by c having count(*) > 1")
@@ -678,3 +680,59 @@ def decision_rules(spark, d):
     k = p.join(t, p.conf >= t.theta).groupBy("theta").agg((F.count("*") / n).alias("mean_k"))
     kept = F.coalesce(F.col("mean_k") < F.lag("mean_k").over(Window.orderBy("theta")), F.lit(True))
     return rounded(k.withColumn("order_kept", kept))
+
+
+# ---------------------------------------------------------------- reports
+
+
+def forced_parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    s = D.forced(parts(spark, d)[0])
+    return D.truths(s), D.predictions(s)
+
+
+BLOCK = SEG + """, k as (select * from fpred where video_id in (select video_id from fgt)), fb as (select fgt.event_id as gt_id, coalesce(max(tiou), 0.0::double) as best from fgt left join fm on fm.gt_id = fgt.event_id group by 1),
+c as (select (select count(*) from k)::double as np, (select count(*) from fgt)::double as ng, (select count(*) from fm where tiou >= 0.55)::double as m1, (select count(*) from fm where tiou >= 0.7)::double as m2, (select count(distinct video_id) from fgt) as nv)
+"""
+
+
+@query(BLOCK + """select round(np / nv, 6) as seg_per_video, round((select avg(best) from fb), 6) as mean_tiou, round((select avg((best >= 0.55)::int::double) from fb), 6) as cover_55, round((select avg((best >= 0.7)::int::double) from fb), 6) as cover_70,
+round(m1 / np, 6) as p_55, round(m1 / ng, 6) as r_55, round(2 * m1 / (np + ng), 6) as f1_55, round(m2 / np, 6) as p_70, round(m2 / ng, 6) as r_70, round(2 * m2 / (np + ng), 6) as f1_70 from c""")
+def loc_block(spark, d):
+    """Block of localisation metrics where each match above one half is forced."""
+    return rounded(E.loc_block(*forced_parts(spark, d), (0.55, 0.7)))
+
+
+@query(SEG + ", x as (select pred_id, max(tiou) as m, sum((inter > 0 and inter >= 0.5 * (g1 - g0))::int)::bigint as c from pt group by 1) select pred_id, round(m, 6) as max_tiou, m <= 0 as fp_no_overlap, c as n_gt_covered, c >= 2 as merge from x")
+def segment_flags(spark, d):
+    _, g, p, _ = parts(spark, d)
+    return E.segment_rows(g, p).select("pred_id", r6("max_tiou"), "fp_no_overlap", "n_gt_covered", "merge")
+
+
+@query(SEG + """, x as (select fm.*, row_number() over (partition by gt_id order by tiou desc, p0, pred_id) as n from fm), bst as (select gt_id, pred_id, tiou, g0, g1, p0, p1 from x where n = 1),
+ins as (select gt_id, count(*) as c from fm where least(g1, p1) - greatest(g0, p0) > 0 and least(g1, p1) - greatest(g0, p0) >= 0.5 * (p1 - p0) group by 1)
+select event_id as gt_id, round(coalesce(bst.tiou, 0.0::double), 6) as best_tiou, coalesce(bst.tiou, 0) <= 0 as missed, coalesce(c, 0)::bigint as n_parts, case when bst.tiou >= 0.55 then bst.pred_id end as match_55, case when bst.tiou >= 0.55 then p0 - g0 end as left_offset, case when bst.tiou >= 0.55 then p1 - g1 end as right_offset
+from fgt left join bst on bst.gt_id = event_id left join ins on ins.gt_id = event_id""")
+def event_flags(spark, d):
+    """Flags and matches of events where each match above one half is forced."""
+    return E.event_rows(*forced_parts(spark, d), (0.55,), 0.55).select("gt_id", r6("best_tiou"), "missed", "n_parts", "match_55", "left_offset", "right_offset")
+
+
+@query(SEG + """, sg as (select *, case when video_id % 2 = 0 then 'even' else 'odd' end as split from fgt), k as (select p.video_id, g.split from fpred p join (select distinct video_id, split from sg) g using (video_id)),
+per as (select split, video_id, (select count(*) from k where k.video_id = v.video_id) as k from (select distinct split, video_id from sg) v),
+sb as (select split, g.event_id, coalesce(max(tiou), 0.0::double) as best from sg g left join fm on gt_id = g.event_id group by all)
+select split, count(*) as items, round(avg(k), 6) as k_mean, max(k) as k_max, sum((k > 16)::int)::bigint as k_many, round(2 * (select count(*) from fm join sg g on gt_id = g.event_id where tiou >= 0.55 and g.split = per.split)::double / (sum(k) + (select count(*) from sg g where g.split = per.split)), 6) as f1, round((select 100 * avg((best < 0.3)::int::double) from sb where sb.split = per.split), 6) as missed from per group by split""")
+def detector_stats(spark, d):
+    """Detector statistics by split, matches above one half being forced."""
+    g, p = forced_parts(spark, d)
+    rows = [E.detector_stats(g.where(F.col("video_id") % 2 == k), p, 0.55).select(F.lit(name).alias("split"), "items", "k_mean", "k_max", "k_many", "f1", "missed") for k, name in enumerate(("even", "odd"))]
+    return rounded(rows[0].unionByName(rows[1]))
+
+
+@query("with fr as (select label as video_id, vec_id as frame, embedding::double[] as emb from embeddings), cl as (select video_id, frame as clip, unnest([frame, frame, frame + 10, frame + 20]) as frame from fr where frame % 7 = 0), j as (select cl.video_id, clip, emb from cl join fr using (video_id, frame)), f as (select video_id, clip, unnest(emb) as x, generate_subscripts(emb, 1) as pos from j), m as (select video_id, clip, pos, avg(x) as x, count(*) as n from f group by all having count(*) = 4) select video_id, clip, round(sqrt(sum(x * x)) , 6) as length, round(max(case when pos = 1 then x end) / sqrt(sum(x * x)), 6) as first from m group by 1, 2")
+def clip_vectors(spark, d):
+    """Unit mean of a clip's frames; a frame may count twice."""
+    e = D.table(spark, d, "embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").alias("frame"), "embedding")
+    clips = e.where("frame % 7 = 0").select("video_id", F.col("frame").alias("clip"), F.array("frame", "frame", F.col("frame") + 10, F.col("frame") + 20).alias("frames"))
+    got = E.clip_vectors(clips, e.withColumnRenamed("embedding", "emb"))
+    mean = clips.select("video_id", "clip", F.explode("frames").alias("frame")).join(e, ["video_id", "frame"]).select("video_id", "clip", F.posexplode("embedding").alias("pos", "x")).groupBy("video_id", "clip", "pos").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("video_id", "clip").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    return got.join(mean, ["video_id", "clip"]).select("video_id", "clip", r6("length"), r6(F.col("emb")[0], "first"))

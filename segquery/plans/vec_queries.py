@@ -44,10 +44,10 @@ def cosine_pairs(spark, d):
     return pairs(spark, d).select("query_id", "seg_row", r6("score"))
 
 
-@query(VEC + "select query_id, seg_row, round(score, 6) as score from pr where query_id % 50 = 0")
+@query(VEC + "select query_id, seg_row, round(score, 6) as score from pr")
 def cosine_pairs_join(spark, d):
-    """The join form of the pair scores, for queries at every fiftieth row."""
-    return V.pair_scores(D.vec_queries(spark, d).where("query_id % 50 = 0"), D.gallery(spark, d), "join").select("query_id", "seg_row", r6("score"))
+    """The join form of the pair scores."""
+    return V.pair_scores(D.vec_queries(spark, d), D.gallery(spark, d), "join").select("query_id", "seg_row", r6("score"))
 
 
 @query("select vec_id, round(sqrt(list_sum([x * x for x in v])), 6) as norm_before, round(v[1] / greatest(sqrt(list_sum([x * x for x in v])), 1e-12), 6) as first from (select vec_id, [x * 3 for x in embedding::double[]] as v from embeddings)")
@@ -121,7 +121,7 @@ def score_union(spark, d):
     return V.score_union(V.max_scores(p.where("seg_row % 3 <> 0")), V.max_scores(p.where("seg_row % 3 = 0")), -0.02).select("query_id", "video_id", r6("score"), "from_main")
 
 
-@query("with v as (select vec_id, embedding::double[] as e, list_max([abs(x) for x in embedding::double[]]) as top from embeddings), s as (select *, (case when top > 0 then top else 1.0 end) / 127 as scale from v) select vec_id, round(scale, 6) as scale, list_sum([abs(round_even(x / scale, 0)) for x in e])::bigint as magnitude, round(list_max([abs(x - round_even(x / scale, 0) * scale) for x in e]) / scale, 6) as worst from s")
+@query("with v as (select vec_id, embedding::double[] as e, list_max([abs(x) for x in embedding::double[]]) as top from embeddings), s as (select *, (case when top > 0 then top / 127 else 1.0 end) as scale from v) select vec_id, round(scale, 6) as scale, list_sum([abs(round_even(x / scale, 0)) for x in e])::bigint as magnitude, round(list_max([abs(x - round_even(x / scale, 0) * scale) for x in e]) / scale, 6) as worst from s")
 def int8_roundtrip(spark, d):
     codes, scale = X.quantised("embedding")
     e = D.table(spark, d, "embeddings").select("vec_id", "embedding", codes.alias("c"), scale.alias("sc"))
@@ -362,7 +362,7 @@ def significant_down_to(spark, d):
     return S.significant_down_to(spark.createDataFrame(LEVELS, "level double, value double, ci_low double"))
 
 
-@query("with g(name, r1, vectors) as (values ('a', 46.31::double, 22.6::double), ('b', 46.1, 20.0), ('c', 45.0, 10.0), ('d', 46.2, 20.0)) select name, r1, vectors from g where r1 >= (select max(r1) from g) - 0.3 order by vectors, r1 desc, name limit 1")
+@query("with g(name, r1, vectors) as (values ('a', 46.31::double, 22.6::double), ('b', 46.1, 20.0), ('c', 45.0, 10.0), ('d', 46.2, 20.0)) select name, r1, vectors from g where r1 > (select max(r1) from g) - 0.3 order by vectors, r1 desc, name limit 1")
 def pick_fill(spark, d):
     return S.pick_fill(spark.createDataFrame([("a", 46.31, 22.6), ("b", 46.1, 20.0), ("c", 45.0, 10.0), ("d", 46.2, 20.0)], "name string, r1 double, vectors double"))
 

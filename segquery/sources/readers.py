@@ -70,7 +70,7 @@ def custom_queries(spark: SparkSession, path: str) -> DataFrame:
     q = spark.read.schema(QUERIES).option("multiLine", multi).option("mode", "FAILFAST").json(path)
     need = F.col("query").isNull() | F.col("video_id").isNull() | F.col("ts").isNull() | F.col("te").isNull()
     q = q.withColumn("query", F.when(need, F.raise_error(F.lit("a query needs query, video_id, ts and te"))).otherwise(F.col("query")))
-    n = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1  # a hand-written file
+    n = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1  # one hand-written file, which one task reads in any case
     return q.select(F.format_string("custom_%03d", n).alias("qid"), X.text_key("query").alias("key"), *q.columns)
 
 
@@ -126,6 +126,111 @@ def feature_rows(df: DataFrame, visual: str, audio: str) -> DataFrame:
     return df.withColumn("rows", F.least(F.size(visual), F.size(audio)))
 
 
+def train_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id) of a manifest; a missing file is an empty set."""
+    return jsonl_tolerant(spark, path, MANIFEST).select(X.item_id("video").alias("video_id")).where("video_id <> ''").distinct()
+
+
+def segment_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Predicted segments of JSON lines in time order within an item: (video_id, k, ts, te, conf); conf null where the file has none."""
+    rows = jsonl(spark, path, "video_id string, ts double, te double, conf double")
+    w = Window.partitionBy("video_id").orderBy("ts", "te", "conf")
+    return rows.select("video_id", (F.row_number().over(w) - 1).cast("int").alias("k"), "ts", "te", "conf")
+
+
+def durations(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, dur) of ``{"videos": [{video_id, duration}]}`` or of one object of numbers by item."""
+    text = spark.read.option("wholetext", True).text(path)
+    listed = text.select(F.explode(F.from_json("value", "videos array<struct<video_id:string,duration:double>>")["videos"]).alias("v")).select("v.video_id", F.col("v.duration").alias("dur"))
+    plain = text.where(F.get_json_object("value", "$.videos").isNull()).select(F.explode(F.from_json("value", "map<string,double>")).alias("video_id", "dur"))
+    return listed.unionByName(plain)
+
+
+def event_index(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """The event table (emb, seg_key, video_id, ts, te, caption, split); a file without splits has empty ones."""
+    t = spark.read.parquet(path)
+    t = t if "split" in t.columns else t.withColumn("split", F.lit(""))
+    return t if split is None else t.where(F.col("split") == split)
+
+
+def text_table(spark: SparkSession, path: str) -> DataFrame:
+    """The caption table; vectors of any width as single precision."""
+    t = spark.read.parquet(path)
+    return t.withColumn("emb", F.col("emb").cast("array<float>"))
+
+
+def feature_series(spark: SparkSession, path: str, items: DataFrame, key: str = "z") -> DataFrame:
+    """(video_id, step, t_sec, emb) of one archive an item (arrays ``key`` and ``t_sec``); an item without a file raises.
+
+    A series is valid if rows and times are equally many, all numbers are finite and times rise; others raise.
+    """
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for p, content in zip(pdf.path, pdf.content, strict=True):
+                with np.load(io.BytesIO(content)) as blob:
+                    z, t = blob[key].astype(np.float32), blob["t_sec"].astype(float)
+                if z.ndim != 2 or len(z) != len(t) or not np.isfinite(z).all() or not np.isfinite(t).all() or (np.diff(t) <= 0).any():
+                    raise ValueError(f"{p}: not a series")
+                yield pd.DataFrame({"video_id": p.rsplit("/", 1)[-1].rsplit(".", 1)[0], "step": range(len(z)), "t_sec": t, "emb": list(map(list, z))})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
+    lost = items.select("video_id").distinct().join(files.select(X.item_id("path").alias("video_id")), "video_id", "left_anti")
+    few = [r.video_id for r in lost.orderBy("video_id").limit(5).collect()]
+    if few:
+        raise FileNotFoundError(f"items without a series, among them {few}")
+    wanted = files.withColumn("video_id", X.item_id("path")).join(items.select("video_id").distinct(), "video_id", "left_semi")
+    return wanted.select("path", "content").mapInPandas(run, "video_id string, step int, t_sec double, emb array<float>")
+
+
+def shard_index(spark: SparkSession, path: str, items: DataFrame | None = None) -> DataFrame:
+    """(video_id, shard) of a manifest ``{shard: [file, ...]}``; with ``items`` only the shards that hold one of them."""
+    text = spark.read.option("wholetext", True).text(path)
+    every = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("shard", "files")).select("shard", F.explode("files").alias("f")).select(X.item_id("f").alias("video_id"), "shard")
+    return every if items is None else every.join(items.select("video_id").distinct(), "video_id", "left_semi")
+
+
+def feature_log(spark: SparkSession, log: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(records, failed) of an append-only log (video_id, at, status, file): the last line of an item counts; a record needs its file."""
+    rows = jsonl_tolerant(spark, log, "video_id string, at double, status string, file string")
+    last = rows.groupBy("video_id").agg(F.max_by(F.struct("status", "file", "at"), "at").alias("x")).select("video_id", "x.*")
+    there = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    return last.where("status = 'ok'").join(there, "file", "left_semi").select("video_id", "file", "at"), last.where("status <> 'ok'").select("video_id", "status", "at")
+
+
+def split_rows(rows: DataFrame, splits: DataFrame, split: str, most: float | None = None) -> DataFrame:
+    """Rows of the items of one split, of at most ``most`` seconds where that is given."""
+    own = splits.where(F.col("split") == split)
+    return rows.join((own if most is None else own.where(F.col("dur") <= most)).select("video_id").distinct(), "video_id", "left_semi")
+
+
+def caption_pool(rows: DataFrame, key: str = "key", text: str = "caption") -> DataFrame:
+    """(video_id, captions) from keys ``<item>#<i>``, in the order of i; the item may hold the sign itself."""
+    item = F.regexp_extract(key, r"^(.*)#[^#]*$", 1)
+    return rows.select(item.alias("video_id"), F.substring_index(key, "#", -1).cast("long").alias("i"), F.col(text).alias("c")).groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("captions"))
+
+
+def segment_dialect(df: DataFrame, segments: str | None = None) -> DataFrame:
+    """``ts`` and ``te`` from any spelling: columns ts/te or t_s/t_e, or a column ``segments`` of (start, end, ...) arrays, one row each."""
+    if segments is not None:
+        df = df.withColumn("_x", F.explode(segments))
+        return df.select(*[c for c in df.columns if c not in (segments, "_x", "ts", "te")], F.col("_x")[0].cast("double").alias("ts"), F.col("_x")[1].cast("double").alias("te"))
+    pick = lambda *names: F.coalesce(*[F.col(c).cast("double") for c in names if c in df.columns])
+    if not ({"ts", "t_s"} & set(df.columns) and {"te", "t_e"} & set(df.columns)):
+        raise ValueError("no start or end among the columns")
+    return df.withColumns({"_s": pick("ts", "t_s"), "_e": pick("te", "t_e")}).drop("ts", "te", "t_s", "t_e").withColumnsRenamed({"_s": "ts", "_e": "te"})
+
+
+def proposals(raw: DataFrame, of: str = "proposals") -> DataFrame:
+    """(video_id, pred_id, ts, te, conf) from one row an item with an array of structs in either spelling."""
+    fields = raw.schema[of].dataType.elementType.names
+    flat = raw.select("video_id", F.posexplode(of).alias("pred_id", "p"))
+    pick = lambda *names: F.coalesce(*[F.col(f"p.{n}").cast("double") for n in names if n in fields])
+    return flat.select("video_id", F.concat_ws("#", "video_id", "pred_id").alias("pred_id"), pick("ts", "t_s").alias("ts"), pick("te", "t_e").alias("te"), F.coalesce(pick("conf") if "conf" in fields else F.lit(None).cast("double"), F.lit(0.0)).alias("conf"))
+
+
 class _Shard(InputPartition):
     def __init__(self, path: str):
         self.path = path

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,10 +33,42 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
 
 
+def append_log(rows: DataFrame, path: str, checkpoint: str, key: str, at: str = "at", late: str = "1 hour") -> None:
+    """Appends each key once to the table at ``path``; a restart goes on behind what was written."""
+    once = rows.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+    once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def with_dead_letters(rows: DataFrame, bad: Column, good_path: str, bad_path: str, checkpoint: str) -> None:
+    """Good rows to one table, rows with ``bad`` true or null to another; a batch that is run again replaces its own rows."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        told = batch.withColumn("_bad", F.coalesce(bad, F.lit(True))).withColumn("epoch", F.lit(epoch))
+        for wrong, path in ((False, good_path), (True, bad_path)):
+            told.where(F.col("_bad") == wrong).drop("_bad").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _shared(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="segquery-")
+    return found
+
+
 def finished(stream: DataFrame, name: str) -> DataFrame:
-    """Runs over what is there, in one go, and returns the result table."""
+    """Runs over what is there, in one go, and returns the result table, which the tasks write; nothing goes to the driver."""
     spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    root = f"{_shared(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/result")
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.table(name)
-    return out
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/result")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{root}/result")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from segquery.functions import exprs as X
 from segquery.operators import analysis as A
+from segquery.operators import evaluation as E
 from segquery.operators import intervals as I
 from segquery.operators import localize as L
 from segquery.operators import losses as Z
@@ -131,6 +132,137 @@ def test_generators(spark):
     assert u.count() == 9 and u.where("src = 1").count() == 0
 
 
+def first(spark, **cols):
+    return spark.range(1).select(*[c.alias(n) for n, c in cols.items()]).first()
+
+
+def test_time_grid(spark):
+    r = first(spark, a=X.grid_to_sec(F.lit(0), F.lit(300)), b=X.grid_to_sec(F.lit(255.5), F.lit(300)), c=X.grid_to_sec(F.lit(255.5), F.lit(300), F.lit(299)), d=X.grid_to_sec(F.lit(-3), F.lit(300), F.lit(299)), e=X.grid_to_sec(F.lit(10), F.lit(256)))
+    assert (r.a, r.b, r.c, r.d, r.e) == (pytest.approx(0.5 * 300 / 256), pytest.approx(300.0), 299.0, 0.0, pytest.approx(10.5))
+    for g in (0.0, 12.3, 100.25, 255.0):
+        assert first(spark, x=X.sec_to_grid(X.grid_to_sec(F.lit(g), F.lit(417)), F.lit(417))).x == pytest.approx(g)
+    assert first(spark, x=X.sec_to_grid(F.lit(0.5 * 300 / 256), F.lit(300))).x == pytest.approx(0.0)
+    assert first(spark, x=X.grid_to_sec(F.lit(4), F.lit(9), fps=8, stride=4, window=16, steps=32)).x == pytest.approx(4.5 * (8 * 4 + 16) / 32 / 8)
+
+
+def test_level_times(spark):
+    r = first(spark, a=X.level_times(F.lit(256)), b=X.level_times(F.lit(256), 1), c=X.level_times(F.lit(512)))
+    assert len(r.a) == 256 and r.a[:2] == [0.5, 1.5] and len(r.b) == 128 and r.b[:2] == [0.5, 2.5] and r.c[0] == 1.0
+
+
+def test_frame_index(spark):
+    r = first(spark, a=X.frame_index(F.lit(1.0), F.lit(3.0), 25.0, F.lit(1000)), b=X.frame_index(F.lit(0.1), F.lit(9.0), 30.0, F.lit(100), 4), c=X.frame_index(F.lit(2.0), F.lit(5.0), 10.0, F.lit(90), 1))
+    assert r.a == [25, 32, 39, 46, 53, 60, 67, 75] and r.b == [3, 35, 67, 99] and r.c == [20]
+    with pytest.raises(Exception, match="behind the last frame"):
+        first(spark, x=X.frame_index(F.lit(9.0), F.lit(10.0), 10.0, F.lit(80)))
+
+
+def test_small_departures(spark):
+    """Borders: the capped end, the zero vector's scale, what is merged stands last, strictly less than the tie."""
+    a, b = X.round_capped(F.lit(1.006), F.lit(9.998), F.lit(9.9975))
+    assert tuple(first(spark, a=a, b=b)) == (1.01, 9.9975)
+    codes, scale = X.quantised(F.array(F.lit(0.0), F.lit(0.0)))
+    assert tuple(first(spark, c=codes, s=scale)) == ([0, 0], 1.0)
+    s = P.perturbed(spark.createDataFrame([("v", k, 0.0, 9.996, 9.996) for k in range(40)], "video_id string, k int, ts double, te double, dur double"), 0.5, 1.0)
+    assert s.where("te > dur").count() == 0 < s.where("te = dur").count()
+    rows = spark.createDataFrame([("a", 46.5, 22.0), ("b", 46.25, 20.0), ("c", 46.0, 1.0)], "name string, r1 double, vectors double")
+    assert S.pick_fill(rows, 0.25).first().name == "a" and S.pick_fill(rows, 0.3).first().name == "b"
+    got = L.merged_rows([{"ts": a, "te": b, "conf": 0.5, "merged": 1} for a, b in ((0, 10), (1, 11), (30, 40), (50, 60))], 0.5)
+    assert [s["ts"] for s in got] == [30, 50, 0]
+
+
+def events(spark, rows):
+    return spark.createDataFrame([(v, f"{v}{i}", float(a), float(b)) for i, (v, a, b) in enumerate(rows)], "video_id string, gt_id string, ts double, te double")
+
+
+def found(spark, rows):
+    return spark.createDataFrame([(v, f"{v}{i}", float(a), float(b), float(c)) for i, (v, a, b, c) in enumerate(rows)], "video_id string, pred_id string, ts double, te double, conf double")
+
+
+def test_average_precision(spark):
+    g = events(spark, [("A", 0, 10), ("A", 20, 30), ("B", 0, 10)])
+    p = found(spark, [("A", 0, 10, 0.9), ("A", 1, 9, 0.8), ("A", 20, 30, 0.7), ("B", 50, 60, 0.6), ("B", 0, 10, 0.5)])
+    assert L.average_precision(g, p, 0.5).first().ap == L.average_precision(g, p, 0.9).first().ap == pytest.approx((1 + 2 / 3 + 0.6) / 3)
+    assert L.average_precision(g, p.limit(0), 0.5).first().ap == 0.0 and L.average_precision(g.limit(0), p, 0.5).first().ap == 0.0
+
+
+@pytest.mark.parametrize("ranges", [2, 7, 64])
+def test_average_precision_by_ranges(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    conf, tp = rng.integers(0, 40, 500) / 40, rng.integers(0, 2, 500)
+    rows = [(i, float(c), int(t)) for i, (c, t) in enumerate(zip(conf, tp, strict=True))]
+    hit = np.array([t for _, _, t in sorted(rows, key=lambda r: (-r[1], r[0]))])
+    best = np.maximum.accumulate((np.cumsum(hit) / np.arange(1, 501))[::-1])[::-1]
+    g = spark.range(300)
+    assert L.ap_of(spark.createDataFrame(rows, "pred_id long, conf double, tp long"), g, ranges).first().ap == pytest.approx((best * hit).sum() / 300)
+
+
+def test_matchers(spark):
+    """One to one beats greedy; any matcher goes into precision and recall."""
+    g, p = events(spark, [("v", 0, 10), ("v", 4, 14)]), found(spark, [("v", 1, 11, 0.9), ("v", 0, 6, 0.8)])
+    assert sorted((r.pred_id, r.gt_id) for r in L.hungarian(g, p, 0.5).collect()) == [("v0", "v1"), ("v1", "v0")]
+    assert [(r.pred_id, r.gt_id) for r in L.greedy_match(g, p, 0.5).collect()] == [("v0", "v0")]
+    more = p.unionByName(found(spark, [("w", 0, 1, 0.5)]))  # an item without events
+    assert L.prf_at(g, more, 0.5).first().f1 == 1.0 and L.prf_at(g, more, 0.5, L.greedy_match).first().n_match == 1
+
+
+def test_event_and_segment_rows(spark):
+    g = events(spark, [("v", 0, 10), ("v", 10, 20), ("v", 30, 40), ("v", 60, 70)])
+    p = found(spark, [("v", 0, 20, 0.9), ("v", 30, 34, 0.8), ("v", 35, 40, 0.7), ("v", 80, 90, 0.6)])
+    e = {r.gt_id: r for r in E.event_rows(g, p).collect()}
+    assert e["v3"].missed and not e["v0"].missed and e["v0"].in_merged_seg and e["v1"].in_merged_seg and not e["v2"].in_merged_seg
+    assert e["v2"].fragmented and e["v2"].n_parts == 2 and e["v2"].best_seg == "v2" and e["v2"].match_50 == "v2" and e["v2"].tiou_50 == 0.5 and e["v2"].match_70 is None
+    assert (e["v2"].left_offset, e["v2"].right_offset) == (5.0, 0.0) and e["v3"].left_offset is None
+    s = {r.pred_id: r for r in E.segment_rows(g, p).collect()}
+    assert s["v0"].merge and s["v0"].n_gt_covered == 2 and s["v3"].fp_no_overlap and s["v3"].unmatched and not s["v2"].unmatched and s["v1"].unmatched
+    r = E.error_summary(E.event_rows(g, p), E.segment_rows(g, p)).first()
+    assert (r.n_gt, r.pct_missed, r.pct_fragmented, r.pct_in_merged_seg, r.n_seg, r.pct_fp_no_overlap, r.pct_merge) == (4, 25.0, 25.0, 75.0, 4, 25.0, 25.0)  # the best segment of a missed event is the first one
+
+
+def test_blocks(spark):
+    g = events(spark, [("A", 0, 10), ("A", 22, 30), ("B", 0, 5)])
+    p = found(spark, [("A", 0, 10, 1), ("A", 20, 30, 1), ("A", 40, 50, 1), ("C", 0, 1, 1)])
+    r = E.loc_block(g, p, (0.5, 0.9)).first()
+    assert (r.seg_per_video, r.p_50, r.r_50, r.p_90) == (1.5, pytest.approx(2 / 3), pytest.approx(2 / 3), pytest.approx(1 / 3))
+    assert r.mean_tiou == pytest.approx((1 + 0.8 + 0) / 3) and r.cover_50 == pytest.approx(2 / 3)
+    both = E.compared(g, {"m": p, "none": p.limit(0)}, {"all": g, "b": g.where("video_id = 'B'")}, (0.5,))
+    assert {(x.split, x.method): x.f1_50 for x in both.collect()} == {("all", "m"): pytest.approx(2 / 3), ("all", "none"): 0.0, ("b", "m"): 0.0, ("b", "none"): 0.0}
+    d = E.detector_stats(g, p).first()
+    assert (d["items"], d.k_mean, d.k_max, d.k_many) == (2, 1.5, 3, 0) and d.missed == pytest.approx(100 / 3)
+
+
+def test_clip_vectors(spark):
+    f = spark.createDataFrame([("v", 0, [1.0, 0.0]), ("v", 1, [0.0, 1.0])], "video_id string, frame int, emb array<double>")
+    c = spark.createDataFrame([("v", 0, [0, 0, 0, 1]), ("v", 1, [0, 5])], "video_id string, clip int, frames array<int>")
+    (r,) = E.clip_vectors(c, f).collect()
+    assert r.emb == [pytest.approx(3 / 10**0.5), pytest.approx(1 / 10**0.5)]
+
+
+def test_line_interval(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, float(x), float(2 + 3 * x + e), float(w)) for i, (x, e, w) in enumerate(zip(rng.random(300), rng.normal(0, 0.3, 300), rng.integers(1, 9, 300), strict=True))]
+    r = S.line_bootstrap(spark.createDataFrame(rows, "unit long, x double, y double, w double"), "x", "y", "w", "unit", 300).first()
+    x, y, w = (np.array([q[k] for q in rows]) for k in (1, 2, 3))
+    b = []
+    for _ in range(400):
+        i = rng.integers(0, 300, 300)
+        m = np.stack([np.ones(300), x[i]], 1) * np.sqrt(w[i])[:, None]
+        b.append(np.linalg.lstsq(m, y[i] * np.sqrt(w[i]), rcond=None)[0])
+    lo, hi = np.percentile(b, [2.5, 97.5], axis=0)
+    assert r.a_low < r.a < r.a_high and r.b_low < r.b < r.b_high
+    assert (r.a_high - r.a_low) == pytest.approx(hi[0] - lo[0], rel=0.3) and (r.b_high - r.b_low) == pytest.approx(hi[1] - lo[1], rel=0.3)
+
+
+def test_jaccard_join(spark):
+    rng = np.random.default_rng(2)
+    make = lambda n, key: [(i, sorted({f"w{int(x)}" for x in rng.integers(0, 40, rng.integers(0, 15))})) for i in range(n)]
+    a, b = make(40, "a"), make(30, "b")
+    for least in (0.2, 0.5, 0.8):
+        got = A.jaccard_join(spark.createDataFrame(a, "i long, w array<string>"), spark.createDataFrame(b, "j long, w array<string>"), "i", "j", "w", least)
+        want = {(i, j) for i, x in a for j, y in b if set(x) & set(y) and len(set(x) & set(y)) / len(set(x) | set(y)) >= least}
+        assert {(r.i, r.j) for r in got.collect()} == want
+
+
 def test_noise_calibration(spark):
     v = spark.createDataFrame([(f"v{i}", 100.0 + i) for i in range(30)], "video_id string, dur double")
     s = P.uniform(v, 5)
@@ -145,7 +277,7 @@ def box(*rows):
 def test_merge_is_strict_and_takes_the_best_pair():
     assert len(L.merged_rows(box((0, 10, 0.5), (5, 15, 0.9)), 1 / 3)) == 2
     got = L.merged_rows(box((0, 10, 0.5), (1, 11, 0.9), (30, 40, 0.1)), 0.5)
-    assert got[0] == {"ts": 0, "te": 11, "conf": 0.9, "merged": 2} and len(got) == 2
+    assert got[-1] == {"ts": 0, "te": 11, "conf": 0.9, "merged": 2} and len(got) == 2
 
 
 def test_assignment_against_brute_force():

@@ -95,3 +95,71 @@ def test_sinks(spark, tmp_path):
     sinks.write_lines(d, str(tmp_path / "log"), append=True)
     assert spark.read.json(str(tmp_path / "log")).count() == 4
     assert A.latest_by(spark.createDataFrame([("a", 1), ("a", 2)], "k string, n int"), "k", "n").first().n == 2
+
+
+def test_stored_runs(spark, tmp_path):
+    p = lines(tmp_path / "s.jsonl", [{"video_id": "b", "ts": 5, "te": 9, "conf": 0.6}, {"video_id": "b", "ts": 1, "te": 4.5, "conf": 0.8}, {"video_id": "a", "ts": 0, "te": 1}])
+    assert [(r.video_id, r.k, r.ts, r.conf) for r in readers.segment_lines(spark, p).orderBy("video_id", "k").collect()] == [("a", 0, 0.0, None), ("b", 0, 1.0, 0.8), ("b", 1, 5.0, 0.6)]
+    (tmp_path / "subset.json").write_text(json.dumps({"videos": [{"video_id": "a", "duration": 3.5}]}))
+    (tmp_path / "durations.json").write_text(json.dumps({"a": 3.5, "b": 4}))
+    assert [tuple(r) for r in readers.durations(spark, str(tmp_path / "subset.json")).collect()] == [("a", 3.5)]
+    assert sorted(tuple(r) for r in readers.durations(spark, str(tmp_path / "durations.json")).collect()) == [("a", 3.5), ("b", 4.0)]
+    assert readers.train_ids(spark, str(tmp_path / "none.jsonl")).count() == 0
+    e = spark.createDataFrame([([1.0], "k", "a", 0.0, 1.0, "c")], "emb array<double>, seg_key string, video_id string, ts double, te double, caption string")
+    e.write.parquet(str(tmp_path / "e"))
+    e.withColumn("split", F.lit("val")).write.parquet(str(tmp_path / "f"))
+    assert readers.event_index(spark, str(tmp_path / "e")).first().split == "" and readers.event_index(spark, str(tmp_path / "f"), "dev").count() == 0
+    assert dict(readers.text_table(spark, str(tmp_path / "e")).dtypes)["emb"] == "array<float>"
+
+
+def test_feature_series(spark, tmp_path):
+    items = spark.createDataFrame([("a",), ("b",)], "video_id string")
+    np.savez(tmp_path / "a.npz", z=np.eye(3, dtype=np.float16), t_sec=np.arange(3) + 0.5)
+    with pytest.raises(FileNotFoundError, match="b"):
+        readers.feature_series(spark, str(tmp_path), items)
+    np.savez(tmp_path / "b.npz", z=np.ones((2, 3)), t_sec=np.array([0.5, 1.5]))
+    np.savez(tmp_path / "c.npz", z=np.ones((2, 3)), t_sec=np.array([1.5, 0.5]))
+    rows = readers.feature_series(spark, str(tmp_path), items).collect()
+    assert sorted((r.video_id, r.step, r.t_sec) for r in rows) == [("a", 0, 0.5), ("a", 1, 1.5), ("a", 2, 2.5), ("b", 0, 0.5), ("b", 1, 1.5)]
+    with pytest.raises(Exception, match="not a series"):
+        readers.feature_series(spark, str(tmp_path), spark.createDataFrame([("c",)], "video_id string")).collect()
+
+
+def test_logs_shards_pools(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"s0": ["x/a.npz", "b.npz"], "s1": ["c.npz"]}))
+    assert [r.shard for r in readers.shard_index(spark, str(tmp_path / "m.json"), spark.createDataFrame([("c",)], "video_id string")).collect()] == ["s1"]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.bin").write_bytes(b"1")
+    log = lines(tmp_path / "l.jsonl", [{"video_id": "a", "at": 1, "status": "failed"}, {"video_id": "a", "at": 2, "status": "ok", "file": "a.bin"}, {"video_id": "b", "at": 1, "status": "ok", "file": "b.bin"}, {"video_id": "c", "at": 1, "status": "failed"}])
+    ok, failed = readers.feature_log(spark, log, str(tmp_path / "d"))
+    assert [r.video_id for r in ok.collect()] == ["a"] and [r.video_id for r in failed.collect()] == ["c"]
+    pool = readers.caption_pool(spark.createDataFrame([("v#1#10", "k"), ("v#1#2", "b"), ("w#0", "x")], "key string, caption string"))
+    assert {r.video_id: r.captions for r in pool.collect()} == {"v#1": ["b", "k"], "w": ["x"]}
+    s = spark.createDataFrame([("a", "val", 10.0), ("b", "val", 99.0), ("c", "dev", 1.0)], "video_id string, split string, dur double")
+    assert [r.video_id for r in readers.split_rows(s.select("video_id"), s, "val", 50).collect()] == ["a"]
+
+
+def test_dialects(spark):
+    a = readers.segment_dialect(spark.createDataFrame([(1, 2, "x")], "t_s int, t_e int, c string")).first()
+    b = readers.segment_dialect(spark.createDataFrame([("v", [[1.0, 2.0, 0.5], [3.0, 4.0]])], "video_id string, s array<array<double>>"), "s").collect()
+    assert (a.ts, a.te, a.c) == (1.0, 2.0, "x") and [(r.video_id, r.ts, r.te) for r in b] == [("v", 1.0, 2.0), ("v", 3.0, 4.0)]
+    with pytest.raises(ValueError):
+        readers.segment_dialect(spark.range(1))
+    raw = spark.createDataFrame([("v", [(1.0, 2.0, 0.5)])], "video_id string, proposals array<struct<t_s:double,t_e:double,conf:double>>")
+    assert [tuple(r) for r in readers.proposals(raw).collect()] == [("v", "v#0", 1.0, 2.0, 0.5)]
+
+
+def test_append_log_and_dead_letters(spark, tmp_path):
+    from segquery.streaming import streams
+
+    src, rows = tmp_path / "in", [(1, "a", 1.0), (2, "b", None), (1, "a", 1.0)]
+    make = lambda x: spark.createDataFrame(x, "id long, v string, x double").withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp")).write.mode("append").parquet(str(src))
+    make(rows)
+    read = lambda: spark.readStream.schema(spark.read.parquet(str(src)).schema).parquet(str(src))
+    for more in ([], [(1, "a", 1.0), (3, "c", 2.0)]):
+        if more:
+            make(more)
+        streams.append_log(read(), str(tmp_path / "log"), str(tmp_path / "ck"), "id")
+        streams.with_dead_letters(read(), F.col("x").isNull(), str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "ck2"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [1, 2, 3]
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "good")).collect()) == [1, 1, 1, 3] and [r.id for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [2]
