@@ -135,11 +135,16 @@ def jaccard_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, words: str, l
     of their first ``n - ceil(least n) + 1``. Sets are joined to the pairs that meet there.
     """
     sized = [t.select(F.col(i).alias("id"), F.col(words).alias("w"), F.size(words).alias("n")).where("n > 0") for t, i in ((a, a_id), (b, b_id))]
+    # sets too small or large for all of the other side go first; one row of bounds
+    reach = sized[1].agg((F.min("n") * least - 1e-9).alias("_lo"), (F.max("n") / least + 1e-9).alias("_hi"))
+    sized[0] = sized[0].join(F.broadcast(reach), F.col("n").between(F.col("_lo"), F.col("_hi"))).select("id", "w", "n")
     flat = [t.select("id", "n", F.explode("w").alias("x")) for t in sized]
-    often = flat[0].select("x").unionAll(flat[1].select("x")).groupBy("x").agg(F.count("*").alias("f"))
+    # the order is by frequency on the second side: words that it lacks come first, meet nothing and need no row
+    often = flat[1].groupBy("x").agg(F.count("*").alias("f"))
     first = []
     for t in flat:
-        place = F.row_number().over(Window.partitionBy("id").orderBy("f", "x"))
+        own = Window.partitionBy("id")
+        place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "x"))
         first.append(t.join(often, "x").withColumn("r", place).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("id", "n", "x"))
     x, y = first[0], first[1].select(F.col("id").alias("id2"), F.col("n").alias("n2"), "x")
     fits = (F.col("n2") >= least * F.col("n") - 1e-9) & (F.col("n") >= least * F.col("n2") - 1e-9)
