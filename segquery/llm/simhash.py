@@ -118,6 +118,8 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 
 #: Points of a block, which one task sorts at a time; points that a task packs at a time.
 BLOCK_POINTS, TASK_POINTS = 1 << 18, 1 << 20
+#: Members of a point of which all pairs are taken.
+FEW = 4
 #: Members of a point this far apart are not compared by tag: the point is crowded.
 FAR_APART = 64
 _MIX = 0x9E3779B97F4A7C15
@@ -138,8 +140,8 @@ def expected_bits(similarity: float) -> float:
 
 
 def tables_for(n: int, similarity: float, radius: int = 2, recall: float = 0.97) -> tuple[int, int]:
-    """(bits, tables): bits so that chance meetings stay below one per value, tables for the recall."""
-    bits = min(48, max(20, math.ceil(math.log2(max(n, 2))) + 6))
+    """(bits, tables): bits so that hardly more than two strangers meet in a point, tables for the recall."""
+    bits = min(48, max(20, math.ceil(math.log2(max(n, 2))) + 7))
     p = expected_bits(similarity)
     hit = sum(math.comb(bits, r) * p**r * (1 - p) ** (bits - r) for r in range(radius + 1))
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
@@ -220,24 +222,20 @@ def _similar(docs: DataFrame, words: int, min_similarity: float, recall: float)
         return stored(verified(docs, stored(met.join(sx, "x").join(sy, "y").where(differ <= far).select("x", "y")), words, min_similarity))
 
     one = stored(sketches.select(*flat(F.lit(0), F.col("s")[0], F.lit(0).cast("long"))))
-    links = linked(one, _met(one, width, bits, tag_bits, most))
+    links = linked(one, _met(one, width, bits, tag_bits, most, True))
     comp = components(links, "x", "y").select(F.col("node").alias("rep"), F.col("root"))
     ranked = sketches.join(comp, "rep", "left").select("rep", "tag", "root", F.posexplode("s").alias("t", "s1"))
     # the code of a component: 0 for a text that has no link yet
     every = stored(ranked.select(*flat(F.col("t"), F.col("s1"), F.when(F.col("root").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("root").bitwiseOR(F.lit(1))))))
-    near = _met(every, width, bits, tag_bits, most)
+    near = _met(every, width, bits, tag_bits, most, False)
     links = stored(links.unionAll(linked(every, near)))
 
     comp = components(links, "x", "y").select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
-    crowd = near.where("point is not null").select(F.col("a").alias("v"), F.col("ta").alias("tag"), F.col("ca").alias("c"), "point").distinct()
-    if not crowd.isEmpty():
-        members = stored(every.join(crowd.select("v", "tag", "c").distinct(), ["v", "tag", "c"], "left_semi").select("v", "tag", "c", F.col("rep").alias("doc_id")).join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
-        spans = members.groupBy("v", "tag", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        mixed = crowd.join(spans, ["v", "tag", "c"]).groupBy("point").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("point")
-        values = crowd.join(mixed, "point", "left_semi").select("v", "tag", "c").distinct()
-        of = stored(members.join(values, ["v", "tag", "c"], "left_semi").select("doc_id", "comp").distinct())
-        if not of.isEmpty():
-            links = links.unionAll(crowd_links(docs, of, words, min_similarity))
+    crowd = near.where("b is null").select(F.col("a").alias("v"), F.col("ta").alias("tag"), F.col("ca").alias("c")).distinct()
+    of = every.join(crowd, ["v", "tag", "c"], "left_semi").select(F.col("rep").alias("doc_id")).distinct().join(comp, "doc_id", "left")
+    of = stored(of.select("doc_id", F.coalesce("comp", "doc_id").alias("comp")))
+    if not of.isEmpty():
+        links = links.unionAll(crowd_links(docs, of, words, min_similarity))
     return _classes(ids, reps, links)
 
 
@@ -252,16 +250,17 @@ def _pairs(flat: DataFrame, near: DataFrame) -> DataFrame:
     return same.unionAll(met).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> DataFrame:
-    """(a, ta, ca, b, tb, cb, point): values, tags and components that meet within radius 2, the tags differing in ``most`` bits or fewer and the components not the same; with b null, those of a crowded point.
+def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int, chains: bool) -> DataFrame:
+    """(a, ta, ca, b, tb, cb): values, tags and components that meet within radius 2, the tags differing in ``most`` bits or fewer and the components not the same; with b null, those of a crowded point.
 
     ``width``: bits of a value with its table's number. A point, the bit that was turned to reach it
     and the tag are one number of 64 bits. A task sorts the points of its values, cuts them into
     blocks of the range of (mixed) points and shuffles the differences, so a point costs some six
     bytes instead of a row. The number of blocks follows from the number of points, so that each
-    fits in ``BLOCK_POINTS``, but for the texts of one value. Members of a point are paired with the
-    next two where tags and components allow it. A point is crowded if this leaves out a pair: of
-    members further apart, or of texts that are equal in value and tag and so stand as one.
+    fits in ``BLOCK_POINTS``, but for the texts of one value. Of ``FEW`` members of a point all pairs
+    are taken that tags and components allow. A point is crowded if that leaves out a pair: of
+    further members, or of texts that are equal in value and tag and so stand as one. With
+    ``chains`` its members are paired with the next two; without, another search takes all of them.
     """
     total = flat.count() * (bits + 1)
     block_bits = min(width, math.ceil(math.log2(max(total / BLOCK_POINTS, 4))))
@@ -313,7 +312,7 @@ def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> Da
             v = (((x[i] >> shift) * unmix) & low) ^ masks[(x[i] >> np.uint64(tag_bits)) & np.uint64((1 << bits.bit_length()) - 1)]
             return [v, x[i] & tag_mask, c[i]]
 
-        pairs = [np.zeros((6, 0), np.uint64)]
+        pairs = [np.zeros((2, 0), np.int64)]
         for k in range(1, FAR_APART + 1):
             at = np.nonzero(run[k:] == run[:-k])[0]
             if not len(at):
@@ -323,20 +322,19 @@ def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> Da
                 break
             at = at[(np.bitwise_count((x[at] ^ x[at + k]) & tag_mask) <= most) & ((c[at] != c[at + k]) | (c[at] == 0))]
             if k > 2:
-                full[run[at]] = True
-                continue
+                full[run[at]] |= size[run[at]] > FEW
+                at = at[size[run[at]] <= FEW]
             copies = at[x[at] == x[at + k]]
             full[run[copies]] |= size[run[copies]] > 2
-            at = at[x[at] != x[at + k]]
-            pairs.append(np.stack(ends(at) + ends(at + k)))
-        found = np.unique(np.concatenate(pairs, 1), axis=1).view(np.int64)
+            pairs.append(np.stack([at, at + k])[:, x[at] != x[at + k]])
+        p = np.concatenate(pairs, 1)
+        p = p if chains else p[:, ~full[run[p[0]]]]
+        found = np.unique(np.stack(ends(p[0]) + ends(p[1])), axis=1).view(np.int64)
         i = np.nonzero(full[run])[0]
-        crowd = np.unique(np.stack([*ends(i), x[i] >> shift]), axis=1).view(np.int64)
-        none = lambda n: pa.nulls(n, pa.int64())
-        columns = [pa.concat_arrays([pa.array(f), pa.array(g)]) for f, g in zip(found[:3], crowd[:3], strict=True)]
-        columns += [pa.concat_arrays([pa.array(f), none(crowd.shape[1])]) for f in found[3:]]
-        columns.append(pa.concat_arrays([none(found.shape[1]), pa.array(crowd[3])]))
-        return pa.RecordBatch.from_arrays(columns, ["a", "ta", "ca", "b", "tb", "cb", "point"])
+        crowd = np.unique(np.stack(ends(i)), axis=1).view(np.int64)
+        columns = [pa.concat_arrays([pa.array(f), pa.array(g)]) for f, g in zip(found[:3], crowd, strict=True)]
+        columns += [pa.concat_arrays([pa.array(f), pa.nulls(crowd.shape[1], pa.int64())]) for f in found[3:]]
+        return pa.RecordBatch.from_arrays(columns, ["a", "ta", "ca", "b", "tb", "cb"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -352,14 +350,16 @@ def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int) -> Da
 
     blocks = flat.select("v", F.col("tag").cast("long"), F.col("c").cast("long")).mapInArrow(spread, "block long, points binary, comps binary")
     dealt = blocks.repartition(max(1, (1 << block_bits) // 4), "block").sortWithinPartitions("block")
-    return stored(dealt.mapInArrow(meet, "a long, ta long, ca long, b long, tb long, cb long, point long"))
+    return stored(dealt.mapInArrow(meet, "a long, ta long, ca long, b long, tb long, cb long"))
 
 
 def crowd_links(docs: DataFrame, crowd: DataFrame, words: int, min_similarity: float) -> DataFrame:
     """(x, y): all pairs of the texts of ``crowd`` (doc_id, comp) with this similarity that are of different components.
 
     Exact: in any common order of shingles, two such sets share one of their first ``n - ceil(s n)
-    + 1``, and the places of the first shingle that they share bound what they can share at all.
+    + 1``, the places of the first shingle that they share bound what they can share at all, and
+    so do 512 bits that say which ranges of hashes hold an odd number of a set: sets that differ in
+    d shingles differ in at most d of them.
     Shingles within one component come first (they cannot join two), then rare ones before common
     ones. So what a large family shares stands at the end and makes no candidates, and a text with
     too much of its own meets nobody.
@@ -368,13 +368,15 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, words: int, min_similarity: f
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, comp, text in zip(*batch.columns, strict=True):
-                h = np.unique(shingle_hashes(words_of(text.as_py()), words, 7)).view(np.int64)
-                same = [pa.array(np.full(len(h), x)) for x in (doc_id.as_py(), comp.as_py(), len(h))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(h)], ["doc_id", "comp", "n", "h"])
-
-    # the n of least set stands for an id whose rows differ in text
-    of = text_or_empty(docs).join(crowd, "doc_id").select("doc_id", "comp", "text").mapInArrow(sets, "doc_id long, comp long, n long, h long")
-    flat = stored(of.groupBy("doc_id", "comp", "h").agg(F.min("n").alias("n")))
+                h = np.unique(shingle_hashes(words_of(text.as_py()), words, 7))
+                odd = np.packbits(np.bincount((h >> np.uint64(64 - 9)).astype(np.int64), minlength=512) & 1).tobytes()
+                same = [pa.array(np.full(len(h) + 1, x)) for x in (doc_id.as_py(), comp.as_py(), len(h))]
+                yield pa.RecordBatch.from_arrays([*same, pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(h.view(np.int64))]), pa.concat_arrays([pa.array([odd], pa.binary()), pa.nulls(len(h), pa.binary())])], ["doc_id", "comp", "n", "h", "odd"])
+
+    # one text an id, the least where its rows differ
+    of = text_or_empty(docs).join(crowd, "doc_id").groupBy("doc_id", "comp").agg(F.min("text").alias("text"))
+    known = stored(of.mapInArrow(sets, "doc_id long, comp long, n long, h long, odd binary"))
+    flat, odds = known.where("h is not null").drop("odd"), known.where("odd is not null").select("doc_id", "odd")
     between = flat.groupBy("h").agg(F.count("*").alias("texts"), F.min("comp").alias("least"), F.max("comp").alias("last")).where("least <> last").select("h", "texts")
     of_doc = Window.partitionBy("doc_id")
     ranked = flat.join(between, "h").select("doc_id", "comp", "n", "h", F.row_number().over(of_doc.orderBy("texts", "h")).alias("at"), F.count("*").over(of_doc).alias("left"))
@@ -386,13 +388,15 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, words: int, min_similarity: f
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
 
         def matched(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            doc, comp, n, at = np.concatenate(parts, 1)
+            doc, comp, n, at, *odd = np.concatenate(parts, 1)
             order = np.argsort(n, kind="stable")
-            doc, comp, n, rest = doc[order], comp[order], n[order], (n - at + 1)[order]
+            doc, comp, n, rest, odd = doc[order], comp[order], n[order], (n - at + 1)[order], np.stack(odd)[:, order].view(np.uint64)  # bits are counted of unsigned numbers
             xs, ys, held = [], [], 0
             for i, end in enumerate(np.searchsorted(n, np.floor(n / min_similarity + 1e-9), "right").tolist()):
                 j = slice(i + 1, end)
-                can = (comp[j] != comp[i]) & (np.minimum(rest[j], rest[i]) >= share * (n[j] + n[i]) - 1e-9)
+                both = share * (n[j] + n[i]) - 1e-9  # least number of shared shingles
+                can = np.nonzero((comp[j] != comp[i]) & (np.minimum(rest[j], rest[i]) >= both))[0]
+                can = can[np.bitwise_count(odd[:, j][:, can] ^ odd[:, i : i + 1]).sum(0, dtype=np.int64) <= (n[j] + n[i] - 2 * both)[can] + 1e-6]
                 other = doc[j][can]
                 if len(other):
                     xs.append(np.minimum(other, doc[i]))
@@ -407,7 +411,8 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, words: int, min_similarity: f
         last, held = None, []
         for batch in batches:
             h = batch.column(0).to_numpy()
-            rows = np.stack([batch.column(k).to_numpy() for k in (1, 2, 3, 4)])
+            odd = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64).reshape(-1, 8).T
+            rows = np.concatenate([np.stack([batch.column(k).to_numpy() for k in (1, 2, 3, 4)]), odd])
             cuts = [0, *(np.nonzero(h[1:] != h[:-1])[0] + 1).tolist(), len(h)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if s == e:
@@ -420,7 +425,7 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, words: int, min_similarity: f
         if held:
             yield from matched(held)
 
-    postings = prefix.select("h", "doc_id", "comp", "n", F.col("at").cast("long").alias("at"))
+    postings = prefix.join(odds, "doc_id").select("h", "doc_id", "comp", "n", F.col("at").cast("long").alias("at"), "odd")
     spread = postings.repartition("h").sortWithinPartitions("h")
     pairs = stored(spread.mapInArrow(meet, "x long, y long").distinct())
     return verified(docs, pairs, words, min_similarity)
