@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of ids, some 16 bytes each, that are sent to all tasks beside texts instead of shuffling the texts.
+BROADCAST_IDS = 1 << 21
+
 #: Open scopes of ``passing``.
 _made: list[list[str]] = []
 
@@ -72,6 +75,11 @@ def passing(spark: SparkSession) -> Iterator[list[str]]:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, sent to all tasks if it has ``BROADCAST_IDS`` rows or fewer, by count; beyond, joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def n_partitions(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions of the session."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

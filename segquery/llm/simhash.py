@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, passing, stored, text_or_empty
+from .common import few, map_rows, passing, stored, text_or_empty
 from .graph import components
 
 SEED = 42
@@ -258,9 +258,9 @@ def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int, chain
     blocks of the range of (mixed) points and shuffles the differences, so a point costs some six
     bytes instead of a row. The number of blocks follows from the number of points, so that each
     fits in ``BLOCK_POINTS``, but for the texts of one value. Of ``FEW`` members of a point all pairs
-    are taken that tags and components allow. A point is crowded if that leaves out a pair: of
-    further members, or of texts that are equal in value and tag and so stand as one. With
-    ``chains`` its members are paired with the next two; without, another search takes all of them.
+    are taken that tags and components allow. A point of more is crowded, and one where texts that
+    are equal in value and tag stand as one beside others: its members with such a pair are left to
+    another search. With ``chains`` members are paired with the next two only, and none is left.
     """
     total = flat.count() * (bits + 1)
     block_bits = min(width, math.ceil(math.log2(max(total / BLOCK_POINTS, 4))))
@@ -306,32 +306,32 @@ def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int, chain
         mixed = np.bincount(run, other) > 0  # points with texts of more than one component
         x, c, run = (y[mixed[run]] for y in (x, c, run))
         size = np.bincount(run)
-        full = np.zeros(len(size), bool)
-
-        def ends(i: np.ndarray) -> list[np.ndarray]:
-            v = (((x[i] >> shift) * unmix) & low) ^ masks[(x[i] >> np.uint64(tag_bits)) & np.uint64((1 << bits.bit_length()) - 1)]
-            return [v, x[i] & tag_mask, c[i]]
-
-        pairs = [np.zeros((2, 0), np.int64)]
-        for k in range(1, FAR_APART + 1):
+        turn = (x >> np.uint64(tag_bits)) & np.uint64((1 << bits.bit_length()) - 1)
+        v = (((x >> shift) * unmix) & low) ^ masks[turn]
+        ends = lambda i: [v[i], x[i] & tag_mask, c[i]]
+        copies = np.bincount(run[1:], x[1:] == x[:-1], len(size)) > 0 if len(x) else np.zeros(0, bool)
+        full = (size > FEW) | copies & (size > 2)
+        crowd, pairs = np.zeros(len(x), bool), [np.zeros((2, 0), np.int64)]
+        for k in range(1, 3 if chains else FAR_APART + 1):
             at = np.nonzero(run[k:] == run[:-k])[0]
             if not len(at):
                 break
             if k == FAR_APART:
-                full[run[at]] = True
+                far = np.zeros(len(size), bool)
+                far[run[at]] = True
+                crowd |= far[run]
                 break
-            at = at[(np.bitwise_count((x[at] ^ x[at + k]) & tag_mask) <= most) & ((c[at] != c[at + k]) | (c[at] == 0))]
-            if k > 2:
-                full[run[at]] |= size[run[at]] > FEW
-                at = at[size[run[at]] <= FEW]
-            copies = at[x[at] == x[at + k]]
-            full[run[copies]] |= size[run[copies]] > 2
-            pairs.append(np.stack([at, at + k])[:, x[at] != x[at + k]])
+            to = at + k
+            can = (np.bitwise_count((x[at] ^ x[to]) & tag_mask) <= most) & ((c[at] != c[to]) | (c[at] == 0))
+            if not chains:  # two values within the radius share two points or, if equal, all: one of them counts
+                can &= np.where(turn[at] == turn[to], turn[at] == 0, (v[at] < v[to]) == (turn[at] < turn[to]))
+            at, to = at[can], to[can]
+            left = full[run[at]] & (not chains)
+            crowd[at[left]] = crowd[to[left]] = True
+            pairs.append(np.stack([at, to])[:, ~left & (x[at] != x[to])])
         p = np.concatenate(pairs, 1)
-        p = p if chains else p[:, ~full[run[p[0]]]]
         found = np.unique(np.stack(ends(p[0]) + ends(p[1])), axis=1).view(np.int64)
-        i = np.nonzero(full[run])[0]
-        crowd = np.unique(np.stack(ends(i)), axis=1).view(np.int64)
+        crowd = np.unique(np.stack(ends(np.nonzero(crowd)[0])), axis=1).view(np.int64)
         columns = [pa.concat_arrays([pa.array(f), pa.array(g)]) for f, g in zip(found[:3], crowd, strict=True)]
         columns += [pa.concat_arrays([pa.array(f), pa.nulls(crowd.shape[1], pa.int64())]) for f in found[3:]]
         return pa.RecordBatch.from_arrays(columns, ["a", "ta", "ca", "b", "tb", "cb"])
@@ -374,7 +374,7 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, words: int, min_similarity: f
                 yield pa.RecordBatch.from_arrays([*same, pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(h.view(np.int64))]), pa.concat_arrays([pa.array([odd], pa.binary()), pa.nulls(len(h), pa.binary())])], ["doc_id", "comp", "n", "h", "odd"])
 
     # one text an id, the least where its rows differ
-    of = text_or_empty(docs).join(crowd, "doc_id").groupBy("doc_id", "comp").agg(F.min("text").alias("text"))
+    of = text_or_empty(docs).join(few(crowd), "doc_id").groupBy("doc_id", "comp").agg(F.min("text").alias("text"))
     known = stored(of.mapInArrow(sets, "doc_id long, comp long, n long, h long, odd binary"))
     flat, odds = known.where("h is not null").drop("odd"), known.where("odd is not null").select("doc_id", "odd")
     between = flat.groupBy("h").agg(F.count("*").alias("texts"), F.min("comp").alias("least"), F.max("comp").alias("last")).where("least <> last").select("h", "texts")
@@ -433,14 +433,14 @@ def crowd_links(docs: DataFrame, crowd: DataFrame, words: int, min_similarity: f
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, min_similarity: float) -> DataFrame:
     """The pairs (x, y) of ids whose sets of shingles have this Jaccard similarity at least."""
-    named = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select("y")).distinct()
+    named = stored(pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select("y")).distinct())
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             ws = words_of(text)
             yield doc_id, xxhash.xxh128_digest(b" ".join(ws)), np.unique(shingle_hashes(ws, words, 7)).tobytes()
 
-    of = stored(map_rows(text_or_empty(docs).join(named, "doc_id", "left_semi"), sets, "doc_id long, copy binary, h binary", 64).groupBy("doc_id").agg(F.min_by("h", "copy").alias("h")))
+    of = stored(map_rows(text_or_empty(docs).join(few(named), "doc_id", "left_semi"), sets, "doc_id long, copy binary, h binary", 64).groupBy("doc_id").agg(F.min_by("h", "copy").alias("h")))
 
     def check(rows: Iterator[tuple]) -> Iterator[tuple]:
         for x, y, p, q in rows:
