@@ -16,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from segquery.llm import decontaminate, packing, pii, quality, simhash
-from segquery.llm.common import passing, stored, table
+from segquery.llm.common import few, passing, stored, table
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id is in ``ids``, columns and order of columns unchanged."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(ids.select("doc_id").where("doc_id is not null").distinct())
+    return docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
