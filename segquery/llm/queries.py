@@ -66,4 +66,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+
+def _mask_sql(m: int, mask: str) -> str:
+    """Seeds of one mask: its number and the words that it keeps of eight that follow one another."""
+    kept = ", ".join(f"w{k}" for k, c in enumerate(mask) if c == "1")
+    return f"SELECT *, {m} AS mask, concat_ws(' ', {kept}) AS seed FROM {{0}} WHERE w7 IS NOT NULL"
+
+
+def _seed_sql(tokens: str) -> str:
+    return " UNION ALL ".join(_mask_sql(m, mask).format(tokens) for m, mask in enumerate(decontaminate.MASKS))
+
+
+def _words_sql(name: str, key: str) -> str:
+    """(key, row, p, w0, ..., w7): every token with the seven after it; p counts from 0."""
+    after = ", ".join(f"lead(w0, {k}) OVER (PARTITION BY row ORDER BY p) AS w{k}" for k in range(1, 8))
+    return f"""
+      {name}_rows AS (SELECT {key}, row_number() OVER () AS row, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM {name} WHERE {key} IS NOT NULL AND text IS NOT NULL),
+      {name}_flat AS (SELECT {key}, row, len(t) AS n, unnest(t) AS w0, generate_subscripts(t, 1) - 1 AS p FROM {name}_rows),
+      {name}_words AS (SELECT *, {after} FROM {name}_flat)"""
+
+
+#: Tokens themselves instead of their hashes, and the best stretch from running sums instead of a fold.
+DECONTAMINATION_SQL = f"""
+WITH {_words_sql("documents", "doc_id")}, {_words_sql("benchmark", "item_id")},
+  hits AS (SELECT DISTINCT d.doc_id, b.item_id, d.p - b.p AS shift FROM ({_seed_sql("documents_words")}) d JOIN ({_seed_sql("benchmark_words")}) b USING (mask, seed)),
+  gains AS (
+    SELECT h.doc_id, h.item_id, h.shift, d.row AS dr, b.row AS br, b.n, b.p, sum(CASE WHEN d.w0 = b.w0 THEN 1 ELSE -1 END) OVER (PARTITION BY d.row, b.row, h.shift ORDER BY b.p) AS total
+    FROM hits h JOIN benchmark_flat b USING (item_id) JOIN documents_flat d ON d.doc_id = h.doc_id AND d.p = b.p + h.shift
+  ),
+  runs AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY dr, br, shift ORDER BY p)) AS stretch FROM gains),
+  pairs AS (SELECT doc_id, item_id, dr, br, shift, any_value(n) AS n, max(stretch) AS score FROM runs GROUP BY ALL),
+  found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(score) AS score FROM pairs WHERE score >= least({decontaminate.MIN_SCORE}, n) GROUP BY doc_id)
+SELECT d.doc_id, f.n_items IS NOT NULL AS contaminated, coalesce(f.n_items, 0)::BIGINT AS n_items, coalesce(f.score, 0)::INTEGER AS score
+FROM documents d LEFT JOIN found f USING (doc_id)
+"""
+
+#: The programme itself as a recursive query over the exact histogram. Equal to the operator while a bucket
+#: is one shard (up to 1.5 times SHARD_ROWS rows): DuckDB has no XXH64, by which more shards are dealt.
+PACKING_SQL = f"""
+WITH RECURSIVE given AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS length FROM documents),
+  hist AS (SELECT length AS x, count(*) AS c FROM given GROUP BY length),
+  pts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY x) AS j, x, (sum(c) OVER (ORDER BY x))::BIGINT AS n, (sum(c * x) OVER (ORDER BY x))::BIGINT AS s FROM hist),
+  dp AS (
+    SELECT 1 AS k, j, x * n - s AS cost, 0::BIGINT AS i FROM pts
+    UNION ALL
+    SELECT k + 1, j, m.cost, -m.i FROM (
+      SELECT a.k, q.j, min({{'cost': a.cost + q.x * (q.n - p.n) - (q.s - p.s), 'i': -a.j}}) AS m
+      FROM dp a JOIN pts p ON p.j = a.j JOIN pts q ON q.j > a.j WHERE a.k < {packing.BUCKETS} GROUP BY a.k, q.j
+    )
+  ),
+  layers AS MATERIALIZED (SELECT * FROM dp),
+  last AS MATERIALIZED (SELECT k, j, i FROM layers WHERE j = (SELECT max(j) FROM pts) ORDER BY cost, k LIMIT 1),
+  ends AS (SELECT k, j, i FROM last UNION ALL SELECT d.k, d.j, d.i FROM ends e JOIN layers d ON d.k = e.k - 1 AND d.j = e.i),
+  bounds AS (SELECT x AS boundary, coalesce(lag(x) OVER (ORDER BY x), -1) AS below FROM ends JOIN pts USING (j)),
+  placed AS (
+    SELECT doc_id, length, boundary, greatest(1, {packing.BUDGET} // boundary) AS fits, row_number() OVER (PARTITION BY boundary ORDER BY length, doc_id NULLS FIRST) - 1 AS place
+    FROM given JOIN bounds ON length > below AND length <= boundary
+  )
+SELECT doc_id, length, boundary, boundary - length AS padding, concat(boundary, '-0-', place // fits) AS batch_id, (place % fits)::INTEGER AS slot FROM placed
+"""
+
+SQL: dict[str, str] = {"op5_decontamination": DECONTAMINATION_SQL, "op9_packing": PACKING_SQL}
