@@ -8,7 +8,8 @@ and between paths (method of moments). A document's own pseudo count is left out
 posteriors that it meets.
 
 Defined results: null text is empty text; a null host or path is the site ``''``; repeated rows
-count as rows; without labelled rows of both classes every document scores the prior 0.5 and is
+count as rows, but an id is one row to the classifier (the least vector where its texts differ) and
+of low quality where its labels differ; without labelled rows of both classes every document scores the prior 0.5 and is
 kept; an empty table gives an empty table.
 """
 
@@ -94,11 +95,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = Non
             yield doc_id, h, p, features_of(text)
 
     seen = stored(map_rows(rows, stats, "doc_id long, host string, path string, x array<double>", 2048))
-    known = labels.where("quality in (0, 1)").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     given = []
     for q in (0, 1):
         chosen = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        given.append([r.x for r in seen.join(chosen, "doc_id", "left_semi").select("x").orderBy("x").limit(sample).collect()])
+        given.append([r.x for r in seen.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("x").collect()])
     if not given[0] or not given[1]:
         weights = [0.0] * len(FEATURES)
         logit = F.lit(0.0)

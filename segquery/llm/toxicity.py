@@ -2,14 +2,18 @@
 
 Words are hashed to two rows of one embedding table, filters of widths 1 to 3 slide over the
 whole text and are max-pooled, once over the text and once over each window of 16 words, whose
-maxima are averaged (a long text with one hit differs from one full of them). The table, the
-filters and the output layer are trained by Adagrad on a bounded sample of labelled rows; the
-cut-off is calibrated for each language, which is told from function words of the text itself.
-A score depends on the text alone.
+maxima are averaged (a long text with one hit differs from one full of them). The table's first
+column starts on the smoothed log odds of a word's hash and half of the filters on that column
+(``evidence``); then the table, the filters and the output layer are trained by Adagrad on a
+bounded sample of labelled rows. The start matters: a few hundred toxic texts are too few to
+learn word vectors from nothing (figures with and without it are in the README). The cut-off is
+calibrated for each language, which is told from function words of the text itself. A score
+depends on the text alone.
 
 Defined results: null text is empty; a text without words gets the score of no evidence;
 repeated rows get equal scores; without labelled rows of both classes every score is 0; other
-columns are ignored. Labels are read for training rows only.
+columns are ignored. Labels are read for training rows only; an id with both labels is toxic, and
+where texts of one id differ, one of them is learned from (the least by word hashes).
 """
 
 from __future__ import annotations
@@ -218,7 +222,7 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 def fit_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicCNN | None:
     """Train on at most ``sample`` labelled rows of each class, none of them held out."""
-    known = labels.where("toxic in (0, 1)").where(~held_out()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where("toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_of = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n_of.get(0) or not n_of.get(1):
         return None
@@ -231,7 +235,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxic
             yield doc_id, word_ids(text, ids).tobytes()
 
     own = text_or_empty(docs).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # at most 2 * sample ids
-    got = map_rows(own, hashed, "doc_id long, ids binary", 256).dropDuplicates(["doc_id"]).join(chosen, "doc_id")
+    got = map_rows(own, hashed, "doc_id long, ids binary", 256).groupBy("doc_id").agg(F.min("ids").alias("ids")).join(chosen, "doc_id")
     rows = sorted((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.ids, r.toxic) for r in got.collect())
     if len({r[3] for r in rows}) < 2:
         return None

@@ -74,6 +74,28 @@ def test_quality_accuracy(spark):
     assert sum(not r.keep for r in bad) / len(bad) > 0.9
 
 
+def test_quality_held_out(spark):
+    """Labels of a fifth of the rows are kept from the classifier, which judges these rows."""
+    d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality.quality_scores(d, lab.where(~toxicity.held_out())).join(lab.where(toxicity.held_out()), "doc_id").collect()
+    kept = {q: [r.keep for r in rows if r.quality == q] for q in (0, 1)}
+    assert len(kept[0]) > 100 and len(kept[1]) > 600
+    assert np.mean(kept[1]) > 0.99 and np.mean(kept[0]) < 0.1
+
+
+def test_strength_of_sparse_sites(spark):
+    """Thousands of hosts of one to three rows: the prior's strength by plain moments, and shrunk posteriors."""
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 4, 4000)
+    share = rng.beta(2.0, 3.0, len(n))
+    a = rng.binomial(n, share)
+    groups = spark.createDataFrame(list(zip(a.astype(float).tolist(), n.tolist(), strict=True)), "a double, n long")
+    m = a.sum() / n.sum()
+    rho = max(0.0, float((n * (a / n - m) ** 2).sum()) - len(n) * m * (1 - m)) / float((m * (1 - m) * n).sum())
+    got = quality._strength(groups, "a", "n", F.lit(float(m)))
+    assert got == pytest.approx(min(10_000.0, max(2.0, 1 / rho - 1 if rho > 0 else 10_000.0)), rel=1e-6)
+
+
 def test_quality_odd_rows(odd, labels, empty):
     rows = quality.quality_scores(odd, labels).collect()
     assert len(rows) == 15 and all(0 <= r.quality_score <= 1 and r.keep is not None for r in rows)
