@@ -102,11 +102,12 @@ class ToxicCNN:
         self.table[:, 0] = (0.25 * odds * sure).astype(np.float32)
 
     def _embed(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of all documents, each filled with zeros to whole windows and two rows more; window starts of documents."""
-        spans = [-(-(len(d) + max(WIDTHS) - 1) // WINDOW) * WINDOW for d in docs]
+        """Rows of all documents, each behind zeros that keep it out of the reach of the one before, filled to whole windows; window starts of documents."""
+        lead = max(WIDTHS) - 1
+        spans = [-(-(len(d) + lead) // WINDOW) * WINDOW for d in docs]
         starts = np.r_[0, np.cumsum(spans)]
-        x = np.zeros((int(starts[-1]) + max(WIDTHS) - 1, DIM), np.float32)
-        where = np.concatenate([np.arange(s, s + len(d)) for s, d in zip(starts, docs, strict=False)]) if docs else np.zeros(0, int)
+        x = np.zeros((int(starts[-1]) + lead, DIM), np.float32)
+        where = np.concatenate([np.arange(s + lead, s + lead + len(d)) for s, d in zip(starts, docs, strict=False)]) if docs else np.zeros(0, int)
         ids = np.concatenate(docs) if docs else np.zeros(0, np.int64)
         if len(ids):
             x[where] = self.table[ids & 0xFFFFFFFF] + self.table[ids >> 32]

@@ -65,6 +65,17 @@ def test_gradients():
     assert abs((up - down) / (2 * eps)) == pytest.approx(g[j, d, f], rel=0.2, abs=2e-3) and before > 0
 
 
+def test_score_does_not_depend_on_neighbours():
+    """A text alone, before and behind others of every length has one score."""
+    rng = np.random.default_rng(1)
+    m = toxicity.ToxicCNN()
+    m.table = rng.standard_normal(m.table.shape).astype(np.float32)
+    docs = [np.array([a | (b << 32) for a, b in rng.integers(0, 1 << 17, (n, 2)).tolist()], np.int64) for n in range(40)]
+    alone = np.concatenate([m.scores([d]) for d in docs])
+    assert len(set(alone.round(6))) > 30
+    assert m.scores(docs) == pytest.approx(alone, abs=1e-5) and m.scores(docs[::-1]) == pytest.approx(alone[::-1], abs=1e-5)
+
+
 def test_quality_accuracy(spark):
     d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = quality.quality_scores(d, lab).join(lab, "doc_id").collect()
@@ -83,6 +94,17 @@ def test_quality_held_out(spark):
     assert np.mean(kept[1]) > 0.99 and np.mean(kept[0]) < 0.1
 
 
+def test_conflicting_labels_and_ids(spark):
+    """Labels and texts that differ for one id count in one way, whatever their order."""
+    texts = [(i, ("idiot moron " if i % 2 else "fine words ") * (1 + i % 7)) for i in range(60)] + [(8, "another text of eight"), (9, "IDIOT | ! | !")]
+    given = [(i, i % 2, i % 2) for i in range(60)] + [(4, 0, 1), (4, 1, 0), (7, 0, 0)]
+    d = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source")
+    lab = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    for of in (lambda x, y: toxicity.toxic_scores(x, y).select("doc_id", "score"), lambda x, y: quality.quality_scores(x, y).select("doc_id", "doc_score")):
+        a, b = (sorted((r[0], round(r[1], 9)) for r in of(d(t).repartition(n), lab(g)).collect()) for t, g, n in ((texts, given, 1), (texts[::-1], given[::-1], 5)))
+        assert a == b and len(a) == 62
+
+
 def test_strength_of_sparse_sites(spark):
     """Thousands of hosts of one to three rows: the prior's strength by plain moments, and shrunk posteriors."""
     rng = np.random.default_rng(5)
