@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, katz, media_tiff, packing, pii, quality, simhash, suffix_dedup, toxicity, wrapper
+from . import bpe, collocations, decontaminate, katz, media_tiff, packing, pii, prefix_trie, quality, simhash, suffix_dedup, toxicity, wrapper
 from .common import table
 
 
@@ -52,6 +53,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.rebuilt(prefix_trie.turns_of(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(turns).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": op1_katz,
     "op2_suffix": op2_suffix,
@@ -63,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wrapper": op8_wrapper,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_collocations": op11_collocations,
+    "op12_bpe": op12_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -126,4 +146,47 @@ WITH RECURSIVE given AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''
 SELECT doc_id, length, boundary, boundary - length AS padding, concat(boundary, '-0-', place // fits) AS batch_id, (place % fits)::INTEGER AS slot FROM placed
 """
 
-SQL: dict[str, str] = {"op5_decontamination": DECONTAMINATION_SQL, "op9_packing": PACKING_SQL}
+#: All n-grams of all pieces counted at once, without a sketch; every part of a longer phrase instead of its two ends.
+COLLOCATIONS_SQL = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+  ),
+  words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+  total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+  grams AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 6) t(m)),
+  counted AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+  candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE m > 1),
+  cuts AS (SELECT *, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+  scored AS (
+    SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score, row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f), k) AS place
+    FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = head JOIN counted y ON y.lang = c.lang AND y.phrase = tail JOIN total t ON t.lang = c.lang
+  ),
+  parts AS (SELECT lang, f, w, m, s, unnest(range(1, m - s + 2)) AS i FROM candidates, range(2, 5) t(s) WHERE s < m),
+  inside AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(f) AS f FROM parts GROUP BY ALL),
+  kept AS (SELECT s.* FROM scored s LEFT JOIN inside i USING (lang, phrase) WHERE place = 1 AND (i.f IS NULL OR 100 * i.f < 100 * a)),
+  ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+#: Prefixes as lists of turns instead of digests; CRC-32 bit by bit.
+TRIE_SQL = """
+WITH given AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+  convs AS (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS turns,
+      xor(4294967295, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), 4294967295)) AS crc
+    FROM given GROUP BY conv_id
+  ),
+  paths AS (SELECT c.conv_id, coalesce(b.turns[:h], []) || c.turns[h + 1:] AS path FROM (SELECT *, (crc % 6)::BIGINT AS h FROM convs) c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 100),
+  steps AS (SELECT conv_id, len(path) AS size, d, path[:d] AS node FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM paths)),
+  nodes AS (SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256 FROM steps GROUP BY d, node),
+  children AS (SELECT node[:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+  whole AS (SELECT n.*, coalesce(n_children, 0)::BIGINT AS n_children FROM nodes n LEFT JOIN children c ON c.node = n.node),
+  below AS (
+    SELECT up, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(node[d].text) END)::BIGINT AS saved_tokens
+    FROM (SELECT d, n_convs, n_children, node, node[:j] AS up FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM whole)) GROUP BY up
+  )
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, b.n_leaves, b.saved_tokens, w.ends_sha256
+FROM whole w JOIN below b ON b.up = w.node LEFT JOIN whole p ON p.d = w.d - 1 AND p.node = w.node[:w.d - 1]
+"""
+
+SQL: dict[str, str] = {"op5_decontamination": DECONTAMINATION_SQL, "op9_packing": PACKING_SQL, "op11_collocations": COLLOCATIONS_SQL, "op13_prefix_trie": TRIE_SQL}
