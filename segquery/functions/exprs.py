@@ -28,6 +28,48 @@ def seg_key(video: Column | str, ts_cs: Column | str, te_cs: Column | str) -> Co
     return F.concat(col(video).cast("string"), F.lit("__"), col(ts_cs).cast("string"), F.lit("_"), col(te_cs).cast("string"))
 
 
+def _scaled(x: Column, digits: int) -> Column:
+    """The double ``x`` times 10^digits, rounded to an integer as if the product were exact, ties to even.
+
+    Twice the product is the sum of a rounded product and its error (Veltkamp and Dekker's splitting), so it is known on which side of a
+    tie it lies.
+    """
+    by = 2.0 * 10**digits
+
+    def parts(v: Column) -> Column:
+        c = v * 134217729.0
+        return F.struct(v.alias("v"), (c - (c - v)).alias("high"), (v * by).alias("p"))
+
+    def rounded(s: Column) -> Column:
+        p, error = s["p"], (s["high"] * by - s["p"]) + (s["v"] - s["high"]) * by
+        odd = (p == F.floor(p)) & (F.pmod(p, F.lit(2.0)) == 1)
+        return F.when(odd & (error > 0), (p + 1) / 2).when(odd & (error < 0), (p - 1) / 2).otherwise(F.rint(p / 2))
+
+    # lambdas name what is used more than once
+    return F.transform(F.transform(F.array(x), parts), rounded)[0]
+
+
+def round_exact(x: Column | str, digits: int) -> Column:
+    """A double rounded to ``digits`` decimals by its exact binary value, ties to even: not by its shortest decimal, as ``round`` does."""
+    return _scaled(col(x).cast("double"), digits) / F.lit(10.0**digits)
+
+
+def decimals(x: Column | str, digits: int = 2) -> Column:
+    """A double as text with ``digits`` decimals, rounded by its exact binary value."""
+    by = 10**digits
+
+    def text(n: Column) -> Column:
+        whole = F.abs(n).cast("long")
+        return F.concat(F.when((n < 0) | (n.cast("string") == "-0.0"), "-").otherwise(""), (whole / by).cast("long").cast("string"), F.lit("."), F.lpad((whole % by).cast("string"), digits, "0"))
+
+    return F.transform(F.array(_scaled(col(x).cast("double"), digits)), text)[0]
+
+
+def seg_key_seconds(video: Column | str, ts: Column | str, te: Column | str) -> Column:
+    """Key of a segment from seconds with two decimals."""
+    return F.concat(col(video).cast("string"), F.lit("__"), decimals(ts), F.lit("_"), decimals(te))
+
+
 def text_key(text: Column | str) -> Column:
     return F.concat(F.lit("q_"), F.substring(F.md5(F.trim(col(text)).cast("binary")), 1, 12))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segquery.functions import exprs as X
 
+from . import vectors as V
 from .retrieval import metric_columns, pct
 
 
@@ -36,10 +37,16 @@ def hub_shares(hubs: DataFrame, group: str) -> DataFrame:
     return per.select(group, "events", (100 * F.col("events") / F.sum("events").over(every)).alias("event_share"), (100 * F.col("slots") / F.nullif(F.sum("slots").over(every), F.lit(0))).alias("slot_share"), "never")
 
 
-def near_duplicates(pairs: DataFrame, tau: float) -> DataFrame:
-    """(query_id, n_dup, n_dup_other): other segments of cosine >= tau, and those of other items; ``pairs`` has query_video."""
-    hit = (F.col("score") >= tau) & (F.col("seg_row") != F.col("query_id"))
-    return pairs.groupBy("query_id").agg(F.sum(F.when(hit, 1).otherwise(0)).cast("long").alias("n_dup"), F.sum(F.when(hit & (F.col("video_id") != F.col("query_video")), 1).otherwise(0)).cast("long").alias("n_dup_other"))
+def near_duplicates(queries: DataFrame, segments: DataFrame, tau: float) -> DataFrame:
+    """(query_id, n_dup, n_dup_other): segments of cosine >= tau, and those of other items; a segment that is the query itself counts not.
+
+    ``queries``: (query_id, q_emb, query_video). Hits are counted by item where the scores are made.
+    """
+    video = queries.select("query_id", "query_video")
+    hits = V.counts(queries, segments, tau).join(video, "query_id").select("query_id", "n", (F.col("video_id") != F.col("query_video")).alias("other"))
+    own = queries.join(segments.select(F.col("seg_row").alias("query_id"), "video_id", "emb"), "query_id").where(X.dot("q_emb", "emb") >= tau)
+    every = hits.unionByName(own.select("query_id", F.lit(-1).cast("long").alias("n"), (F.col("video_id") != F.col("query_video")).alias("other")))
+    return every.groupBy("query_id").agg(F.sum("n").alias("n_dup"), F.sum(F.when(F.col("other"), F.col("n")).otherwise(0)).alias("n_dup_other"))
 
 
 def semantic_hits(top: DataFrame, tau: float, k: int) -> DataFrame:
@@ -69,7 +76,9 @@ def flip_profile(rows: DataFrame, flags: list[str], values: list[str]) -> DataFr
 
 def sample(rows: DataFrame, key: str, n: int, seed: object = 0, *by: str) -> DataFrame:
     """n rows (a group) without replacement, by hash order."""
-    w = Window.partitionBy(*by).orderBy(X.hash_uniform(seed, key), key) if by else Window.orderBy(X.hash_uniform(seed, key), key)
+    if not by:
+        return rows.orderBy(X.hash_uniform(seed, key), key).limit(n)
+    w = Window.partitionBy(*by).orderBy(X.hash_uniform(seed, key), key)
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 

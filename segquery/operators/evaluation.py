@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from segquery.functions import exprs as X
 
 from .intervals import best_match, best_tiou, pairs
-from .localize import average_precision, hungarian, prf_at
+from .localize import ap_by, assigned, average_precision, competing, hungarian, prf_at, served
+from .partitions import uniform
 
 #: Share of a segment that has to lie in another for it to be covered.
 COVER = 0.5
@@ -76,13 +78,156 @@ def loc_block(gt: DataFrame, preds: DataFrame, thresholds: tuple[float, ...] = T
     return out  # one row each
 
 
+def _of_methods(gt: DataFrame, methods: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Events and predictions of several methods as items ``method#item``, predictions of items without events left out."""
+    if any("#" in m for m in methods):
+        raise ValueError("a method's name holds no #")
+    key = lambda m: F.concat_ws("#", m, F.col("video_id").cast("string"))
+    names = F.broadcast(gt.sparkSession.createDataFrame([(m,) for m in methods], "method string"))  # as many rows as methods
+    events = gt.crossJoin(names).select(key("method").alias("video_id"), "gt_id", "ts", "te")
+    every = reduce(DataFrame.unionByName, [p.select(key(F.lit(m)).alias("video_id"), "pred_id", "ts", "te", "conf") for m, p in methods.items()])
+    return events, every.join(events.select("video_id").distinct(), "video_id", "left_semi")
+
+
+def _named(df: DataFrame, kind: str) -> DataFrame:
+    """``method#item`` taken apart again."""
+    rest = F.expr("substring(video_id, instr(video_id, '#') + 1)").cast(kind)
+    return df.withColumn("method", F.substring_index("video_id", "#", 1)).withColumn("video_id", rest)
+
+
+def _at_thresholds(close: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """Rivals at several thresholds at once, as items ``place of the threshold#...``: one matching serves all."""
+    each = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t")) for k, t in enumerate(thresholds)]), lambda x: F.col("tiou") >= x["t"]))
+    tagged = close.withColumn("_x", each).withColumn("video_id", F.concat_ws("#", F.col("_x.k").cast("string"), "video_id")).drop("_x")
+    return competing(tagged, min(thresholds))
+
+
+def item_rows(gt: DataFrame, methods: dict[str, DataFrame], thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """One row a method and item with events: n_gt, n_pred, best (sum of the events' best tIoU), and by threshold the events covered and matched.
+
+    Overlaps are found once for all methods, and one matching serves all methods and thresholds.
+    """
+    events, preds = _of_methods(gt, methods)
+    close = pairs(events, preds)
+    best = events.select("video_id", "gt_id").join(close.groupBy("video_id", "gt_id").agg(F.max("tiou").alias("best")), ["video_id", "gt_id"], "left").na.fill(0.0, ["best"])
+    per = best.groupBy("video_id").agg(F.count("*").alias("n_gt"), F.sum("best").alias("best"), *[F.sum((F.col("best") >= t).cast("long")).alias(_name("covered", t)) for t in thresholds])
+    found = assigned(_at_thresholds(close, thresholds)).select(F.substring_index("video_id", "#", 1).cast("int").alias("k"), F.expr("substring(video_id, instr(video_id, '#') + 1)").alias("video_id"))
+    matched = found.groupBy("video_id").agg(*[F.sum((F.col("k") == k).cast("long")).alias(_name("matched", t)) for k, t in enumerate(thresholds)])
+    size = preds.groupBy("video_id").agg(F.count("*").alias("n_pred"))
+    rows = per.join(size, "video_id", "left").join(matched, "video_id", "left").na.fill(0, ["n_pred", *[_name("matched", t) for t in thresholds]])
+    kind = gt.schema["video_id"].dataType.simpleString()
+    return _named(rows, kind).select("method", "video_id", "n_gt", "n_pred", "best", *[_name(c, t) for t in thresholds for c in ("covered", "matched")])
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
+
+
+def by_item(rows: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """The per-item report of ``item_rows``: mean best tIoU, and precision, recall and F1 by threshold."""
+    m = lambda t: F.col(_name("matched", t)).cast("double")
+    n = F.col("n_gt") + F.col("n_pred")
+    return rows.select("method", "video_id", "n_gt", "n_pred", _ratio(F.col("best"), F.col("n_gt")).alias("mean_tiou"), *[c for t in thresholds for c in (_ratio(m(t), F.col("n_pred")).alias(_name("p", t)), _ratio(m(t), F.col("n_gt")).alias(_name("r", t)), _ratio(2 * m(t), n).alias(_name("f1", t)))])
+
+
 def compared(gt: DataFrame, methods: dict[str, DataFrame], splits: dict[str, DataFrame], thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """(split, method, ...): ``loc_block`` of each method on the items (video_id) of each split."""
-    rows = []
-    for split, items in splits.items():
-        own = gt.join(items.select("video_id").distinct(), "video_id", "left_semi")
-        rows += [loc_block(own, p, thresholds).select(F.lit(split).alias("split"), F.lit(m).alias("method"), "*") for m, p in methods.items()]
-    return reduce(DataFrame.unionByName, rows)
+    """(split, method, ...): ``loc_block`` of each method on the items (video_id) of each split, which may share items.
+
+    Items are matched once and summed up in each of their splits.
+    """
+    tags = reduce(DataFrame.unionByName, [items.select("video_id", F.lit(split).alias("split")) for split, items in splits.items()])
+    tagged = item_rows(gt, methods, thresholds).join(tags.distinct(), "video_id")
+    return _block(tagged.groupBy("split", "method"), thresholds, F.col("split")).drop("items", "n_gt", "n_pred")
+
+
+def split_blocks(gt: DataFrame, methods: dict[str, DataFrame], splits: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, whole: str = "all") -> DataFrame:
+    """(split, method, items, n_gt, n_pred, seg_per_video, mean_tiou, cover, p, r, f1 by threshold): each split of (video_id, split), disjoint, and all of them."""
+    return rolled(item_rows(gt, methods, thresholds), splits, thresholds, whole)
+
+
+def rolled(rows: DataFrame, splits: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, whole: str = "all") -> DataFrame:
+    """``item_rows`` summed up by split and over all splits, as grouping sets of one pass."""
+    tagged, split, method = rows.join(splits.select("video_id", "split").distinct(), "video_id"), F.col("split"), F.col("method")
+    return _block(tagged.groupingSets([[split, method], [method]], split, method), thresholds, F.when(F.grouping("split") == 1, whole).otherwise(split))
+
+
+def _block(grouped: GroupedData, thresholds: tuple[float, ...], split: Column) -> DataFrame:
+    """Sums of ``item_rows`` as ratios."""
+    sums = grouped.agg(split.alias("_split"), F.count("*").alias("items"), *[F.sum(c).alias(c) for c in ("n_gt", "n_pred", "best", *(_name(x, t) for t in thresholds for x in ("covered", "matched")))])
+    n_gt, n_pred = F.col("n_gt"), F.col("n_pred")
+    m = lambda t: F.col(_name("matched", t)).cast("double")
+    out = [F.col("_split").alias("split"), "method", "items", "n_gt", "n_pred", _ratio(n_pred, F.col("items")).alias("seg_per_video"), _ratio(F.col("best"), n_gt).alias("mean_tiou")]
+    for t in thresholds:
+        out += [_ratio(F.col(_name("covered", t)), n_gt).alias(_name("cover", t)), _ratio(m(t), n_pred).alias(_name("p", t)), _ratio(m(t), n_gt).alias(_name("r", t)), _ratio(2 * m(t), n_gt + n_pred).alias(_name("f1", t))]
+    return sums.select(*out)
+
+
+def average_precisions(gt: DataFrame, methods: dict[str, DataFrame], splits: DataFrame, thresholds: tuple[float, ...], whole: str = "all") -> DataFrame:
+    """(split, method, threshold, ap) for each split of (video_id, split), disjoint, and all: one matching for all methods and thresholds."""
+    events, preds = _of_methods(gt.join(splits.select("video_id").distinct(), "video_id", "left_semi"), methods)
+    kind, key = gt.schema["video_id"].dataType.simpleString(), ["video_id", "pred_id", "k"]
+    hits = served(_at_thresholds(pairs(events, preds), thresholds)).select(F.expr("substring(video_id, instr(video_id, '#') + 1)").alias("video_id"), "pred_id", F.substring_index("video_id", "#", 1).cast("int").alias("k"), F.lit(1).cast("long").alias("tp"))
+    every = preds.select("video_id", "pred_id", "conf", F.explode(F.array(*map(F.lit, range(len(thresholds))))).alias("k")).join(hits, key, "left").na.fill(0, ["tp"])
+    twice = lambda d: d.join(splits.select("video_id", "split").distinct(), "video_id").withColumn("split", F.explode(F.array("split", F.lit(whole))))
+    n = twice(gt).groupBy("split").agg(F.count("*").alias("n_gt"))
+    groups = gt.sparkSession.createDataFrame([(m, k) for m in methods for k in range(len(thresholds))], "method string, k int")
+    ap = ap_by(twice(_named(every, kind)).select("split", "method", "k", "pred_id", "conf", "tp"), n.crossJoin(F.broadcast(groups)), "split", "method", "k")
+    at = F.element_at(F.array(*map(F.lit, thresholds)), F.col("k") + 1)
+    return ap.select("split", "method", at.alias("threshold"), "ap")
+
+
+def top_proposals(raw: DataFrame, gt: DataFrame, final: DataFrame, ns: tuple[int | str, ...] = (1, 5, 10, "pred", "gt")) -> dict[str, DataFrame]:
+    """Methods ``top<n>``: an item's n most confident proposals; ``pred`` and ``gt``: as many as the item has final segments or events."""
+    ranked = raw.withColumn("_r", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("conf"), "pred_id")))
+    out = {}
+    for n in ns:
+        if isinstance(n, str):
+            size = {"pred": final, "gt": gt}[n].groupBy("video_id").agg(F.count("*").alias("_n"))
+            out[f"top_{n}"] = ranked.join(size, "video_id").where(F.col("_r") <= F.col("_n")).drop("_r", "_n")
+        else:
+            out[f"top_{n}"] = ranked.where(F.col("_r") <= n).drop("_r")
+    return out
+
+
+def split_evaluation(gt: DataFrame, raw: DataFrame, final: DataFrame, other: dict[str, DataFrame], durations: DataFrame, splits: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, map_thresholds: tuple[float, ...] = (0.3, 0.5, 0.7, 0.9)) -> dict[str, DataFrame]:
+    """All reports of an evaluation by split, and over all splits (``all``).
+
+    blocks: final, other methods and uniform segments of the same number an item; recall: coverage by the N most confident raw
+    proposals; ap, map: average precision of raw, final and others, and its mean over thresholds; items: a row a method and item;
+    events, segments: flags of final segments; errors, boundary: shares of errors, offsets of the matched, by split.
+    items, events and segments are marked to be kept, as several reports read them.
+    """
+    own = gt.join(splits.select("video_id").distinct(), "video_id", "left_semi")
+    sized = {n: d.groupBy("video_id").agg(F.count("*").alias("m")) for n, d in (("pred", final), ("gt", own))}
+    same = {f"uniform_{n}": uniform(durations.join(s, "video_id"), F.col("m")).select("video_id", F.concat_ws("_", F.lit(n), "video_id", "k").alias("pred_id"), "ts", "te", F.lit(1.0).alias("conf")) for n, s in sized.items()}
+    text = lambda d: d.withColumn("pred_id", F.col("pred_id").cast("string"))
+    rows = item_rows(own, {"final": text(final), **{n: text(d) for n, d in other.items()}, **same}, thresholds).persist()
+    tops = split_blocks(own, top_proposals(raw, own, final), splits, thresholds)
+    aps = average_precisions(own, {"raw": text(raw), "final": text(final), **{n: text(d) for n, d in other.items()}}, splits, map_thresholds)
+    events, segments = event_rows(own, final, thresholds).persist(), segment_rows(own, final).persist()
+    return {
+        "blocks": rolled(rows, splits, thresholds), "recall": tops.select("split", F.col("method").alias("n"), *[F.col(_name("cover", t)).alias(_name("recall", t)) for t in thresholds], "mean_tiou"),
+        "ap": aps, "map": aps.groupBy("split", "method").agg(F.avg("ap").alias("map")), "items": by_item(rows, thresholds), "events": events, "segments": segments,
+        "errors": error_summary_by(events, segments, splits), "boundary": boundary_by(events, splits),
+    }
+
+
+def _twice(rows: DataFrame, splits: DataFrame, whole: str) -> DataFrame:
+    return rows.join(splits.select("video_id", "split").distinct(), "video_id").withColumn("split", F.explode(F.array("split", F.lit(whole))))
+
+
+def error_summary_by(events: DataFrame, segments: DataFrame, splits: DataFrame, whole: str = "all") -> DataFrame:
+    """``error_summary`` of each split and of all."""
+    pct = lambda c: F.coalesce(100 * F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(f"pct_{c}")
+    a = _twice(events, splits, whole).groupBy("split").agg(F.count("*").alias("n_gt"), *map(pct, ("missed", "fragmented", "in_merged_seg")))
+    b = _twice(segments, splits, whole).groupBy("split").agg(F.count("*").alias("n_seg"), *map(pct, ("fp_no_overlap", "unmatched", "merge")))
+    return a.join(b, "split", "left").na.fill(0)
+
+
+def boundary_by(events: DataFrame, splits: DataFrame, whole: str = "all") -> DataFrame:
+    """(split, side, n, mean, mean_abs, std): offsets of start and end of the matched segments to their events."""
+    rows = _twice(events, splits, whole).select("split", F.explode(F.create_map(F.lit("left"), "left_offset", F.lit("right"), "right_offset")).alias("side", "x")).where("x is not null")
+    return rows.groupBy("split", "side").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.avg(F.abs("x")).alias("mean_abs"), F.stddev_pop("x").alias("std"))
 
 
 def detector_stats(gt: DataFrame, preds: DataFrame, threshold: float = 0.5, missed_below: float = 0.3, many: int = 16) -> DataFrame:

@@ -1,7 +1,8 @@
 """Interval algebra on segments ``(video_id, ts, te, dur, ...)``; times are in one unit of the caller's choice.
 
-All joins between segments have the item as equality key, the overlap as residual. Running
-maxima over an item's sorted segments replace sweeps.
+Joins between segments meet in time bins: a segment enters each bin it touches, the key is (item, bin), and a pair
+counts in its first common bin. Pairs without overlap are never made, so callers fill in their zeros. Running maxima
+over an item's sorted segments replace sweeps.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from segquery.functions import exprs as X
 
 EPS = 1e-9
+#: Bins of an item at most.
+BINS = 1 << 16
 
 
 def clamp(segs: DataFrame, tail: float = 1.0) -> DataFrame:
@@ -71,7 +74,7 @@ def islands(segs: DataFrame) -> DataFrame:
 def outside_fraction(windows: DataFrame, segs: DataFrame) -> DataFrame:
     """``windows`` with ``outside``: the share of each that no segment of its item covers; ``window_id`` names them."""
     cover = islands(segs).select("video_id", F.col("ts").alias("_s"), F.col("te").alias("_e"))
-    both = windows.select("window_id", "video_id", "ts", "te").join(cover, "video_id").where((F.col("_s") < F.col("te")) & (F.col("_e") > F.col("ts")))
+    both = overlaps(windows.select("window_id", "video_id", "ts", "te"), cover, ("ts", "te"), ("_s", "_e"))
     inside = both.groupBy("window_id").agg(F.sum(X.intersection("ts", "te", "_s", "_e")).alias("_in"))
     length = F.col("te") - F.col("ts")
     share = F.when(length > 0, 1 - F.coalesce(F.col("_in"), F.lit(0)) / F.when(length > 0, length)).otherwise(0.0)
@@ -83,11 +86,33 @@ def gap_windows(windows: DataFrame, segs: DataFrame, share: float = 0.5) -> Data
     return outside_fraction(windows, segs).where(F.col("outside") >= share)
 
 
+def overlaps(a: DataFrame, b: DataFrame, a_ends: tuple[str, str], b_ends: tuple[str, str]) -> DataFrame:
+    """Rows of ``a`` and ``b`` of one item whose segments share more than a point, each pair once.
+
+    A bin is as wide as the item's segments are on average, so all segments of an item together enter
+    at most three bins for each of them, however their lengths differ and however many the item has.
+    The two relations share no name but ``video_id``; segments without length meet nothing.
+    """
+    (a0, a1), (b0, b1) = a_ends, b_ends
+    a, b = a.where(F.col(a1) > F.col(a0)), b.where(F.col(b1) > F.col(b0))
+    ends = lambda d, s, e: d.select("video_id", F.col(s).cast("double").alias("_s"), F.col(e).cast("double").alias("_e"))
+    width = F.greatest(F.avg(F.col("_e") - F.col("_s")), (F.max("_e") - F.min("_s")) / BINS)
+    widths = ends(a, a0, a1).unionByName(ends(b, b0, b1)).groupBy("video_id").agg(width.alias("_w"))
+
+    def dealt(d: DataFrame, s: str, e: str, first: str) -> DataFrame:
+        at = lambda c: F.floor(F.col(c) / F.col("_w"))
+        return d.join(widths, "video_id").withColumn(first, at(s)).withColumn("_bin", F.explode(F.sequence(F.col(first), at(e)))).drop("_w")
+
+    both = dealt(a, a0, a1, "_fa").join(dealt(b, b0, b1, "_fb"), ["video_id", "_bin"])
+    meet = (F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1)) & (F.col("_bin") == F.greatest("_fa", "_fb"))
+    return both.where(meet).drop("_bin", "_fa", "_fb")
+
+
 def pairs(gt: DataFrame, preds: DataFrame) -> DataFrame:
-    """All (gt, prediction) pairs of an item: gt_id, pred_id, both intervals and ``tiou`` on the true union."""
+    """The (gt, prediction) pairs of an item that overlap: gt_id, pred_id, both intervals and ``tiou`` on the true union."""
     a = gt.select("video_id", "gt_id", F.col("ts").alias("g0"), F.col("te").alias("g1"))
     b = preds.select("video_id", "pred_id", F.col("ts").alias("p0"), F.col("te").alias("p1"), "conf")
-    return a.join(b, "video_id").withColumn("tiou", X.tiou_union("g0", "g1", "p0", "p1"))
+    return overlaps(a, b, ("g0", "g1"), ("p0", "p1")).withColumn("tiou", X.tiou_union("g0", "g1", "p0", "p1"))
 
 
 def best_tiou(gt: DataFrame, preds: DataFrame) -> DataFrame:
@@ -97,10 +122,15 @@ def best_tiou(gt: DataFrame, preds: DataFrame) -> DataFrame:
 
 
 def best_match(gt: DataFrame, preds: DataFrame) -> DataFrame:
-    """(gt_id, pred_id, tiou): the prediction of best tIoU, not one to one; first by (start, id) on ties; null without predictions."""
-    w = Window.partitionBy("gt_id").orderBy(F.desc("tiou"), "p0", "pred_id")
-    top = pairs(gt, preds).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("gt_id", "pred_id", "tiou")
-    return gt.select("gt_id").join(top, "gt_id", "left")
+    """(gt_id, pred_id, tiou): the prediction of best tIoU, not one to one; first by (start, id) on ties; null without predictions.
+
+    Where none overlaps, all predictions of the item tie at 0.
+    """
+    best = F.min(F.struct((-F.col("tiou")).alias("t"), F.col("p0").alias("s"), F.col("pred_id").alias("id")))
+    top = pairs(gt, preds).groupBy("gt_id").agg(best.alias("_b"))
+    first = preds.groupBy("video_id").agg(F.min(F.struct(F.col("ts").alias("s"), F.col("pred_id").alias("id"))).alias("_f"))
+    both = gt.select("gt_id", "video_id").join(top, "gt_id", "left").join(first, "video_id", "left")
+    return both.select("gt_id", F.coalesce("_b.id", "_f.id").alias("pred_id"), F.coalesce(-F.col("_b.t"), F.when(F.col("_f").isNotNull(), 0.0)).alias("tiou"))
 
 
 def resolve(queries: DataFrame, events: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -1,16 +1,19 @@
 """Localisation: post-processing of proposals, matching and its metrics.
 
-Order-dependent kernels (merging, suppression, assignment) run per item with ``applyInPandas``;
-an item's proposals are few whatever the corpus size.
+Order-dependent kernels (merging, suppression, assignment) run on islands, the stretches of an item that overlapping
+segments cover: only segments of one island compete, so an item's length does not bound a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import best_tiou, extend_short, pairs
@@ -32,20 +35,87 @@ def _tiou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
 
 
+def islanded(segs: DataFrame, start: str | Column = "ts", end: str | Column = "te") -> DataFrame:
+    """``segs`` with ``island``: the number, within the item, of the stretch that a row's segment and all that overlap it cover.
+
+    What happens to a row depends on its island alone wherever only overlapping rows compete, so islands
+    and not items are the groups of the kernels.
+    """
+    s, e = (F.col(c) if isinstance(c, str) else c for c in (start, end))
+    w = Window.partitionBy("video_id").orderBy("_s", "_e")
+    got = segs.withColumn("_s", s).withColumn("_e", e).withColumn("_b", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    fresh = F.when(F.col("_b").isNull() | (F.col("_s") >= F.col("_b")), 1).otherwise(0)
+    return got.withColumn("island", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s", "_e", "_b")
+
+
+def selected(rows: DataFrame, order: list[Column | str], choose: Callable[..., np.ndarray], *columns: str) -> DataFrame:
+    """The rows of each (video_id, island) that ``choose`` keeps.
+
+    ``choose`` gets a group's ``columns`` in the given order as arrays and returns the places that stay. Groups follow
+    one another in sorted partitions, so many small ones cost no more than a few large ones.
+    """
+    names = rows.columns
+    at = [names.index(c) for c in ("video_id", "island", *columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def kept(part: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cols = [part.column(k).to_numpy() for k in at[2:]]
+            stay = [lo + np.asarray(choose(*(c[lo:hi] for c in cols)), np.int64) for lo, hi in itertools.pairwise(starts)]
+            yield from part.take(pa.array(np.concatenate(stay))).to_batches() if stay else ()
+
+        for b in batches:
+            part = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if not part.num_rows:
+                continue
+            new = np.zeros(part.num_rows, bool)
+            new[0] = True
+            for k in at[:2]:
+                ids = part.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+                new[1:] |= ids[1:] != ids[:-1]
+            starts = np.flatnonzero(new)
+            yield from kept(part, starts)
+            held = part.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield from kept(held, np.array([0, held.num_rows]))
+
+    return rows.repartition("video_id", "island").sortWithinPartitions("video_id", "island", *order).mapInArrow(run, rows.schema)
+
+
 def merged_rows(segs: list[dict], threshold: float) -> list[dict]:
-    """The pair of highest tIoU above the threshold merges, again and again; first pair on ties; what is merged goes to the end."""
+    """The pair of highest tIoU above the threshold merges, again and again; first pair on ties; what is merged goes to the end.
+
+    Pairs wait in a heap by tIoU and place; those of a segment that has merged meanwhile are skipped.
+    """
     segs = [dict(s) for s in segs]
-    while len(segs) > 1:
-        box = np.array([[s["ts"], s["te"]] for s in segs], float)
-        t = np.triu(_tiou(box, box), 1)
-        i, j = divmod(int(t.argmax()), len(segs))
-        if t[i, j] <= threshold:
-            break
+    n = len(segs)
+    box = np.zeros((max(2 * n - 1, 0), 2))
+    box[:n] = [(s["ts"], s["te"]) for s in segs] or np.zeros((0, 2))
+    live = np.zeros(len(box), bool)
+    heap: list[tuple[float, int, int]] = []
+
+    def add(j: int) -> None:
+        others = np.flatnonzero(live[:j])
+        if len(others):
+            t = _tiou(box[others], box[j : j + 1])[:, 0]
+            for i, x in zip(others[t > threshold].tolist(), t[t > threshold].tolist(), strict=True):
+                heappush(heap, (-x, i, j))
+        live[j] = True
+
+    for j in range(n):
+        add(j)
+    while heap:
+        _, i, j = heappop(heap)
+        if not (live[i] and live[j]):
+            continue
         a, b = segs[i], segs[j]
         base = a if a["conf"] >= b["conf"] else b
-        new = base | {"ts": min(a["ts"], b["ts"]), "te": max(a["te"], b["te"]), "conf": max(a["conf"], b["conf"]), "merged": a["merged"] + b["merged"]}
-        segs = [*(s for k, s in enumerate(segs) if k not in (i, j)), new]
-    return segs
+        segs.append(base | {"ts": min(a["ts"], b["ts"]), "te": max(a["te"], b["te"]), "conf": max(a["conf"], b["conf"]), "merged": a["merged"] + b["merged"]})
+        live[i] = live[j] = False
+        box[len(segs) - 1] = segs[-1]["ts"], segs[-1]["te"]
+        add(len(segs) - 1)
+    return [s for s, stays in zip(segs, live, strict=False) if stays]
 
 
 def merge_overlaps(segs: DataFrame, threshold: float) -> DataFrame:
@@ -55,8 +125,10 @@ def merge_overlaps(segs: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame(merged_rows(rows, threshold), columns=["video_id", "pred_id", "ts", "te", "conf", "merged"])
 
     kind = dict(segs.dtypes)
-    given = segs.select("video_id", "pred_id", F.col("ts").cast("double").alias("ts"), F.col("te").cast("double").alias("te"), "conf")
-    return given.groupBy("video_id").applyInPandas(run, f"video_id {kind['video_id']}, pred_id {kind['pred_id']}, ts double, te double, conf double, merged long")
+    given = islanded(segs.select("video_id", "pred_id", F.col("ts").cast("double").alias("ts"), F.col("te").cast("double").alias("te"), "conf"))
+    alone = given.withColumn("_n", F.count("*").over(Window.partitionBy("video_id", "island")))
+    single = alone.where("_n = 1").select("video_id", "pred_id", "ts", "te", F.col("conf").cast("double").alias("conf"), F.lit(1).cast("long").alias("merged"))
+    return single.unionByName(alone.where("_n > 1").drop("_n").groupBy("video_id", "island").applyInPandas(run, f"video_id {kind['video_id']}, pred_id {kind['pred_id']}, ts double, te double, conf double, merged long"))
 
 
 def postprocess(props: DataFrame, theta: float, k: int, merge_above: float, least: float) -> DataFrame:
@@ -67,18 +139,18 @@ def postprocess(props: DataFrame, theta: float, k: int, merge_above: float, leas
 
 
 def greedy_nms(props: DataFrame, least_conf: float, most_overlap: float, most: int) -> DataFrame:
-    """By falling confidence, keep what overlaps no kept proposal by more than ``most_overlap`` (tIoU)."""
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["conf", "pred_id"], ascending=[False, True])
-        kept: list[int] = []
-        box = df[["ts", "te"]].to_numpy(float)
-        for i in range(len(df)):
-            if len(kept) < most and (not kept or _tiou(box[i : i + 1], box[kept]).max() <= most_overlap):
+    """By falling confidence, keep what overlaps no kept proposal of the item by more than ``most_overlap`` (tIoU); ``most`` an item."""
+    def choose(ts: np.ndarray, te: np.ndarray) -> np.ndarray:
+        box, kept = np.stack([ts, te], 1).astype(float), []
+        for i in range(len(box)):
+            if not kept or _tiou(box[i : i + 1], box[kept]).max() <= most_overlap:
                 kept.append(i)
-        return df.iloc[kept]
+        return np.array(kept)
 
     cols = props.select("video_id", "pred_id", "ts", "te", "conf").where(F.col("conf") >= least_conf)
-    return cols.groupBy("video_id").applyInPandas(run, cols.schema)
+    kept = selected(islanded(cols), [F.desc("conf"), "pred_id"], choose, "ts", "te").drop("island")
+    w = Window.partitionBy("video_id").orderBy(F.desc("conf"), "pred_id")
+    return kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
 def assign(weights: np.ndarray) -> list[tuple[int, int]]:
@@ -111,17 +183,31 @@ def assign(weights: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j] and weights[match[j] - 1, j - 1] > 0)
 
 
+def competing(close: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of tIoU >= threshold (above 0) with the island that all rivals of a pair share."""
+    if threshold <= 0:
+        raise ValueError("the threshold is above 0")
+    near = close.where(F.col("tiou") >= threshold)
+    return islanded(near, F.least("g0", "p0"), F.greatest("g1", "p1")).select("video_id", "island", "gt_id", "pred_id", "conf", "tiou")
+
+
+def assigned(rivals: DataFrame) -> DataFrame:
+    """(video_id, gt_id, pred_id, tiou): of competing pairs the most, then those of largest sum of tIoU."""
+    def choose(gt_id: np.ndarray, pred_id: np.ndarray, tiou: np.ndarray) -> np.ndarray:
+        if len(tiou) == 1:
+            return np.zeros(1, int)
+        gs, gi = np.unique(gt_id, return_inverse=True)
+        ps, pi = np.unique(pred_id, return_inverse=True)
+        t, row = np.zeros((len(gs), len(ps))), np.zeros((len(gs), len(ps)), int)
+        t[gi, pi], row[gi, pi] = tiou, np.arange(len(tiou))
+        return np.array([row[i, j] for i, j in assign(np.where(t > 0, t + min(t.shape), 0.0))], int)
+
+    return selected(rivals, ["gt_id", "pred_id"], choose, "gt_id", "pred_id", "tiou").select("video_id", "gt_id", "pred_id", "tiou")
+
+
 def hungarian(gt: DataFrame, preds: DataFrame, threshold: float) -> DataFrame:
     """(video_id, gt_id, pred_id, tiou): most pairs of tIoU >= threshold, then largest sum of tIoU."""
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        gs, ps = sorted(df.gt_id.unique()), sorted(df.pred_id.unique())
-        t = np.zeros((len(gs), len(ps)))
-        t[np.searchsorted(gs, df.gt_id), np.searchsorted(ps, df.pred_id)] = df.tiou
-        w = np.where(t >= threshold, t + min(t.shape), 0.0)
-        return pd.DataFrame([(df.video_id.iloc[0], gs[i], ps[j], t[i, j]) for i, j in assign(w)], columns=["video_id", "gt_id", "pred_id", "tiou"])
-
-    got = pairs(gt, preds).where(F.col("tiou") >= threshold).select("video_id", "gt_id", "pred_id", "tiou")
-    return got.groupBy("video_id").applyInPandas(run, got.schema)
+    return assigned(competing(pairs(gt, preds), threshold))
 
 
 def prf(gt: DataFrame, preds: DataFrame, matches: DataFrame) -> DataFrame:
@@ -132,21 +218,24 @@ def prf(gt: DataFrame, preds: DataFrame, matches: DataFrame) -> DataFrame:
     return one.select("*", ratio(m, F.col("n_pred")).alias("precision"), ratio(m, F.col("n_gt")).alias("recall"), ratio(2 * m, F.col("n_gt") + F.col("n_pred")).alias("f1"))
 
 
-def greedy_match(gt: DataFrame, preds: DataFrame, threshold: float) -> DataFrame:
-    """(video_id, gt_id, pred_id, tiou): in order of confidence, a prediction takes the free event of highest tIoU >= threshold of its item."""
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["conf", "pred_id", "tiou", "gt_id"], ascending=[False, True, False, True])
-        taken, served, keep = set(), set(), []
-        for pid, gid in zip(df.pred_id, df.gt_id, strict=True):
-            keep.append(pid not in served and gid not in taken)
-            if keep[-1]:
+def served(rivals: DataFrame) -> DataFrame:
+    """(video_id, gt_id, pred_id, tiou): of competing pairs, in order of confidence (none: last), a prediction's free event of highest tIoU."""
+    def choose(gt_id: np.ndarray, pred_id: np.ndarray) -> np.ndarray:
+        taken, done, keep = set(), set(), []
+        for k, (pid, gid) in enumerate(zip(pred_id.tolist(), gt_id.tolist(), strict=True)):
+            if pid not in done and gid not in taken:
+                keep.append(k)
                 taken.add(gid)
-                served.add(pid)
-        return df.loc[keep, ["video_id", "gt_id", "pred_id", "tiou"]]
+                done.add(pid)
+        return np.array(keep)
+
+    order = [F.desc("conf"), "pred_id", F.desc("tiou"), "gt_id"]
+    return selected(rivals, order, choose, "gt_id", "pred_id").select("video_id", "gt_id", "pred_id", "tiou")
 
-    # only pairs that overlap enough compete
-    close = pairs(gt, preds).where(F.col("tiou") >= threshold).select("video_id", "gt_id", "pred_id", "conf", "tiou")
-    return close.groupBy("video_id").applyInPandas(run, close.drop("conf").schema)
+
+def greedy_match(gt: DataFrame, preds: DataFrame, threshold: float) -> DataFrame:
+    """(video_id, gt_id, pred_id, tiou): in order of confidence, a prediction takes the free event of highest tIoU >= threshold of its item."""
+    return served(competing(pairs(gt, preds), threshold))
 
 
 def prf_at(gt: DataFrame, preds: DataFrame, threshold: float, match: Callable[[DataFrame, DataFrame, float], DataFrame] = hungarian) -> DataFrame:
@@ -164,26 +253,35 @@ def average_precision(gt: DataFrame, preds: DataFrame, threshold: float) -> Data
 
 
 def ap_of(flags: DataFrame, gt: DataFrame, ranges: int = 64) -> DataFrame:
-    """Interpolated AP of (pred_id, conf, tp): suffix maxima of precision times steps of recall.
+    """One row ``ap`` of (pred_id, conf, tp) against the events ``gt``; 0 without events."""
+    one = ap_by(flags.withColumn("_g", F.lit(0)), gt.agg(F.count("*").alias("n_gt")).withColumn("_g", F.lit(0)), "_g", ranges=ranges)
+    return one.select("ap")
+
+
+def ap_by(flags: DataFrame, counts: DataFrame, *by: str, ranges: int = 64) -> DataFrame:
+    """(by, ap): interpolated AP of each group of (by, pred_id, conf, tp): suffix maxima of precision times steps of recall.
 
-    Predictions are cut in ranges of confidence; places and sums within a range and those of the
-    ranges above give the whole, so no task holds all predictions. Suffix maxima are running ones
-    from the end, and stand at true predictions only.
+    ``counts`` is (by, n_gt), a row for each group; one without predictions or events has 0. A group's predictions are cut in
+    ranges of confidence; places and sums within a range and those of the ranges above give the whole, so no task
+    holds all predictions of a group. Suffix maxima are running ones from the end, and stand at true predictions only.
+    Predictions without a confidence come last.
     """
-    cuts = flags.agg(F.percentile_approx("conf", [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"))
-    part = flags.crossJoin(F.broadcast(cuts)).withColumn("_p", F.aggregate(F.coalesce("_cuts", F.array().cast("array<double>")), F.lit(0), lambda n, c: n + F.when(F.col("conf") <= c, 1).otherwise(0))).drop("_cuts")  # one row of cuts
-    below = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
-    above = part.groupBy("_p").agg(F.count("*").alias("_n"), F.sum("tp").alias("_t"))
-    above = above.select("_p", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_t").over(below), F.lit(0)).alias("_t0"))
-    w = Window.partitionBy("_p").orderBy(F.desc("conf"), "pred_id")
-    placed = part.withColumn("_r", F.row_number().over(w)).withColumn("_c", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("tp > 0")
-    true = placed.join(F.broadcast(above), "_p").withColumn("_prec", (F.col("_t0") + F.col("_c")) / (F.col("_n0") + F.col("_r")))
-    back = Window.partitionBy("_p").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    by = list(by)
+    cuts = flags.groupBy(*by).agg(F.percentile_approx("conf", [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"))
+    at = F.aggregate(F.coalesce("_cuts", F.array().cast("array<double>")), F.lit(0), lambda n, c: n + F.when(F.col("conf") > c, 0).otherwise(1))
+    part = flags.join(cuts, by).withColumn("_p", at).drop("_cuts")
+    below = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a group has as many rows as ranges
+    above = part.groupBy(*by, "_p").agg(F.count("*").alias("_n"), F.sum("tp").alias("_t"))
+    above = above.select(*by, "_p", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_t").over(below), F.lit(0)).alias("_t0"))
+    w = Window.partitionBy(*by, "_p").orderBy(F.desc("conf"), "pred_id")
+    ranked = part.withColumn("_r", F.row_number().over(w)).withColumn("_c", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("tp > 0")
+    true = ranked.join(above, [*by, "_p"]).withColumn("_prec", (F.col("_t0") + F.col("_c")) / (F.col("_n0") + F.col("_r")))
+    back = Window.partitionBy(*by, "_p").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
     best = true.withColumn("_best", F.max("_prec").over(back))
-    after = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
-    later = true.groupBy("_p").agg(F.max("_prec").alias("_m")).select("_p", F.coalesce(F.max("_m").over(after), F.lit(0.0)).alias("_later"))
-    total = best.join(F.broadcast(later), "_p").agg(F.coalesce(F.sum(F.greatest("_best", "_later")), F.lit(0.0)).alias("s")).crossJoin(gt.agg(F.count("*").alias("n_gt")))
-    return total.select(F.when(F.col("n_gt") > 0, F.col("s") / F.when(F.col("n_gt") > 0, F.col("n_gt"))).otherwise(0.0).alias("ap"))
+    after = Window.partitionBy(*by).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    later = true.groupBy(*by, "_p").agg(F.max("_prec").alias("_m")).select(*by, "_p", F.coalesce(F.max("_m").over(after), F.lit(0.0)).alias("_later"))
+    total = best.join(later, [*by, "_p"]).groupBy(*by).agg(F.sum(F.greatest("_best", "_later")).alias("_s"))
+    return counts.join(total, by, "left").select(*by, F.coalesce(F.col("_s") / F.when(F.col("n_gt") > 0, F.col("n_gt")), F.lit(0.0)).alias("ap"))
 
 
 def recall_at(gt: DataFrame, preds: DataFrame, n: int | str, threshold: float) -> DataFrame:

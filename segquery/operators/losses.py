@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from segquery.functions import exprs as X
 
+from .numbering import hash_numbered, numbered
+
 
 def softmax_loss(pairs: DataFrame, tau: float, group: str = "query_id", positive: str = "is_positive") -> DataFrame:
     """(group, loss): log-sum-exp over all less log-sum-exp over the positives of score / tau; groups without a positive have none."""
@@ -29,8 +31,9 @@ def soft_targets(pairs: DataFrame, tau: float, group: str = "query_id") -> DataF
 
 def derangement(items: DataFrame, key: str, seed: object = 0) -> DataFrame:
     """(key, partner): items in hash order, each with the next one, the last with the first: no fixed point for two items or more."""
-    w = Window.orderBy(X.hash_uniform(seed, key), key)
-    return items.select(key, F.coalesce(F.lead(key).over(w), F.first(key).over(w)).alias("partner"))
+    rows = hash_numbered(items.select(key), key, seed, total="_of")
+    after = rows.select(((F.col("place") + F.col("_of") - 1) % F.col("_of")).alias("place"), F.col(key).alias("partner"))
+    return rows.join(after, "place").select(key, "partner")
 
 
 def one_per_video_batches(captions: DataFrame, size: int, seed: object = 0) -> DataFrame:
@@ -41,12 +44,12 @@ def one_per_video_batches(captions: DataFrame, size: int, seed: object = 0) -> D
     video are neighbours in it, so they never meet while a video has no more captions than
     there are batches.
     """
-    w = Window.partitionBy("video_id")
-    rows = captions.select("caption_id", "video_id").withColumn("n", F.count("*").over(w))
+    given = captions.select("caption_id", "video_id")
+    rows = given.join(given.groupBy("video_id").agg(F.count("*").alias("n")), "video_id")
     totals = rows.agg(F.count("*").alias("all"), F.max("n").alias("most")).first()
     batches = max(math.ceil((totals["all"] or 0) / size), totals["most"] or 0, 1)
-    order = Window.orderBy(F.desc("n"), X.hash_uniform(seed, "video_id"), "video_id", X.hash_uniform(seed, "caption_id"), "caption_id")
-    return rows.withColumn("batch", ((F.row_number().over(order) - 1) % batches).cast("long")).select("caption_id", "video_id", "batch")
+    order = (-F.col("n"), X.hash_uniform(seed, "video_id"), "video_id", X.hash_uniform(seed, "caption_id"), "caption_id")
+    return numbered(rows, *order).select("caption_id", "video_id", (F.col("place") % batches).cast("long").alias("batch"))
 
 
 def near_unit_fusion(df: DataFrame, alpha: float) -> DataFrame:

@@ -90,7 +90,7 @@ def multi_level(videos: DataFrame, lengths: tuple[float, ...]) -> DataFrame:
     return reduce(DataFrame.unionByName, [dense(videos, w).withColumn("level", F.lit(float(w))) for w in lengths])
 
 
-def perturbed(segs: DataFrame, sigma: float, least: float, seed: object = 0, digits: int = 2, key: Column | None = None) -> DataFrame:
+def perturbed(segs: DataFrame, sigma: float | Column, least: float, seed: object = 0, digits: int = 2, key: Column | None = None) -> DataFrame:
     """Boundary noise: middle + sigma * length * u, length * exp(sigma * v), clipped; u, v are hashed normals of the segment.
 
     What becomes shorter than ``least`` is a window of ``least`` around the clipped middle. Rounded, the end stays
@@ -98,6 +98,7 @@ def perturbed(segs: DataFrame, sigma: float, least: float, seed: object = 0, dig
     """
     key = F.concat_ws("#", "video_id", "k") if key is None else key
     length, mid = F.col("te") - F.col("ts"), (F.col("ts") + F.col("te")) / 2
+    sigma = F.lit(sigma) if isinstance(sigma, (int, float)) else sigma
     c = mid + sigma * length * X.hash_normal(seed, key, 0)
     half = length * F.exp(sigma * X.hash_normal(seed, key, 1)) / 2
     lo, hi = F.greatest(F.lit(0.0), c - half), F.least(F.col("dur").cast("double"), c + half)
@@ -109,19 +110,31 @@ def perturbed(segs: DataFrame, sigma: float, least: float, seed: object = 0, dig
     return segs.select("video_id", "k", ts.alias("ts"), te.alias("te"), "dur")
 
 
-def calibrated_sigma(segs: DataFrame, target: float, least: float, seed: object = 0, top: float = 4.0, tol: float = 0.005, rounds: int = 40) -> float:
-    """Noise level at which the mean tIoU of segments and their noisy selves is ``target``, by bisection."""
+def calibrated_sigma(segs: DataFrame, target: float, least: float, seed: object = 0, top: float = 4.0, tol: float = 0.005, rounds: int = 40, depth: int = 5) -> float:
+    """Noise level at which the mean tIoU of segments and their noisy selves is ``target``, by bisection.
 
-    def mean(sigma: float) -> float:
-        noisy = perturbed(segs.withColumn("k", F.struct("k", "ts", "te")).withColumns({"ts": F.col("k.ts"), "te": F.col("k.te")}), sigma, least, seed, key=F.concat_ws("#", "video_id", "k.k"))
-        return noisy.agg(F.avg(X.tiou_union("k.ts", "k.te", "ts", "te"))).first()[0]
+    The next ``depth`` halvings can only ask for 2^depth - 1 levels between the bounds; all of them are measured in one pass
+    over the segments, so the number of jobs is that of the rounds over ``depth``.
+    """
+    spark = segs.sparkSession
+    keyed = segs.withColumn("_base", F.struct("k", "ts", "te"))
+
+    def means(levels: list[float]) -> dict[float, float]:
+        grid = F.broadcast(spark.createDataFrame([(x,) for x in levels], "_sigma double"))  # 2^depth rows
+        each = keyed.crossJoin(grid).withColumn("k", F.struct(F.col("_base.k").alias("k"), F.col("_base.ts").alias("ts"), F.col("_base.te").alias("te"), F.col("_sigma").alias("sigma")))
+        noisy = perturbed(each, F.col("k.sigma"), least, seed, key=F.concat_ws("#", "video_id", "k.k"))
+        got = noisy.groupBy(F.col("k.sigma").alias("sigma")).agg(F.avg(X.tiou_union("k.ts", "k.te", "ts", "te")).alias("m"))
+        return {r.sigma: r.m for r in got.collect()}
 
-    if mean(top) > target:
-        raise ValueError("the target needs more noise than allowed")
     lo, hi, got = 0.0, top, 1.0
+    known = means([top])
+    if not known or known[top] > target:
+        raise ValueError("the target needs more noise than allowed")
     for _ in range(rounds):
         mid = (lo + hi) / 2
-        got = mean(mid)
+        if mid not in known:
+            known |= means([lo + (hi - lo) * j / 2**depth for j in range(1, 2**depth)])
+        got = known[mid]
         if abs(got - target) <= tol:
             return mid
         lo, hi = (mid, hi) if got > target else (lo, mid)

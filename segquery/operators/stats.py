@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from segquery.functions import exprs as X
 
+from .numbering import hash_numbered, numbered, tile
+
 
 def bootstrap(units: DataFrame, n_boot: int = 200, seed: object = 0, unit: str = "unit") -> DataFrame:
     """One row (diff, ci_low, ci_high, p): 100 * (sum of x - sum of y) / sum of n over resampled units.
@@ -15,8 +17,7 @@ def bootstrap(units: DataFrame, n_boot: int = 200, seed: object = 0, unit: str =
     draw (b, i) takes the unit at place floor(u * units); 95 % percentile interval; p is the share
     of resamples with a difference of at most 0.
     """
-    place = F.row_number().over(Window.orderBy(unit)) - 1  # one row a unit
-    base = units.withColumn("place", place.cast("long"))
+    base = numbered(units, unit)
     n = base.count()
     spark = units.sparkSession
     draws = spark.range(n_boot).withColumnRenamed("id", "b").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))))
@@ -27,6 +28,30 @@ def bootstrap(units: DataFrame, n_boot: int = 200, seed: object = 0, unit: str =
     return point.crossJoin(ci).select("diff", F.col("c")[0].alias("ci_low"), F.col("c")[1].alias("ci_high"), "p")
 
 
+def copies(seed: object, unit: str, draw: Column) -> Column:
+    """A hashed Poisson(1) number: how often a unit stands in a resample."""
+    u = X.hash_uniform(seed, F.col(unit), draw)
+    cut, total, term = [], 0.0, 0.36787944117144233  # 1 / e
+    for k in range(1, 13):
+        total += term
+        cut.append(total)
+        term /= k
+    return sum((F.when(u >= c, 1).otherwise(0) for c in cut), F.lit(0))
+
+
+def poisson_bootstrap(units: DataFrame, n_boot: int = 200, seed: object = 0, unit: str = "unit") -> DataFrame:
+    """``bootstrap`` with a hashed Poisson(1) number of copies of each unit in each resample.
+
+    Resamples with replacement approach it as units grow. No unit has a place and no draw is joined to one: all
+    resamples are sums of one pass over the units.
+    """
+    drawn = units.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("_c", copies(seed, unit, F.col("b"))).where("_c > 0")
+    diff = lambda w: 100 * (F.sum(F.col("x") * w) - F.sum(F.col("y") * w)).cast("double") / F.sum(F.col("n") * w)
+    per = drawn.groupBy("b").agg(diff(F.col("_c")).alias("d"))
+    ci = per.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("c"), F.avg(F.when(F.col("d") <= 0, 1.0).otherwise(0.0)).alias("p"))  # one row a resample
+    return units.agg(diff(F.lit(1)).alias("diff")).crossJoin(ci).select("diff", F.col("c")[0].alias("ci_low"), F.col("c")[1].alias("ci_high"), "p")
+
+
 def weighted_line(rows: DataFrame, x: str, y: str, w: str) -> DataFrame:
     """One row (a, b, n): weighted least squares y = a + b x; the least-norm solution where all x are equal."""
     return _lines(rows, x, y, w)
@@ -52,14 +77,7 @@ def line_bootstrap(rows: DataFrame, x: str, y: str, w: str, unit: str, n_boot: i
     which a resample with replacement approaches as units grow: no draw is joined to a place, and
     all resamples are sums of one pass.
     """
-    u = X.hash_uniform(seed, F.col(unit), F.col("_boot"))
-    cut, total, term = [], 0.0, 0.36787944117144233  # 1 / e
-    for k in range(1, 13):
-        total += term
-        cut.append(total)
-        term /= k
-    copies = sum((F.when(u >= c, 1).otherwise(0) for c in cut), F.lit(0))
-    drawn = rows.select(unit, x, y, w, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_boot")).withColumn("_c", copies).where("_c > 0").withColumn("_w", F.col(w) * F.col("_c"))
+    drawn = rows.select(unit, x, y, w, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_boot")).withColumn("_c", copies(seed, unit, F.col("_boot"))).where("_c > 0").withColumn("_w", F.col(w) * F.col("_c"))
     per = _lines(drawn, x, y, "_w", "_boot")
     ends = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
     ci = per.agg(ends("a").alias("a"), ends("b").alias("b")).select(F.col("a")[0].alias("a_low"), F.col("a")[1].alias("a_high"), F.col("b")[0].alias("b_low"), F.col("b")[1].alias("b_high"))
@@ -68,7 +86,7 @@ def line_bootstrap(rows: DataFrame, x: str, y: str, w: str, unit: str, n_boot: i
 
 def folds(items: DataFrame, key: str, seed: object = 0, n: int = 2) -> DataFrame:
     """(key, fold): hash order cut in n parts of equal size (the first ones one larger)."""
-    return items.select(key).distinct().withColumn("fold", (F.ntile(n).over(Window.orderBy(X.hash_uniform(seed, key), key)) - 1).cast("long"))
+    return hash_numbered(items.select(key).distinct(), key, seed, total="_of").select(key, tile(F.col("place"), F.col("_of"), n).alias("fold"))
 
 
 def cv_pick(hits: DataFrame) -> DataFrame:

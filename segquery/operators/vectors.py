@@ -1,59 +1,59 @@
 """Scoring of query vectors against segments, and reductions per item.
 
-Relations: queries ``(query_id, q_emb)``, segments ``(seg_row, video_id, ts, te, emb[, bias])``,
+Relations: queries ``(query_id, q_emb)``, segments ``(seg_row, video_id, ts, te, emb[, ...])``,
 pairs ``(query_id, seg_row, video_id, ts, te, score)``. Ties go to the earliest segment by
-(ts, seg_row), then to the least video.
+(ts, seg_row), then to the least video. What reduces pairs (``maxsim``, ``topk_mean``, ``lse``, ``event_topk``) takes
+states of ``score_states`` as well: ``item_pairs``, ``item_sums`` and ``query_pairs`` make them while the queries
+fit beside a task, and all pairs beyond.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segquery.functions import exprs as X
 
-#: Largest query matrix that goes with a task; more queries use the join form.
-BLOCK_BYTES = 64 << 20
+from . import score_states as K
+from .numbering import numbered
 
 
 def pair_scores(queries: DataFrame, segments: DataFrame, mode: str = "block") -> DataFrame:
-    """Inner product of every query with every segment.
+    """Inner product of every query with every segment, for who asks for all pairs.
 
     ``block``: the queries (size checked) go with each task as one matrix and meet Arrow batches
     of segments in matrix products; ``join``: a cross join with the product as an expression, for
     any number of queries.
     """
-    if mode == "block":
-        dim = queries.select(F.max(F.size("q_emb"))).first()[0] or 0
-        if queries.count() * dim * 8 <= BLOCK_BYTES:
-            return _block(queries, segments)
-    pairs = queries.select("query_id", "q_emb").crossJoin(segments)
-    return pairs.select("query_id", "seg_row", "video_id", "ts", "te", X.dot("q_emb", "emb").alias("score"))
-
-
-def _block(queries: DataFrame, segments: DataFrame) -> DataFrame:
-    rows = queries.select("query_id", "q_emb").collect()
-    ids = np.array([r.query_id for r in rows])
-    matrix = np.array([r.q_emb for r in rows], np.float64).reshape(len(rows), -1)
-    kinds = dict(segments.dtypes)
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, " + ", ".join(f"{c} {kinds[c]}" for c in ("seg_row", "video_id", "ts", "te")) + ", score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                if not len(ids) or not b.num_rows:
-                    continue
-                emb = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                score = matrix @ emb.T
-                pick = pa.array(np.tile(np.arange(b.num_rows), len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, b.num_rows)), *(b.column(k).take(pick) for k in range(4)), pa.array(score.ravel())], ["query_id", "seg_row", "video_id", "ts", "te", "score"])
-
-    return segments.select("seg_row", "video_id", "ts", "te", "emb").mapInArrow(run, schema)
+    if mode == "block" and K.fits(queries):
+        return K.query_best(queries, segments, 1 << 62)
+    return K.pair_terms(queries, segments)
+
+
+def item_pairs(queries: DataFrame, segments: DataFrame, k: int = 1, **options: object) -> DataFrame:
+    """Pairs among which are the k best segments of each (query, item)."""
+    return K.item_best(queries, segments, k, **options) if K.fits(queries, options.get("sources")) else K.pair_terms(queries, segments, **options)
+
+
+def query_pairs(queries: DataFrame, segments: DataFrame, k: int, **options: object) -> DataFrame:
+    """Pairs among which are the k best segments of each query."""
+    return K.query_best(queries, segments, k, **options) if K.fits(queries, options.get("sources")) else K.pair_terms(queries, segments, **options)
+
+
+def item_sums(queries: DataFrame, segments: DataFrame, tau: float, **options: object) -> DataFrame:
+    """Log-sum-exp states of each (query, item) for ``lse``, or all pairs."""
+    return K.item_lse(queries, segments, tau, **options) if K.fits(queries, options.get("sources")) else K.pair_terms(queries, segments, **options)
+
+
+def counts(queries: DataFrame, segments: DataFrame, least: float | str, **options: object) -> DataFrame:
+    """(query_id, video_id, n): an item's segments that score ``least`` or more, or strictly more than the query's column ``least``; partial counts, to be summed."""
+    if K.fits(queries, options.get("sources")):
+        return K.item_counts(queries, segments, least, **options)
+    pairs = K.pair_terms(queries, segments, **options)
+    if isinstance(least, str):
+        pairs = pairs.join(queries.select("query_id", F.col(least).alias("_own")), "query_id")
+    hit = K.above(F.col("score"), F.col("_own")) if isinstance(least, str) else F.col("score") >= least
+    return pairs.groupBy("query_id", "video_id").agg(F.sum(hit.cast("long")).alias("n"))
 
 
 def maxsim(pairs: DataFrame) -> DataFrame:
@@ -75,10 +75,18 @@ def topk_mean(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def lse(pairs: DataFrame, tau: float) -> DataFrame:
-    """tau * log(mean(exp(score / tau))) of an item's segments, shifted by the maximum."""
-    top = pairs.groupBy("query_id", "video_id").agg(F.max("score").alias("top"))
-    both = pairs.join(top, ["query_id", "video_id"])
-    return both.groupBy("query_id", "video_id").agg((F.first("top") + tau * F.log(F.avg(F.exp((F.col("score") - F.col("top")) / tau)))).alias("score"))
+    """tau * log(mean(exp(score / tau))) of an item's segments, shifted by the maximum.
+
+    States (top, total, n), at most a few of a (query, item) from each task, merge in one pass; of plain pairs the maximum is
+    found first.
+    """
+    if "total" not in pairs.columns:
+        top = pairs.groupBy("query_id", "video_id").agg(F.max("score").alias("top"))
+        both = pairs.join(top, ["query_id", "video_id"])
+        return both.groupBy("query_id", "video_id").agg((F.first("top") + tau * F.log(F.avg(F.exp((F.col("score") - F.col("top")) / tau)))).alias("score"))
+    s = pairs.groupBy("query_id", "video_id").agg(F.max("top").alias("m"), F.collect_list(F.struct("top", "total")).alias("s"), F.sum("n").alias("n"))
+    total = F.aggregate("s", F.lit(0.0), lambda t, x: t + x["total"] * F.exp((x["top"] - F.col("m")) / tau))
+    return s.select("query_id", "video_id", (F.col("m") + tau * F.log(total / F.col("n"))).alias("score"))
 
 
 AGGREGATES = {"max": lambda p, **kw: max_scores(p), "topk_mean": lambda p, k=3, **kw: topk_mean(p, k), "lse": lambda p, tau=0.1, **kw: lse(p, tau)}
@@ -98,6 +106,11 @@ def biased(pairs: DataFrame, conf: DataFrame, beta: float) -> DataFrame:
     return pairs.join(conf.select("seg_row", "conf"), "seg_row").withColumn("score", F.col("score") + beta * F.log("conf")).drop("conf")
 
 
+def with_bias(segments: DataFrame, conf: DataFrame) -> DataFrame:
+    """Segments with ``bias``, the logarithm of their confidence ``(seg_row, conf)``: a term of a variant, weight beta."""
+    return segments.join(conf.select("seg_row", F.log("conf").alias("bias")), "seg_row")
+
+
 def mean_pooled(segments: DataFrame) -> DataFrame:
     """One unit vector an item: direction of the sum; ts least, te greatest: (video_id, ts, te, emb)."""
     flat = segments.select("video_id", F.posexplode("emb").alias("pos", "x")).groupBy("video_id", "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
@@ -118,6 +131,16 @@ def event_topk(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def score_stats(queries: DataFrame, segments: DataFrame, **options: object) -> DataFrame:
+    """One row (n, mean, std, least, most) of all scores; the variance counts as 1e-12 at least."""
+    if K.fits(queries, options.get("sources")):
+        m = K.merged_moments(K.moments(queries, segments, **options))
+    else:
+        s = F.col("score")
+        m = K.pair_terms(queries, segments, **options).agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.var_pop(s).alias("var"), F.min(s).alias("least"), F.max(s).alias("most"))
+    return m.select("n", "mean", F.sqrt(F.greatest("var", F.lit(1e-12))).alias("std"), "least", "most")
+
+
 def cos_stats(pairs: DataFrame, *by: str) -> DataFrame:
     """n, mean and population deviation (variance at least 1e-12) of scores."""
     return pairs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.sqrt(F.greatest(F.var_pop("score"), F.lit(1e-12))).alias("std"))
@@ -128,20 +151,12 @@ def spread(df: DataFrame, value: Column | str) -> DataFrame:
     return df.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
-def zscored(parts: list[tuple[DataFrame, float, float, float]]) -> DataFrame:
-    """Sum of weight * (score - mean) / std over sources on the same pairs; sources of weight 0 are left out."""
-    out = None
-    for pairs, weight, mean, std in parts:
-        if weight == 0:
-            continue
-        own = pairs.withColumn("score", F.lit(float(weight)) * (F.col("score") - F.lit(float(mean))) / F.lit(float(std)))
-        if out is None:
-            out = own
-        else:
-            out = out.join(own.select("query_id", "seg_row", F.col("score").alias("more")), ["query_id", "seg_row"]).withColumn("score", F.col("score") + F.col("more")).drop("more")
-    if out is None:
+def zscored(parts: list[tuple[str, float, float, float]]) -> dict[str, float]:
+    """The variant weight * (score - mean) / std, summed over (vector column, weight, mean, std); sources of weight 0 are left out."""
+    used = [(name, weight / std, mean) for name, weight, mean, std in parts if weight != 0]
+    if not used:
         raise ValueError("all weights are 0")
-    return out
+    return {name: w for name, w, _ in used} | {"": -sum(w * mean for _, w, mean in used)}
 
 
 def score_union(main: DataFrame, window: DataFrame, gamma: float) -> DataFrame:
@@ -155,7 +170,6 @@ def score_union(main: DataFrame, window: DataFrame, gamma: float) -> DataFrame:
 def with_global(segments: DataFrame) -> DataFrame:
     """Segments and each item's pooled vector as a further segment with row number -1 - item's place by id."""
     pooled = mean_pooled(segments)
-    place = F.row_number().over(Window.orderBy("video_id"))  # one row an item
-    more = pooled.select((-place.cast("long")).alias("seg_row"), "video_id", "ts", "te", "emb")
+    more = numbered(pooled, "video_id").select((-1 - F.col("place")).alias("seg_row"), "video_id", "ts", "te", "emb")
     base = segments.select("seg_row", "video_id", "ts", "te", F.transform("emb", lambda x: x.cast("double")).alias("emb"))
     return base.unionByName(more.select(*base.columns))

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segquery.functions import exprs as X
+from segquery.functions import sql
 from segquery.operators import analysis as A
 from segquery.operators import evaluation as E
 from segquery.operators import intervals as I
 from segquery.operators import localize as L
 from segquery.operators import partitions as P
+from segquery.operators import prepare as Q
+from segquery.operators import reports as M
 from segquery.operators import retrieval as R
 from segquery.operators import stats as S
 from segquery.sources import sinks
@@ -545,6 +548,48 @@ def ap_forced(spark, d):
     return rounded(L.average_precision(g, p, 0.55))
 
 
+@query(SEG + "select video_id, count(*) as n from fm where tiou >= 0.55 group by 1")
+def match_count_sql(spark, d):
+    """The assignment as a grouped aggregate that SQL calls."""
+    sql.register(spark)
+    close = I.pairs(*forced_parts(spark, d)).where("tiou >= 0.55")
+    return spark.sql("select video_id, seg_matches(gt_id, pred_id, tiou) as n from {close} group by video_id", close=close)
+
+
+#: Events and predictions without rivals, two methods, splits by parity: item rows of every method.
+SPLITS_SQL = """, me as (select 'every' as method, * from fpred union all select 'strong', * from fpred where conf >= 0.5),
+it as (select method, video_id, case when video_id % 2 = 0 then 'even' else 'odd' end as split from (select distinct video_id from fgt) cross join (select distinct method from me)),
+cl as (select me.method, fm.* from fm join me on me.event_id = fm.pred_id)"""
+
+
+@query(SEG + SPLITS_SQL + """, be as (select it.method, it.video_id, it.split, g.event_id, coalesce(max(tiou), 0) as best from it join fgt g using (video_id) left join cl on cl.method = it.method and cl.gt_id = g.event_id group by all),
+ro as (select method, video_id, split, count(*) as n_gt, sum(best) as best, sum((best >= 0.55)::int) as c1, sum((best >= 0.7)::int) as c2,
+  (select count(*) from me where me.method = be.method and me.video_id = be.video_id) as n_pred, (select count(*) from cl where cl.method = be.method and cl.video_id = be.video_id and tiou >= 0.55) as m1, (select count(*) from cl where cl.method = be.method and cl.video_id = be.video_id and tiou >= 0.7) as m2 from be group by all),
+su as (select coalesce(split, 'all') as split, method, count(*) as items, sum(n_gt)::bigint as n_gt, sum(n_pred)::bigint as n_pred, sum(best) as best, sum(c1) as c1, sum(c2) as c2, sum(m1)::double as m1, sum(m2)::double as m2 from ro group by grouping sets ((split, method), (method)))
+select split, method, items, n_gt, n_pred, round(n_pred::double / items, 6) as seg_per_video, round(best / n_gt, 6) as mean_tiou, round(c1::double / n_gt, 6) as cover_55, round(m1 / n_pred, 6) as p_55, round(m1 / n_gt, 6) as r_55, round(2 * m1 / (n_gt + n_pred), 6) as f1_55,
+  round(c2::double / n_gt, 6) as cover_70, round(m2 / n_pred, 6) as p_70, round(m2 / n_gt, 6) as r_70, round(2 * m2 / (n_gt + n_pred), 6) as f1_70 from su""")
+def split_blocks(spark, d):
+    """Two methods, two splits and all, two thresholds: one matching."""
+    g, p = forced_parts(spark, d)
+    return rounded(E.split_blocks(g, {"every": p, "strong": p.where("conf >= 0.5")}, parity(g), (0.55, 0.7)))
+
+
+def parity(g: DataFrame) -> DataFrame:
+    """(video_id, split)."""
+    return g.select("video_id").distinct().withColumn("split", F.when(F.col("video_id") % 2 == 0, "even").otherwise("odd"))
+
+
+@query(SEG + SPLITS_SQL + """, th as (select unnest([0.55::double, 0.7]) as threshold), sp as (select unnest(['even', 'odd', 'all']) as split),
+fl as (select sp.split, me.method, threshold, me.event_id as pred_id, me.conf, (exists (select 1 from fm where fm.pred_id = me.event_id and tiou >= threshold))::int as tp from me join it using (method, video_id) join sp on sp.split = 'all' or sp.split = it.split cross join th),
+c as (select *, row_number() over (partition by split, method, threshold order by conf desc, pred_id) as r, sum(tp) over (partition by split, method, threshold order by conf desc, pred_id rows unbounded preceding) as cum from fl),
+e as (select *, max(cum::double / r) over (partition by split, method, threshold order by r rows between current row and unbounded following) as best from c),
+ng as (select sp.split, count(*) as n_gt from fgt join sp on sp.split = 'all' or sp.split = case when video_id % 2 = 0 then 'even' else 'odd' end group by 1)
+select split, method, threshold, round(coalesce(sum(tp * best), 0) / any_value(n_gt), 6) as ap from e join ng using (split) group by all""")
+def split_average_precision(spark, d):
+    g, p = forced_parts(spark, d)
+    return rounded(E.average_precisions(g, {"every": p, "strong": p.where("conf >= 0.5")}, parity(g), (0.55, 0.7)))
+
+
 @query()
 def merge_overlaps(spark, d):
     return L.merge_overlaps(parts(spark, d)[2].where("conf >= 0.5"), 0.5)
@@ -646,6 +691,132 @@ def stream_latest(spark, d):
     return streams.finished(streams.latest(_stream(spark, d)), "stream_latest")
 
 
+@query("select user_id, event_id, event_type, round(value, 6) as value from (select *, row_number() over (partition by user_id order by event_id desc) as r from events) where r = 1")
+def stream_latest_record(spark, d):
+    """The last record of each key, upserted batch by batch."""
+    rows = _stream(spark, d).select("user_id", "event_id", "event_type", r6("value"))
+    return streams.finished_latest(rows, "stream_latest_record", "user_id", "event_id")
+
+
+# ---------------------------------------------------------------- levels and curves
+
+
+THETAS, KS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), (1, 2, 3, 4, 5, 6)
+LEVEL_SQL = f""", th as (select unnest({list(THETAS)}::double[]) as theta), ks as (select unnest({list(KS)}) as k), nv as (select count(*)::double as n from vid),
+lv as (select 'theta' as kind, theta as value, (select count(*) from pred where conf >= theta) / (select n from nv) as mean_k from th
+  union all select 'topk', k::double, (select sum(least(n, k)) from (select count(*) as n from pred group by video_id)) / (select n from nv) from ks)"""
+
+
+@query(SEG + LEVEL_SQL + """, tg as (select count(*) / (select n from nv) as t from gt), gp as (select *, round(abs(mean_k - t), 9) as gap from lv, tg),
+one as (select * from (select *, 0 as o from gp where kind = 'theta' order by gap, value desc limit 1) union all select * from (select *, 1 from gp where kind = 'topk' order by gap, value limit 1))
+select kind, value, round(mean_k, 6) as mean_k from one where o = 0 or (select gap from one where o = 0) > 0.5 order by gap, o limit 1""")
+def pick_level(spark, d):
+    """The threshold, or the top-k, that keeps as many predictions an item as it has events on average."""
+    _, g, p, v = parts(spark, d)
+    lv = M.levels(p, v, THETAS, KS)
+    target = g.count() / max(1, v.count())
+    return rounded(S.pick_level(lv.where("kind = 'theta'"), lv.where("kind = 'topk'"), target))
+
+
+COVER_SQL = """, ct as (select unnest([0.1, 0.3, 0.5, 0.7, 0.9]::double[]) as theta), cg as (select theta, gt.event_id, coalesce(max(tiou), 0) as best from gt cross join ct left join pt on pt.gt_id = gt.event_id and pt.conf >= theta group by all),
+cv as (select 'theta_' || theta as name, 100 * avg((best >= 0.3)::int::double) as r1, (select count(*) from pred where conf >= theta and video_id in (select video_id from gt)) / (select count(distinct video_id) from gt)::double as vectors from cg group by theta)"""
+
+
+@query(SEG + COVER_SQL + "select name, round(r1, 6) as r1, round(vectors, 6) as vectors from cv where r1 > (select max(r1) from cv) - 5 order by vectors, r1 desc, name limit 1")
+def pick_fill(spark, d):
+    """The cheapest of several cuts whose coverage is within five points of the best."""
+    _, g, p, _ = parts(spark, d)
+    rows = M.method_coverage(g, {f"theta_{t}": p.where(F.col("conf") >= t) for t in (0.1, 0.3, 0.5, 0.7, 0.9)}, (0.3,))
+    return rounded(S.pick_fill(rows.select(F.col("method").alias("name"), F.col("cover").alias("r1"), F.col("per_item").alias("vectors")), 5.0))
+
+
+CURVE_SQL = """, cu as (select level, 100 * avg((best >= level)::int::double) as value, count(*) as n from bt cross join (select unnest([0.1, 0.3, 0.5, 0.7, 0.9]::double[]) as level) group by level)"""
+
+
+def curve(spark, d, methods=None) -> DataFrame:
+    """(method, level, n, value): share of events covered at each tIoU."""
+    _, g, p, _ = parts(spark, d)
+    rows = M.method_coverage(g, methods or {"pred": p}, (0.1, 0.3, 0.5, 0.7, 0.9))
+    return rows.select("method", F.col("threshold").alias("level"), F.col("n_gt").alias("n"), F.col("cover").alias("value"))
+
+
+@query(SEG + CURVE_SQL + """, tg as (select (select value from cu where level = 0.3) / 2 + (select value from cu where level = 0.5) / 2 as t), pc as (select *, lead(level) over (order by level) as l2, lead(value) over (order by level) as v2 from cu)
+select round(level + (t - value) * (l2 - level) / nullif(v2 - value, 0), 6) as level from pc, tg where t between least(value, v2) and greatest(value, v2) order by level limit 1""")
+def equivalent_tiou(spark, d):
+    """The tIoU at which coverage is halfway between that at 0.3 and at 0.5."""
+    c = curve(spark, d)
+    target = c.where("level in (0.3, 0.5)").agg(F.sum(F.col("value") / 2)).first()[0]
+    return rounded(S.equivalent_level(c, target))
+
+
+@query(SEG + CURVE_SQL + """, un as (select video_id, dur * k / 3 as ts, dur * (k + 1) / 3 as te from vid cross join range(3) t(k)),
+ub as (select gt.event_id, max(greatest(0, least(gt.te, un.te) - greatest(gt.ts, un.ts)) / ((gt.te - gt.ts) + (un.te - un.ts) - greatest(0, least(gt.te, un.te) - greatest(gt.ts, un.ts)))) as best from gt join un using (video_id) group by 1),
+uc as (select level, avg((best >= level)::int::double) as q from ub cross join (select distinct level from cu) group by level),
+ci as (select level, value / 100 - q - 1.96 * sqrt((value / 100 * (1 - value / 100) + q * (1 - q)) / n) as ci_low from cu join uc using (level))
+select min(level) as level from ci c where not exists (select 1 from ci b where b.level >= c.level and b.ci_low <= 0)""")
+def significant_down_to(spark, d):
+    """The lowest tIoU down to which predictions cover more events than thirds of the items do, beyond chance."""
+    _, _, p, v = parts(spark, d)
+    c = curve(spark, d, {"pred": p.withColumn("pred_id", F.col("pred_id").cast("string")), **M.uniform_of(v, (3,))})
+    wide = c.groupBy("level", "n").pivot("method", ["pred", "uniform_3"]).agg(F.first("value") / 100)
+    se = F.sqrt((F.col("pred") * (1 - F.col("pred")) + F.col("uniform_3") * (1 - F.col("uniform_3"))) / F.col("n"))
+    return S.significant_down_to(wide.select("level", (F.col("pred") - F.col("uniform_3") - 1.96 * se).alias("ci_low")))
+
+
+@query(SEG + """, ks as (select unnest([1, 2, 4]) as k), rp as (select *, row_number() over (partition by video_id order by conf desc, event_id) as r from pred),
+tb as (select k, gt.event_id, coalesce(max(tiou), 0) as best from gt cross join ks left join (select pt.*, r from pt join rp on rp.event_id = pt.pred_id) x on x.gt_id = gt.event_id and r <= k group by all),
+un as (select k, video_id, dur * i / k as ts, dur * (i + 1) / k as te from vid cross join ks cross join range(4) t(i) where i < k),
+ub as (select k, gt.event_id, max(greatest(0, least(gt.te, un.te) - greatest(gt.ts, un.ts)) / ((gt.te - gt.ts) + (un.te - un.ts) - greatest(0, least(gt.te, un.te) - greatest(gt.ts, un.ts)))) as best from gt join un using (video_id) group by all)
+select 'top' as kind, k, round((select count(*) from rp where r <= k and video_id in (select video_id from gt)) / (select count(distinct video_id) from gt)::double, 6) as per_item, round(100 * avg((best >= 0.3)::int::double), 6) as cover from tb group by k
+union all select 'uniform', k, k::double, round(100 * avg((best >= 0.3)::int::double), 6) from ub group by k""")
+def budget_curve(spark, d):
+    """Coverage by the most confident predictions and by equal parts, for each number of them."""
+    _, g, p, v = parts(spark, d)
+    return rounded(M.budget_curve(g, p, v, (1, 2, 4), 0.3))
+
+
+# ---------------------------------------------------------------- keys in seconds, preparation
+
+
+SECONDS = SEG + """, sv as (select video_id, dur / 100.0::double as dur from vid), se as (select event_id, video_id, event_type, greatest(0, ts / 128.0::double) as t0, least(te / 128.0::double, sv.dur) as t1, sv.dur as dur, ts / 128.0::double as ts, te / 128.0::double as te from gt join sv using (video_id)),
+"""
+
+
+def seconds(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Items and events in seconds; the events' times are such that many are ties between two hundredths."""
+    _, g, _, v = parts(spark, d)
+    return v.select("video_id", (F.col("dur") / 100.0).alias("dur")), g.select(F.col("gt_id").alias("caption_id"), "video_id", (F.col("ts") / 128.0).alias("ts"), (F.col("te") / 128.0).alias("te"), F.col("event_type").alias("sentence"))
+
+
+KEPT = """ok as (select *, printf('%.3f', t0)::double as r0, printf('%.3f', t1)::double as r1 from se where t1 > t0 and t0 <= dur - 1) """
+
+
+@query(SECONDS + KEPT + "select se.event_id as caption_id, se.video_id, event_type as sentence, se.ts as gt_ts, se.te as gt_te, coalesce(k.key, '') as gt_seg_key from se left join (select event_id, printf('%d__%.2f_%.2f', video_id, r0, r1) as key from ok) k using (event_id)")
+def caption_keys(spark, d):
+    """Queries with the key of their own clip."""
+    v, e = seconds(spark, d)
+    return Q.captions_of(e, v)
+
+
+@query(SECONDS + KEPT + """, many as (select video_id, any_value(dur) as dur, count(*) as m from ok group by 1),
+seg2 as (select 'global' as partition, video_id, 0.0::double as a, dur as b from sv union all select 'gt', video_id, r0, r1 from ok
+  union all select 'uni_M_gt', video_id, printf('%.3f', 0.0::double + (dur - 0.0::double) * k / m)::double, printf('%.3f', 0.0::double + (dur - 0.0::double) * (k + 1) / m)::double from many cross join lateral (select unnest(range(m)) as k)),
+ky as (select *, printf('%d__%.2f_%.2f', video_id, a, b) as key from seg2), done as (select distinct key from ky where partition = 'gt' and video_id % 2 = 0),
+un as (select key, min(partition) as partition, count(*) as n from ky group by key)
+select k.partition, count(*) as segments, count(distinct video_id) as videos, (select count(*) from un where un.partition = k.partition) as clips, (select count(*) from un where un.partition = k.partition and key not in (select key from done)) as todo from ky k group by k.partition""")
+def prepare_work(spark, d):
+    """Three partitions, their clips (each counted where its name comes first) and what is left to encode."""
+    v, e = seconds(spark, d)
+    parts_ = Q.build_partitions(v, e)
+    done = Q.segment_table({"gt": parts_["gt"]}).where("video_id % 2 = 0")
+    made = Q.prepare(v, e, done, e.select("caption_id"))
+    clips = made["clips"].select("seg_key", F.element_at(F.split(F.col("refs")[0], "__"), 2).alias("partition"))
+    todo = made["clips_todo"].select(F.regexp_replace("id", "__av$", "").alias("seg_key"), F.lit(1).alias("open"))
+    first = made["rows"].groupBy("seg_key").agg(F.min("partition").alias("partition"))
+    per = first.join(clips.select("seg_key"), "seg_key").join(todo, "seg_key", "left").groupBy("partition").agg(F.count("*").alias("clips"), F.count("open").alias("todo"))
+    return made["rows"].groupBy("partition").agg(F.count("*").alias("segments"), F.count_distinct("video_id").alias("videos")).join(per, "partition", "left").na.fill(0)
+
+
 # ---------------------------------------------------------------- positives, guards, decisions
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from segquery.functions import exprs as X
 from segquery.operators import analysis as A
+from segquery.operators import block_search as B
 from segquery.operators import losses as L
+from segquery.operators import reports as P
 from segquery.operators import retrieval as R
 from segquery.operators import stats as S
 from segquery.operators import vectors as V
@@ -20,13 +23,34 @@ from .registry import query, r6, rounded
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs: for the queries whose result they are, and for a sample of them."""
     return V.pair_scores(D.vec_queries(spark, d), D.gallery(spark, d))
 
 
+def best(spark: SparkSession, d: str, k: int = 1, where: str = "true") -> DataFrame:
+    """States with the k best segments of each (query, item)."""
+    return V.item_pairs(D.vec_queries(spark, d), D.gallery(spark, d).where(where), k)
+
+
+def top(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """States with the k best segments of each query."""
+    return V.query_pairs(D.vec_queries(spark, d), D.gallery(spark, d), k)
+
+
+def sums(spark: SparkSession, d: str) -> DataFrame:
+    """Log-sum-exp states at 0.1."""
+    return V.item_sums(D.vec_queries(spark, d), D.gallery(spark, d), 0.1)
+
+
+def near(spark: SparkSession, d: str, least: float) -> DataFrame:
+    """(query_id, n): segments that score ``least`` or more."""
+    return V.counts(D.vec_queries(spark, d), D.gallery(spark, d), least).groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
 def ranks(spark: SparkSession, d: str, scores: DataFrame | None = None) -> DataFrame:
     g = D.gallery(spark, d)
     size = g.select("video_id").distinct().count()
-    return R.strict_ranks(V.max_scores(pairs(spark, d)) if scores is None else scores, D.vec_queries(spark, d), size)
+    return R.strict_ranks(V.max_scores(best(spark, d)) if scores is None else scores, D.vec_queries(spark, d), size)
 
 
 METRICS = """count(*) as n, 100 * avg((rank <= 1)::int::double) as r1, 100 * avg((rank <= 5)::int::double) as r5, 100 * avg((rank <= 10)::int::double) as r10,
@@ -58,27 +82,29 @@ def l2_normalise(spark, d):
 
 @query(VEC + "select query_id, video_id, round(score, 6) as score from ms")
 def maxsim_scores(spark, d):
-    return V.max_scores(pairs(spark, d)).select("query_id", "video_id", r6("score"))
+    return V.max_scores(best(spark, d)).select("query_id", "video_id", r6("score"))
 
 
 @query(VEC + "select query_id, video_id, seg_row, ts, te, round(score, 6) as score from (select *, row_number() over (partition by query_id, video_id order by score desc, ts, seg_row) as r from pr) where r = 1")
 def maxsim_argmax(spark, d):
-    return V.maxsim(pairs(spark, d)).select("query_id", "video_id", "seg_row", "ts", "te", r6("score"))
+    return V.maxsim(best(spark, d)).select("query_id", "video_id", "seg_row", "ts", "te", r6("score"))
 
 
 @query(VEC + "select query_id, video_id, round(avg(score), 6) as score from (select *, row_number() over (partition by query_id, video_id order by score desc, seg_row) as r from pr) where r <= 3 group by all")
 def topk_mean_scores(spark, d):
-    return V.topk_mean(pairs(spark, d), 3).select("query_id", "video_id", r6("score"))
+    return V.topk_mean(best(spark, d, 3), 3).select("query_id", "video_id", r6("score"))
 
 
 @query(VEC + "select query_id, video_id, round(0.1 * ln(avg(exp(score / 0.1))), 6) as score from pr group by all")
 def lse_scores(spark, d):
-    return V.lse(pairs(spark, d), 0.1).select("query_id", "video_id", r6("score"))
+    return V.lse(sums(spark, d), 0.1).select("query_id", "video_id", r6("score"))
 
 
 @query(VEC + "select query_id, video_id, round(max(score + 0.05 * ln(conf)), 6) as score from pr group by all")
 def biased_maxsim(spark, d):
-    return V.max_scores(V.biased(pairs(spark, d), D.conf(spark, d), 0.05)).select("query_id", "video_id", r6("score"))
+    g = V.with_bias(D.gallery(spark, d), D.conf(spark, d))
+    s = V.item_pairs(D.vec_queries(spark, d), g, variants=[{"emb": 1.0, "bias": 0.05}])
+    return V.max_scores(s).select("query_id", "video_id", r6("score"))
 
 
 POOLED = """, flat as (select video_id, pos, sum(x) as x from (select video_id, unnest(emb) as x, generate_subscripts(emb, 1) as pos from gal) group by all),
@@ -92,33 +118,42 @@ def mean_pooled_vectors(spark, d):
 
 @query(VEC + ", bs as (select *, row_number() over (partition by query_id, video_id order by score desc, ts, seg_row) as r from pr) select * from (select query_id, video_id, seg_row, round(score, 6) as score, row_number() over (partition by query_id order by score desc, video_id)::int as place from bs where r = 1) where place <= 5")
 def video_topk_search(spark, d):
-    return V.video_topk(pairs(spark, d), 5).select("query_id", "video_id", "seg_row", r6("score"), "place")
+    return V.video_topk(best(spark, d), 5).select("query_id", "video_id", "seg_row", r6("score"), "place")
+
 
+EVENTS_TOP = VEC + "select * from (select query_id, seg_row, round(score, 6) as score, row_number() over (partition by query_id order by score desc, seg_row)::int as place from pr) where place <= 10"
 
-@query(VEC + "select * from (select query_id, seg_row, round(score, 6) as score, row_number() over (partition by query_id order by score desc, seg_row)::int as place from pr) where place <= 10")
+
+@query(EVENTS_TOP)
 def event_topk_search(spark, d):
-    return V.event_topk(pairs(spark, d), 10).select("query_id", "seg_row", r6("score"), "place")
+    return V.event_topk(top(spark, d, 10), 10).select("query_id", "seg_row", r6("score"), "place")
+
+
+@query(EVENTS_TOP)
+def block_topk_search(spark, d):
+    """The same by an index of blocks; blocks whose bound is below the tenth score are not read."""
+    blocks = B.vector_blocks(D.gallery(spark, d), 64).persist()
+    return B.block_topk(D.vec_queries(spark, d), blocks, 10).select("query_id", "seg_row", r6("score"), "place")
 
 
 @query(VEC + "select count(*) as n, round(avg(score), 6) as mean, round(sqrt(greatest(var_pop(score), 1e-12)), 6) as std from pr where positive >= 7 and video_id >= 7")
 def zscore_stats(spark, d):
-    dev = V.pair_scores(D.vec_queries(spark, d).where("positive >= 7"), D.gallery(spark, d).where("video_id >= 7"))
-    return rounded(V.cos_stats(dev))
+    return rounded(V.score_stats(D.vec_queries(spark, d).where("positive >= 7"), D.gallery(spark, d).where("video_id >= 7")).select("n", "mean", "std"))
 
 
 @query(VEC + ", hf as (select q.query_id, gal.video_id, list_dot_product(q_emb, emb) as s, list_dot_product(q_emb[1:32], emb[1:32]) as h from q cross join gal), z as (select avg(s) as ms, sqrt(greatest(var_pop(s), 1e-12)) as ss, avg(h) as mh, sqrt(greatest(var_pop(h), 1e-12)) as sh from hf) select query_id, video_id, round(max((s - ms) / ss + 0.25 * (h - mh) / sh), 6) as score from hf, z group by all")
 def zscored_two_source(spark, d):
-    q, g = D.vec_queries(spark, d), D.gallery(spark, d)
-    a = V.pair_scores(q, g)
-    b = V.pair_scores(q.withColumn("q_emb", F.slice("q_emb", 1, 32)), g.withColumn("emb", F.slice("emb", 1, 32)))
-    sa, sb = V.cos_stats(a).first(), V.cos_stats(b).first()
-    return V.max_scores(V.zscored([(a, 1.0, sa.mean, sa.std), (b, 0.25, sb.mean, sb.std)])).select("query_id", "video_id", r6("score"))
+    q, g = D.vec_queries(spark, d).withColumn("q_half", F.slice("q_emb", 1, 32)), D.gallery(spark, d).withColumn("half", F.slice("emb", 1, 32))
+    sources = {"emb": "q_emb", "half": "q_half"}
+    a, b = (V.score_stats(q, g, sources=sources, variants=[{name: 1.0}]).first() for name in sources)
+    z = V.zscored([("emb", 1.0, a.mean, a.std), ("half", 0.25, b.mean, b.std)])
+    return V.max_scores(V.item_pairs(q, g, sources=sources, variants=[z])).select("query_id", "video_id", r6("score"))
 
 
 @query(VEC + ", a as (select query_id, video_id, max(score) as own from pr where seg_row % 3 <> 0 group by all), b as (select query_id, video_id, max(score) - 0.02 as other from pr where seg_row % 3 = 0 group by all) select query_id, video_id, round(greatest(own, other), 6) as score, coalesce(own >= other, own is not null) as from_main from a full join b using (query_id, video_id)")
 def score_union(spark, d):
-    p = pairs(spark, d)
-    return V.score_union(V.max_scores(p.where("seg_row % 3 <> 0")), V.max_scores(p.where("seg_row % 3 = 0")), -0.02).select("query_id", "video_id", r6("score"), "from_main")
+    main, window = (V.max_scores(best(spark, d, where=w)) for w in ("seg_row % 3 <> 0", "seg_row % 3 = 0"))
+    return V.score_union(main, window, -0.02).select("query_id", "video_id", r6("score"), "from_main")
 
 
 @query("with v as (select vec_id, embedding::double[] as e, list_max([abs(x) for x in embedding::double[]]) as top from embeddings), s as (select *, (case when top > 0 then top / 127 else 1.0 end) as scale from v) select vec_id, round(scale, 6) as scale, list_sum([abs(round_even(x / scale, 0)) for x in e])::bigint as magnitude, round(list_max([abs(x - round_even(x / scale, 0) * scale) for x in e]) / scale, 6) as worst from s")
@@ -138,7 +173,7 @@ def global_vector_append(spark, d):
 
 @query(VEC + "select round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std, round(min(score), 6) as least, round(max(score), 6) as most from pr")
 def cos_spread(spark, d):
-    return rounded(V.spread(pairs(spark, d), "score"))
+    return rounded(V.score_stats(D.vec_queries(spark, d), D.gallery(spark, d)).select("mean", "std", "least", "most"))
 
 
 # ---------------------------------------------------------------- ranks and metrics
@@ -156,14 +191,14 @@ select {METRICS6}, round(100 * sum(hit::int)::double / nullif(sum((rank = 1)::in
 (select round(avg(k), 6) from (select count(*) as k from gal group by video_id)) as vectors_per_item from x""")
 def partition_eval(spark, d):
     g = D.gallery(spark, d)
-    return rounded(R.partition_eval(V.maxsim(pairs(spark, d)), D.vec_queries(spark, d).drop("q_emb"), g))
+    return rounded(R.partition_eval(V.maxsim(best(spark, d)), D.vec_queries(spark, d).drop("q_emb"), g))
 
 
 @query(VEC + f", own as (select * from ms where video_id < 7), rr as (select query_id, case when positive < 7 then 1 + (select count(*) from own b where b.query_id = q.query_id and b.score > (select score from own c where c.query_id = q.query_id and c.video_id = q.positive)) else (select count(distinct video_id) from own) + 1 end as rank from q) select {METRICS6} from rr")
 def gallery_restricted_eval(spark, d):
     keep = D.gallery(spark, d).where("video_id < 7").select("video_id").distinct()
     g = D.gallery(spark, d).join(keep, "video_id", "left_semi")
-    s = V.max_scores(V.pair_scores(D.vec_queries(spark, d), g))
+    s = V.max_scores(V.item_pairs(D.vec_queries(spark, d), g))
     return rounded(R.rank_metrics(R.strict_ranks(s, D.vec_queries(spark, d), keep.count())))
 
 
@@ -177,7 +212,7 @@ er as (select tr.query_id, max(case when seg_row = own_row then rank end) as ran
 def event_rows(spark, d):
     q, g = D.vec_queries(spark, d).drop("q_emb"), D.gallery(spark, d).select("seg_row", "video_id")
     own = q.join(g, (g.video_id == q.positive) & (g.seg_row > q.query_id)).groupBy("query_id").agg(F.min("seg_row").alias("own_row"))
-    return R.event_eval(pairs(spark, d), q.join(own, "query_id"), 5, 0.1)
+    return R.event_eval(D.vec_queries(spark, d), D.gallery(spark, d), q.join(own, "query_id"), 5, 0.1)
 
 
 @query(VEC + EVENT + "select query_id, rank, video1, video5, tiou1 from er")
@@ -196,8 +231,8 @@ def text_to_clip_subset(spark, d):
     q, g = D.vec_queries(spark, d), D.gallery(spark, d)
     own = q.join(g.select("seg_row", "video_id"), (g.video_id == q.positive) & (g.seg_row > q.query_id)).groupBy("query_id").agg(F.min("seg_row").alias("positive"))
     clips = g.join(own.select(F.col("positive").alias("seg_row")).distinct(), "seg_row", "left_semi")
-    s = V.pair_scores(q.join(own.select("query_id"), "query_id", "left_semi"), clips).select("query_id", F.col("seg_row").alias("video_id"), "score")
-    r = R.strict_ranks(s, own, 0)
+    asked = q.join(own, "query_id").join(clips.select(F.col("seg_row").alias("positive_row"), "emb"), F.col("positive_row") == own.positive).select("query_id", "q_emb", X.dot("q_emb", "emb").alias("own"))
+    r = V.counts(asked, clips, "own").groupBy("query_id").agg((F.sum("n") + 1).alias("rank"))
     return rounded(r.agg(*R.metric_columns(), F.avg(1 / F.col("rank")).alias("mrr")))
 
 
@@ -206,10 +241,9 @@ def text_to_clip_diagonal(spark, d):
     """Each caption's own clip is its row's vector: a square relation, ranks on its diagonal."""
     q = D.vec_queries(spark, d)
     clips = q.select(F.col("query_id").alias("seg_row"), F.col("positive").alias("video_id"), "gt_ts", "gt_te", "q_emb").toDF("seg_row", "video_id", "ts", "te", "emb")
-    label = q.select("query_id", "positive")
-    s = V.pair_scores(q, clips).join(label, "query_id").withColumn("score", F.col("score") + F.when(F.col("positive") == F.col("video_id"), 0.1).otherwise(0.0))
-    s = s.select("query_id", F.col("seg_row").alias("video_id"), "score")
-    return rounded(R.rank_metrics(R.strict_ranks(s, q.select("query_id", F.col("query_id").alias("positive")), 0)))
+    asked = q.select("query_id", "q_emb", "positive", (X.dot("q_emb", "q_emb") + 0.1).alias("own"))
+    better = V.counts(asked, clips, "own", same=("positive", 0.1)).groupBy("query_id").agg(F.sum("n").alias("n"))
+    return rounded(R.rank_metrics(better.select("query_id", (F.col("n") + 1).alias("rank"))))
 
 
 @query(VEC + f", dr as (select r.rep, video_id from (select distinct video_id from gal) v cross join range(5) r(rep) qualify row_number() over (partition by r.rep order by {u_sql('match', 'r.rep', 'video_id')}, video_id) <= 4), rr as (select dr.rep, q.query_id, 1 + (select count(*) from ms b join dr e on e.rep = dr.rep and e.video_id = b.video_id where b.query_id = q.query_id and b.score > c.score) as rank from q join dr on dr.video_id = q.positive join ms c on c.query_id = q.query_id and c.video_id = q.positive) select rep, {METRICS6} from rr group by rep")
@@ -218,11 +252,8 @@ def text_to_clip_matched(spark, d):
     v = D.gallery(spark, d).select("video_id").distinct().crossJoin(spark.range(5).withColumnRenamed("id", "rep"))
     w = Window.partitionBy("rep").orderBy(X.hash_uniform("match", "rep", F.col("video_id")), "video_id")
     drawn = v.withColumn("_r", F.row_number().over(w)).where("_r <= 4").drop("_r")
-    s = V.max_scores(pairs(spark, d)).join(drawn, "video_id")
-    q = D.vec_queries(spark, d).select("query_id", "positive").join(drawn.withColumnRenamed("video_id", "positive"), "positive")
-    ranked = s.withColumn("rank", F.rank().over(Window.partitionBy("rep", "query_id").orderBy(F.desc("score"))).cast("long"))
-    own = q.join(ranked.withColumnRenamed("video_id", "positive"), ["rep", "query_id", "positive"])
-    return rounded(R.rank_metrics(own, "rep"))
+    s = V.max_scores(best(spark, d)).join(drawn, "video_id")
+    return rounded(R.rank_metrics(R.strict_ranks(s, D.vec_queries(spark, d), 0, "rep"), "rep"))
 
 
 @query(VEC + f"select case when video_id < 7 then 'val' else 'dev' end as split, {METRICS6} from rk group by 1 union all select 'all', {METRICS6} from rk")
@@ -236,12 +267,12 @@ SWEEP = ", bt as (select unnest([0.0::double, 0.01, 0.05, 0.2]) as beta), bm as
 
 
 def sweep(spark, d):
-    """All betas in one pass over the pairs."""
-    p = pairs(spark, d).join(D.conf(spark, d), "seg_row")
-    betas = F.broadcast(spark.createDataFrame([(b,) for b in BETAS], "beta double"))
-    s = p.crossJoin(betas).groupBy("beta", "query_id", "video_id").agg(F.max(F.col("score") + F.col("beta") * F.log("conf")).alias("score"))
-    r = s.withColumn("rank", F.rank().over(Window.partitionBy("beta", "query_id").orderBy(F.desc("score"))).cast("long"))
-    return r.join(D.vec_queries(spark, d).select("query_id", F.col("positive").alias("video_id")), ["query_id", "video_id"])
+    """All betas in one pass over the vectors."""
+    g = V.with_bias(D.gallery(spark, d), D.conf(spark, d))
+    s = V.item_pairs(D.vec_queries(spark, d), g, variants=[{"emb": 1.0, "bias": b} for b in BETAS])
+    s = s.groupBy("variant", "query_id", "video_id").agg(F.max("score").alias("score"))
+    beta = F.element_at(F.array(*map(F.lit, BETAS)), F.col("variant") + 1).alias("beta")
+    return R.strict_ranks(s, D.vec_queries(spark, d), 0, "variant").select(beta, "query_id", "rank")
 
 
 @query(VEC + SWEEP + f"select beta, {METRICS6} from br group by beta")
@@ -260,8 +291,8 @@ select 'lse', query_id, video_id, 0.1 * ln(avg(exp(score / 0.1))) from pr group
 ar as (select how, q.query_id, 1 + (select count(*) from ag b where b.how = h.how and b.query_id = q.query_id and b.score > (select score from ag c where c.how = h.how and c.query_id = q.query_id and c.video_id = q.positive)) as rank from q, (select distinct how from ag) h)
 select how, {METRICS6} from ar group by how""")
 def agg_comparison(spark, d):
-    p = pairs(spark, d)
-    return rounded(reduce(DataFrame.unionByName, [R.rank_metrics(ranks(spark, d, V.aggregated(p, how))).withColumn("how", F.lit(how)) for how in ("max", "topk_mean", "lse")]))
+    states = {"max": best(spark, d), "topk_mean": best(spark, d, 3), "lse": sums(spark, d)}
+    return rounded(reduce(DataFrame.unionByName, [R.rank_metrics(ranks(spark, d, V.aggregated(s, how))).withColumn("how", F.lit(how)) for how, s in states.items()]))
 
 
 # ---------------------------------------------------------------- statistics
@@ -269,7 +300,7 @@ def agg_comparison(spark, d):
 
 def two_runs(spark, d, unit: str) -> DataFrame:
     """Hits at rank 1 of maximum and of top-3 mean, summed up by unit."""
-    p, q = pairs(spark, d), D.vec_queries(spark, d).select("query_id", "positive")
+    p, q = best(spark, d, 3), D.vec_queries(spark, d).select("query_id", "positive")
     a, b = ranks(spark, d, V.max_scores(p)).withColumnRenamed("rank", "a"), ranks(spark, d, V.topk_mean(p, 3)).withColumnRenamed("rank", "b")
     rows = a.join(b, "query_id").join(q, "query_id").select(F.col(unit).alias("unit"), (F.col("a") <= 1).cast("long").alias("x"), (F.col("b") <= 1).cast("long").alias("y"))
     return rows.groupBy("unit").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count("*").alias("n"))
@@ -292,6 +323,19 @@ def bootstrap_query(spark, d):
     return rounded(S.bootstrap(two_runs(spark, d, "query_id"), 100, "bq"))
 
 
+#: Upper ends of the chances of 0, 1, ... copies under Poisson(1).
+POISSON_SQL = " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(j) for j in range(k))!r}::double)::int" for k in range(1, 13))
+
+
+@query(VEC + RUNS + f""", un as (select positive as unit, sum(x) as x, sum(y) as y, count(*) as n from ab group by 1),
+dw as (select b, x, y, n, {POISSON_SQL} as c from (select b, un.*, {u_sql('bp', 'unit', 'b')} as u from un cross join range(100) t(b))),
+bs2 as (select b, 100 * (sum(x * c) - sum(y * c))::double / sum(n * c) as d from dw where c > 0 group by b)
+select (select round(100 * (sum(x) - sum(y))::double / sum(n), 6) from un) as diff, round(quantile_cont(d, 0.025), 6) as ci_low, round(quantile_cont(d, 0.975), 6) as ci_high, round(avg((d <= 0)::int::double), 6) as p from bs2""")
+def bootstrap_poisson(spark, d):
+    """All resamples in one pass: each unit's copies in a resample are a hashed Poisson number."""
+    return rounded(S.poisson_bootstrap(two_runs(spark, d, "positive"), 100, "bp"))
+
+
 @query(VEC + RUNS + boot_sql("positive", 100, "bg"))
 def bootstrap_group(spark, d):
     return rounded(S.bootstrap(two_runs(spark, d, "positive"), 100, "bg"))
@@ -309,7 +353,7 @@ s as (select count(*) as n, sum(w)::double as s, sum(w * c) as sx, sum(w * d) as
 select round((sxx * sy - sx * sxy) / (s * sxx - sx * sx), 6) as a, round((s * sxy - sx * sy) / (s * sxx - sx * sx), 6) as b, n from s""")
 def coverage_regression(spark, d):
     """Weighted line of an item's difference on a covariate of it, weights the numbers of its queries."""
-    p, q = pairs(spark, d), D.vec_queries(spark, d).select("query_id", "positive")
+    p, q = best(spark, d, 3), D.vec_queries(spark, d).select("query_id", "positive")
     a, b = ranks(spark, d, V.max_scores(p)).withColumnRenamed("rank", "a"), ranks(spark, d, V.topk_mean(p, 3)).withColumnRenamed("rank", "b")
     diff = F.when(F.col("a") <= 1, 1.0).otherwise(0.0) - F.when(F.col("b") <= 1, 1.0).otherwise(0.0)
     per = a.join(b, "query_id").join(q, "query_id").groupBy("positive").agg(F.count("*").alias("w"), (100 * F.avg(diff)).alias("d"), (F.avg("query_id") / 1000).alias("c"))
@@ -348,29 +392,19 @@ def cv_beta(spark, d):
     return rounded(o.agg((100 * F.avg(F.col("hit").cast("double"))).alias("r1"), F.count("*").alias("n")))
 
 
-LEVELS = [(0.9, 37.0, 1.5), (0.7, 34.0, 1.0), (0.5, 28.0, 0.2), (0.3, 20.0, -0.5)]
-LEVELS_SQL = "with c(level, value, ci_low) as (values (0.9::double, 37.0::double, 1.5::double), (0.7, 34.0, 1.0), (0.5, 28.0, 0.2), (0.3, 20.0, -0.5)) "
-
+TWO = """, gl as (select distinct 'all' as gallery, video_id from gal union all select distinct 'low', video_id from gal where video_id < 7),
+sc as (select 'max' as "column", * from ms union all select 'topk_mean', query_id, video_id, avg(score) from (select *, row_number() over (partition by query_id, video_id order by score desc, seg_row) as r from pr) where r <= 3 group by all),
+rk2 as (select g.gallery, c."column", q.query_id, case when o.score is null then 1 + (select count(*) from gl x where x.gallery = g.gallery) else 1 + (select count(*) from sc b join gl x on x.gallery = g.gallery and x.video_id = b.video_id where b."column" = c."column" and b.query_id = q.query_id and b.score > o.score) end as rank
+  from q cross join (select distinct gallery from gl) g cross join (select distinct "column" from sc) c left join gl i on i.gallery = g.gallery and i.video_id = q.positive left join sc o on o."column" = c."column" and o.query_id = q.query_id and o.video_id = i.video_id)"""
 
-@query(LEVELS_SQL + "select round(level + (25 - value) * (l2 - level) / (v2 - value), 6) as level from (select *, lead(level) over (order by level) as l2, lead(value) over (order by level) as v2 from c) where 25 between value and v2")
-def equivalent_tiou(spark, d):
-    return rounded(S.equivalent_level(spark.createDataFrame(LEVELS, "level double, value double, ci_low double"), 25.0))
 
-
-@query(LEVELS_SQL + "select min(level) as level from c where not exists (select 1 from c b where b.level >= c.level and b.ci_low <= 0)")
-def significant_down_to(spark, d):
-    return S.significant_down_to(spark.createDataFrame(LEVELS, "level double, value double, ci_low double"))
-
-
-@query("with g(name, r1, vectors) as (values ('a', 46.31::double, 22.6::double), ('b', 46.1, 20.0), ('c', 45.0, 10.0), ('d', 46.2, 20.0)) select name, r1, vectors from g where r1 > (select max(r1) from g) - 0.3 order by vectors, r1 desc, name limit 1")
-def pick_fill(spark, d):
-    return S.pick_fill(spark.createDataFrame([("a", 46.31, 22.6), ("b", 46.1, 20.0), ("c", 45.0, 10.0), ("d", 46.2, 20.0)], "name string, r1 double, vectors double"))
-
-
-@query("select 'topk' as kind, 14.0::double as value, 13.9::double as mean_k")
-def pick_level(spark, d):
-    t = spark.createDataFrame([(0.4, 7.0), (0.34, 9.9), (0.285, 12.0)], "value double, mean_k double")
-    return S.pick_level(t, spark.createDataFrame([(14, 13.9), (16, 15.5)], "value int, mean_k double"), 14.0)
+@query(VEC + TWO + f'select gallery, "column", {METRICS6} from rk2 group by 1, 2')
+def two_column_report(spark, d):
+    """Two aggregates in two galleries."""
+    g = D.gallery(spark, d).select("video_id").distinct()
+    s = best(spark, d, 3)
+    ranks_ = P.gallery_ranks({"max": V.max_scores(s), "topk_mean": V.topk_mean(s, 3)}, D.vec_queries(spark, d), {"all": g, "low": g.where("video_id < 7")})
+    return rounded(R.rank_metrics(ranks_, "gallery", "column"))
 
 
 @query(VEC + """, bs as (select *, row_number() over (partition by query_id, video_id order by score desc, ts, seg_row) as r from pr),
@@ -378,8 +412,8 @@ ab as (select rk.query_id, q.positive, (rank = 1 and coalesce(greatest(0, least(
        from rk join q using (query_id) left join bs on bs.query_id = rk.query_id and bs.video_id = rk.video_id and bs.r = 1)""" + boot_sql("positive", 100, "vc"))
 def vcmr_bootstrap(spark, d):
     """Right moments at rank 1 against items within three."""
-    q, best = D.vec_queries(spark, d).drop("q_emb"), V.maxsim(pairs(spark, d))
-    own = best.withColumnRenamed("video_id", "positive").select("query_id", "positive", "ts", "te")
+    q = D.vec_queries(spark, d).drop("q_emb")
+    own = V.maxsim(best(spark, d)).withColumnRenamed("video_id", "positive").select("query_id", "positive", "ts", "te")
     rows = ranks(spark, d).join(q, "query_id").join(own, ["query_id", "positive"], "left")
     hit = (F.col("rank") == 1) & F.coalesce(X.tiou_hull("ts", "te", "gt_ts", "gt_te") >= 0.1, F.lit(False))
     u = rows.groupBy(F.col("positive").alias("unit")).agg(F.sum(hit.cast("long")).alias("x"), F.sum((F.col("rank") <= 3).cast("long")).alias("y"), F.count("*").alias("n"))
@@ -402,7 +436,7 @@ def group_table_query_len(spark, d):
 
 @query(VEC + f"select (n >= 2)::int::bigint as grp, {METRICS6} from rk join (select query_id, sum((score >= 0.3)::int) as n from pr group by 1) using (query_id) group by 1")
 def group_table_duplicates(spark, d):
-    n = pairs(spark, d).groupBy("query_id").agg(F.sum((F.col("score") >= 0.3).cast("long")).alias("n"))
+    n = near(spark, d, 0.3)
     return rounded(A.group_table(ranks(spark, d).join(n, "query_id"), (F.col("n") >= 2).cast("long")))
 
 
@@ -411,27 +445,26 @@ HUB = ", pl as (select *, row_number() over (partition by query_id order by scor
 
 @query(VEC + HUB + "select seg_row, top1, topk from hb")
 def hub_events(spark, d):
-    return A.hub_counts(V.event_topk(pairs(spark, d), 10), D.gallery(spark, d), 10)
+    return A.hub_counts(V.event_topk(top(spark, d, 10), 10), D.gallery(spark, d), 10)
 
 
 @query(VEC + HUB + "select video_id % 3 as grp, count(*) as events, round(100 * count(*)::double / (select count(*) from hb), 6) as event_share, round(100 * sum(topk)::double / (select sum(topk) from hb), 6) as slot_share, round(100 * avg((topk = 0)::int::double), 6) as never from hb group by 1")
 def hub_by_duration(spark, d):
     g = D.gallery(spark, d)
-    h = A.hub_counts(V.event_topk(pairs(spark, d), 10), g, 10).join(g.select("seg_row", (F.col("video_id") % 3).alias("grp")), "seg_row")
+    h = A.hub_counts(V.event_topk(top(spark, d, 10), 10), g, 10).join(g.select("seg_row", (F.col("video_id") % 3).alias("grp")), "seg_row")
     return rounded(A.hub_shares(h, "grp"))
 
 
 @query(VEC + "select query_id, sum((score >= 0.25)::int)::bigint as n_dup, sum((score >= 0.25 and video_id <> positive)::int)::bigint as n_dup_other from pr group by 1")
 def near_duplicates(spark, d):
-    p = pairs(spark, d).join(D.vec_queries(spark, d).select("query_id", F.col("positive").alias("query_video")), "query_id")
-    return A.near_duplicates(p, 0.25)
+    return A.near_duplicates(D.vec_queries(spark, d).select("query_id", "q_emb", F.col("positive").alias("query_video")), D.gallery(spark, d), 0.25)
 
 
 TOP = ", tp as (select * from (select query_id, positive, video_id, seg_row, score, row_number() over (partition by query_id order by score desc, seg_row) as place from pr) where place <= 5), sh as (select query_id, bool_or(place = 1 and video_id = positive) as exact1, bool_or(video_id = positive) as exactk, bool_or(place = 1 and (video_id = positive or score >= 0.35)) as sem1, bool_or(video_id = positive or score >= 0.35) as semk, bool_or(place = 1 and video_id % 2 = positive % 2) as same_video from tp group by 1)"
 
 
 def _hits(spark, d):
-    t = V.event_topk(pairs(spark, d), 5).join(D.vec_queries(spark, d).select("query_id", "positive"), "query_id")
+    t = V.event_topk(top(spark, d, 5), 5).join(D.vec_queries(spark, d).select("query_id", "positive"), "query_id")
     t = t.withColumn("exact", F.col("video_id") == F.col("positive")).withColumn("meaning", F.col("score"))
     same = t.where("place = 1").select("query_id", (F.col("video_id") % 2 == F.col("positive") % 2).alias("same_video"))
     return A.semantic_hits(t, 0.35, 5).join(same, "query_id")
@@ -466,7 +499,7 @@ def long_tail(spark, d):
 
 @query(VEC + RUNS + "select rk.query_id, rk.rank as rank_max, tr2.rank as rank_topk, round(greatest(0.0::double, least(1.0::double, rk.query_id / 400.0::double)), 6) as rel_pos from rk join tr2 using (query_id)")
 def per_query_wide(spark, d):
-    p = pairs(spark, d)
+    p = best(spark, d, 3)
     long = ranks(spark, d).withColumn("run", F.lit("rank_max")).unionByName(ranks(spark, d, V.topk_mean(p, 3)).withColumn("run", F.lit("rank_topk")))
     wide = long.groupBy("query_id").pivot("run", ["rank_max", "rank_topk"]).agg(F.first("rank"))
     return wide.withColumn("rel_pos", r6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("query_id") / 400.0))))
@@ -487,18 +520,16 @@ def wins_over(spark, d):
 
 @query(VEC + ", bs as (select *, row_number() over (partition by query_id, video_id order by score desc, ts, seg_row) as r from pr), x as (select rk.query_id, seg_row, coalesce(greatest(0, least(te, q.gt_te) - greatest(ts, q.gt_ts)) / nullif(greatest(te, q.gt_te) - least(ts, q.gt_ts), 0), 0) as fit from rk join q using (query_id) join bs on bs.query_id = rk.query_id and bs.video_id = rk.video_id and r = 1 where rank = 1) select query_id, seg_row, round(fit, 6) as fit from x where fit < 0.5")
 def same_video_wrong_event(spark, d):
-    q, best = D.vec_queries(spark, d).drop("q_emb"), V.maxsim(pairs(spark, d)).withColumnRenamed("video_id", "positive")
-    rows = ranks(spark, d).where("rank = 1").join(q, "query_id").join(best, ["query_id", "positive"]).withColumn("fit", X.tiou_hull("ts", "te", "gt_ts", "gt_te"))
+    q, own = D.vec_queries(spark, d).drop("q_emb"), V.maxsim(best(spark, d)).withColumnRenamed("video_id", "positive")
+    rows = ranks(spark, d).where("rank = 1").join(q, "query_id").join(own, ["query_id", "positive"]).withColumn("fit", X.tiou_hull("ts", "te", "gt_ts", "gt_te"))
     return rows.where("fit < 0.5").select("query_id", "seg_row", r6("fit"))
 
 
 @query(VEC + f", nd as (select query_id, sum((score >= 0.25)::int) as n from pr group by 1), pk2 as (select query_id from nd where n >= 1 order by {u_sql('ex', 'query_id')}, query_id limit 5) select * from (select query_id, video_id, row_number() over (partition by query_id order by score desc, video_id)::int as place from ms where query_id in (select query_id from pk2)) where place <= 3")
 def near_dup_examples(spark, d):
     """Five queries with near-duplicates, drawn by hash, and their best three items (a report)."""
-    p = pairs(spark, d)
-    n = p.groupBy("query_id").agg(F.sum((F.col("score") >= 0.25).cast("long")).alias("n")).where("n >= 1")
-    few = A.sample(n, "query_id", 5, "ex").select("query_id")
-    return V.video_topk(p.join(few, "query_id", "left_semi"), 3).select("query_id", "video_id", "place")
+    few = A.sample(near(spark, d, 0.25).where("n >= 1"), "query_id", 5, "ex").select("query_id")
+    return V.video_topk(best(spark, d).join(few, "query_id", "left_semi"), 3).select("query_id", "video_id", "place")
 
 
 @query(VEC + RUNS + "select (ab.query_id % 3 = 0) as missed, count(*) as n, round(100 * avg(x::double), 6) as r1, round(100 * sum(x - y)::double / (select count(*) from ab), 6) as contribution from ab group by 1")
@@ -534,20 +565,20 @@ def feature_parity(spark, d):
 
 @query(VEC + "select query_id, round(ln(sum(exp(score / 0.1))) - ln(sum(case when video_id = positive then exp(score / 0.1) else 0 end)), 6) as loss from ms join q using (query_id) group by 1 having sum((video_id = positive)::int) > 0")
 def infonce_loss(spark, d):
-    s = V.max_scores(pairs(spark, d)).join(D.vec_queries(spark, d).select("query_id", "positive"), "query_id")
+    s = V.max_scores(best(spark, d)).join(D.vec_queries(spark, d).select("query_id", "positive"), "query_id")
     return rounded(L.softmax_loss(s.withColumn("is_positive", F.col("video_id") == F.col("positive")), 0.1))
 
 
 @query(VEC + "select query_id, round(ln(sum(exp(score / 0.1))) - ln(sum(case when seg_row % 5 = 1 then exp(score / 0.1) else 0 end)), 6) as loss from pr where video_id = positive group by 1 having sum((seg_row % 5 = 1)::int) > 0")
 def event_loss(spark, d):
     """Within a query's own item."""
-    s = pairs(spark, d).join(D.vec_queries(spark, d).select("query_id", "positive"), "query_id").where("video_id = positive")
+    s = D.vec_queries(spark, d).join(D.gallery(spark, d), F.col("positive") == F.col("video_id")).select("query_id", "seg_row", X.dot("q_emb", "emb").alias("score"))
     return rounded(L.softmax_loss(s.withColumn("is_positive", F.col("seg_row") % 5 == 1), 0.1))
 
 
 @query(VEC + "select query_id, video_id, round(exp(score / 0.1) / sum(exp(score / 0.1)) over (partition by query_id), 6) as target from ms")
 def soft_targets(spark, d):
-    return L.soft_targets(V.max_scores(pairs(spark, d)), 0.1).select("query_id", "video_id", r6("target"))
+    return L.soft_targets(V.max_scores(best(spark, d)), 0.1).select("query_id", "video_id", r6("target"))
 
 
 @query(VEC + f"select query_id, coalesce(lead(query_id) over (order by {u_sql('der', 'query_id')}, query_id), first_value(query_id) over (order by {u_sql('der', 'query_id')}, query_id)) as partner from q")
@@ -573,11 +604,9 @@ ht as (select ur.query_id, fold, candidate, (rank <= 1)::int as hit from ur join
 @query(VEC + E3 + "select ht.query_id, ht.fold, ht.candidate, ht.hit::bigint as hit from ht join pk on pk.fold = 1 - ht.fold and pk.candidate = ht.candidate")
 def cv_e3(spark, d):
     """The offset of the window source, chosen on the other fold; all candidates in one pass."""
-    p = pairs(spark, d)
-    main, win = V.max_scores(p.where("seg_row % 3 <> 0")), V.max_scores(p.where("seg_row % 3 = 0"))
+    main, win = (V.max_scores(best(spark, d, where=w)) for w in ("seg_row % 3 <> 0", "seg_row % 3 = 0"))
     s = reduce(DataFrame.unionByName, [V.score_union(main, win, g).withColumn("candidate", F.lit(g)) for g in GAMMAS])
-    r = s.withColumn("rank", F.rank().over(Window.partitionBy("candidate", "query_id").orderBy(F.desc("score"))))
-    own = r.join(D.vec_queries(spark, d).select("query_id", F.col("positive").alias("video_id")), ["query_id", "video_id"])
+    own = R.strict_ranks(s, D.vec_queries(spark, d), 0, "candidate")
     f = S.folds(D.vec_queries(spark, d), "query_id", "fold")
     return S.out_of_fold(own.join(f, "query_id").select("query_id", "fold", "candidate", (F.col("rank") <= 1).cast("long").alias("hit")))
 
@@ -585,12 +614,10 @@ def cv_e3(spark, d):
 @query(VEC + ", hf as (select q.query_id, q.positive, gal.video_id, list_dot_product(q_emb, emb) as s, list_dot_product(q_emb[1:32], emb[1:32]) as h, list_dot_product(q_emb[33:64], emb[33:64]) as k from q cross join gal), gr as (select a, b, (row_number() over (order by a + b, b))::bigint as candidate from (select unnest([0.0::double, 0.5]) as a) cross join (select unnest([0.0::double, 0.25]) as b)), sc as (select candidate, query_id, positive, video_id, max(s + a * h + b * k) as score from hf cross join gr group by all), rr as (select candidate, query_id, 1 + (select count(*) from sc y where y.candidate = x.candidate and y.query_id = x.query_id and y.score > x.score) as rank from sc x where positive = video_id) select candidate, sum((rank <= 1)::int)::bigint as hits from rr group by 1")
 def cv_beta_ab(spark, d):
     """Hits at rank 1 on a grid of two weights, ordered by their sum, then by the second."""
-    q, g = D.vec_queries(spark, d), D.gallery(spark, d)
-    part = lambda lo: V.pair_scores(q.withColumn("q_emb", F.slice("q_emb", lo, 32)), g.withColumn("emb", F.slice("emb", lo, 32))).select("query_id", "seg_row", F.col("score").alias(f"p{lo}"))
-    rows = V.pair_scores(q, g).join(part(1), ["query_id", "seg_row"]).join(part(33), ["query_id", "seg_row"])
+    q, g, sources = D.vec_queries(spark, d), D.gallery(spark, d), {"emb": "q_emb", "first": "q_first", "second": "q_second"}
+    for k, half in enumerate(("first", "second")):
+        q, g = q.withColumn(f"q_{half}", F.slice("q_emb", 32 * k + 1, 32)), g.withColumn(half, F.slice("emb", 32 * k + 1, 32))
     grid = sorted(((a, b) for a in (0.0, 0.5) for b in (0.0, 0.25)), key=lambda x: (x[0] + x[1], x[1]))
-    cand = F.broadcast(spark.createDataFrame([(k + 1, a, b) for k, (a, b) in enumerate(grid)], "candidate long, a double, b double"))
-    s = rows.crossJoin(cand).groupBy("candidate", "query_id", "video_id").agg(F.max(F.col("score") + F.col("a") * F.col("p1") + F.col("b") * F.col("p33")).alias("score"))
-    r = s.withColumn("rank", F.rank().over(Window.partitionBy("candidate", "query_id").orderBy(F.desc("score"))))
-    own = r.join(q.select("query_id", F.col("positive").alias("video_id")), ["query_id", "video_id"])
-    return own.groupBy("candidate").agg(F.sum((F.col("rank") <= 1).cast("long")).alias("hits"))
+    s = V.item_pairs(q, g, sources=sources, variants=[{"emb": 1.0, "first": a, "second": b} for a, b in grid])
+    s = s.groupBy((F.col("variant") + 1).cast("long").alias("candidate"), "query_id", "video_id").agg(F.max("score").alias("score"))
+    return R.strict_ranks(s, q, 0, "candidate").groupBy("candidate").agg(F.sum((F.col("rank") <= 1).cast("long")).alias("hits"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segquery.functions import exprs as X
+from segquery.operators import numbering
 from segquery.operators.analysis import fingerprint
 
 from .readers import exists
@@ -83,4 +84,5 @@ def events_table(events: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("row", F.row_number().over(Window.orderBy(order)) - 1)
+    """``df`` with ``row``, its place from 0 in the order of a unique column."""
+    return numbering.numbered(df, order, name="row")

@@ -179,7 +179,7 @@ def found(spark, rows):
     return spark.createDataFrame([(v, f"{v}{i}", float(a), float(b), float(c)) for i, (v, a, b, c) in enumerate(rows)], "video_id string, pred_id string, ts double, te double, conf double")
 
 
-def test_average_precision(spark):
+def test_average_precision_of_the_known_case(spark):
     g = events(spark, [("A", 0, 10), ("A", 20, 30), ("B", 0, 10)])
     p = found(spark, [("A", 0, 10, 0.9), ("A", 1, 9, 0.8), ("A", 20, 30, 0.7), ("B", 50, 60, 0.6), ("B", 0, 10, 0.5)])
     assert L.average_precision(g, p, 0.5).first().ap == L.average_precision(g, p, 0.9).first().ap == pytest.approx((1 + 2 / 3 + 0.6) / 3)
