@@ -11,13 +11,15 @@ lengths of the slots; a branch within it that is template as a whole goes, a con
 between varying ones stays.
 
 Tags only settle what the wrapper cannot: an element that says it is the article or main part
-is taken as that element; elements whose tag, role or class says menu, header, footer, sidebar,
-notice, advert, form or reader comment are never content; hosts with under ``MIN_PAGES`` distinct
-articles have no wrapper and keep all else.
+is taken as that element if it holds half of what varies or more; elements whose tag, role or class
+says menu, header, footer, sidebar, notice, advert, form or reader comment are never content (a name
+says so if it has no words but such ones and words of structure); hosts with under ``MIN_PAGES``
+distinct articles have no wrapper and keep all else.
 
 Defined results: null or empty html gives an empty text; a null url is the host ``''``; repeated
 pages count once; broken markup is read as a browser does (unclosed elements end with their
-parent, text after a lone ``<`` stays text). Other columns are ignored.
+parent, text after a lone ``<`` stays text, after a tag whose quotes never close tags end at their
+first ``>``). Nesting may be of any depth. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,8 +57,14 @@ CUES = frozenset(
     "related recommended share sharing social subscribe subscription newsletter signup login comment comments disqus respond reply replies popup modal overlay widget pagination pager copyright toolbar skip".split()
 )
 
-_TOKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<!--.*?(?:-->|\Z)|<[!?/][^>]*+>|<(?=[a-zA-Z])[^>]*+>|<", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Words that leave a name a cue: "comment-list" is comments, "share-price" is no share button.
+STRUCTURE = frozenset("area bar block body bottom box button buttons container content footer group header holder inner item items left link links list main menu outer page panel post right row section site text title top user wrap wrapper".split())
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_NAME = re.compile(r"</?[a-zA-Z]")
+_OTHER = re.compile(r"()()()(?:[^<]++|<!--.*?(?:-->|\Z)|<[!?/][^>]*+>|<)", re.S)
+_ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CUE = re.compile(r"[a-z]+")
 
 
@@ -74,12 +82,22 @@ class Node:
 def parse(source: str) -> Node:
     root = Node("#root", {})
     stack = [root]
-    at, n = 0, len(source)
+    at, n, last = 0, len(source), source.rfind(">")
+    tag = _TAG
     while at < n:
-        start, m = at, _TOKEN.match(source, at)
+        start, m = at, None
+        if at > last:  # no tag ends any more
+            stack[-1].kids.append(source[at:].partition("<!--")[0])
+            break
+        if source[at] == "<" and _NAME.match(source, at):
+            m = tag.match(source, at)
+            if m is None and tag is _TAG:
+                tag = _LOOSE  # quotes that never close: from here on tags end at their first >
+                m = tag.match(source, at)
+        m = m or _OTHER.match(source, at)
         at = m.end()
         name = m[2]
-        if name is None:
+        if not name:
             if source[start] != "<" or at - start == 1:
                 stack[-1].kids.append(m[0])
             continue
@@ -106,7 +124,7 @@ def parse(source: str) -> Node:
                     del stack[k:]
                 elif stack[k].tag in within:
                     break
-        attrs = {a[1].lower(): htmllib.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])} if "=" in m[3] else {}
+        attrs = {a[1].lower(): htmllib.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])} if m[3] and not m[3].isspace() else {}
         node = Node(name, attrs)
         stack[-1].kids.append(node)
         if name in RAW:
@@ -141,8 +159,12 @@ def finish(root: Node) -> list[Node]:
 class Matcher:
     """Scores of pairs of trees are kept by structure, so repeated siblings cost one look-up."""
 
+    #: Levels that are scored by recursion; what lies deeper is scored from an explicit stack.
+    LEVELS = 50
+
     def __init__(self) -> None:
         self.known: dict[tuple[int, int], int] = {}
+        self.level = 0
 
     def score(self, a: Node, b: Node) -> int:
         if a.key != b.key:
@@ -151,12 +173,31 @@ class Matcher:
             return a.size
         got = self.known.get((a.sig, b.sig))
         if got is None:
-            if len(self.known) > 200_000:
+            if not self.level and len(self.known) > 200_000:
                 self.known.clear()
+            if self.level >= self.LEVELS:
+                self._deep(a, b)
+                return self.known[a.sig, b.sig]
+            self.level += 1
             got = 1 + self._lists(a.elements(), b.elements())[0]
+            self.level -= 1
             self.known[a.sig, b.sig] = got
         return got
 
+    def _deep(self, a: Node, b: Node) -> None:
+        """Scores a pair when all pairs below it are known."""
+        todo = [(a, b, False)]
+        while todo:
+            x, y, below = todo.pop()
+            if (x.sig, y.sig) in self.known:
+                continue
+            if below:
+                self.known[x.sig, y.sig] = 1 + self._lists(x.elements(), y.elements())[0]
+                continue
+            todo.append((x, y, True))
+            pairs = {(p.sig, q.sig): (p, q, False) for p in x.elements() for q in y.elements() if p.key == q.key and p.sig != q.sig}
+            todo.extend(v for k, v in pairs.items() if k not in self.known)
+
     def _lists(self, xs: list[Node], ys: list[Node], trace: bool = False) -> tuple[int, list[tuple[Node, Node]]]:
         # equal siblings at both ends match in some best solution, as no pair scores more
         head, tail, most = 0, 0, min(len(xs), len(ys))
@@ -249,8 +290,16 @@ class Matcher:
 def _is_cue(node: Node) -> bool:
     if node.tag in NEVER or node.attrs.get("role", "").lower() in ROLES or "hidden" in node.attrs:
         return True
-    said = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()
-    return said != " " and any(w in CUES for w in _CUE.findall(said))
+    return _says_cue(node)
+
+
+def _says_cue(node: Node) -> bool:
+    """Is one of the element's names a cue word, alone or with words of structure and other cues only?"""
+    said = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
+    if said == " ":
+        return False
+    names = [set(_CUE.findall(name)) for name in said.lower().split()]
+    return any(words & CUES and words <= CUES | STRUCTURE for words in names)
 
 
 def _main(node: Node) -> bool:
@@ -266,7 +315,7 @@ def marked(order: list[Node]) -> tuple[set[int], set[int]]:
             holds.add(id(x))
         if x.tag == "h1" or any(id(k) in title for k in kids if k.tag not in ("article", "main")):
             title.add(id(x))
-        if _main(x) and not any(w in CUES for w in _CUE.findall(f"{x.attrs.get('class', '')} {x.attrs.get('id', '')}".lower())):
+        if _main(x) and not _says_cue(x):
             main.add(id(x))
     never: set[int] = set()
     within: list[tuple[Node, bool, bool]] = [(order[0], False, False)]
@@ -351,11 +400,14 @@ def page_blocks(root: Node, main: set[int], drop: set[int]) -> list[Block]:
 
 def content(blocks: list[tuple[str, int, int, list[int], int, bool]], mean: dict[int, float] | None, template: set[tuple[int, int]]) -> list[str]:
     """Texts of the content among the blocks (text, slot, digest, chain, main, head); ``mean``: varying characters of a block by slot, None without a wrapper."""
-    if any(b[4] >= 0 for b in blocks):
-        blocks = [b for b in blocks if b[4] >= 0]
-    elif mean is None:
+    if mean is None and all(b[4] < 0 for b in blocks):
         return [b[0] for b in blocks]
     varies = [0.0 if (slot, t) in template else (mean or {}).get(slot) or float(len(text)) for text, slot, t, *_ in blocks]
+    said = [b[4] >= 0 for b in blocks]
+    if any(said) and (mean is None or 2 * sum(w for w, x in zip(varies, said, strict=True) if x) >= sum(varies)):
+        blocks, varies = [b for b, x in zip(blocks, said, strict=True) if x], [w for w, x in zip(varies, said, strict=True) if x]
+    else:  # what calls itself the main part holds less of what varies than the rest does
+        blocks = [(*b[:4], -1, b[5]) for b in blocks]
     weight: dict[int, float] = {}
     for (_, _, _, chain, _, _), w in zip(blocks, varies, strict=True):
         for x in chain:

@@ -162,3 +162,56 @@ def test_wrapper_alone(spark):
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", a.replace("<br>", " "))]
         same.append(got[r.page_id] == "\n".join(x for x in parts if x))
     assert len(same) >= 20 and sum(same) >= 0.95 * len(same)
+
+
+def test_deep_markup(spark):
+    """Thousands of nested levels on every page of a host are matched, not an error."""
+    html = "<body>" + "<div>" * 5000 + "<p>{0} first</p><p>{0} second</p>" + "</div>" * 5000 + "<ul><li>Legal notice</li></ul></body>"
+    rows = [(k, f"http://h.example/{k}", html.format(f"story {k}") + "<i>x</i>" * k) for k in range(8)]
+    got = {r.page_id: r.text for r in W.main_texts(pages(spark, rows)).collect()}
+    assert all(got[k].startswith(f"story {k} first\nstory {k} second") and "Legal" not in got[k] for k in range(8))
+
+
+def test_deep_scores_equal_recursive_ones(monkeypatch):
+    r = random.Random(7)
+
+    def tree(depth):
+        n = W.Node(r.choice(["div", "span"]), {})
+        n.kids = [tree(depth - 1) for _ in range(r.randrange(3))] if depth else []
+        return n
+
+    for _ in range(60):
+        a, b = tree(7), tree(7)
+        a.key = b.key
+        W.finish(a), W.finish(b)
+        want = W.Matcher().score(a, b)
+        monkeypatch.setattr(W.Matcher, "LEVELS", 1)
+        assert W.Matcher().score(a, b) == len(list(W.Matcher().align(a, b))) == want
+        monkeypatch.undo()
+
+
+def test_the_wrapper_decides_before_tags(spark):
+    """A teaser that calls itself an article does not replace the text that varies."""
+    html = "<body><div class=body><h1>Tale {0}</h1><p>It was {0} then, and it went on for a while.</p><p>Then {0} came to an end at last.</p></div><div><article><p>See {0}</p></article></div></body>"
+    rows = [(k, f"http://h.example/{k}", html.format(f"number {k}")) for k in range(12)]
+    got = {r.page_id: r.text for r in W.main_texts(pages(spark, rows)).collect()}
+    assert all(got[k] == f"Tale number {k}\nIt was number {k} then, and it went on for a while.\nThen number {k} came to an end at last." for k in range(12))
+
+
+@pytest.mark.parametrize(("name", "kept"), [("share-price", True), ("ad-hoc", True), ("header-note", True), ("promotional", True), ("comment-list", False), ("ads", False), ("x related-links", False), ("site-footer", False)])
+def test_names_that_hold_a_cue(name, kept):
+    assert text_of(f"<article><p>a</p><div class='{name}'>b</div></article>") == ("a\nb" if kept else "a")
+
+
+def test_attributes_without_a_value():
+    assert text_of("<div hidden>a</div><div hidden class=x>b</div><div class=y hidden>c</div><p data-x title='hidden'>d") == "d"
+
+
+@pytest.mark.parametrize("source", ["<a ", '<a "', '<a ">', '</a "', "<!", "<!--", "</", "< "])
+def test_broken_markup_costs_in_proportion(source):
+    """A megabyte of tags that never end."""
+    import time
+
+    t = time.process_time()
+    W.parse(source * (1_000_000 // len(source)))
+    assert time.process_time() - t < 20
