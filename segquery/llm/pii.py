@@ -144,13 +144,13 @@ def _edges(kind: int, toks: list[str], i: int, j: int) -> bool:
     return (j - i == 7 and n <= 12) if kind == 1 else 12 <= n <= 20 if kind == 2 else 7 <= n <= 15
 
 
-def candidates(text: str, spans: list[tuple[int, int]], toks: list[str]) -> list[tuple[int, int, int, list[str]]]:
-    """(first token, end token, kind, features) of every admissible entity of a region."""
+def candidates(text: str, spans: list[tuple[int, int]], toks: list[str], taken: list[bool] | None = None) -> list[tuple[int, int, int, list[str]]]:
+    """(first token, end token, kind, features) of every admissible entity of a region that holds no ``taken`` token."""
     out = []
     for i in range(len(toks)):
         for kind in range(4):
             j = i
-            while j < len(toks) and j - i < MAX_TOKENS and _allowed(kind, toks[j]):
+            while j < len(toks) and j - i < MAX_TOKENS and not (taken and taken[j]) and _allowed(kind, toks[j]):
                 j += 1
                 if _edges(kind, toks, i, j):
                     s, e = spans[i][0], spans[j - 1][1]
@@ -303,9 +303,8 @@ def all_spans(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, int
             for k in range(bisect_right(ends, lo), bisect_left(starts, hi)):
                 taken[max(0, bisect_right(begins, starts[k]) - 1)] += 1
                 taken[bisect_left(begins, ends[k])] -= 1
-        taken = [0, *accumulate(c > 0 for c in accumulate(taken[:-1]))]
         # an entity that meets a base span cannot be added, so it is no candidate
-        cand = [c for c in candidates(text, spans, toks) if taken[c[1]] == taken[c[0]]]
+        cand = candidates(text, spans, toks, [c > 0 for c in accumulate(taken[:-1])])
         if cand:
             scored = [(i, j, k, sum(weights.get(f, 0.0) for f in fs)) for i, j, k, fs in cand]
             added += [(k, spans[i][0], spans[j - 1][1]) for i, j, k in best_segments(len(toks), scored)]

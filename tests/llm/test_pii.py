@@ -89,15 +89,19 @@ def test_redaction(odd, odd_rows, empty):
 
 
 def test_linear():
-    """Very many base spans, apart or in one region, cost in proportion."""
+    """Very many base spans, apart or in one region, cost in proportion: four times as many some four times as much."""
     import time
 
     weights = pii.trained_weights()
     for sep in (" and ", " "):
-        text = sep.join(f"10.{k % 256}.{k // 256}.7" for k in range(16_000))
-        t = time.process_time()
-        base, every = pii.all_spans(text, weights)
-        assert len(base) == 16_000 and set(base) <= set(every) and time.process_time() - t < 20
+        took = []
+        for n in (4_000, 16_000):
+            text = sep.join(f"10.{k % 256}.{k // 256}.7" for k in range(n))
+            t = time.process_time()
+            base, every = pii.all_spans(text, weights)
+            took.append(time.process_time() - t)
+            assert len(base) == n and set(base) <= set(every)
+        assert took[1] < 9 * max(took[0], 0.05)
     k = 40
     text = " ".join(f"10.0.{j}.7 (743) 555-{j:04d} x{j}@y.com" for j in range(k))
     assert all(not (s < e2 and e > s2) or (s, e) == (s2, e2) for _, s, e in pii.all_spans(text, weights)[1] for _, s2, e2 in pii.base_spans(text))
