@@ -7,7 +7,7 @@ import pytest
 
 from segquery.llm import decontaminate, packing, queries
 
-TABLES = ["documents", "benchmark"]
+TABLES = ["documents", "benchmark", "conversations"]
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
