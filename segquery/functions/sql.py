@@ -4,7 +4,7 @@
 
     SELECT * FROM seg_merge(TABLE(segs) PARTITION BY video_id ORDER BY (ts, te, pred_id), 0.5)
     SELECT * FROM seg_nms(TABLE(props) PARTITION BY video_id ORDER BY (conf DESC, pred_id), 0.3, 30)
-    SELECT * FROM seg_medoids(TABLE(series) PARTITION BY video_id ORDER BY step, 8, 0)
+    SELECT * FROM seg_medoids(TABLE(series) PARTITION BY video_id ORDER BY (step), 8, 0)
     SELECT video_id, seg_matches(gt_id, pred_id, tiou) FROM pairs GROUP BY video_id
 
 A table function holds the rows of one partition, as the operators of the same kernels do; partition by islands

@@ -39,11 +39,16 @@ def event_rows(gt: DataFrame, preds: DataFrame, thresholds: tuple[float, ...] =
     out = gt.select("video_id", "gt_id", "ts", "te").join(best_match(gt, preds).select("gt_id", F.col("pred_id").alias("best_seg"), F.col("tiou").alias("best_tiou")), "gt_id", "left").join(parts, "gt_id", "left").join(many, "best_seg", "left")
     n = F.coalesce("n_parts", F.lit(0))
     out = out.select("video_id", "gt_id", "ts", "te", F.coalesce("best_tiou", F.lit(0.0)).alias("best_tiou"), "best_seg", (F.coalesce("best_tiou", F.lit(0.0)) <= 0).alias("missed"), n.alias("n_parts"), (n >= 2).alias("fragmented"), F.coalesce("_many", F.lit(False)).alias("in_merged_seg"))
-    for t in thresholds:
-        m = hungarian(gt, preds, t).select("gt_id", F.col("pred_id").alias(_name("match", t)), F.col("tiou").alias(_name("tiou", t)))
-        out = out.join(m, "gt_id", "left").na.fill(0.0, [_name("tiou", t)])
-    at = hungarian(gt, preds, boundary).select("gt_id", "pred_id").join(preds.select("pred_id", F.col("ts").alias("_s"), F.col("te").alias("_e")), "pred_id").drop("pred_id")
-    return out.join(at, "gt_id", "left").withColumn("left_offset", F.col("_s") - F.col("ts")).withColumn("right_offset", F.col("_e") - F.col("te")).drop("_s", "_e")
+    # one matching for all thresholds and the boundary's
+    at, k = (*thresholds, boundary), F.substring_index("video_id", "#", 1).cast("int")
+    found = assigned(_at_thresholds(both, at)).select(k.alias("_k"), "gt_id", F.struct("pred_id", "tiou").alias("_m"))
+    wide = found.groupBy("gt_id").agg(*[F.max(F.when(F.col("_k") == i, F.col("_m"))).alias(f"_m{i}") for i in range(len(at))])
+    ends = preds.select(F.col("pred_id").alias("_p"), F.col("ts").alias("_s"), F.col("te").alias("_e"))
+    last = F.col(f"_m{len(thresholds)}.pred_id")
+    out = out.join(wide, "gt_id", "left").withColumn("_p", last).join(ends, "_p", "left")
+    for i, t in enumerate(thresholds):
+        out = out.withColumn(_name("match", t), F.col(f"_m{i}.pred_id")).withColumn(_name("tiou", t), F.coalesce(F.col(f"_m{i}.tiou"), F.lit(0.0)))
+    return out.withColumn("left_offset", F.col("_s") - F.col("ts")).withColumn("right_offset", F.col("_e") - F.col("te")).drop("_p", "_s", "_e", *[f"_m{i}" for i in range(len(at))])
 
 
 def segment_rows(gt: DataFrame, preds: DataFrame, threshold: float = 0.5, cover: float = COVER) -> DataFrame:

