@@ -3,9 +3,10 @@
 Texts are cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and pieces into words ``[^\\x20\\x09]+`` after A-Z are
 lower-cased; phrases never leave a piece. Three steps:
 
-1. Every task adds the n-grams of its texts to a count-min sketch of ``ROWS`` rows. What it sends on are
-   blocks of 2^16 cells with the cells it has touched; the blocks of all tasks are added. A cell's sum is never
-   less than the count of any n-gram in it.
+1. Every task adds the n-grams of its texts to a count-min sketch of ``ROWS`` rows. What it sends on are the cells
+   it has touched, 2^16 neighbours a block and the blocks of a row in at most 2^8 groups, so the number of groups
+   sent follows the input and not the width. The groups of all tasks are added. A cell's sum is never less than the
+   count of any n-gram in it.
 2. Of the merged sketch only "reaches ``min_count``" is needed, one bit a cell, so its size is proven:
    ``ROWS * 2**MAX_BITS / 8`` bytes at most. Tasks read the texts again and count exactly the n-grams whose
    cells, and those of all n-grams inside them, reach ``min_count``. Nothing frequent can be lost; what passes by
@@ -20,6 +21,7 @@ so repeated rows count each time; texts without words and empty tables give no p
 
 from __future__ import annotations
 
+import itertools
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -35,8 +37,8 @@ from .common import few, map_rows, n_partitions, stored
 ROWS = 2
 #: log2 of the cells of a row at most: 32 MB of bits a row.
 MIN_BITS, MAX_BITS = 16, 28
-#: log2 of the cells of a block.
-BLOCK = 16
+#: log2 of the cells of a block, and of the groups that a row's blocks travel in.
+BLOCK, GROUPS = 16, 8
 #: Words whose n-grams are counted at once, bytes of text that are split at once, words that a task names at once.
 HELD_WORDS, HELD_BYTES, VOCABULARY = 1 << 21, 1 << 22, 1 << 19
 #: Odd multipliers: of the sketch's rows, of a phrase's next word.
@@ -136,6 +138,7 @@ def _counted(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def sketch(texts: DataFrame, most: int, min_count: int, bits: int) -> list[np.ndarray]:
     """For each row of the merged sketch one bit a cell: does its count reach ``min_count``?"""
     kind = np.min_scalar_type(min_count)  # sums need not go on beyond min_count
+    each = 1 << max(0, bits - BLOCK - GROUPS)  # blocks of a group
 
     def add(rows: Iterator[tuple]) -> Iterator[tuple]:
         for lang, ids, words in _numbered(rows):
@@ -144,34 +147,36 @@ def sketch(texts: DataFrame, most: int, min_count: int, bits: int) -> list[np.nd
                 cells, counts = _counted(_cells(hashes, row, bits))
                 low, counts = (cells & np.uint32((1 << BLOCK) - 1)).astype(np.uint16), np.minimum(counts, min_count).astype(kind)
                 ends = np.searchsorted(cells, np.arange((1 << (bits - BLOCK)) + 1, dtype=np.uint64) << np.uint64(BLOCK))
-                for block in np.flatnonzero(np.diff(ends)):
-                    at = slice(ends[block], ends[block + 1])
-                    yield int(row), int(block), low[at].tobytes(), counts[at].tobytes()
+                sizes = np.diff(ends).astype(np.uint32).reshape(-1, each)
+                for group in np.flatnonzero(sizes.any(1)):
+                    at = slice(ends[group * each], ends[(group + 1) * each])
+                    yield int(row), int(group), sizes[group].tobytes(), low[at].tobytes(), counts[at].tobytes()
 
     def merge(rows: Iterator[tuple]) -> Iterator[tuple]:
-        key, total = None, np.zeros(1 << BLOCK, np.int64)
-        for row, block, low, counts in rows:
-            if (row, block) != key:
+        key, total = None, np.zeros(0, np.int64)
+        for row, group, sizes, low, counts in rows:
+            if (row, group) != key:
                 if key:
                     yield *key, np.packbits(total >= min_count).tobytes()
-                key, total = (row, block), np.zeros(1 << BLOCK, np.int64)
-            total[np.frombuffer(low, np.uint16)] += np.frombuffer(counts, kind)
+                key, total = (row, group), np.zeros(each << BLOCK, np.int64)
+            at = np.repeat(np.arange(each) << BLOCK, np.frombuffer(sizes, np.uint32)) + np.frombuffer(low, np.uint16)
+            total[at] += np.frombuffer(counts, kind)
         if key:
             yield *key, np.packbits(total >= min_count).tobytes()
 
     spark = texts.sparkSession
-    parts = map_rows(texts, add, "row int, block int, low binary, counts binary", chunk=256)
-    dealt = parts.repartition(n_partitions(spark), "row", "block").sortWithinPartitions("row", "block")
-    merged = stored(map_rows(dealt, merge, "row int, block int, bits binary"))
+    parts = map_rows(texts, add, "row int, part int, sizes binary, low binary, counts binary", chunk=64)
+    dealt = parts.repartition(n_partitions(spark), "row", "part").sortWithinPartitions("row", "part")
+    merged = stored(map_rows(dealt, merge, "row int, part int, bits binary", chunk=16))
     out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(ROWS)]
     for x in merged.toLocalIterator():  # at most ROWS * 2**MAX_BITS / 8 bytes in all
-        at = x["block"] << (BLOCK - 3)
-        out[x["row"]][at : at + (1 << (BLOCK - 3))] = np.frombuffer(x["bits"], np.uint8)
+        at = x["part"] * (each << BLOCK) // 8
+        out[x["row"]][at : at + len(x["bits"])] = np.frombuffer(x["bits"], np.uint8)
     return out
 
 
 def _distinct(n: int, ids: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each different n-gram, and its count; equal hashes are held against the words themselves."""
+    """Which of ``places`` stand for the different n-grams, and their counts; equal hashes are held against the words themselves."""
     order = np.argsort(hashes, kind="stable")
     sorted_hashes = hashes[order]
     new = np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1]])
@@ -179,8 +184,8 @@ def _distinct(n: int, ids: np.ndarray, places: np.ndarray, hashes: np.ndarray) -
     first = at[new]
     if any((ids[at + k] != ids[first[group] + k]).any() for k in range(n)):
         _, index, counts = np.unique(ids[places[:, None] + np.arange(n)], axis=0, return_index=True, return_counts=True)
-        return places[index], counts
-    return first, np.bincount(group)
+        return index, counts
+    return order[new], np.bincount(group)
 
 
 def phrase_counts(docs: DataFrame, max_words: int = 5, min_count: int = 100, bits: int | None = None, *, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -208,15 +213,37 @@ def phrase_counts(docs: DataFrame, max_words: int = 5, min_count: int = 100, bit
             return through
 
         for lang, ids, words in _numbered(rows):
-            yield lang, None, 0, int(np.count_nonzero(ids))
+            yield lang, -1, b"%d" % np.count_nonzero(ids)
+            packs: list[list[bytes]] = [[] for _ in range(packets)]
             for n, places, hashes in _levels(lang, ids, words, max_words, passes):
-                first, counts = _distinct(n, ids, places, hashes)
-                named = [[words.names[i] for i in ids[first + k].tolist()] for k in range(n)]
-                for *phrase, c in zip(*named, counts.tolist(), strict=True):
-                    yield lang, b" ".join(phrase).decode(), n, c
+                index, counts = _distinct(n, ids, places, hashes)
+                named = [[words.names[i] for i in ids[places[index] + k].tolist()] for k in range(n)]
+                to = ((hashes[index] >> np.uint64(32)) % np.uint64(packets)).tolist()
+                for at, c, *phrase in zip(to, counts.tolist(), *named, strict=True):
+                    packs[at].append(b"%b\t%d" % (b" ".join(phrase), c))  # no phrase holds a tab or a line feed
+            for at, lines in enumerate(packs):
+                if lines:
+                    yield lang, at, b"\n".join(lines)
 
-    found = map_rows(texts, count, "lang string, phrase string, words int, f long", chunk=4096)
-    counts = stored(found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("phrase").isNull() | (F.col("f") >= min_count)))
+    def merge(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (lang, packet), own in itertools.groupby(rows, lambda r: r[:2]):
+            if packet < 0:
+                yield lang, None, 0, sum(int(r[2]) for r in own)
+                continue
+            total: dict[bytes, int] = {}
+            for _, _, lines in own:
+                for line in lines.split(b"\n"):
+                    phrase, _, c = line.partition(b"\t")
+                    total[phrase] = total.get(phrase, 0) + int(c)
+            for phrase, f in total.items():
+                if f >= min_count:
+                    yield lang, phrase.decode(), phrase.count(b" ") + 1, f
+
+    # partial counts travel packed, a row for each language and packet, and so many packets that a merging task holds a small part of the survivors
+    packets = max(1, n_partitions(spark) // 4)
+    found = map_rows(texts, count, "lang string, packet int, lines binary", chunk=64)
+    dealt = found.repartition(n_partitions(spark), "lang", "packet").sortWithinPartitions("lang", "packet")
+    counts = stored(map_rows(dealt, merge, "lang string, phrase string, words int, f long", chunk=4096))
     maps.destroy()
     return counts.where("phrase is not null"), counts.where("phrase is null").select("lang", F.col("f").alias("n"))
 
