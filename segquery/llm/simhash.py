@@ -232,7 +232,8 @@ def _similar(docs: DataFrame, words: int, min_similarity: float, recall: float)
 
     comp = components(links, "x", "y").select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
     crowd = near.where("b is null").select(F.col("a").alias("v"), F.col("ta").alias("tag"), F.col("ca").alias("c")).distinct()
-    of = every.join(crowd, ["v", "tag", "c"], "left_semi").select(F.col("rep").alias("doc_id")).distinct().join(comp, "doc_id", "left")
+    of = every.join(crowd.where("c = 0"), ["v", "tag", "c"], "left_semi").select("rep").unionAll(every.join(crowd.where("c <> 0").select("c").distinct(), "c", "left_semi").select("rep"))
+    of = of.select(F.col("rep").alias("doc_id")).distinct().join(comp, "doc_id", "left")
     of = stored(of.select("doc_id", F.coalesce("comp", "doc_id").alias("comp")))
     if not of.isEmpty():
         links = links.unionAll(crowd_links(docs, of, words, min_similarity))
@@ -260,7 +261,8 @@ def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int, chain
     fits in ``BLOCK_POINTS``, but for the texts of one value. Of ``FEW`` members of a point all pairs
     are taken that tags and components allow. A point of more is crowded, and one where texts that
     are equal in value and tag stand as one beside others: its members with such a pair are left to
-    another search. With ``chains`` members are paired with the next two only, and none is left.
+    another search, those without a component each, of the others their component (a 0, ta 0, ca): all its texts are
+    searched then. With ``chains`` members are paired with the next two only, and none is left.
     """
     total = flat.count() * (bits + 1)
     block_bits = min(width, math.ceil(math.log2(max(total / BLOCK_POINTS, 4))))
@@ -331,7 +333,9 @@ def _met(flat: DataFrame, width: int, bits: int, tag_bits: int, most: int, chain
             pairs.append(np.stack([at, to])[:, ~left & (x[at] != x[to])])
         p = np.concatenate(pairs, 1)
         found = np.unique(np.stack(ends(p[0]) + ends(p[1])), axis=1).view(np.int64)
-        crowd = np.unique(np.stack(ends(np.nonzero(crowd)[0])), axis=1).view(np.int64)
+        crowd = np.stack(ends(np.nonzero(crowd)[0]))
+        crowd[:2, crowd[2] != 0] = 0  # a family is named once, not text by text
+        crowd = np.unique(crowd, axis=1).view(np.int64)
         columns = [pa.concat_arrays([pa.array(f), pa.array(g)]) for f, g in zip(found[:3], crowd, strict=True)]
         columns += [pa.concat_arrays([pa.array(f), pa.nulls(crowd.shape[1], pa.int64())]) for f in found[3:]]
         return pa.RecordBatch.from_arrays(columns, ["a", "ta", "ca", "b", "tb", "cb"])
