@@ -4,8 +4,9 @@ A text is cut by the tokenizer's pattern into pre-tokens. A pre-token that is a
 pair of neighbours of least rank is merged until no neighbours merge, of equal ranks the leftmost first. The pairs
 wait in a rank queue: one bucket of positions a rank, and a bitmap of the ranks whose buckets hold any, under a bitmap
 of the words of that bitmap, so the next rank is two find-first-set steps away. Positions are those of a linked
-list of tokens; an entry whose pair has changed meanwhile is stale and skipped. The work is therefore in proportion
-to the bytes of a pre-token (times the logarithm of a bucket's length), however long it is.
+list of tokens; an entry whose pair has changed meanwhile is stale and skipped. A bucket is worked off from left to right
+until a pair of lower rank appears. The work is therefore about in proportion to the bytes of a pre-token, however long
+it is. The pre-tokens of a text that a worker does not know yet share one queue, as lists without links between them.
 
 Defined results: a null or empty text has no tokens; rows keep their id, null ids and repeated rows too; special
 tokens do not exist, so their strings are text; extra columns are ignored.
@@ -14,9 +15,10 @@ tokens do not exist, so their strings are text; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import struct
 from array import array
 from collections.abc import Callable, Iterator
-from heapq import heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import regex
@@ -27,7 +29,7 @@ from .common import map_rows, text_or_empty
 
 #: log2 of the ranks under one bit of the upper bitmap.
 WORD = 8
-#: Pre-tokens that a Python worker remembers, and the longest of them in characters.
+#: Pre-tokens that a Python worker remembers, some, and the longest of them in characters.
 REMEMBERED, SHORT = 1 << 19, 64
 
 _coders: dict[bytes, Coder] = {}
@@ -53,67 +55,108 @@ class Coder:
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a pre-token's bytes by the rank queue."""
-        n, pairs, shift = len(piece), self.pairs.get, self.shift
-        token: list[int] | array = [self.single[b] for b in piece]
+        return self.merged_all([piece])[0]
+
+    def merged_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of several pre-tokens by one rank queue: their lists of tokens are parts of one array, without links between them."""
+        pairs, shift, single = self.pairs.get, self.shift, self.single
+        low = (1 << WORD) - 1
+        token: list[int] | array = [single[b] for piece in pieces for b in piece]
+        n = len(token)
         after: list[int] | array = list(range(1, n + 1))
         before: list[int] | array = list(range(-1, n - 1))
-        if n > SHORT:
+        ends = list(accumulate(map(len, pieces)))
+        for e in ends:
+            if e:
+                after[e - 1] = n
+            if e < n:
+                before[e] = -1
+        if n > 1 << 16:
             token, after, before = array("i", token), array("i", after), array("i", before)
         buckets: dict[int, list[int]] = {}
         lower: dict[int, int] = {}
         upper = 0
-        for i in range(n - 1):
-            r = pairs(token[i] << shift | token[i + 1])
-            if r is not None:
-                if r in buckets:
-                    buckets[r].append(i)  # ascending: a heap
-                else:
-                    buckets[r] = [i]
-                    lower[r >> WORD] = lower.get(r >> WORD, 0) | 1 << (r & ((1 << WORD) - 1))
-                    upper |= 1 << (r >> WORD)
+        for i in range(n):
+            if after[i] < n:
+                r = pairs(token[i] << shift | token[i + 1])
+                if r is not None:
+                    if r in buckets:
+                        buckets[r].append(i)
+                    else:
+                        buckets[r] = [i]
+                        lower[r >> WORD] = lower.get(r >> WORD, 0) | 1 << (r & low)
+                        upper |= 1 << (r >> WORD)
         while upper:
             word = (upper & -upper).bit_length() - 1
             bits = lower[word]
             r = word << WORD | (bits & -bits).bit_length() - 1
-            bucket = buckets[r]
-            i = heappop(bucket)
-            if not bucket:
-                del buckets[r]
-                lower[word] = bits & (bits - 1)
-                if not lower[word]:
-                    upper &= upper - 1
-            j = after[i]
-            if token[i] < 0 or j >= n or pairs(token[i] << shift | token[j]) != r:
-                continue  # stale
-            token[i], token[j] = r, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            for left, right in ((before[i], i), (i, k)):
-                if left >= 0 and right < n and (q := pairs(token[left] << shift | token[right])) is not None:
-                    if q in buckets:
-                        heappush(buckets[q], left)
-                    else:
-                        buckets[q] = [left]
-                        lower[q >> WORD] = lower.get(q >> WORD, 0) | 1 << (q & ((1 << WORD) - 1))
-                        upper |= 1 << (q >> WORD)
-        return [t for t in token if t >= 0]
-
-    def piece(self, text: str) -> bytes:
-        """Ids of a pre-token, each as four bytes, least first."""
-        found = self.known.get(text)
-        if found is None:
-            data = text.encode()
+            lower[word] = bits & (bits - 1)
+            if not lower[word]:
+                upper &= upper - 1
+            bucket = buckets.pop(r)
+            bucket.sort()  # nearly sorted: positions came from left to right
+            for at, i in enumerate(bucket, 1):
+                j = after[i]
+                if j >= n or token[i] < 0 or pairs(token[i] << shift | token[j]) != r:
+                    continue  # stale
+                token[i], token[j] = r, -1
+                after[i] = k = after[j]
+                left, sooner = before[i], False
+                if k < n:
+                    before[k] = i
+                    q = pairs(r << shift | token[k])
+                    if q is not None:
+                        sooner = q < r
+                        if q in buckets:
+                            buckets[q].append(i)
+                        else:
+                            buckets[q] = [i]
+                            lower[q >> WORD] = lower.get(q >> WORD, 0) | 1 << (q & low)
+                            upper |= 1 << (q >> WORD)
+                if left >= 0:
+                    q = pairs(token[left] << shift | r)
+                    if q is not None:
+                        sooner = sooner or q < r
+                        if q in buckets:
+                            buckets[q].append(left)
+                        else:
+                            buckets[q] = [left]
+                            lower[q >> WORD] = lower.get(q >> WORD, 0) | 1 << (q & low)
+                            upper |= 1 << (q >> WORD)
+                if sooner and at < len(bucket):  # a pair of lower rank comes first; the rest of the bucket waits
+                    buckets[r] = bucket[at:]
+                    lower[word] = lower.get(word, 0) | 1 << (r & low)
+                    upper |= 1 << word
+                    break
+        return [[t for t in token[s:e] if t >= 0] for s, e in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of pre-tokens, each as four bytes, least first."""
+        split, names = [], []
+        for piece in pieces:
+            data = piece.encode()
             whole = self.tokens.get(data)
-            found = np.array(self.merged(data) if whole is None else [whole], "<u4").tobytes()
-            if len(text) <= SHORT:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[text] = found
-        return found
+            if whole is None:
+                split.append(data)
+                names.append(piece)
+            else:
+                self.known[piece] = whole.to_bytes(4, "little")
+        for piece, ids in zip(names, self.merged_all(split) if split else (), strict=True):
+            self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str, pattern: regex.Pattern) -> bytes:
-        return b"".join(map(self.piece, pattern.findall(text)))
+        pieces = pattern.findall(text)
+        fresh = set(pieces).difference(self.known)
+        if fresh:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+                fresh = set(pieces)
+            self.learn(list(fresh))
+        ids = b"".join(map(self.known.__getitem__, pieces))
+        for piece in fresh:
+            if len(piece) > SHORT:
+                del self.known[piece]
+        return ids
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

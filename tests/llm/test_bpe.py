@@ -58,6 +58,18 @@ def test_any_rank_file():
         for n in (1, 2, 5, 30, 120):
             piece = bytes(r.choice(b"abcd") for _ in range(n))
             assert coder.merged(piece) == plain(piece, coder.tokens)
+        many = [bytes(r.choice(b"abcd") for _ in range(r.randrange(12))) for _ in range(40)]
+        assert coder.merged_all(many) == [plain(x, coder.tokens) for x in many]
+
+
+def test_memory_that_runs_over(coder, library, monkeypatch):
+    """What a worker forgets, and what is too long to remember, is encoded again."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "SHORT", 3)
+    pattern, own = bpe.regex.compile(public_tokenizers.PATTERN), bpe.Coder(RANKS)
+    for text in ["one two three four five six", "one two", "", "seven eight nine ten one one", "x" * 40]:
+        assert np.frombuffer(own.encode(text, pattern), "<u4").tolist() == library.encode_ordinary(text)
+        assert all(len(p) <= 3 for p in own.known)
 
 
 def test_long_pretokens(coder, library):
