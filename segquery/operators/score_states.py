@@ -1,9 +1,11 @@
 """Scores of query vectors against segments, reduced where they are made.
 
 The queries go with each task as one matrix (size checked); Arrow batches of segments, sorted by item within their
-partition, meet it in matrix products, and only states leave the kernel: the best segments of a query in an item
-or in a batch, running log-sum-exp, counts, moments. States of any batches merge with an aggregate, so an item may lie in any
-number of tasks and a row for each query and segment exists nowhere.
+partition and put together to blocks, meet it in matrix products, some queries at a time, and only states leave the kernel: the
+best segments of a query in an item or in a block, running log-sum-exp, counts, moments. States of any blocks merge with an
+aggregate, so an item may lie in any number of tasks and a row for each query and segment exists nowhere. A block's rows do not
+depend on the number of queries, so the states of a (query, item) are as many as the blocks that hold the item, and what a kernel
+holds is bounded.
 
 A variant is a sum of weighted terms: inner products (a vector column of the segments, named with the query's column in
 ``sources``), numeric columns of the segments, and under "" a constant. Several variants share one pass and are numbered
@@ -25,7 +27,9 @@ from segquery.functions import exprs as X
 #: Largest query matrix that goes with a task; more queries use the join form.
 BLOCK_BYTES = 64 << 20
 #: Scores that a kernel holds at once.
-CELLS = 1 << 22
+CELLS = 1 << 20
+#: Segments and items of a block at most.
+BLOCK_ROWS, BLOCK_ITEMS = 1 << 15, 1 << 8
 #: Scores that differ by less than this share of their size are ties: a product's last bits depend on the batch.
 TIE = 1e-12
 #: Columns that stand beside the score of a segment.
@@ -73,6 +77,40 @@ class Batch:
         return [pa.array(self.ids[q]), *(self.rows.column(c).take(pick) for c in COLUMNS), pa.array(self.score[q, at])]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of all batches in blocks of ``BLOCK_ROWS`` and ``BLOCK_ITEMS`` at most, with the first place of each item."""
+    def cut(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        whole = pa.concat_batches(held)
+        item = whole.column("video_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+        for at in range(0, len(starts), BLOCK_ITEMS):
+            own = starts[at : at + BLOCK_ITEMS]
+            end = starts[at + BLOCK_ITEMS] if at + BLOCK_ITEMS < len(starts) else whole.num_rows
+            yield whole.slice(own[0], end - own[0]), own - own[0]
+
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            part = batch.slice(at, BLOCK_ROWS)
+            if n + part.num_rows > BLOCK_ROWS:
+                yield from cut(held)
+                held, n = [], 0
+            held.append(part)
+            n += part.num_rows
+    if n:
+        yield from cut(held)
+
+
+def _weighted(part: dict[str, np.ndarray], variant: Variant, bonus: np.ndarray | float, shape: tuple[int, int]) -> np.ndarray:
+    """The scores of one variant; a term of weight 1 alone is not copied."""
+    score = bonus + variant.get("", 0.0)
+    for t, w in variant.items():
+        if t and w:
+            x = part[t] if w == 1 else w * part[t]
+            score = x if np.isscalar(score) and score == 0 else score + x
+    return score if np.shape(score) == shape else score + np.zeros(shape)
+
+
 def kernel(queries: DataFrame, segments: DataFrame, reduce: Callable[[Batch], Iterator[list[pa.Array]]], fields: list[T.StructField], *, sources: dict[str, str] | None = None, variants: list[Variant] | None = None, same: tuple[str, float] | None = None, given: tuple[str, ...] = ()) -> DataFrame:
     """What ``reduce`` yields for each batch and variant, as rows of ``fields``; ``given`` are query columns that it reads."""
     sources, named = sources or _SOURCES, variants is not None
@@ -89,17 +127,17 @@ def kernel(queries: DataFrame, segments: DataFrame, reduce: Callable[[Batch], It
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(64, CELLS // max(len(ids), 1))
-        for whole in batches:
-            for at in range(0, whole.num_rows if len(ids) else 0, step):
-                b = whole.slice(at, step)
-                item = b.column("video_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-                part = {t: matrix[sources[t]] @ _matrix(b.column(t)).T for t in vectors} | {t: b.column(t).cast(pa.float64()).to_numpy(zero_copy_only=False)[None, :] for t in plain}
-                bonus = same[1] * (asked[same[0]][:, None] == b.column("video_id").to_numpy(zero_copy_only=False)[None, :]) if same else 0.0
+        for b, starts in _blocks(batches) if len(ids) else ():
+            x = {t: _matrix(b.column(t)).T for t in vectors}
+            beside = {t: b.column(t).cast(pa.float64()).to_numpy(zero_copy_only=False)[None, :] for t in plain}
+            step = max(1, CELLS // b.num_rows)
+            for lo in range(0, len(ids), step):
+                q = slice(lo, lo + step)
+                own = {c: v[q] for c, v in asked.items()}
+                part = {t: matrix[sources[t]][q] @ x[t] for t in vectors} | beside
+                bonus = same[1] * (own[same[0]][:, None] == b.column("video_id").to_numpy(zero_copy_only=False)[None, :]) if same else 0.0
                 for k, v in enumerate(variants):
-                    score = sum((w * part[t] for t, w in v.items() if t and w), bonus + v.get("", 0.0) + np.zeros((len(ids), b.num_rows)))
-                    for got in reduce(Batch(ids, b, score, starts, asked)):
+                    for got in reduce(Batch(ids[q], b, _weighted(part, v, bonus, (len(ids[q]), b.num_rows)), starts, own)):
                         if len(got[0]):
                             yield pa.RecordBatch.from_arrays([*got, *([pa.array(np.full(len(got[0]), k, np.int32))] * named)], names)
 
@@ -165,6 +203,23 @@ def item_lse(queries: DataFrame, segments: DataFrame, tau: float, **options: obj
     return kernel(queries, segments, reduce, [*_fields(queries, segments, "video_id"), *fields], **options)
 
 
+def own_softmax(queries: DataFrame, segments: DataFrame, own: str, flag: Column, tau: float) -> DataFrame:
+    """(query_id, top, total, flagged, n): as ``item_lse``, over the item that a query's column ``own`` names; ``flagged`` sums over the segments with ``flag`` alone, which are ``n``."""
+    def reduce(b: Batch) -> Iterator[list[pa.Array]]:
+        item, marked = b.rows.column("video_id"), b.rows.column("_flag").to_numpy(zero_copy_only=False) > 0
+        for lo, hi in zip(b.starts.tolist(), b.ends.tolist(), strict=True):
+            q = np.flatnonzero(b.given[own] == item[lo].as_py())
+            if len(q):
+                score, hit = b.score[q, lo:hi], marked[lo:hi]
+                top = score.max(1)
+                e = np.exp((score - top[:, None]) / tau)
+                yield [pa.array(b.ids[q]), pa.array(top), pa.array(e.sum(1)), pa.array(e[:, hit].sum(1)), pa.array(np.full(len(q), hit.sum(), np.int64))]
+
+    fields = [*_fields(queries, segments), *(T.StructField(c, T.DoubleType()) for c in ("top", "total", "flagged")), _COUNT]
+    given = segments.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("int"))
+    return kernel(queries, given, reduce, fields, variants=[{"emb": 1.0, "_flag": 0.0}], given=(own,)).drop("variant")
+
+
 def item_counts(queries: DataFrame, segments: DataFrame, least: float | str, **options: object) -> DataFrame:
     """(query_id, video_id, n): segments that score ``least`` or more; where it names a query's column, strictly more than that."""
     def reduce(b: Batch) -> Iterator[list[pa.Array]]:

@@ -9,6 +9,7 @@ fit beside a task, and all pairs beyond.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +31,24 @@ def pair_scores(queries: DataFrame, segments: DataFrame, mode: str = "block") ->
     return K.pair_terms(queries, segments)
 
 
+def _once(states: DataFrame) -> DataFrame:
+    """States on the executors' disks: ranks, aggregates and reports read them more than once, and the scores are made once."""
+    return states.persist(StorageLevel.DISK_ONLY)
+
+
 def item_pairs(queries: DataFrame, segments: DataFrame, k: int = 1, **options: object) -> DataFrame:
     """Pairs among which are the k best segments of each (query, item)."""
-    return K.item_best(queries, segments, k, **options) if K.fits(queries, options.get("sources")) else K.pair_terms(queries, segments, **options)
+    return _once(K.item_best(queries, segments, k, **options)) if K.fits(queries, options.get("sources")) else K.pair_terms(queries, segments, **options)
 
 
 def query_pairs(queries: DataFrame, segments: DataFrame, k: int, **options: object) -> DataFrame:
     """Pairs among which are the k best segments of each query."""
-    return K.query_best(queries, segments, k, **options) if K.fits(queries, options.get("sources")) else K.pair_terms(queries, segments, **options)
+    return _once(K.query_best(queries, segments, k, **options)) if K.fits(queries, options.get("sources")) else K.pair_terms(queries, segments, **options)
 
 
 def item_sums(queries: DataFrame, segments: DataFrame, tau: float, **options: object) -> DataFrame:
     """Log-sum-exp states of each (query, item) for ``lse``, or all pairs."""
-    return K.item_lse(queries, segments, tau, **options) if K.fits(queries, options.get("sources")) else K.pair_terms(queries, segments, **options)
+    return _once(K.item_lse(queries, segments, tau, **options)) if K.fits(queries, options.get("sources")) else K.pair_terms(queries, segments, **options)
 
 
 def counts(queries: DataFrame, segments: DataFrame, least: float | str, **options: object) -> DataFrame:
@@ -107,8 +113,11 @@ def biased(pairs: DataFrame, conf: DataFrame, beta: float) -> DataFrame:
 
 
 def with_bias(segments: DataFrame, conf: DataFrame) -> DataFrame:
-    """Segments with ``bias``, the logarithm of their confidence ``(seg_row, conf)``: a term of a variant, weight beta."""
-    return segments.join(conf.select("seg_row", F.log("conf").alias("bias")), "seg_row")
+    """Segments with ``bias``, the logarithm of their confidence ``(seg_row, conf)``: a term of a variant, weight beta.
+
+    The join deals an item's segments to all tasks, each of which would have states of every item; ranges of items give each task few.
+    """
+    return segments.join(conf.select("seg_row", F.log("conf").alias("bias")), "seg_row").repartitionByRange("video_id", "seg_row")
 
 
 def mean_pooled(segments: DataFrame) -> DataFrame:

@@ -388,3 +388,21 @@ def test_sql_functions_equal_operators(spark):
     spark.createDataFrame([("v", k, x[k].tolist()) for k in range(40)], "video_id string, step long, emb array<double>").createOrReplaceTempView("sql_series")
     got = spark.sql("select * from seg_medoids(table(select * from sql_series) partition by video_id order by (step), 5, 0)").collect()
     assert sorted(r.step for r in got) == sorted(L.kmedoids(x, 5, 0)[0].tolist())
+
+
+def test_kernel_states_do_not_grow_with_queries(spark, monkeypatch):
+    """States of a (query, item) are as many as blocks hold the item, not as many as matrices of ``CELLS`` scores."""
+    from segquery.operators import score_states as K
+
+    seg = spark.createDataFrame([(i, i // 300, float(i), i + 1.0, [float((i * 37 + j * 11) % 19) - 9 for j in range(4)]) for i in range(600)], "seg_row long, video_id long, ts double, te double, emb array<double>").coalesce(1)
+    q = spark.createDataFrame([(k, [float((k * 13 + j * 7) % 17) - 8 for j in range(4)]) for k in range(50)], "query_id long, q_emb array<double>")
+    monkeypatch.setattr(K, "CELLS", 50 * 8)
+    got = K.item_best(q, seg, 1)
+    assert got.count() == 50 * 2
+    want = K.pair_terms(q, seg).groupBy("query_id", "video_id").agg(F.max("score").alias("score"))
+    key = lambda d: sorted((r.query_id, r.video_id, round(r.score, 9)) for r in d.collect())
+    assert key(got) == key(want)
+    assert sum(r.n for r in K.item_lse(q, seg, 0.1).collect()) == 50 * 600
+    monkeypatch.setattr(K, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(K, "BLOCK_ITEMS", 1)
+    assert key(got.groupBy("query_id", "video_id").agg(F.max("score").alias("score"))) == key(want)
