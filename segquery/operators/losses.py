@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from segquery.functions import exprs as X
 
+from . import score_states as K
 from .numbering import hash_numbered, numbered
 
 
@@ -22,6 +23,17 @@ def softmax_loss(pairs: DataFrame, tau: float, group: str = "query_id", positive
     return per.where("pos > 0").select(group, (F.log("all") - F.log("pos")).alias("loss"))
 
 
+def own_item_loss(queries: DataFrame, segments: DataFrame, own: str, positive: Column, tau: float) -> DataFrame:
+    """``softmax_loss`` of each query over the segments of the item that its column ``own`` names, by states: (query_id, loss)."""
+    if not K.fits(queries):
+        pairs = queries.join(segments, F.col(own) == F.col("video_id")).select("query_id", X.dot("q_emb", "emb").alias("score"), positive.alias("is_positive"))
+        return softmax_loss(pairs, tau)
+    s = K.own_softmax(queries, segments, own, positive, tau)
+    top = s.groupBy("query_id").agg(F.max("top").alias("m"), F.sum("n").alias("n"), F.collect_list(F.struct("top", "total", "flagged")).alias("s"))  # as many as blocks of an item
+    total = lambda c: F.aggregate("s", F.lit(0.0), lambda t, x: t + x[c] * F.exp((x["top"] - F.col("m")) / tau))
+    return top.where("n > 0").select("query_id", (F.log(total("total")) - F.log(total("flagged"))).alias("loss"))
+
+
 def soft_targets(pairs: DataFrame, tau: float, group: str = "query_id") -> DataFrame:
     """``pairs`` with ``target``: softmax of score / tau within the group."""
     w = Window.partitionBy(group)

@@ -572,8 +572,7 @@ def infonce_loss(spark, d):
 @query(VEC + "select query_id, round(ln(sum(exp(score / 0.1))) - ln(sum(case when seg_row % 5 = 1 then exp(score / 0.1) else 0 end)), 6) as loss from pr where video_id = positive group by 1 having sum((seg_row % 5 = 1)::int) > 0")
 def event_loss(spark, d):
     """Within a query's own item."""
-    s = D.vec_queries(spark, d).join(D.gallery(spark, d), F.col("positive") == F.col("video_id")).select("query_id", "seg_row", X.dot("q_emb", "emb").alias("score"))
-    return rounded(L.softmax_loss(s.withColumn("is_positive", F.col("seg_row") % 5 == 1), 0.1))
+    return rounded(L.own_item_loss(D.vec_queries(spark, d), D.gallery(spark, d), "positive", F.col("seg_row") % 5 == 1, 0.1))
 
 
 @query(VEC + "select query_id, video_id, round(exp(score / 0.1) / sum(exp(score / 0.1)) over (partition by query_id), 6) as target from ms")

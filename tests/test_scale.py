@@ -406,3 +406,16 @@ def test_kernel_states_do_not_grow_with_queries(spark, monkeypatch):
     monkeypatch.setattr(K, "BLOCK_ROWS", 64)
     monkeypatch.setattr(K, "BLOCK_ITEMS", 1)
     assert key(got.groupBy("query_id", "video_id").agg(F.max("score").alias("score"))) == key(want)
+
+
+def test_own_item_loss_by_states(spark, monkeypatch):
+    """The kernel's states give the loss of all pairs; queries without a positive have none."""
+    from segquery.operators import losses, score_states as K
+
+    seg = spark.createDataFrame([(i, i % 3, float(i), i + 1.0, [((i * 37 + j * 11) % 19) / 10 - 0.9 for j in range(4)]) for i in range(90)], "seg_row long, video_id long, ts double, te double, emb array<double>")
+    q = spark.createDataFrame([(k, k % 4, [((k * 13 + j * 7) % 17) / 10 - 0.8 for j in range(4)]) for k in range(20)], "query_id long, positive long, q_emb array<double>")
+    flag = (F.col("seg_row") % 5 == 1) & (F.col("video_id") != 2)
+    got = {r.query_id: round(r.loss, 9) for r in losses.own_item_loss(q, seg, "positive", flag, 0.1).collect()}
+    monkeypatch.setattr(K, "BLOCK_BYTES", 0)
+    want = {r.query_id: round(r.loss, 9) for r in losses.own_item_loss(q, seg, "positive", flag, 0.1).collect()}
+    assert got == want and len(got) == 10
