@@ -419,3 +419,16 @@ def test_own_item_loss_by_states(spark, monkeypatch):
     monkeypatch.setattr(K, "BLOCK_BYTES", 0)
     want = {r.query_id: round(r.loss, 9) for r in losses.own_item_loss(q, seg, "positive", flag, 0.1).collect()}
     assert got == want and len(got) == 10
+
+
+def test_join_form_meets_in_blocks(spark, monkeypatch):
+    """The join form gives all pairs from a few rows of blocks: the cross join itself has no row for each pair."""
+    from segquery.operators import score_states as K, vectors as V
+
+    monkeypatch.setattr(K, "PAIR_ROWS", 16)
+    seg = spark.createDataFrame([(i, i % 3, float(i), i + 1.0, [float((i * 7 + j) % 5) for j in range(3)]) for i in range(70)], "seg_row long, video_id long, ts double, te double, emb array<float>")
+    q = spark.createDataFrame([(k, [float((k * 3 + j) % 4) for j in range(3)]) for k in range(40)], "query_id long, q_emb array<float>")
+    got = V.pair_scores(q, seg, "join")
+    assert "zip_with" not in got._jdf.queryExecution().analyzed().toString()
+    key = lambda d: sorted((r.query_id, r.seg_row, r.video_id, r.ts, r.te, r.score) for r in d.collect())
+    assert key(got) == key(K.pair_terms(q, seg)) and got.count() == 70 * 40
