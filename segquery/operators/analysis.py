@@ -74,12 +74,26 @@ def flip_profile(rows: DataFrame, flags: list[str], values: list[str]) -> DataFr
     return tagged.groupBy("grp").agg(*aggs)
 
 
+#: One in so many rows gives the bound of a sample; groups whose bounds go with all tasks at most.
+BOUND_SHARE, BOUND_GROUPS = 64, 10_000
+
+
 def sample(rows: DataFrame, key: str, n: int, seed: object = 0, *by: str) -> DataFrame:
-    """n rows (a group) without replacement, by hash order."""
+    """n rows (a group) without replacement, by hash order.
+
+    The n-th place among a share of a group's rows is no lower than the n-th of all, so only rows up to it are ordered: about
+    n times ``BOUND_SHARE`` of a group. A group that has no n rows in the share is ordered whole.
+    """
+    u = X.hash_uniform(seed, key)
     if not by:
-        return rows.orderBy(X.hash_uniform(seed, key), key).limit(n)
-    w = Window.partitionBy(*by).orderBy(X.hash_uniform(seed, key), key)
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+        return rows.orderBy(u, key).limit(n)
+    w = Window.partitionBy(*by).orderBy("_u", key)
+    first = lambda d: d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    share = rows.where(F.pmod(F.xxhash64(key), F.lit(BOUND_SHARE)) == 0).withColumn("_u", u)
+    bounds = first(share).where(F.col("_r") == n).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_u").alias("_most")).limit(BOUND_GROUPS)  # the others are ordered whole
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    near = rows.withColumn("_u", u).join(F.broadcast(bounds), same, "left").where(F.col("_most").isNull() | (F.col("_u") <= F.col("_most")))
+    return first(near).select(*rows.columns)
 
 
 def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -432,3 +432,15 @@ def test_join_form_meets_in_blocks(spark, monkeypatch):
     assert "zip_with" not in got._jdf.queryExecution().analyzed().toString()
     key = lambda d: sorted((r.query_id, r.seg_row, r.video_id, r.ts, r.te, r.score) for r in d.collect())
     assert key(got) == key(K.pair_terms(q, seg)) and got.count() == 70 * 40
+
+
+def test_sample_orders_few_rows(spark, monkeypatch):
+    """Only rows up to a proven bound reach the window; groups of few rows and without a value are whole."""
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") < 30, 1).when(F.col("id") < 60, None).otherwise(0).alias("g"))
+    from segquery.functions import exprs as X
+
+    w = Window.partitionBy("g").orderBy(X.hash_uniform("s", "key"), "key")
+    want = {(r.g, r.key) for r in rows.withColumn("r", F.row_number().over(w)).where("r <= 5").collect()}
+    got = A.sample(rows, "key", 5, "s", "g")
+    assert {(r.g, r.key) for r in got.collect()} == want and got.columns == rows.columns
+    assert "BroadcastNestedLoopJoin" in got._jdf.queryExecution().executedPlan().toString() or "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
