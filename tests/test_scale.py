@@ -444,3 +444,23 @@ def test_sample_orders_few_rows(spark, monkeypatch):
     got = A.sample(rows, "key", 5, "s", "g")
     assert {(r.g, r.key) for r in got.collect()} == want and got.columns == rows.columns
     assert "BroadcastNestedLoopJoin" in got._jdf.queryExecution().executedPlan().toString() or "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kmedoids_without_a_matrix(spark):
+    """Memory is that of the vectors, not of their square; the medoids are those of the whole matrix."""
+    import tracemalloc
+
+    from segquery.operators import localize as L
+
+    x = np.random.default_rng(5).normal(size=(4000, 8))
+    tracemalloc.start()
+    med, _, ok = L.kmedoids(x, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * x.nbytes and ok
+    z = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.maximum(0, 1 - z @ z.T)
+    near = d[:, med].argmin(1)
+    for c, m in enumerate(med):
+        own = np.nonzero(near == c)[0]
+        assert own[d[np.ix_(own, own)].sum(1).argmin()] == m
