@@ -464,3 +464,16 @@ def test_kmedoids_without_a_matrix(spark):
     for c, m in enumerate(med):
         own = np.nonzero(near == c)[0]
         assert own[d[np.ix_(own, own)].sum(1).argmin()] == m
+
+
+def test_merge_runs_in_streams(spark):
+    """Islands are merged in sorted partitions: no group of pandas for each."""
+    from segquery.operators import localize as L
+
+    rows = [(v, 10 * v + k, 10 * k * (v % 2) + k, 10 * k * (v % 2) + k + 9, (k * 7 % 5) / 5 if k else None) for v in range(12) for k in range(6)]
+    segs = spark.createDataFrame(rows, "video_id long, pred_id long, ts long, te long, conf double")
+    got = L.merge_overlaps(segs.na.fill(0.1), 0.5)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().analyzed().toString()
+    want = [tuple(r.values()) for v in range(12) for r in L.merged_rows([{"video_id": a, "pred_id": b, "ts": float(s), "te": float(e), "conf": 0.1 if c is None else c, "merged": 1} for a, b, s, e, c in rows if a == v], 0.5)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert L.merge_overlaps(segs, 0.5).count() == len(want)
