@@ -111,9 +111,8 @@ class _Asked:
 def _wanted(asked: _Asked, blocks: DataFrame, k: int, floor: np.ndarray | None) -> DataFrame:
     """(q, cell, block, bound, n): without a floor the blocks of a batch that a query would start with, else those whose bound reaches it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows or not len(asked.ids):
-                continue
+        step = max(16, 4 * K.CELLS // max(len(asked.ids), 1))
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows if len(asked.ids) else 0, step)):
             bound, n = asked.bounds(K._matrix(b.column(2)), b.column(3).to_numpy()), b.column(4).to_numpy()
             if floor is None:
                 order = np.argsort(-bound, axis=1, kind="stable")
@@ -160,6 +159,63 @@ def _scored(asked: _Asked, blocks: DataFrame, wanted: DataFrame, k: int, id_kind
     return rows.mapInArrow(run, f"q int, query_id {id_kind}, " + ", ".join(f"{c} {kinds[c]}" for c in K.COLUMNS) + ", score double")
 
 
+def _best(asked: _Asked, blocks: DataFrame, k: int, floor: np.ndarray, id_kind: str) -> DataFrame:
+    """Pairs among which are the k best segments of each query: a task's blocks are scored against the queries whose floor their bound reaches.
+
+    A task keeps k rows of a query, and raises its floor by them; no row for a query and a block leaves it.
+    """
+    kinds = {c: t[6:-1] for c, t in blocks.select(*K.COLUMNS).dtypes}
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(16, K.CELLS // max(len(asked.ids), 1))
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows if len(asked.ids) else 0, step)):
+            hit = (asked.bounds(K._matrix(b.column(1)), b.column(2).to_numpy()) >= floor[:, None]).any(0)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit))], ["cell"])
+
+    cells = [r.cell for r in blocks.select("cell", "centre", "radius").mapInArrow(needed, "cell int").distinct().collect()]  # as many as cells
+    opened = blocks.where(F.col("cell").isin(cells)) if cells else blocks.limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, held, n_held = floor.copy(), [], 0
+        most = 2 * k * len(asked.ids) + (1 << 16)
+
+        def merged() -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+            q, score = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+            rows = pa.concat_batches([h[2] for h in held])
+            order = np.lexsort((rows.column(0).to_numpy(zero_copy_only=False), -score, q))
+            q, score = q[order], score[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last, stay = place == k - 1, place < k
+            least[q[last]] = np.maximum(least[q[last]], score[last] - SLACK * (1 + np.abs(score[last])))
+            return q[stay], score[stay], rows.take(pa.array(order[stay]))
+
+        for whole in batches:
+            for at in range(whole.num_rows):
+                b = whole.slice(at, 1)
+                qs = np.flatnonzero(asked.bounds(K._matrix(b.column(0)), b.column(1).to_numpy())[:, 0] >= least)
+                x = np.frombuffer(b.column(2)[0].as_buffer(), np.float64).reshape(-1, asked.matrix.shape[1])
+                own = pa.RecordBatch.from_arrays([c.flatten() for c in b.columns[3:]], list(K.COLUMNS))
+                step = max(1, K.CELLS // len(x))
+                for lo in range(0, len(qs), step):
+                    part = qs[lo : lo + step]
+                    score = asked.matrix[part] @ x.T
+                    i, j = np.nonzero(score >= least[part][:, None])
+                    if len(i):
+                        held.append((part[i], score[i, j], own.take(pa.array(j))))
+                        n_held += len(i)
+                    if n_held > most:
+                        held = [merged()]
+                        n_held = len(held[0][0])
+        if held:
+            q, score, rows = merged()
+            for lo in range(0, len(q), 1 << 14):
+                s = slice(lo, lo + (1 << 14))
+                yield pa.RecordBatch.from_arrays([pa.array(q[s].astype(np.int32)), pa.array(asked.ids[q[s]]), *rows.slice(lo, 1 << 14).columns, pa.array(score[s])], ["q", "query_id", *K.COLUMNS, "score"])
+
+    found = opened.select("centre", "radius", "vectors", *K.COLUMNS)
+    return found.mapInArrow(run, f"q int, query_id {id_kind}, " + ", ".join(f"{c} {kinds[c]}" for c in K.COLUMNS) + ", score double")
+
+
 def _search(queries: DataFrame, blocks: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     asked, kind = _Asked(queries), dict(queries.dtypes)["query_id"]
     ahead = Window.partitionBy("q").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -169,8 +225,9 @@ def _search(queries: DataFrame, blocks: DataFrame, k: int) -> tuple[DataFrame, D
     floor = np.full(len(asked.ids), -np.inf)
     for r in least:
         floor[r.q] = r.score
-    wanted = _wanted(asked, blocks, k, floor - SLACK * (1 + np.abs(np.where(np.isfinite(floor), floor, 0.0))))
-    found = _scored(asked, blocks, wanted, k, kind).withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).drop("q")
+    floor = floor - SLACK * (1 + np.abs(np.where(np.isfinite(floor), floor, 0.0)))
+    wanted = _wanted(asked, blocks, k, floor)  # read by the report alone
+    found = _best(asked, blocks, k, floor, kind).withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).drop("q")
     return found, wanted
 
 

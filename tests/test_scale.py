@@ -477,3 +477,18 @@ def test_merge_runs_in_streams(spark):
     want = [tuple(r.values()) for v in range(12) for r in L.merged_rows([{"video_id": a, "pred_id": b, "ts": float(s), "te": float(e), "conf": 0.1 if c is None else c, "merged": 1} for a, b, s, e, c in rows if a == v], 0.5)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert L.merge_overlaps(segs, 0.5).count() == len(want)
+
+
+def test_block_search_makes_no_row_for_query_and_block(spark):
+    """Tasks keep k rows of a query; only the first blocks, some of each query, are dealt as rows."""
+    seg = spark.createDataFrame([(i, i % 3, float(i), i + 1.0, [float((i * 37 + j * 11) % 23) - 11 for j in range(6)]) for i in range(400)], "seg_row long, video_id long, ts double, te double, emb array<double>")
+    q = spark.createDataFrame([(k, [float((k * 13 + j * 7) % 17) - 8 for j in range(6)]) for k in range(30)], "query_id long, q_emb array<double>")
+    blocks = B.vector_blocks(seg, 8).coalesce(2).persist()
+    found = B.block_topk(q, blocks, 5)
+    assert "collect_list" not in found._jdf.queryExecution().analyzed().toString()
+    floor = np.full(30, -np.inf)
+    assert B._best(B._Asked(q), blocks, 5, floor, "bigint").count() <= 30 * 5 * 2
+    from segquery.operators import vectors as V
+
+    key = lambda d: sorted((r.query_id, r.place, r.seg_row, round(r.score, 9)) for r in d.collect())
+    assert key(found) == key(V.event_topk(V.pair_scores(q, seg), 5))
