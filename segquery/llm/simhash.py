@@ -208,9 +208,9 @@ def _similar(docs: DataFrame, words: int, min_similarity: float, recall: float)
     named = every.join(reps, ["rep", "copy"], "left_semi").groupBy("rep").agg(F.min_by(F.struct("s", "tag"), "copy").alias("of"))
     sketches = stored(named.select("rep", "of.s", "of.tag"))
 
-    # the table's number stands above the bits, so one pass searches all tables
+    # the table's number stands above the bits (beyond 32 of them from some 2^20 texts on), so one pass searches all tables
     def flat(t: Column, v: Column, comp: Column) -> list[Column]:
-        return [F.col("rep"), F.col("tag"), comp.alias("c"), t.alias("t"), (v + t * F.lit(1 << bits)).alias("v")]
+        return [F.col("rep"), F.col("tag"), comp.alias("c"), t.alias("t"), (v + t.cast("long") * F.lit(1 << bits)).alias("v")]
 
     # what is left of chance meetings: a loose bound (four sigma) on all sketches together, before sets are compared
     far = p * bits * tables + 4 * math.sqrt(bits * tables * p * (1 - p)) * 1.5

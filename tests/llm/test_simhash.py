@@ -118,6 +118,21 @@ def test_similar_whatever_the_repeats(spark):
     assert all(got[i] == i // 2 * 2 for i in range(len(rows)))
 
 
+def test_similar_with_the_tables_of_a_large_input(spark, monkeypatch):
+    """The sketches and tables that 3,000,000 texts get number their values beyond 32 bits."""
+    sized = simhash.tables_for
+    bits, tables = sized(3_000_000, 0.8)
+    assert (tables - 1) << bits > 1 << 31
+    monkeypatch.setattr(simhash, "tables_for", lambda n, *args: sized(3_000_000, *args))
+    r = random.Random(5)
+    rows = []
+    for g in range(30):
+        words = [f"w{r.randrange(10**6)}" for _ in range(100)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words[:-1], "last"]))]
+    got = {x.doc_id: x.component_id for x in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_similar_in_a_crowd(spark):
     """In a large family with shared boilerplate all near copies are found, as by brute force."""
     r = random.Random(4)
