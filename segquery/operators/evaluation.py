@@ -10,7 +10,7 @@ from pyspark.sql.group import GroupedData
 
 from segquery.functions import exprs as X
 
-from .intervals import best_match, best_tiou, pairs
+from .intervals import best_match, best_tiou, overlaps, pairs
 from .localize import ap_by, assigned, average_precision, competing, hungarian, prf_at, served
 from .partitions import uniform
 
@@ -94,6 +94,18 @@ def _of_methods(gt: DataFrame, methods: dict[str, DataFrame]) -> tuple[DataFrame
     return events, every.join(events.select("video_id").distinct(), "video_id", "left_semi")
 
 
+def tagged(methods: dict[str, DataFrame]) -> DataFrame:
+    """The predictions of all methods, ``method`` being a method's place: (video_id, method, pred_id, ts, te, conf)."""
+    return reduce(DataFrame.unionByName, [p.select("video_id", F.lit(k).alias("method"), "pred_id", "ts", "te", "conf") for k, p in enumerate(methods.values())])
+
+
+def tagged_pairs(gt: DataFrame, preds: DataFrame, *more: str) -> DataFrame:
+    """(video_id, method, gt_id, g0, g1, p0, p1, tiou, more): ``pairs`` with the predictions of several methods at once. An event enters its bins once, not once for each method."""
+    a = gt.select("video_id", "gt_id", F.col("ts").alias("g0"), F.col("te").alias("g1"))
+    b = preds.select("video_id", "method", F.col("ts").alias("p0"), F.col("te").alias("p1"), *more)
+    return overlaps(a, b, ("g0", "g1"), ("p0", "p1")).withColumn("tiou", X.tiou_union("g0", "g1", "p0", "p1"))
+
+
 def _named(df: DataFrame, kind: str) -> DataFrame:
     """``method#item`` taken apart again."""
     rest = F.expr("substring(video_id, instr(video_id, '#') + 1)").cast(kind)

@@ -4,32 +4,46 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import retrieval as R
-from .evaluation import _named, _of_methods
-from .intervals import pairs
+from .evaluation import tagged, tagged_pairs
+from .intervals import split_evenly
 from .partitions import uniform
 from .stats import poisson_bootstrap
 
 
 def method_coverage(gt: DataFrame, methods: dict[str, DataFrame], thresholds: tuple[float, ...]) -> DataFrame:
     """(method, threshold, n_gt, per_item, cover): share of events with a segment of tIoU >= threshold, in percent, and segments an item with events."""
-    events, preds = _of_methods(gt, methods)
-    best = events.select("video_id", "gt_id").join(pairs(events, preds).groupBy("video_id", "gt_id").agg(F.max("tiou").alias("best")), ["video_id", "gt_id"], "left").na.fill(0.0, ["best"])
-    each = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("t"), (F.col("best") >= t).alias("hit")) for t in thresholds]))
-    kind = gt.schema["video_id"].dataType.simpleString()
-    per = _named(best, kind).select("method", each.alias("x")).groupBy("method", F.col("x.t").alias("threshold")).agg(F.count("*").alias("n_gt"), R.pct(F.col("x.hit")).alias("cover"))
-    sizes = _named(events.select("video_id").distinct(), kind).groupBy("method").agg(F.count("*").alias("_items"))
-    n = _named(preds.select("video_id"), kind).groupBy("method").agg(F.count("*").alias("_n"))
-    return per.join(sizes, "method").join(n, "method", "left").select("method", "threshold", "n_gt", (F.coalesce("_n", F.lit(0)) / F.col("_items")).alias("per_item"), "cover")
+    return tagged_coverage(gt, tagged(methods), list(methods), thresholds)
 
 
-def top_of(props: DataFrame, ks: tuple[int, ...], name: str = "top") -> dict[str, DataFrame]:
-    """Methods ``<name>_<k>``: an item's k most confident proposals."""
-    ranked = props.withColumn("_r", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("conf"), "pred_id")))
-    return {f"{name}_{k}": ranked.where(F.col("_r") <= k).drop("_r") for k in ks}
+def tagged_coverage(gt: DataFrame, preds: DataFrame, names: list[str], thresholds: tuple[float, ...]) -> DataFrame:
+    """``method_coverage`` of segments (video_id, method, ts, te), ``method`` being the place of its name.
+
+    Events meet the segments of all methods at once and have one row with their best tIoU by each method, so neither
+    they nor their items are repeated for each method. Both relations are read several times and made once.
+    """
+    gt, preds = (d.select(*c).persist(StorageLevel.DISK_ONLY) for d, c in ((gt, ("video_id", "gt_id", "ts", "te")), (preds, ("video_id", "method", "ts", "te"))))
+    best = tagged_pairs(gt, preds).groupBy("video_id", "gt_id").agg(*[F.max(F.when(F.col("method") == k, F.col("tiou"))).alias(f"_b{k}") for k in range(len(names))])
+    known = gt.select("video_id", "gt_id").join(best, ["video_id", "gt_id"], "left")
+    hit = lambda k, t: F.coalesce(F.col(f"_b{k}"), F.lit(0.0)) >= t
+    cells = [F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t"), R.pct(hit(k, t)).alias("cover")) for k in range(len(names)) for t in dict.fromkeys(thresholds)]
+    per = known.agg(F.count("*").alias("n_gt"), F.array(*cells).alias("x")).where("n_gt > 0").select("n_gt", F.explode("x").alias("x"))
+    items = gt.select("video_id").distinct()
+    n = preds.groupBy("video_id", "method").agg(F.count("*").alias("_n")).join(items, "video_id", "left_semi").groupBy("method").agg(F.sum("_n").alias("_n"))
+    out = per.crossJoin(items.agg(F.count("*").alias("_items"))).join(n, F.col("x.k") == F.col("method"), "left")  # one row of items
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("x.k") + 1)
+    return out.select(name.alias("method"), F.col("x.t").alias("threshold"), "n_gt", (F.coalesce("_n", F.lit(0)) / F.col("_items")).alias("per_item"), F.col("x.cover").alias("cover"))
+
+
+def cut_coverage(gt: DataFrame, props: DataFrame, thetas: tuple[float, ...], thresholds: tuple[float, ...], name: str = "theta") -> DataFrame:
+    """``method_coverage`` of the methods ``<name>_<theta>``: proposals of a confidence >= theta; the proposals are made once for all of them."""
+    at = F.array(*[F.when(F.col("conf") >= t, F.lit(k)) for k, t in enumerate(thetas)])
+    cut = props.select("video_id", "ts", "te", F.explode(F.filter(at, F.isnotnull)).alias("method"))
+    return tagged_coverage(gt, cut, [f"{name}_{t}" for t in thetas], thresholds)
 
 
 def uniform_of(videos: DataFrame, ks: tuple[int, ...], name: str = "uniform") -> dict[str, DataFrame]:
@@ -39,8 +53,13 @@ def uniform_of(videos: DataFrame, ks: tuple[int, ...], name: str = "uniform") ->
 
 def budget_curve(gt: DataFrame, props: DataFrame, videos: DataFrame, ks: tuple[int, ...], threshold: float = 0.5) -> DataFrame:
     """(kind, k, per_item, cover): coverage by the k most confident proposals and by k equal segments, for each budget."""
-    both = {n: d.withColumn("pred_id", F.col("pred_id").cast("string")) for n, d in (top_of(props, ks) | uniform_of(videos, ks)).items()}
-    rows = method_coverage(gt, both, (threshold,))
+    w = Window.partitionBy("video_id").orderBy(F.desc("conf"), "pred_id")
+    best = props.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(ks))
+    within = F.filter(F.array(*[F.when(F.col("_r") <= k, F.lit(i)) for i, k in enumerate(ks)]), F.isnotnull)
+    top = best.select("video_id", F.col("ts").cast("double").alias("ts"), F.col("te").cast("double").alias("te"), F.explode(within).alias("method"))
+    whole = videos.select("video_id", F.lit(0.0).alias("ts"), F.col("dur").cast("double").alias("te"), F.posexplode(F.array(*map(F.lit, ks))).alias("_i", "_n")).where("_n >= 1")
+    equal = split_evenly(whole, F.col("_n")).select("video_id", "ts", "te", (F.col("_i") + len(ks)).alias("method"))
+    rows = tagged_coverage(gt, top.unionByName(equal), [f"{kind}_{k}" for kind in ("top", "uniform") for k in ks], (threshold,))
     return rows.select(F.substring_index("method", "_", 1).alias("kind"), F.substring_index("method", "_", -1).cast("int").alias("k"), "per_item", "cover")
 
 

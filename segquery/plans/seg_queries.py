@@ -726,7 +726,7 @@ cv as (select 'theta_' || theta as name, 100 * avg((best >= 0.3)::int::double) a
 def pick_fill(spark, d):
     """The cheapest of several cuts whose coverage is within five points of the best."""
     _, g, p, _ = parts(spark, d)
-    rows = M.method_coverage(g, {f"theta_{t}": p.where(F.col("conf") >= t) for t in (0.1, 0.3, 0.5, 0.7, 0.9)}, (0.3,))
+    rows = M.cut_coverage(g, p, (0.1, 0.3, 0.5, 0.7, 0.9), (0.3,))
     return rounded(S.pick_fill(rows.select(F.col("method").alias("name"), F.col("cover").alias("r1"), F.col("per_item").alias("vectors")), 5.0))
 
 

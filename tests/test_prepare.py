@@ -165,3 +165,15 @@ def test_two_column_report(spark, tmp_path):
     told = spark.createDataFrame([("e", 2.5, 0.5), ("f", 3.0, -0.1)], "experiment string, diff double, ci_low double")
     assert {r.gate: r.open for r in M.gates(told, {"A": ("e", 2.0), "B": ("f", 2.0), "C": ("absent", 0.0)}).collect()} == {"A": True, "B": False, "C": False}
     assert R.rank_metrics(ranks, "gallery").count() == 2
+
+
+def test_coverage_meets_events_once(spark):
+    """Events are not repeated for each method: no key is made of a method's name, and any name will do."""
+    gt = spark.createDataFrame([(1, 0, 0.0, 4.0), (1, 1, 4.0, 8.0), (1, 1, 4.0, 8.0), (2, 2, 0.0, 8.0)], "video_id long, gt_id long, ts double, te double")
+    props = spark.createDataFrame([(1, 0, 0.0, 4.0, 0.9), (1, 1, 4.0, 8.0, 0.2), (2, 2, 0.0, 1.0, 0.5), (3, 3, 0.0, 1.0, 0.9), (1, 4, 0.0, 8.0, None)], "video_id long, pred_id long, ts double, te double, conf double")
+    methods = {"a#b": props.where("conf >= 0.2"), "none": props.limit(0), "late": props.where("conf >= 0.5")}
+    got = {(r.method, r.threshold): (r.n_gt, r.per_item, r.cover) for r in M.method_coverage(gt, methods, (0.1, 0.9)).collect()}
+    assert got == {("a#b", 0.1): (4, 1.5, 100.0), ("a#b", 0.9): (4, 1.5, 75.0), ("none", 0.1): (4, 0.0, 0.0), ("none", 0.9): (4, 0.0, 0.0), ("late", 0.1): (4, 1.0, 50.0), ("late", 0.9): (4, 1.0, 25.0)}
+    cut = {(r.method, r.threshold): (r.n_gt, r.per_item, r.cover) for r in M.cut_coverage(gt, props, (0.2, 0.5), (0.1, 0.9)).collect()}
+    assert cut == {(n, t): got[m, t] for n, m in (("theta_0.2", "a#b"), ("theta_0.5", "late")) for t in (0.1, 0.9)}
+    assert M.method_coverage(gt.limit(0), methods, (0.1,)).count() == 0
