@@ -407,3 +407,13 @@ def test_union_of_scores(spark):
     b = spark.createDataFrame([(0, "A", 0.4), (0, "B", 0.4), (0, "C", 0.2)], "query_id long, video_id string, score double")
     got = {r.video_id: (round(r.score, 6), r.from_main) for r in V.score_union(a, b, 0.1).collect()}
     assert got == {"A": (0.5, True), "B": (0.5, False), "C": (0.3, False)}
+
+
+def test_average_precision_sorts_no_group_by_its_key(spark, capsys):
+    """Predictions meet the cuts of their group in shares; joined by the group alone, all of them would be sorted in one task."""
+    flags = spark.createDataFrame([("x", i, i / 10, i % 2) for i in range(10)], "split string, pred_id long, conf double, tp long")
+    got = L.ap_by(flags, spark.createDataFrame([("x", 5), ("z", 1)], "split string, n_gt long"), "split")
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "percentile_approx" in plan and "_s#" in next(x for x in reversed(plan.splitlines()) if "Join [split" in x)
+    assert {r.split: r.ap for r in got.collect()} == {"x": pytest.approx((1 + 2 / 3 + 3 / 5 + 4 / 7 + 5 / 9) / 5), "z": 0.0}
