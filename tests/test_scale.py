@@ -434,6 +434,22 @@ def test_join_form_meets_in_blocks(spark, monkeypatch):
     assert key(got) == key(K.pair_terms(q, seg)) and got.count() == 70 * 40
 
 
+def test_all_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """Segments in one partition: the pairs are made in tasks of a bounded number of them, segment by segment."""
+    from segquery.operators import score_states as K, vectors as V
+
+    monkeypatch.setattr(K, "TASK_PAIRS", 300, raising=False)
+    seg = spark.createDataFrame([(i, i % 3, float(i), i + 1.0, [float((i * 7 + j) % 5) for j in range(3)]) for i in range(200)], "seg_row long, video_id long, ts double, te double, emb array<float>").coalesce(1)
+    q = spark.createDataFrame([(k, [float((k * 3 + j) % 4) for j in range(3)]) for k in range(30)], "query_id long, q_emb array<float>")
+    got = V.pair_scores(q, seg)
+    key = lambda d: sorted((r.query_id, r.seg_row, r.video_id, r.ts, r.te, r.score) for r in d.collect())
+    assert key(got) == key(K.pair_terms(q, seg)) and got.count() == 200 * 30
+    tasks = [t for t in got.select("seg_row").rdd.map(lambda r: r.seg_row).glom().collect() if t]
+    assert len(tasks) >= 15 and max(map(len, tasks)) <= 2 * 300
+    assert all(len(list(itertools.groupby(t))) == len(set(t)) for t in tasks)
+    assert V.pair_scores(q.limit(0), seg).count() == 0 == V.pair_scores(q, seg.limit(0)).count()
+
+
 def test_sample_orders_few_rows(spark, monkeypatch):
     """Only rows up to a proven bound reach the window; groups of few rows and without a value are whole."""
     rows = spark.range(20_000).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") < 30, 1).when(F.col("id") < 60, None).otherwise(0).alias("g"))
