@@ -1,6 +1,9 @@
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from segquery.llm import decontaminate, pii, quality
-from segquery.llm.common import shared_dir, stored
+from segquery.llm.common import BATCH_BYTES, shared_dir, stored
 
 
 def test_stages(spark, sf):
@@ -64,3 +67,17 @@ def test_odd_rows(odd, empty, spark, sf):
         for _, stage in P.STAGES:
             at = stored(stage(spark, at, sf))
         assert (at.count() > 0) == (rows is odd)
+
+
+def test_stored_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf, None)
+    wide = spark.range(0, 300, 1, 1).select(F.repeat(F.lpad(F.col("id").cast("string"), 10, "0"), 10_000).alias("text"))
+    got = stored(wide.mapInArrow(sizes, "n long, size long")).collect()
+    assert sum(r.n for r in got) == 300
+    assert max(r.size for r in got) <= BATCH_BYTES + 200_000
+    assert spark.conf.get(conf, None) == before

@@ -4,7 +4,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from segquery.llm import graph, simhash
+from segquery.llm import common, graph, simhash
 
 
 def fp_brute(text, size=3):
@@ -83,6 +83,24 @@ def jaccard(a, b, size=5):
     return len(x & y) / len(x | y)
 
 
+def test_components_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    edges = spark.createDataFrame([(k, k + 1) for k in range(2000) if k % 50], "a long, b long")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.root for r in graph.components(edges).collect()}
+        files = [len(list(t.glob("part-*"))) for t in tmp_path.glob("segquery/*")]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got.keys() == {k for k in range(1, 2001)} and len(files) > 3
+    assert all((got[k] == got[k + 1]) == (k % 50 > 0) for k in range(1, 2000))
+    assert sorted(files)[-2] <= 2  # all but the edges as they come
+
+
 def test_similar_components(spark):
     """Near copies of similarity 0.8 and more are found, others are left alone."""
     r = random.Random(2)
