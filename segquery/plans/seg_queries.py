@@ -592,7 +592,7 @@ def split_average_precision(spark, d):
 
 @query()
 def merge_overlaps(spark, d):
-    return L.merge_overlaps(parts(spark, d)[2].where("conf >= 0.5"), 0.5)
+    return L.merge_overlaps(parts(spark, d)[2], 0.5)
 
 
 @query()

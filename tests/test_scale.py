@@ -508,3 +508,16 @@ def test_block_search_makes_no_row_for_query_and_block(spark):
 
     key = lambda d: sorted((r.query_id, r.place, r.seg_row, round(r.score, 9)) for r in d.collect())
     assert key(found) == key(V.event_topk(V.pair_scores(q, seg), 5))
+
+
+def test_merge_overlaps_takes_every_prediction(spark):
+    """Each prediction is in one merged segment, whatever its confidence."""
+    from segquery.plans import registry, seg_queries
+
+    assert seg_queries
+    d = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{d}/events.parquet").where("event_type not in ('purchase', 'signup')")
+    rows = registry.QUERIES["merge_overlaps"](spark, d).collect()
+    assert sum(r.merged for r in rows) == want.count()
+    assert {r.video_id for r in rows} == {r.user_id for r in want.select("user_id").distinct().collect()}
+    assert min(r.conf for r in rows) < 0.5
