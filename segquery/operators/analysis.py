@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segquery.functions import exprs as X
 
+from . import score_states as K
 from . import vectors as V
 from .retrieval import metric_columns, pct
 
@@ -87,8 +89,7 @@ def sample(rows: DataFrame, key: str, n: int, seed: object = 0, *by: str) -> Dat
     u = X.hash_uniform(seed, key)
     if not by:
         return rows.orderBy(u, key).limit(n)
-    w = Window.partitionBy(*by).orderBy("_u", key)
-    first = lambda d: d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    first = lambda d: _first(d, key, n, *by)
     share = rows.where(F.pmod(F.xxhash64(key), F.lit(BOUND_SHARE)) == 0).withColumn("_u", u)
     bounds = first(share).where(F.col("_r") == n).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_u").alias("_most")).limit(BOUND_GROUPS)  # the others are ordered whole
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
@@ -96,6 +97,24 @@ def sample(rows: DataFrame, key: str, n: int, seed: object = 0, *by: str) -> Dat
     return first(near).select(*rows.columns)
 
 
+def _first(rows: DataFrame, key: str, n: int, *by: str) -> DataFrame:
+    """The n first rows of each group by (_u, key), with their place ``_r``."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_u", key))).where(F.col("_r") <= n)
+
+
+def pair_sample(queries: DataFrame, segments: DataFrame, edges: list[float], n: int, seed: object = 0) -> DataFrame:
+    """(query_id, seg_row, bin): n pairs of each bin of scores without replacement, by the hash order of ``query_id_seg_row``.
+
+    Pairs with whole numbers as ids are hashed where they are scored, and only the first of a block leave the kernel.
+    """
+    whole = all(isinstance(d.schema[c].dataType, T.IntegralType) for d, c in ((queries, "query_id"), (segments, "seg_row")))
+    few = whole and K.fits(queries)
+    pairs = K.hash_best(queries, segments, edges, n, seed) if few else V.pair_scores(queries, segments)
+    rows = pairs.withColumn("bin", bin_label(F.col("score"), edges)).where("bin is not null").withColumn("key", F.concat_ws("_", "query_id", "seg_row"))
+    got = _first(rows.withColumn("_u", X.hash_uniform(seed, "key")), "key", n, "bin") if few else sample(rows, "key", n, seed, "bin")
+    return got.select("query_id", "seg_row", "bin")
+
+
 def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(order))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segquery.functions import exprs as X
+from segquery.functions.hashes import pair_hashes
 
 #: Largest query matrix that goes with a task; more queries use the join form.
 BLOCK_BYTES = 64 << 20
@@ -34,6 +35,8 @@ BLOCK_ROWS, BLOCK_ITEMS = 1 << 15, 1 << 8
 PAIR_ROWS = 1 << 8
 #: Pairs that a task makes where all of them are the result.
 TASK_PAIRS = 1 << 24
+#: Pairs that a task hashes where a few of them are the result.
+HASH_PAIRS = 1 << 26
 #: Scores that differ by less than this share of their size are ties: a product's last bits depend on the batch.
 TIE = 1e-12
 #: Columns that stand beside the score of a segment.
@@ -206,9 +209,38 @@ def every_pair(queries: DataFrame, segments: DataFrame) -> DataFrame:
             q = np.arange(lo, min(lo + PAIR_ROWS, len(b.ids)))
             yield b.pairs(np.tile(q, m), np.repeat(np.arange(m), len(q)))
 
-    tasks = -(-queries.count() * segments.count() // TASK_PAIRS)
-    dealt = segments.repartition(max(segments.sparkSession.sparkContext.defaultParallelism, tasks))
-    return kernel(queries, dealt, reduce, [*_fields(queries, segments, *COLUMNS), _SCORE])
+    return kernel(queries, _dealt(queries, segments, TASK_PAIRS), reduce, [*_fields(queries, segments, *COLUMNS), _SCORE])
+
+
+def _dealt(queries: DataFrame, segments: DataFrame, most: int) -> DataFrame:
+    """Segments in tasks of about ``most`` pairs."""
+    tasks = -(-queries.count() * segments.count() // most)
+    return segments.repartition(max(segments.sparkSession.sparkContext.defaultParallelism, tasks))
+
+
+def hash_best(queries: DataFrame, segments: DataFrame, edges: list[float], n: int, seed: object) -> DataFrame:
+    """Pairs among which are, of each bin of scores [edges[i], edges[i+1]), the n first in the hash order of ``query_id_seg_row``.
+
+    Every pair is scored and hashed in the kernel; of a block and a bin only pairs up to its n-th hash leave it, ties included. Ids are whole numbers.
+    """
+    def reduce(b: Batch) -> Iterator[list[pa.Array]]:
+        score = b.score.ravel()
+        u = pair_hashes(seed, b.ids, b.rows.column("seg_row").to_numpy(zero_copy_only=False)).ravel()
+        # most blocks have n pairs of each bin among their lowest hashes; a bin that has not is looked through whole
+        low = np.flatnonzero(u <= np.uint32(min(2**32 - 1, 64 * n * len(edges) * 2**32 // len(u))))
+        label = np.searchsorted(edges, score[low], "right") - 1
+        picked = []
+        for k, least in enumerate(edges):
+            own = low[label == k]
+            if len(own) < n and len(low) < len(u):
+                own = np.flatnonzero(~(score < least) & (score < edges[k + 1] if k + 1 < len(edges) else True))
+            if len(own) > n:
+                own = own[u[own] <= np.partition(u[own], n - 1)[n - 1]]
+            picked.append(own)
+        at = np.concatenate(picked)
+        yield b.pairs(*np.divmod(at, b.rows.num_rows))
+
+    return kernel(queries, _dealt(queries, segments, HASH_PAIRS), reduce, [*_fields(queries, segments, *COLUMNS), _SCORE])
 
 
 def item_lse(queries: DataFrame, segments: DataFrame, tau: float, **options: object) -> DataFrame:

@@ -488,8 +488,7 @@ def semantic_recall(spark, d):
 
 @query(VEC + f"select query_id, seg_row, bin from (select query_id, seg_row, case when score >= 0.2 then 2 when score >= 0 then 1 else 0 end::bigint as bin, row_number() over (partition by case when score >= 0.2 then 2 when score >= 0 then 1 else 0 end order by {u_sql('cal', 'query_id::varchar || chr(95) || seg_row::varchar')}, query_id::varchar || chr(95) || seg_row::varchar) as r from pr) where r <= 20")
 def calibration_sample(spark, d):
-    p = pairs(spark, d).withColumn("bin", A.bin_label(F.col("score"), [-9.0, 0.0, 0.2])).withColumn("key", F.concat_ws("_", "query_id", "seg_row"))
-    return A.sample(p, "key", 20, "cal", "bin").select("query_id", "seg_row", "bin")
+    return A.pair_sample(D.vec_queries(spark, d), D.gallery(spark, d), [-math.inf, 0.0, 0.2], 20, "cal")
 
 
 @query(VEC + "select query_id, rank from rk where rank > 5")

@@ -521,3 +521,54 @@ def test_merge_overlaps_takes_every_prediction(spark):
     assert sum(r.merged for r in rows) == want.count()
     assert {r.video_id for r in rows} == {r.user_id for r in want.select("user_id").distinct().collect()}
     assert min(r.conf for r in rows) < 0.5
+
+
+def test_pair_hashes_equal_the_uniform(spark):
+    from segquery.functions import exprs as X
+    from segquery.functions.hashes import pair_hashes
+
+    a, b = np.array([0, 7, -12, 9_999, 10_000, 2**62]), np.array([5, -1, 10, 123_456, 99, -(2**63), 2**63 - 1])
+    got = pair_hashes("cal", a, b)
+    rows = spark.createDataFrame([(i, j, f"{x}_{y}") for i, x in enumerate(a.tolist()) for j, y in enumerate(b.tolist())], "i int, j int, key string")
+    assert all(got[r.i, r.j] == r.u * 2**32 for r in rows.select("i", "j", X.hash_uniform("cal", "key").alias("u")).collect())
+    wide = pair_hashes(1, np.arange(3), np.arange(40_000))
+    few = spark.range(0, 40_000, 1999).select("id", X.hash_uniform(1, F.concat(F.lit("2_"), F.col("id"))).alias("u"))
+    assert all(wide[2, r.id] == r.u * 2**32 for r in few.collect())
+    with pytest.raises(ValueError, match="too long"):
+        pair_hashes("x" * 40, a, b)
+    with pytest.raises(ValueError, match="null"):
+        pair_hashes(0, a, np.array([1.0, np.nan]))
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 1 << 10])
+def test_pair_sample_equals_brute_force(spark, monkeypatch, cells):
+    """The first pairs of each bin by (hash, key): of a rare bin, of an empty one and of one with fewer pairs than wanted."""
+    from segquery.functions.hashes import pair_hashes
+
+    monkeypatch.setattr(K, "CELLS", cells)
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((90, 8)), rng.standard_normal((700, 8))
+    x[3], y[5] = 0, 0
+    q = spark.createDataFrame([(i * 10, v.tolist()) for i, v in enumerate(x)], "query_id long, q_emb array<double>")
+    seg = spark.createDataFrame([(j * 7 - 50, j % 3, float(j), j + 1.0, v.tolist()) for j, v in enumerate(y)], "seg_row long, video_id long, ts double, te double, emb array<double>")
+    score = x @ y.T
+    edges = [-np.inf, -1.0, 0.0, float(np.sort(score.ravel())[-300]), float(np.sort(score.ravel())[-7]), 1e6]
+    u = pair_hashes("s", np.arange(90) * 10, np.arange(700) * 7 - 50)
+    want = set()
+    for k, least in enumerate(edges):
+        own = sorted((int(u[i, j]), f"{i * 10}_{j * 7 - 50}", i * 10, j * 7 - 50) for i, j in np.argwhere((score >= least - 1e-9) & (score < (edges[k + 1] if k < 5 else np.inf) - 1e-9)))
+        want |= {(*r[2:], k) for r in own[:20]}
+    assert {(r.query_id, r.seg_row, r.bin) for r in A.pair_sample(q, seg, edges, 20, "s").collect()} == want
+    assert K.hash_best(q, seg, edges, 20, "s").count() <= 20 * 6 * (8 if cells == 1 << 20 else 90 * 700 // 900 + 100)
+    monkeypatch.setattr(K, "BLOCK_BYTES", 100)
+    assert {(r.query_id, r.seg_row, r.bin) for r in A.pair_sample(q, seg, edges, 20, "s").collect()} == want
+
+
+def test_calibration_sample_makes_no_row_for_each_pair(spark, monkeypatch):
+    from segquery.plans import registry, vec_queries
+
+    assert vec_queries
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(V, "pair_scores", lambda *a: pytest.fail("all pairs are made"))
+    rows = registry.QUERIES["calibration_sample"](spark, d).collect()
+    assert len(rows) == 60
