@@ -572,3 +572,19 @@ def test_calibration_sample_makes_no_row_for_each_pair(spark, monkeypatch):
     monkeypatch.setattr(V, "pair_scores", lambda *a: pytest.fail("all pairs are made"))
     rows = registry.QUERIES["calibration_sample"](spark, d).collect()
     assert len(rows) == 60
+
+
+def test_join_of_blocks_is_dealt_by_pairs(spark, monkeypatch, tmp_path):
+    """One file of each side: tasks are by the number of pairs, and none makes more than its share."""
+    q = spark.createDataFrame([(i, [float((i * 37 + j * 11) % 23) - 11 for j in range(6)]) for i in range(100)], "query_id long, q_emb array<double>")
+    seg = spark.createDataFrame([(i, i % 3, float(i), i + 1.0, [float((i * 13 + j * 7) % 29) - 14 for j in range(6)]) for i in range(400)], "seg_row long, video_id long, ts double, te double, emb array<double>")
+    for name, d in (("q", q), ("s", seg)):
+        d.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    q, seg = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("q", "s"))
+    monkeypatch.setattr(K, "TASK_PAIRS", 1000)
+    got = V.pair_scores(q, seg, "join").select("query_id", "seg_row", F.round("score", 9).alias("score"), F.spark_partition_id().alias("task"))
+    rows = got.collect()
+    assert len(rows) == len({(r.query_id, r.seg_row) for r in rows}) == 40_000
+    sizes = [sum(1 for _ in g) for _, g in itertools.groupby(sorted(r.task for r in rows))]
+    assert len(sizes) >= 40 and max(sizes) <= 1500
+    assert {(r.query_id, r.seg_row): r.score for r in rows} == {(r.query_id, r.seg_row): r.score for r in V.pair_scores(q, seg).select("query_id", "seg_row", F.round("score", 9).alias("score")).collect()}
